@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyframe.llm import quality, simhash
+from tallyframe.llm import quality, simhash, suffix
 from tallyframe.llm._common import table
 
 
@@ -16,9 +16,14 @@ def op7_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.repeated_spans(table(spark, sf_dir, "documents")).drop("spans")
+
+
 QUERIES = {
     "op6_simhash_gray": op6_simhash_gray,
     "op7_quality_ftrl": op7_quality_ftrl,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
