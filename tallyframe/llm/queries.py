@@ -3,11 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyframe.llm import quality, simhash, suffix
+from tallyframe.llm import decontam, knn, quality, simhash, suffix
 from tallyframe.llm._common import table
 
 
+def op1_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.top_inner_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -21,9 +30,20 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_voronoi_knn": op1_voronoi_knn,
+    "op2_decontaminate": op2_decontaminate,
     "op6_simhash_gray": op6_simhash_gray,
     "op7_quality_ftrl": op7_quality_ftrl,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_voronoi_knn": """
+        with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) v from embeddings
+                   where embedding is not null and list_count(embedding) = len(embedding)
+                     and list_count(list_filter(embedding, lambda x: isfinite(x))) = len(embedding)),
+             s as (select q.vec_id query_id, d.vec_id, list_inner_product(q.v, d.v)::bigint score
+                   from v q join v d on q.vec_id % 100 = 0 and q.vec_id <> d.vec_id),
+             r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int "rank" from s)
+        select query_id, "rank", vec_id, score from r where "rank" <= 10""",
+}
