@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import decontam, knn, quality, simhash, suffix
+from tallyframe.llm import decontam, knn, lines, mixing, quality, simhash, suffix
 from tallyframe.llm._common import table
 
 
@@ -17,6 +17,14 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.deduplicate(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -32,6 +40,8 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_voronoi_knn": op1_voronoi_knn,
     "op2_decontaminate": op2_decontaminate,
+    "op3_pareto_mix": op3_pareto_mix,
+    "op4_line_dedup": op4_line_dedup,
     "op6_simhash_gray": op6_simhash_gray,
     "op7_quality_ftrl": op7_quality_ftrl,
     "op10_suffix_dedup": op10_suffix_dedup,
@@ -46,4 +56,19 @@ ORACLE_SQL: dict[str, str] = {
                    from v q join v d on q.vec_id % 100 = 0 and q.vec_id <> d.vec_id),
              r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int "rank" from s)
         select query_id, "rank", vec_id, score from r where "rank" <= 10""",
+    "op3_pareto_mix": r"""
+        with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) size,
+                          (('0x' || md5('mix|' || coalesce(doc_id::varchar, ''))[1:12])::bigint + 0.5) / 281474976710656.0 u from documents),
+             s as (select source, sum(size)::bigint source_size, [3.0, 1.0, 2.0][(row_number() over (order by source nulls last) - 1) % 3 + 1]::double w from d group by source),
+             l as (select *, 2.0 * source_size lim, sum(source_size) over () * 1.5::double total, sum(w) over () all_w,
+                          coalesce(sum(2.0 * source_size) over o, 0) full_, coalesce(sum(w) over o, 0) gone
+                   from s window o as (order by 2.0 * source_size / w, source nulls last rows between unbounded preceding and 1 preceding)),
+             v as (select *, max(case when (total - full_) / (all_w - gone) * w <= lim then (total - full_) / (all_w - gone) end) over () lev from l),
+             t as (select source, source_size, case when lev is null then lim else least(lim, lev * w) end::double target from v),
+             r as (select d.*, source_size, target, least(2.0, case when source_size > 0 then target / source_size else 0 end) e
+                   from d join t on d.source is not distinct from t.source),
+             k as (select *, floor(e + 1e-12)::int whole, u / (1 - u) rnk, sum(floor(e + 1e-12)::int * size) over (partition by source) sure from r),
+             c as (select *, sum(size) over (partition by source order by rnk, doc_id, size rows between unbounded preceding and current row) upto from k)
+        select doc_id, size::bigint size, source_size, target,
+               ((whole + (whole < 2 and upto - size / 2.0 <= target - sure)::int) * size)::bigint taken from c""",
 }
