@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import decontam, knn, lines, mixing, quality, simhash, suffix
-from tallyframe.llm._common import table
+from tallyframe.llm import decontam, knn, lines, mixing, quality, secrets, sharding, simhash, suffix, warc
+from tallyframe.llm._common import shared_dir, table
 
 
 def op1_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +27,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.deduplicate(table(spark, sf_dir, "documents"))
 
 
+def op5_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -33,6 +39,16 @@ def op7_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve_revisits(warc.page_captures(table(spark, sf_dir, "pages")))
+    field = lambda k: F.try_element_at("headers", F.lit(k))
+    return found.select("record_id", "url_key", "original_id", "state", field("content-type").alias("content_type"), field("date").alias("date"), field("vary").alias("vary"), field("cache-control").alias("cache_control"))
+
+
+def op9_shard_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/tallyframe/shards-{uuid.uuid4().hex}")
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.repeated_spans(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -42,8 +58,11 @@ QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_pareto_mix": op3_pareto_mix,
     "op4_line_dedup": op4_line_dedup,
+    "op5_secret_forest": op5_secret_forest,
     "op6_simhash_gray": op6_simhash_gray,
     "op7_quality_ftrl": op7_quality_ftrl,
+    "op8_warc_revisit": op8_warc_revisit,
+    "op9_shard_compaction": op9_shard_compaction,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
