@@ -86,25 +86,27 @@ def blocks(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str], rows: int) -> Iterator[pa.Table]:
-    """Batches of a partition sorted by ``keys``, cut anew so that no run of equal keys is divided."""
+    """Tables of about ``rows`` rows of a partition sorted by ``keys``, cut so that no run of equal keys is divided.
+
+    A table has fewer than ``rows`` rows more than its last run.
+    """
     held: list[pa.RecordBatch] = []
-    n = 0
     for batch in batches:
         if not batch.num_rows:
             continue
         held.append(batch)
-        n += batch.num_rows
-        if n < rows:
+        if sum(b.num_rows for b in held) < rows:
             continue
         got = pa.Table.from_batches(held).combine_chunks()
-        same = np.ones(got.num_rows, bool)
+        new = np.zeros(got.num_rows, bool)
         for k in keys:
             column = got.column(k).to_numpy()
-            same &= column == column[-1]
-        first = int(np.argmax(same))
-        if first:
-            yield got.slice(0, first)
-            held, n = got.slice(first).to_batches(), got.num_rows - first
+            new[1:] |= column[1:] != column[:-1]
+        starts, low = np.flatnonzero(new), 0
+        while (at := np.searchsorted(starts, low + rows)) < len(starts):
+            yield got.slice(low, starts[at] - low)
+            low = int(starts[at])
+        held = got.slice(low).to_batches()
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
 

@@ -183,8 +183,8 @@ def _regions(length: int):
                 for anchor, first, last, parts in zip(*(x.to_pylist() for x in hits.values.flatten()), strict=True):
                     found[anchor, text[first : last + length], parts].append(first)
                 for (anchor, region, parts), starts in found.items():
-                    salt = int.from_bytes(hashlib.blake2b(region, digest_size=4).digest(), "big") % parts if parts > 1 else 0
-                    for column, x in zip(out.values(), (anchor, salt if parts > 1 else -1, region, key, starts), strict=True):
+                    salt = int.from_bytes(key[:4], "big") % parts if parts > 1 else -1
+                    for column, x in zip(out.values(), (anchor, salt, region, key, starts), strict=True):
                         column.append(x)
             yield pa.record_batch([pa.array(out["anchor"], pa.int64()), pa.array(out["salt"], pa.int32()), pa.array(out["region"], pa.binary()), pa.array(out["key"], pa.binary()), pa.array(out["starts"], pa.list_(pa.int32()))], names=list(out))
 
@@ -282,7 +282,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     regions = met.mapInArrow(_regions(length), "anchor long, salt int, region binary, key binary, starts array<int>")
     found = regions.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt").mapInArrow(_solve(length), "key binary, low int, high int, h1 long, h2 long")
     found = scratch.save(found)
-    apart = found.where("h1 is not null").repartition("h1", "h2").sortWithinPartitions("h1", "h2").mapInArrow(_merge, "key binary, low int, high int")
+    shared = found.where("h1 is not null and key is null").dropDuplicates(["h1", "h2"]).unionAll(found.where("h1 is not null and key is not null"))
+    apart = shared.repartition("h1", "h2").sortWithinPartitions("h1", "h2").mapInArrow(_merge, "key binary, low int, high int")
     whole = copies.where("copies > 1").select("key", F.lit(0).alias("low"), F.col("size").alias("high"))
     spans = found.where("h1 is null").select("key", "low", "high").unionAll(apart).join(whole.select("key"), "key", "left_anti").unionAll(whole)
     spans = scratch.save(spans.groupBy("key").agg(F.collect_set(F.struct("low", "high")).alias("spans")))
