@@ -212,6 +212,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
                 clean[[r for r, *_ in _scan(index, offsets, data)]] = False
                 yield batch.filter(pa.array(clean)).select(list(range(batch.num_columns - 1)))
 
-        raw = docs.select("*", F.col(text_col).cast("string").cast("binary").alias("_bytes"))
+        free = next(n for n in (f"_bytes{i}" for i in range(len(columns) + 1)) if n not in columns)
+        raw = docs.select("*", F.col(text_col).cast("string").cast("binary").alias(free))
         docs = raw.mapInArrow(run, docs.schema).select(*columns)
     return docs

@@ -158,14 +158,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return weights
 
 
-def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``id_col``, the columns in ``keep``, and score double: the probability of label 1, from the whole text alone.
+def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col`` and score double: the probability of label 1, from the whole text alone.
 
     A null or empty text gets the score of the constant.
     """
     bits = int(len(weights) - 1).bit_length() - 1
     model = weights.astype(np.float32)
-    rows = docs.select(F.col(text_col).cast("string").cast("binary").alias("_t"), id_col, *keep)
+    rows = docs.select(F.col(text_col).cast("string").cast("binary").alias("_t"), id_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,6 +195,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     """``docs`` without the rows that the classifier rejects."""
     threshold = options.pop("threshold", 0.3)
     weights = fit(docs, labels, id_col, text_col, **options)
-    columns = docs.columns
-    scored = score(docs.select("*", F.col(id_col).alias("_id")), weights, "_id", text_col, tuple(columns))
-    return scored.where(F.col("score") >= threshold).select(*columns)
+    packed = docs.select(F.struct(*docs.columns).alias("doc"), F.col(text_col).alias("text"))
+    return score(packed, weights, "doc", "text").where(F.col("score") >= threshold).select("doc.*")
