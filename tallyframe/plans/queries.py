@@ -273,6 +273,75 @@ def raw_validation(spark, sf_dir):
     return cleaning.raw_validation(parquet(spark, sf_dir, "orders"), "o_orderkey", 60_000)
 
 
+def _filled_raw(df: DataFrame, entity: str, columns: dict) -> DataFrame:
+    """A raw frame of an entity: the given columns, null strings for its others, lineage."""
+    e = cleaning.ENTITIES[entity]
+    wanted = {*e.text.values(), *e.dates.values(), *e.ints.values(), *e.doubles.values(), *e.unlisted}
+    extra = {"beneficiary_summary": {*cleaning.CHRONIC_FLAGS.values(), "BENE_ESRD_IND"}, "outpatient_claims": {f"HCPCS_CD_{i}" for i in range(1, 46)}, "carrier_claims": {f"{c}_{i}" for c in ("PRF_PHYSN_NPI", "HCPCS_CD") for i in range(1, 14)}}
+    lineage = {"_bronze_source_file": F.lit("sample.csv"), "_bronze_loaded_at_utc": F.lit("2009-01-01").cast("timestamp"), "_bronze_source_year": F.lit(2008)}
+    nulls = {c: F.lit(None).cast("string") for c in sorted((wanted | extra.get(entity, set())) - set(columns))}
+    return df.select(*(c.alias(n) for n, c in (columns | nulls | lineage).items()))
+
+
+def _text(c: str, kind: str = "string"):
+    return F.col(c).cast(kind).cast("string")
+
+
+@query("""
+select c_custkey::varchar bene_id, 2008::int as year, case c_custkey % 3 when 0 then 'male' when 1 then 'female' else 'unknown' end sex, case when c_custkey % 7 > 0 then make_date(1930 + (c_custkey % 40)::int, 1 + (c_custkey % 12)::int, 15) end birth_date, (c_custkey % 13)::int hi_coverage_months,
+  case c_custkey % 2 when 0 then true else false end diabetes_flag, case when c_custkey % 5 = 0 then null else c_custkey % 5 = 1 end cancer_flag, ((c_custkey % 2 = 0)::int + (c_custkey % 5 = 1)::int)::int chronic_condition_count, round(c_acctbal, 2) beneficiary_inpatient_reimbursement_amt, (c_custkey % 11 = 0) death_flag, (c_custkey % 7 = 0 and c_custkey % 2 = 0)::int parse_failure_count from customer""")
+def typed_beneficiaries(spark, sf_dir):
+    k = F.col("c_custkey")
+    birth = F.when(k % 14 == 0, "19301399").when(k % 7 > 0, F.format_string("%d%02d15", 1930 + k % 40, 1 + k % 12))
+    raw = _filled_raw(parquet(spark, sf_dir, "customer"), "beneficiary_summary", {
+        "DESYNPUF_ID": F.concat(F.lit(" "), _text("c_custkey")), "BENE_BIRTH_DT": birth, "BENE_DEATH_DT": F.when(k % 11 == 0, "20081231"), "BENE_SEX_IDENT_CD": (k % 3 + 1).cast("string"), "BENE_HI_CVRAGE_TOT_MONS": (k % 13).cast("string"),
+        "SP_DIABETES": F.when(k % 2 == 0, "1").otherwise("2"), "SP_CNCR": F.when(k % 5 == 1, "Y").when(k % 5 != 0, "N").otherwise(" "), "MEDREIMB_IP": F.round("c_acctbal", 2).cast("decimal(12,2)").cast("string"),
+    })
+    out = cleaning.typed(raw, "beneficiary_summary")
+    return out.select("bene_id", "year", "sex", "birth_date", "hi_coverage_months", "diabetes_flag", "cancer_flag", "chronic_condition_count", "beneficiary_inpatient_reimbursement_amt", "death_flag", F.col("_parse_failure_count").alias("parse_failure_count"))
+
+
+@query("""
+select o_orderkey::varchar claim_id, o_custkey::varchar bene_id, o_orderdate::date claim_from_date, (o_orderdate::date + (o_orderkey % 5)::int - 1)::date claim_thru_date, (o_orderkey % 5)::int claim_days, o_orderkey % 5 > 0 claim_dates_valid,
+  list_distinct(list_filter([case when o_orderkey % 4 = 0 then '99283' else (o_custkey % 100)::varchar end, case when o_orderkey % 2 = 0 then 'G1' end], lambda x: x is not null)).list_sort().array_to_string('|') codes, (1 + (o_orderkey % 2 = 0)::int)::int estimated_line_count, case when o_orderkey % 4 = 0 then true end emergency, o_totalprice payment_amount from orders""")
+def typed_outpatient_claims(spark, sf_dir):
+    k, day = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
+    raw = _filled_raw(parquet(spark, sf_dir, "orders"), "outpatient_claims", {
+        "CLM_ID": _text("o_orderkey"), "DESYNPUF_ID": _text("o_custkey"), "CLM_FROM_DT": F.date_format(day, "yyyyMMdd"), "CLM_THRU_DT": F.date_format(F.date_add(day, (k % 5).cast("int") - 1), "yyyyMMdd"),
+        "HCPCS_CD_1": F.when(k % 4 == 0, "99283").otherwise((F.col("o_custkey") % 100).cast("string")), "HCPCS_CD_2": F.when(k % 2 == 0, " G1 "), "CLM_PMT_AMT": _text("o_totalprice", "decimal(14,2)"),
+    })
+    out = cleaning.typed(raw, "outpatient_claims")
+    return out.select("claim_id", "bene_id", "claim_from_date", "claim_thru_date", "claim_days", "claim_dates_valid", F.array_join(F.array_sort("hcpcs_codes"), "|").alias("codes"), "estimated_line_count", F.col("emergency_department_claim_flag").alias("emergency"), "payment_amount")
+
+
+@query("""
+select o_orderkey::varchar claim_id, case when o_orderkey % 3 = 0 then 'p2' else (o_custkey % 50)::varchar end provider_id, case when o_orderkey % 3 = 0 then 1 else 2 end::int providers, greatest(1, 1 + (o_orderkey % 2 = 0)::int)::int estimated_line_count, round(o_totalprice + case when o_orderkey % 2 = 0 then 10.5 else 0 end, 2) payment_amount, round(o_totalprice, 2) allowed_amount, year(o_orderdate)::int as year from orders""")
+def typed_carrier_claims(spark, sf_dir):
+    k, day, pay = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyyMMdd"), _text("o_totalprice", "decimal(14,2)")
+    raw = _filled_raw(parquet(spark, sf_dir, "orders"), "carrier_claims", {
+        "CLM_ID": _text("o_orderkey"), "DESYNPUF_ID": _text("o_custkey"), "CLM_FROM_DT": day, "CLM_THRU_DT": day, "PRF_PHYSN_NPI_1": F.when(k % 3 == 0, " ").otherwise((F.col("o_custkey") % 50).cast("string")), "PRF_PHYSN_NPI_2": F.lit("p2"), "HCPCS_CD_1": F.lit("x"),
+        "LINE_NCH_PMT_AMT_1": pay, "LINE_NCH_PMT_AMT_2": F.when(k % 2 == 0, "10.5"), "LINE_ALOWD_CHRG_AMT_1": pay, "LINE_ALOWD_CHRG_AMT_2": F.lit("-5"),
+    })
+    out = cleaning.typed(raw, "carrier_claims")
+    return rounded(out.select("claim_id", "provider_id", F.size("provider_ids").alias("providers"), "estimated_line_count", "payment_amount", "allowed_amount", "year"), 2)
+
+
+@query("select o_orderkey::varchar pde_id, o_custkey::varchar bene_id, o_orderdate::date drug_fill_date, (o_orderkey % 30)::int days_supply, o_totalprice drug_cost, 0.0::double patient_pay_amount, year(o_orderdate)::int as year from orders")
+def typed_drug_events(spark, sf_dir):
+    raw = _filled_raw(parquet(spark, sf_dir, "orders"), "prescription_drug_events", {
+        "PDE_ID": _text("o_orderkey"), "DESYNPUF_ID": _text("o_custkey"), "SRVC_DT": F.date_format("o_orderdate", "yyyyMMdd"), "DAYS_SUPLY_NUM": F.concat((F.col("o_orderkey") % 30).cast("string"), F.lit(".9")), "TOT_RX_CST_AMT": _text("o_totalprice", "decimal(14,2)"), "PTNT_PAY_AMT": F.lit("-1"),
+    })
+    return cleaning.typed(raw, "prescription_drug_events").select("pde_id", "bene_id", "drug_fill_date", "days_supply", "drug_cost", "patient_pay_amount", "year")
+
+
+@query("select count(*) rows_in, count(distinct (l_orderkey, l_linenumber)) - count(*) negative_removed from lineitem")
+def silver_audit(spark, sf_dir):
+    """Rows read and removed by deduplication, as the audit of a published entity has them."""
+    df = parquet(spark, sf_dir, "lineitem").select(F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_shipdate").alias("_bronze_loaded_at_utc"), F.lit("f").alias("_bronze_source_file"))
+    kept = cleaning.latest_rows(df, ["l_orderkey", "l_linenumber"])
+    return df.agg(F.count("*").alias("rows_in")).crossJoin(kept.agg(F.count("*").alias("n"))).select("rows_in", (F.col("n") - F.col("rows_in")).alias("negative_removed"))
+
+
 # --- metrics of scores -----------------------------------------------------------------------------------------
 
 RUN = ["model_name", "split_name"]
@@ -513,6 +582,33 @@ def score_monitoring(spark, sf_dir):
     return rounded(runs.monitoring(_scores(spark, sf_dir).where("split_name = 'test'")))
 
 
+@query("""
+select model_name, count(*) row_count, round(avg(predicted_probability), 6) mean_prediction, round(avg("label"), 6) observed_rate, max(predicted_probability) max_prediction from scores where split_name = 'test' and run_id = 'run1' group by 1""", ("scores",))
+def selected_score_summary(spark, sf_dir):
+    scores = _scores(spark, sf_dir)
+    return rounded(runs.score_summary(runs.selected_rows(scores, scores.select("model_name", F.lit("run1").alias("run_id")).distinct())))
+
+
+@query("""
+with v as (select model_name, avg("label") a, avg(predicted_probability) b from scores where split_name = 'test' group by 1)
+select model_name, round(a, 6) area_under_pr, round(b, 6) top_5_capture_rate, row_number() over (order by a desc, b desc, model_name) place from v""", ("scores",))
+def leaderboard(spark, sf_dir):
+    m = _scores(spark, sf_dir).where("split_name = 'test'").groupBy("model_name").agg(F.avg("label").alias("area_under_pr"), F.avg("predicted_probability").alias("top_5_capture_rate"))
+    none = {c: F.lit(None).cast("double") for c in ("top_10_capture_rate", "area_under_roc", "brier_score", "test_misclassification_error")}
+    out = rounded(runs.leaderboard(m.withColumns(none)).select("model_name", "area_under_pr", "top_5_capture_rate"))
+    return out.limit(1_000).withColumn("place", (F.monotonically_increasing_id() + 1).cast("long"))
+
+
+@query(GOLD + """
+select 'required columns' check_name, 'pass' status, '' detail union all select 'property feature_version', 'pass', 'v2'
+union all select 'unique keys', 'pass', '0 rows' union all select 'chronic range', case when count(*) filter (ch not between 0 and 11) = 0 then 'pass' else 'fail' end, concat(count(*) filter (ch not between 0 and 11), ' rows') from gold
+union all select 'splits of m', 'warn', 'test,train'""", ("claims", "beneficiaries"))
+def pipeline_consistency(spark, sf_dir):
+    gold = _gold(spark, sf_dir)
+    audit = role(spark, sf_dir, "scores").where("split_name <> 'validation'").select("split_name", F.lit(labels.SPLIT_VERSION).alias("shared_split_version"), F.lit(1).alias("processed_at_utc"))
+    return runs.consistency(gold, ["bene_id", "year"], {"feature_version": "v2"}, {"feature_version": "v2"}, {"m": audit}, labels.SPLIT_VERSION)
+
+
 @query("""
 with m as (select model_name, run_id, split_name, avg((predicted_probability - "label") ** 2) b, avg("label") y, avg(predicted_probability) c from scores group by 1, 2, 3)
 select model_name, run_id, split_name, round(b, 6) brier_score, round(y, 6) positive_rate, round(c, 6) top_10_capture_rate, c >= 0.4 capture_ok, b <= 0.1 brier_ok, y between 0.08 and 0.12 rate_ok, c >= 0.4 and b <= 0.1 and y between 0.08 and 0.12 ready from m""", ("scores",))
