@@ -90,4 +90,18 @@ ORACLE_SQL: dict[str, str] = {
              c as (select *, sum(size) over (partition by source order by rnk, doc_id, size rows between unbounded preceding and current row) upto from k)
         select doc_id, size::bigint size, source_size, target,
                ((whole + (whole < 2 and upto - size / 2.0 <= target - sure)::int) * size)::bigint taken from c""",
+    "op8_warc_revisit": r"""
+        with c as (select page_id i, url, '"' || md5(coalesce(html, ''))[1:16] || '"' tag, strftime(make_timestamp((page_id - page_id % 50) * 1000000), '%Y-%m-%d %H:%M:%S') stamp, page_id + 500 + page_id % 200 later from pages),
+             r as (select i * 2 record_id, url, i ts, case when i % 13 = 0 then 503 else 200 end status, false back, case when i % 7 <> 0 then tag end etag, case when i % 11 <> 0 then stamp end modified from c
+                   union all select i * 2 + 1, url || case when contains(url, '#') then 'x' else '#again' end, later, 304, true, case when i % 5 = 0 then '"changed"' when i % 3 <> 0 then 'W/' || tag end, case when i % 4 <> 0 then stamp end from c),
+             p as (select *, regexp_replace(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)', 1)), ':(80|443)?$', ''), '^www\.', '') host,
+                          regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/+$', '') path,
+                          list_sort(list_filter(string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&'), lambda x: x <> '' and not regexp_matches(lower(x), '^(utm_[a-z]+|gclid|fbclid|ref)(=|$)'))) params from r),
+             k as (select *, case when host <> '' then host || path || case when len(params) > 0 then '?' || array_to_string(params, '&') else '' end end url_key from p),
+             j as (select a.record_id, a.url_key, a.ts, regexp_replace(a.etag, '^W/', '') etag, a.modified, arg_max({'id': b.record_id, 'etag': regexp_replace(b.etag, '^W/', ''), 'modified': b.modified}, (b.ts, b.record_id)) o
+                   from k a left join k b on not b.back and b.status = 200 and a.url_key = b.url_key and b.ts < a.ts where a.back group by all),
+             s as (select *, case when o.id is null then 'no original' when etag is not null and o.etag is not null then case when etag = o.etag then 'resolved' else 'mismatch' end
+                                  when modified is not null and o.modified is not null then case when modified = o.modified then 'resolved' else 'mismatch' end else 'unchecked' end state from j)
+        select record_id, url_key, o.id original_id, state, case when state in ('resolved', 'unchecked') then 'text/html' end content_type, case when state in ('resolved', 'unchecked') then strftime(make_timestamp(ts * 1000000), '%Y-%m-%d %H:%M:%S') end date,
+               case when state in ('resolved', 'unchecked') then 'Accept' end vary, case when state in ('resolved', 'unchecked') then 'max-age=60' end cache_control from s""",
 }
