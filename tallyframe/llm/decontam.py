@@ -22,6 +22,7 @@ Q = 8
 #: Edits allowed, as a share of an item's length.
 EDITS = 0.1
 BLOCK = 1 << 18
+PIECE = 1 << 22
 #: Bytes of items that one scan of the documents holds in memory; more items take more scans.
 ITEM_BYTES = 1 << 23
 _TABLE_BITS = 21
@@ -167,11 +168,22 @@ def item_indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
 
 
 def _scan(index: ItemIndex, offsets: np.ndarray, data: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+    """(row, item, edits, begin, end) for all texts of a batch. A text above PIECE bytes is read in parts that overlap by
+    more than any item can cover unless white space takes half of it."""
+    overlap = 4 * max(map(len, index.texts))
     for low, high in blocks(offsets, BLOCK):
-        base = offsets[low]
-        edge = offsets[low : high + 1] - base
-        for r, k, e, a, b in matches(index, data[base : offsets[high]], edge):
-            yield low + r, k, e, a - int(edge[r]), b - int(edge[r])
+        base, end = int(offsets[low]), int(offsets[high])
+        if high - low > 1 or end - base <= PIECE:
+            edge = offsets[low : high + 1] - base
+            for r, k, e, a, b in matches(index, data[base:end], edge):
+                yield low + r, k, e, a - int(edge[r]), b - int(edge[r])
+            continue
+        best: dict[int, tuple[int, int, int]] = {}
+        for at in range(base, end, PIECE):
+            to = min(end, at + PIECE + overlap)
+            for _, k, e, a, b in matches(index, data[at:to], np.array([0, to - at])):
+                best[k] = min(best.get(k, (e, a + at - base, b + at - base)), (e, a + at - base, b + at - base))
+        yield from ((low, k, *x) for k, x in best.items())
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", share: float = EDITS) -> DataFrame:

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +18,8 @@ BITS = 18
 TRAIN_ROWS = 20_000
 SHARDS = 4
 EPOCHS = 3
-BLOCK = 1 << 20
+BLOCK = 1 << 18
+PIECE = 1 << 22
 BASE = np.uint64(0x9E3779B97F4A7C15)
 ODD = np.uint64(0xC2B2AE3D27D4EB4F)
 _INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -93,11 +94,28 @@ def features(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> tuple[n
     return np.concatenate([d for d, _ in grams]), np.concatenate([_mix(h + np.uint64(i)) >> shift for i, (_, h) in enumerate(grams)]).astype(np.int64)
 
 
+def _parts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(first row, last row + 1, edges): blocks of texts; a text above PIECE bytes comes in parts cut at white space,
+    n-grams across the cuts being left out."""
+    for low, high in blocks(offsets, BLOCK):
+        at, end = int(offsets[low]), int(offsets[high])
+        if high - low > 1 or end - at <= PIECE:
+            yield low, high, offsets[low : high + 1]
+            continue
+        while at < end:
+            to = min(end, at + PIECE)
+            space = np.flatnonzero(_SPACE[data[to : min(end, to + PIECE)]])
+            to = to + int(space[0]) if len(space) else min(end, to + PIECE)
+            yield low, high, np.array([at, to])
+            at = to
+
+
 def _examples(data: np.ndarray, offsets: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Per text: its coordinates and their values, count by the root of the text's feature count."""
     out = []
-    for low, high in blocks(offsets, BLOCK):
-        doc, at = features(data, offsets[low : high + 1], bits)
+    for (low, high), parts in groupby(_parts(data, offsets), lambda x: x[:2]):
+        found = [features(data, edge, bits) for _, _, edge in parts]
+        doc, at = (np.concatenate(x) for x in zip(*found, strict=True))
         key, count = np.unique((doc << bits) | at, return_counts=True)
         cut = np.searchsorted(key >> bits, np.arange(high - low + 1))
         for i in range(high - low):
@@ -170,12 +188,12 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = byte_column(batch.column(0))
-            out = np.zeros(batch.num_rows)
-            for low, high in blocks(offsets, BLOCK):
-                doc, at = features(data, offsets[low : high + 1], bits)
-                total = np.bincount(doc, model[at], high - low)
-                out[low:high] = total / np.sqrt(np.maximum(np.bincount(doc, minlength=high - low), 1))
-            p = 1 / (1 + np.exp(-np.clip(out + model[-1], -35, 35)))
+            total, count = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
+            for low, high, edge in _parts(data, offsets):
+                doc, at = features(data, edge, bits)
+                total[low:high] += np.bincount(doc, model[at], high - low)
+                count[low:high] += np.bincount(doc, minlength=high - low)
+            p = 1 / (1 + np.exp(-np.clip(total / np.sqrt(np.maximum(count, 1)) + model[-1], -35, 35)))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(p)], names=[*batch.schema.names[1:], "score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[1:])

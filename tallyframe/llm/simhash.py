@@ -8,6 +8,7 @@ nodes is cut as soon as the fixed bits of both differ in more than d places; onl
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -22,30 +23,49 @@ from tallyframe.llm._graph import connected_components
 
 SEED = 42
 FANOUT = 8
+#: Bytes of a text that are held as words at a time.
+PIECE = 1 << 22
+_SPACE = re.compile(rb"[ \t\n\r\x0b\x0c]")
 #: Pairs that one step of the index walk expands at a time.
 PAIRS = 1 << 18
 #: Fingerprints of a bucket above which it is divided into cells that are joined two by two.
 CELL = 20_000
 
 
-def fingerprint(text: bytes | None, shingle: int) -> int:
-    words = (text or b"").lower().split()
-    if not words:
-        return 0
+def pieces(text: bytes) -> Iterator[bytes]:
+    """The text in parts of about PIECE bytes, cut at white space."""
+    begin = 0
+    while begin < len(text):
+        space = _SPACE.search(text, begin + PIECE)
+        end = space.start() if space else len(text)
+        yield text[begin:end]
+        begin = end
+
+
+def _shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
     joined = b" ".join(words)
-    if len(words) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(joined, SEED)]
-    else:
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        end = np.cumsum(size + 1) - 1
-        start = end - size
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a:b], SEED) for a, b in zip(start[: len(words) - shingle + 1].tolist(), end[shingle - 1 :].tolist(), strict=True)]
-    h = np.array(hashes, np.uint64)
-    ones = np.zeros(64, np.int64)
-    for low in range(0, len(h), 1 << 14):
-        ones += np.unpackbits(h[low : low + (1 << 14)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > len(h)).tobytes(), "big")
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    end = np.cumsum(size + 1) - 1
+    start = end - size
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(start[: len(words) - shingle + 1].tolist(), end[shingle - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def fingerprint(text: bytes | None, shingle: int) -> int:
+    """A bit is set where over half of the shingle hashes have it; very long texts are read piece by piece."""
+    ones, n, words = np.zeros(64, np.int64), 0, []
+    for piece in pieces((text or b"").lower()):
+        words += piece.split()
+        if len(words) < shingle:
+            continue
+        h = _shingle_hashes(words, shingle)
+        n += len(h)
+        for low in range(0, len(h), 1 << 14):
+            ones += np.unpackbits(h[low : low + (1 << 14)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        words = words[len(words) - shingle + 1 :]
+    if not n:  # fewer words than a shingle has: all of them are one
+        return xxhash.xxh64_intdigest(b" ".join(words), SEED) if words else 0
+    return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:

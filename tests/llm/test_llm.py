@@ -126,6 +126,19 @@ def test_item_blocks_find_the_same(spark, docs, monkeypatch):
     assert {x[0] for x in whole} >= set(range(9))
 
 
+def test_long_texts_are_scanned_in_parts(spark, monkeypatch):
+    items = [prose(i + 40, 12) for i in range(3)]
+    bench = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    index = next(decontam.item_indexes(bench))
+    text = " ".join([prose(1, 300), items[0], prose(2, 200), items[2], prose(3, 10)]).encode()
+    data, edge = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    whole = sorted(decontam._scan(index, edge, data))
+    monkeypatch.setattr(decontam, "PIECE", 150)
+    monkeypatch.setattr(decontam, "BLOCK", 100)
+    assert sorted(decontam._scan(index, edge, data)) == whole
+    assert [(k, e) for _, k, e, *_ in whole] == [(0, 0), (2, 0)]
+
+
 # --- 3 ---------------------------------------------------------------------------------------------------------
 
 
@@ -332,6 +345,13 @@ def test_simhash_is_brute_force(spark, texts):
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_fingerprints_of_pieces_are_those_of_the_whole(monkeypatch):
+    texts = [prose(4, 500).encode(), b"a b c", b"a b c d", b" ", b""]
+    whole = [simhash.fingerprint(t, 4) for t in texts]
+    monkeypatch.setattr(simhash, "PIECE", 37)
+    assert [simhash.fingerprint(t, 4) for t in texts] == whole
+
+
 @pytest.mark.parametrize("cell", [20_000, 40])
 def test_links_join_all_that_lie_near(spark, cell, monkeypatch):
     monkeypatch.setattr(simhash, "CELL", cell)
@@ -418,6 +438,17 @@ def test_features_do_not_depend_on_neighbours():
     assert [tuple(sorted(at[doc == i])) for i in range(len(texts))] == alone
 
 
+def test_long_texts_are_scored_in_parts(monkeypatch):
+    text = prose(6, 400).encode()
+    data, edge = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    monkeypatch.setattr(quality, "BLOCK", 10)
+    monkeypatch.setattr(quality, "PIECE", 300)
+    parts = [tuple(e) for _, _, e in quality._parts(data, edge)]
+    assert parts[0][0] == 0 and parts[-1][1] == len(text) and len(parts) > 3
+    assert all(a[1] == b[0] for a, b in itertools.pairwise(parts))
+    assert len(quality._examples(data, edge, 18)) == 1
+
+
 # --- 8 ---------------------------------------------------------------------------------------------------------
 
 RECORD = "record_id long, url string, ts long, kind string, status int, etag string, last_modified string, headers map<string,string>"
