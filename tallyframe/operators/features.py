@@ -1,7 +1,7 @@
 """One wide row for each beneficiary and year: aggregates, joins, rates, bands, interactions, window ranks, lags and trends.
 
 Derived columns are declared in layers; each layer is one projection, so the plan does not grow with the count of
-columns. Windows share two specifications: by year, and by beneficiary in order of years.
+columns. Windows run over one beneficiary's years; places within a year are found by range (``ranking``).
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions import scalars as s
 from tallyframe.operators.cleaning import CHRONIC_FLAGS, COVERAGE
+from tallyframe.operators.ranking import row_numbers, tile
 
 KEY = ["bene_id", "year"]
 FEATURE_VERSION = "gold_features_v2_utilization_chronic_structure"
@@ -130,11 +131,18 @@ def shares_and_interactions() -> dict[str, Column]:
     }
 
 
-def year_position(median_exact: bool = False) -> dict[str, Column]:
-    """Place of the annual cost within its year; equal costs are told apart by id in the deciles."""
-    year = W.partitionBy("year")
+def year_position(df: DataFrame, median_exact: bool = False) -> DataFrame:
+    """(bene_id, year, annual_cost_year_percentile, annual_cost_year_decile, annual_cost_year_median): place of the annual cost within its year.
+
+    Equal costs share a percentile and are told apart by id in the deciles. Only key and cost are ranked, by range.
+    """
+    ranked = row_numbers(df.select(*KEY, "annual_claim_cost"), ["year"], ["annual_claim_cost", "bene_id"])
+    ties = ranked.groupBy("year", "annual_claim_cost").agg((F.min("row_no") - 1).alias("_below"))
     median = F.percentile("annual_claim_cost", F.lit(0.5)) if median_exact else F.percentile_approx("annual_claim_cost", 0.5)
-    return {"annual_cost_year_percentile": F.percent_rank().over(year.orderBy("annual_claim_cost")), "annual_cost_year_decile": F.ntile(10).over(year.orderBy("annual_claim_cost", "bene_id")), "annual_cost_year_median": median.over(year)}
+    medians = ranked.groupBy("year").agg(median.alias("annual_cost_year_median"))
+    out = ranked.join(ties, ["year", "annual_claim_cost"]).join(F.broadcast(medians), "year")  # one row for each year
+    percentile = F.when(F.col("group_rows") > 1, F.col("_below") / (F.col("group_rows") - 1)).otherwise(0.0)
+    return out.select(*KEY, percentile.alias("annual_cost_year_percentile"), tile(F.col("row_no"), F.col("group_rows"), 10).alias("annual_cost_year_decile"), "annual_cost_year_median").dropDuplicates(KEY)
 
 
 def prior_year(consecutive: bool = False) -> dict[str, Column]:
@@ -165,7 +173,9 @@ def trends() -> dict[str, Column]:
 
 def engineer(df: DataFrame, median_exact: bool = False, consecutive: bool = False) -> DataFrame:
     """All derived columns from the joined measures."""
-    for layer in (totals(), rates_and_bands(), shares_and_interactions(), year_position(median_exact), prior_year(consecutive), trends()):
+    df = row_features(df)
+    df = df.join(year_position(df, median_exact), KEY, "left")
+    for layer in (prior_year(consecutive), trends()):
         df = df.withColumns(layer)
     return df
 

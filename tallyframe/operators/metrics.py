@@ -1,15 +1,16 @@
 """Metrics of scores as aggregations: classification, ranking, capture and lift, calibration, reliability, drift.
 
-Rankings see one row for each distinct score (counts are aggregated first), so a window's size follows the count
-of distinct scores, not of rows. ``by`` names the columns that tell models, runs and splits apart.
+Rankings see one row for each distinct score (counts are aggregated first) and run by range, so no task holds a
+whole model. ``by`` names the columns that tell models, runs and splits apart.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyframe.operators.ranking import row_numbers, running
+
 Y, P = "label", "predicted_probability"
 
 
@@ -37,10 +38,7 @@ def _per_score(df: DataFrame, by: list[str], y: str, p: str) -> DataFrame:
 
 def auc(df: DataFrame, by: list[str], y: str = Y, p: str = P) -> DataFrame:
     """roc_auc (rank sum, ties shared) and pr_auc (sum of precision times gain in recall, ties together); null with one class."""
-    scores = _per_score(df, by, y, p)
-    down = W.partitionBy(*by).orderBy(F.desc("s")).rowsBetween(W.unboundedPreceding, 0)
-    all_ = W.partitionBy(*by)
-    run = scores.select(*by, "n", "pos", F.sum("n").over(down).alias("cn"), F.sum("pos").over(down).alias("cp"), F.sum("n").over(all_).alias("tn"), F.sum("pos").over(all_).alias("tp"))
+    run = running(_per_score(df, by, y, p), by, [F.desc("s")], ["n", "pos"]).withColumnsRenamed({"n_upto": "cn", "pos_upto": "cp", "n_all": "tn", "pos_all": "tp"})
     neg_below = (F.col("tn") - F.col("tp")) - (F.col("cn") - F.col("cp"))
     pairs = F.sum(F.col("pos") * (neg_below + (F.col("n") - F.col("pos")) / 2))
     area = F.sum(F.when(F.col("tp") > 0, F.col("pos") / F.col("tp") * F.col("cp") / F.col("cn")))
@@ -52,19 +50,17 @@ def auc(df: DataFrame, by: list[str], y: str = Y, p: str = P) -> DataFrame:
 def top_k(df: DataFrame, fractions: list[float], by: list[str], id_col: str, y: str = Y, p: str = P) -> DataFrame:
     """Per fraction f: the max(1, ceil(n f)) highest scores (ties by id), what they capture, precision and lift.
 
-    The rank of a row is the count of higher scores plus its rank among equals, so windows only order ids within one score.
+    The rank of a row is the count of higher scores plus its rank among equals; ids are ordered within one score only.
     """
-    scores = _per_score(df, by, y, p)
-    above = W.partitionBy(*by).orderBy(F.desc("s")).rowsBetween(W.unboundedPreceding, -1)
-    all_ = W.partitionBy(*by)
     # the small table of scores meets the fractions: whole scores count at once, only the score at the cut is ordered
-    scores = scores.withColumns({"before": F.coalesce(F.sum("n").over(above), F.lit(0)), "rows": F.sum("n").over(all_), "positives": F.sum("pos").over(all_)})
+    scores = running(_per_score(df, by, y, p), by, [F.desc("s")], ["n", "pos"])
+    scores = scores.select(*by, "s", "n", "pos", (F.col("n_upto") - F.col("n")).alias("before"), F.col("n_all").alias("rows"), F.col("pos_all").alias("positives"))
     cuts = scores.withColumn("selected_fraction", F.explode(F.array(*map(F.lit, fractions)))).withColumn("k", F.greatest(F.lit(1), F.ceil(F.round(F.col("rows") * F.col("selected_fraction"), 9))).cast("long"))
     cuts = cuts.where("before < k")
     whole = cuts.where("before + n <= k").select(*by, "selected_fraction", "rows", "positives", "k", F.col("pos"), (F.col("n") * F.col("s")).alias("score"))
     split = cuts.where("before + n > k").select(*by, "s", "selected_fraction", "rows", "positives", "k", "before")
     ids = df.select(*by, F.col(p).alias("s"), F.col(y).cast("double").alias("pos"), F.col(id_col).alias("_id")).join(split.select(*by, "s").distinct(), [*by, "s"], "left_semi")
-    ids = ids.withColumn("_r", F.row_number().over(W.partitionBy(*by, "s").orderBy("_id", "pos")))
+    ids = row_numbers(ids, [*by, "s"], ["_id", "pos"]).withColumnRenamed("row_no", "_r").drop("group_rows")
     part = ids.join(split, [*by, "s"]).where("_r <= k - before").select(*by, "selected_fraction", "rows", "positives", "k", "pos", F.col("s").alias("score"))
     out = whole.unionByName(part).groupBy(*by, "selected_fraction").agg(F.first("k").alias("selected_count"), F.sum("pos").cast("long").alias("captured_positive_count"), F.first("positives").alias("_all"), F.first("rows").alias("_rows"), F.sum("score").alias("_score"))
     observed = F.col("captured_positive_count") / F.col("selected_count")
@@ -83,11 +79,10 @@ def calibration_summary(df: DataFrame, by: list[str], y: str = Y, p: str = P) ->
 
 def score_deciles(df: DataFrame, by: list[str], id_col: str, descending: bool, p: str = P) -> DataFrame:
     """score_decile 1 to 10. descending: floor((rank - 1) * 10 / n) + 1; ascending: as quantile cuts of the ranks do."""
-    own = W.partitionBy(*by)
-    r = F.row_number().over(own.orderBy(F.desc(p) if descending else F.asc(p), id_col)) - 1
-    n = F.count("*").over(own)
+    ranked = row_numbers(df, by, [F.desc(p) if descending else F.asc(p), id_col])
+    r, n = F.col("row_no") - 1, F.col("group_rows")
     decile = F.floor(r * 10 / n) + 1 if descending else F.greatest(F.lit(1), F.ceil(r * 10 / F.greatest(n - 1, F.lit(1))))
-    return df.withColumn("score_decile", decile.cast("int"))
+    return ranked.withColumn("score_decile", decile.cast("int")).drop("row_no", "group_rows")
 
 
 def calibration_deciles(df: DataFrame, by: list[str], id_col: str, descending: bool = True, y: str = Y, p: str = P) -> DataFrame:

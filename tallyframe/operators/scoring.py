@@ -5,11 +5,11 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyframe.functions import scalars as s
 from tallyframe.operators.cleaning import CHRONIC_FLAGS
+from tallyframe.operators.ranking import running
 
 # Names, limits, costs and weights of the decision rules.
 RISK_TIERS = ("low", "elevated", "high", "very_high")
@@ -47,23 +47,16 @@ def rejected_profiles(df: DataFrame) -> DataFrame:
 def percentile_scores(df: DataFrame, reference: DataFrame, p: str = "predicted_probability", ref: str = "predicted_probability") -> DataFrame:
     """percentile_score: 100 times the share of reference values (clamped to 0..1) up to the row's, rounded half to even.
 
-    Scores are cut into cells of 1/1024. Counts of whole cells come from a table of at most 1025 rows; within a
-    cell, both sides' distinct values are ranked together, so no window holds more than one cell.
+    Distinct values of both sides are counted and summed in order, by range.
     """
     clamp = lambda c: F.least(F.greatest(F.col(c), F.lit(0.0)), F.lit(1.0))
-    cell = F.floor(F.col("v") * 1024).cast("int")
-    values = reference.where(F.col(ref).isNotNull()).select(clamp(ref).alias("v")).groupBy("v").agg(F.count("*").alias("n")).withColumn("cell", cell)
-    cells = values.groupBy("cell").agg(F.sum("n").alias("cn"))
-    edges = cells.withColumns({"below": F.coalesce(F.sum("cn").over(W.orderBy("cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)), "total": F.sum("cn").over(W.partitionBy())})
-    asked = df.where(F.col(p).isNotNull()).select(clamp(p).alias("v")).distinct().withColumn("cell", cell).withColumn("n", F.lit(0).cast("long"))
-    both = values.unionByName(asked).groupBy("cell", "v").agg(F.sum("n").alias("n"))
-    inside = both.withColumn("upto", F.sum("n").over(W.partitionBy("cell").orderBy("v").rowsBetween(W.unboundedPreceding, 0)))
-    # a cell without reference values has the count of all cells before it
-    grid = df.sparkSession.range(0, 1025).select(F.col("id").cast("int").alias("cell")).join(F.broadcast(edges), "cell", "left")
-    grid = grid.withColumns({"below": F.coalesce("below", F.sum(F.coalesce("cn", F.lit(0))).over(W.orderBy("cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)), "total": F.max("total").over(W.partitionBy())})
-    ranks = inside.join(F.broadcast(grid), "cell").select("v", (F.col("below") + F.col("upto")).alias("le"), "total")
-    out = df.withColumn("_v", clamp(p)).join(ranks.withColumnRenamed("v", "_v"), "_v", "left")
-    return out.withColumn("percentile_score", F.bround(100.0 * F.col("le") / F.col("total"), 0).cast("int")).drop("_v", "le", "total")
+    values = reference.where(F.col(ref).isNotNull()).select(clamp(ref).alias("_v"), F.lit(1).cast("long").alias("n"))
+    asked = df.where(F.col(p).isNotNull()).select(clamp(p).alias("_v"), F.lit(0).cast("long").alias("n"))
+    both = values.unionByName(asked).groupBy("_v").agg(F.sum("n").alias("n"))
+    ranks = running(both, [], ["_v"], ["n"]).select("_v", "n_upto", "n_all")
+    out = df.withColumn("_v", clamp(p)).join(ranks, "_v", "left")
+    score = F.bround(100.0 * F.col("n_upto") / F.nullif(F.col("n_all"), F.lit(0)), 0).cast("int")
+    return out.withColumn("percentile_score", score).drop("_v", "n_upto", "n_all")
 
 
 def predictions(df: DataFrame, thresholds: dict[str, float], decision: float = 0.20, reference: DataFrame | None = None) -> DataFrame:

@@ -15,6 +15,7 @@ from tallyframe.functions import scalars as s
 from tallyframe.operators import audits, cleaning, features, labels, metrics, runs, scoring, training
 from tallyframe.plans.roles import ctes, role
 from tallyframe.sources import inventory, tables
+from tallyframe.sources.scratch import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -42,11 +43,6 @@ def parquet(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_path(spark: SparkSession, what: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    return f"{base.rstrip('/')}/tallyframe/{what}-{uuid.uuid4().hex}"
-
-
 # --- entities, features ----------------------------------------------------------------------------------------
 
 
