@@ -1,0 +1 @@
+"""Operators on entities, features, labels, scores and runs."""

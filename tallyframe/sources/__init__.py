@@ -1,0 +1 @@
+"""Files and tables: where data comes from and goes to."""

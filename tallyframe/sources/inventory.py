@@ -57,3 +57,12 @@ def manifest(spark: SparkSession, path: str, inventory: DataFrame) -> DataFrame:
 def exceptions(inventory: DataFrame, files: DataFrame) -> DataFrame:
     """Listed files that did not arrive."""
     return inventory.join(files, "file_name", "left_anti").withColumn("reason", F.lit("missing"))
+
+
+def audit_rows(entries: DataFrame, validation: DataFrame) -> DataFrame:
+    """One row for each file of an entity with the entity's validation counts.
+
+    entries: entity, raw_names and extracted_names (arrays); the names are paired in order, the shorter side filled up with null.
+    """
+    pairs = entries.select("entity", F.explode_outer(F.arrays_zip("raw_names", "extracted_names")).alias("p")).select("entity", F.col("p.raw_names").alias("raw_name"), F.col("p.extracted_names").alias("extracted_name"))
+    return pairs.join(validation, "entity", "left")

@@ -1,0 +1 @@
+"""Nothing yet: the surveyed scope has no streaming."""

@@ -126,3 +126,67 @@ def test_tables(spark):
     with pytest.raises(ValueError):
         tables.read_table(spark, "t_absent")
     spark.sql("drop table t_tables")
+
+
+def test_audit_rows_pair_names(spark):
+    entries = spark.createDataFrame([("a", ["r1", "r2"], ["e1"]), ("b", [], None)], "entity string, raw_names array<string>, extracted_names array<string>")
+    got = sorted(map(str, inventory.audit_rows(entries, spark.createDataFrame([("a", 5)], "entity string, row_count long")).collect()))
+    assert [x.split("(")[1] for x in got] == ["entity='a', raw_name='r1', extracted_name='e1', row_count=5)", "entity='a', raw_name='r2', extracted_name=None, row_count=5)", "entity='b', raw_name=None, extracted_name=None, row_count=None)"]
+
+
+def test_models_rank_held_out_rows(spark):
+    rows = [(i, ["train", "validation", "test"][i % 3], float(i % 7 > 3), float(i % 7) + (i % 5) / 10, "x" if i % 2 else None) for i in range(300)]
+    frame = spark.createDataFrame(rows, "id long, split_name string, label double, n double, c string")
+    for model in ("logistic_regression", "gradient_boosting"):
+        scores = training.train_and_score(frame, model, ["n"], ["c"], "r", ["id"])
+        assert scores.count() == 300
+        assert metrics.auc(scores.where("split_name = 'test'"), ["model_name"]).first().roc_auc > 0.95
+    sigmoid = training.calibrate(scores.where("split_name = 'validation'"), scores.select("id", "label", "predicted_probability"), "sigmoid")
+    assert sigmoid.where("predicted_probability between 0 and 1").count() == 300
+    assert len(metrics.fine_grid(scores)) >= 99
+
+
+def test_logit_statistics(spark):
+    rows = [(float((i * 7) % 10 > 4 + (i % 3) - 1), float((i * 7) % 10), float(i % 4), float((i * 7) % 10) * 2 + 1) for i in range(400)]
+    df = spark.createDataFrame(rows, "label double, a double, b double, twice double")
+    table = {r["term"]: r for r in training.coefficients(df, ["a", "b"])}
+    assert table["a"]["coefficient"] > 0 and table["a"]["p_value"] < 0.01 < table["b"]["p_value"]
+    assert table["a"]["low"] < table["a"]["odds_ratio"] < table["a"]["high"]
+    steps = training.backward_selection(df, ["a", "b"])
+    assert [s["removed"] for s in steps] == [None, "b"]
+    pairs, vif = training.collinearity(df, ["a", "b", "twice"])
+    assert [(p["a"], p["b"], p["flag"]) for p in pairs] == [("twice", "a", True)]
+    assert {v["term"]: v["flag"] for v in vif}["b"] is False
+    test = training.likelihood_ratio(df, ["a", "b"], {"a": ["a"], "none": ["z"]})
+    assert len(test) == 1 and test[0]["degrees"] == 1 and test[0]["p_value"] < 0.01
+
+
+def test_folds_are_stratified(spark):
+    df = spark.range(0, 2000).selectExpr("id", "cast(id % 4 = 0 as double) label")
+    got = training.folds(df, "id").groupBy("fold").agg({"label": "avg", "id": "count"}).collect()
+    assert len(got) == 5 and all(300 < r["count(id)"] < 500 and 0.15 < r["avg(label)"] < 0.35 for r in got)
+
+
+def test_running_sums_cross_ranges(spark):
+    from tallyframe.operators import ranking
+
+    df = spark.range(0, 500).selectExpr("id", "case when id % 3 < 2 then id % 3 end g", "cast(id % 5 as long) v", "1L w").repartition(7)
+    got = ranking.running(df, ["g"], ["v", "id"], ["w", "v"]).collect()
+    by = {}
+    for r in sorted(got, key=lambda r: (str(r.g), r.v, r.id)):
+        n, s = by.get(r.g, (0, 0))
+        by[r.g] = (n + 1, s + r.v)
+        assert (r.w_upto, r.v_upto) == by[r.g]
+    assert all((r.w_all, r.v_all) == by[r.g] for r in got)
+    assert ranking.running(df.limit(0), ["g"], ["v"], ["w"]).count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 7, 10, 23])
+def test_tiles(spark, n):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from tallyframe.operators import ranking
+
+    df = spark.range(1, n + 1).withColumn("want", F.ntile(10).over(Window.orderBy("id")))
+    assert df.where(ranking.tile(F.col("id"), F.lit(n), 10) != F.col("want")).count() == 0
