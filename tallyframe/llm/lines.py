@@ -17,6 +17,8 @@ from tallyframe.llm._graph import connected_components
 EDITS = 2
 #: Shorter lines are duplicates only where they are equal: at a few edits in so few characters all of them would link.
 LEAST = 24
+#: Hashes of lines that are sent to all executors (8 MB) to find their texts; more are joined by a shuffle.
+BROADCAST = 1_000_000
 
 
 def document_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -25,42 +27,41 @@ def document_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     h, a hash of 64 bits, stands for the line: lines with equal h count as equal.
     """
     lines = docs.select(F.col(id_col).alias("id"), F.posexplode_outer(F.split(F.col(text_col), "\n")).alias("place", "line"))
-    line = F.nullif(F.trim(F.translate("line", "\t\r", "  ")), F.lit(""))
+    line = F.nullif(F.btrim("line", F.lit(" \t\r")), F.lit(""))
     return lines.select("id", F.coalesce("place", F.lit(0)).alias("place"), line.alias("line")).withColumn("h", F.when(F.col("line").isNotNull(), F.xxhash64("line")))
 
 
-def _segment(length: Column, number: int, edits: int) -> tuple[Column, Column]:
-    """Begin (from 1) and size of a segment: the first ones are shorter where the length does not divide evenly."""
-    parts = edits + 1
-    size, longer = F.floor(length / parts).cast("int"), (length % parts).cast("int")
-    short = parts - longer
-    begin = F.lit(number) * size + F.greatest(F.lit(number) - short, F.lit(0)) + 1
-    return begin.cast("int"), (size + (F.lit(number) >= short).cast("int")).cast("int")
+def segment_specs(edits: int) -> list[tuple[int, int, int, int]]:
+    """(side, d, i, shift) of all keys of a line. Side 0, index: its own segments i. Side 1, probe: substrings that segment i
+    of a line that is d shorter can be, ``shift`` characters from where that segment begins.
 
-
-def index_keys(edits: int) -> list[Column]:
-    """A key for each segment of ``line``."""
-    length = F.length("line")
-    segments = [_segment(length, i, edits) for i in range(edits + 1)]
-    return [F.xxhash64(length, F.lit(i), F.substr("line", *segment)) for i, segment in enumerate(segments)]
+    At most i edits lie before the segment, or at most edits - i behind it, so only begins that keep to both bounds are needed.
+    """
+    index = [(0, 0, i, 0) for i in range(edits + 1)]
+    probe = [(1, d, i, shift) for d in range(edits + 1) for i in range(edits + 1) for shift in range(max(-i, d - (edits - i)), min(i, d + (edits - i)) + 1)]
+    return index + probe
 
 
-def probe_keys(edits: int) -> list[Column]:
-    """A key for each substring of ``line`` that a segment of a line at most ``edits`` shorter can be, null where it does not fit.
+def line_keys(lines: DataFrame, edits: int) -> DataFrame:
+    """(h, key, side) for the lines (h, line). One expression serves all keys; the specifications are rows of a constant.
 
-    For segment i of a line that is d shorter, at most i edits lie before it or at most edits - i behind it, so
-    only begins that keep to both bounds are needed.
+    Of edits + 1 segments the first ones are shorter where the length does not divide evenly. Lines are cut in a coding of
+    four bytes for each character, so that no cut walks over the characters before it.
     """
-    length = F.length("line")
-    keys = []
-    for d in range(edits + 1):
-        for i in range(edits + 1):
-            begin, size = _segment(length - d, i, edits)
-            for shift in range(max(-i, d - (edits - i)), min(i, d + (edits - i)) + 1):
-                at = (begin + shift).cast("int")
-                fits = (at >= 1) & (at + size - 1 <= length)
-                keys.append(F.when(fits, F.xxhash64(length - d, F.lit(i), F.substr("line", at, size))))
-    return keys
+    specs = F.array(*(F.struct(*(F.lit(x).alias(n) for n, x in zip(("side", "d", "i", "shift"), spec, strict=True))) for spec in segment_specs(edits)))
+    coded = lines.select("h", F.encode("line", "UTF-32").alias("code"))
+    each = coded.select("h", "code", F.explode(specs).alias("s")).select("h", "code", "s.*", (F.octet_length("code") / 4).cast("int").alias("length"))
+    of = F.col("length") - F.col("d")  # the length of the line whose segment is meant
+    each = each.withColumns({"of": of, "short": (edits + 1) - of % (edits + 1), "size": F.floor(of / (edits + 1)).cast("int")})
+    each = each.withColumn("begin", (F.col("i") * F.col("size") + F.greatest(F.col("i") - F.col("short"), F.lit(0)) + F.col("shift")).cast("int"))
+    each = each.withColumn("size", F.col("size") + (F.col("i") >= F.col("short")).cast("int"))
+    each = each.where((F.col("begin") >= 0) & (F.col("begin") + F.col("size") <= F.col("length")) & (F.col("size") > 0))
+    return each.select("h", F.xxhash64("of", "i", F.substr("code", F.col("begin") * 4 + 1, F.col("size") * 4)).alias("key"), "side")
+
+
+def odd_characters() -> Column:
+    """64 bits: which classes of characters occur an odd number of times in ``line``."""
+    return F.expr("aggregate(split(line, ''), 0L, (a, c) -> a ^ shiftleft(1L, pmod(ascii(c), 64)))")
 
 
 def similar_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
@@ -70,15 +71,17 @@ def similar_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     once. Only lines that meet another one have their text shuffled.
     """
     scratch = Scratch(lines.sparkSession, "lines")
-    side = [F.struct(k.alias("key"), F.lit(n).alias("side")) for n, keys in ((0, index_keys(edits)), (1, probe_keys(edits))) for k in keys]
-    both = lines.select("h", F.explode(F.array(*side)).alias("k")).select("h", "k.key", "k.side").where("key is not null")
+    both = line_keys(lines, edits)
     of_key = W.partitionBy("key")
     both = both.select("h", "key", "side", F.min("h").over(of_key).alias("low"), F.max("h").over(of_key).alias("high"), F.min("side").over(of_key).alias("least"), F.max("side").over(of_key).alias("most"))
     met = scratch.save(both.where("low <> high and least = 0 and most = 1").select("h", "key", "side").distinct())
-    texts = scratch.save(lines.join(met.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.first("line").alias("line")))
-    met = scratch.save(met.join(texts, "h"))
+    wanted = scratch.save(met.select("h").distinct())
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST else wanted
+    texts = scratch.save(lines.join(wanted, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line")))
+    met = scratch.save(met.join(texts.withColumn("odd", odd_characters()), "h"))
     x, y = met.where("side = 0").alias("x"), met.where("side = 1").alias("y")
-    near = (F.col("x.key") == F.col("y.key")) & (F.col("x.h") != F.col("y.h")) & (F.levenshtein(F.col("x.line"), F.col("y.line"), edits) >= 0)
+    alike = F.bit_count(F.col("x.odd").bitwiseXOR(F.col("y.odd"))) <= 2 * edits  # an edit changes two of these bits at most
+    near = (F.col("x.key") == F.col("y.key")) & (F.col("x.h") != F.col("y.h")) & alike & (F.levenshtein(F.col("x.line"), F.col("y.line"), edits) >= 0)
     return x.join(y, near).select(F.least("x.h", "y.h").alias("a"), F.greatest("x.h", "y.h").alias("b")).distinct()
 
 
@@ -89,8 +92,8 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     is that of the smallest id (null last) and place.
     """
     scratch = Scratch(docs.sparkSession, "lines")
-    every = document_lines(docs, id_col, text_col)
-    places = scratch.save(every.select("id", "place", "h"))
+    every = scratch.save(document_lines(docs, id_col, text_col))  # split once, read by column below
+    places = every.select("id", "place", "h")
     long = every.where(F.length("line") >= least).select("h", "line")
     roots = scratch.save(connected_components(similar_lines(long, edits), "line-components").withColumnRenamed("node", "h"))
     classed = places.join(roots, "h", "left").select("id", "place", "h", F.coalesce("root", "h").alias("class"))
@@ -118,6 +121,6 @@ def without_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: s
     """``docs`` (ids unique) without the lines that are not the first of their class; blank lines stay."""
     drop = line_classes(docs, id_col, text_col, edits, least).where("h is not null and not keep").groupBy("id").agg(F.collect_set("place").alias("_drop"))
     joined = docs.join(drop, docs[id_col].eqNullSafe(drop["id"]), "left")
-    kept = F.filter(F.split(F.col(text_col), "\n"), lambda _, i: ~F.array_contains("_drop", i))
-    text = F.when(F.col("_drop").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    kept = F.filter(F.split(F.col(text_col), "\n"), lambda _, i: ~F.array_contains(drop["_drop"], i))
+    text = F.when(drop["_drop"].isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
     return joined.select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns])
