@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from tallyframe.llm._common import Scratch
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether each node has one link to a smaller one, and that one has none: then the roots are found."""
+    ends = edges.select(F.col("b").alias("a")).distinct()
+    return edges.groupBy("a").count().where(F.col("count") > 1).isEmpty() and edges.join(ends, "a", "left_semi").isEmpty()
+
+
 def connected_components(edges: DataFrame, what: str = "components") -> DataFrame:
     """(node, root) for each node of ``edges`` (a, b: long): root is the smallest node it reaches.
 
@@ -20,8 +26,7 @@ def connected_components(edges: DataFrame, what: str = "components") -> DataFram
     spark = edges.sparkSession
     scratch = Scratch(spark, what)
     now = scratch.save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
-    while True:
+    while not _stars(now):
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = scratch.save(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -29,12 +34,8 @@ def connected_components(edges: DataFrame, what: str = "components") -> DataFram
         least = scratch.save(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
         small = scratch.save(small.where("a <> b").distinct())
-        sign = small.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         for old in (now, low, large, least):
             scratch.drop(old)
         now = small
-        if (sign.n, sign.h) == before:
-            break
-        before = (sign.n, sign.h)
     roots = now.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("root"))
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(roots)
