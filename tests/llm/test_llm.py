@@ -573,3 +573,23 @@ def test_long_texts_are_read_in_pieces(spark, monkeypatch):
     texts = [long + prose(2, 300), prose(4, 400) + long[1000:3000], prose(5, 20)]
     rows = suffix.repeated_spans(make_docs(spark, texts), length=60, gram=20).orderBy("doc_id").collect()
     assert [(x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in rows] == suffix_reference(texts, 60)
+
+
+# --- all -------------------------------------------------------------------------------------------------------
+
+
+def test_rows_with_nulls_in_every_column(spark, tmp_path):
+    rows = [(None, None, None, None, None), (None, prose(1, 60), None, None, None), (1, prose(1, 60), "en", "a", 3), (1, prose(1, 60), "en", "a", 3), (2, None, "en", None, None), (3, prose(2, 60), None, "b", None)]
+    df = spark.createDataFrame(rows, DOCS)
+    bench = spark.createDataFrame([(None, prose(2, 20)), (5, None)], "item_id long, text string")
+    marks = spark.createDataFrame([(None, None), (1, 1), (3, 0)], "doc_id long, quality int")
+    assert [(r.doc_id, r.item_id) for r in decontam.contamination(df, bench).collect()] == [(3, None)]
+    assert decontam.keep_clean(df, bench).count() == 5
+    assert sorted(r.size for r in mixing.mix(df).collect()) == [0, 0, 60, 60, 60, 60]
+    assert sum(r.n_lines for r in lines.deduplicate(df).collect()) == 4
+    assert secrets.scan(df).count() == 0
+    assert simhash.near_duplicates(df).count() == 6
+    assert sorted(str(r.doc_id) for r in simhash.keep_one(df).collect()) == ["1", "2", "3", "None", "None"]
+    assert quality.classify(df, marks).count() == 6
+    assert sharding.shard(df, f"file:{tmp_path}/nulls").count() == 6
+    assert [r.n_removed for r in suffix.repeated_spans(df, length=60, gram=20).where("doc_id = 1").collect()] == [len(prose(1, 60))] * 2
