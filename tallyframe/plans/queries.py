@@ -330,12 +330,12 @@ def typed_drug_events(spark, sf_dir):
     return cleaning.typed(raw, "prescription_drug_events").select("pde_id", "bene_id", "drug_fill_date", "days_supply", "drug_cost", "patient_pay_amount", "year")
 
 
-@query("select count(*) rows_in, count(distinct (l_orderkey, l_linenumber)) - count(*) negative_removed from lineitem")
+@query("select count(*) rows_in, count(*) - count(distinct (l_orderkey, l_linenumber)) rows_removed from lineitem")
 def silver_audit(spark, sf_dir):
     """Rows read and removed by deduplication, as the audit of a published entity has them."""
     df = parquet(spark, sf_dir, "lineitem").select(F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_shipdate").alias("_bronze_loaded_at_utc"), F.lit("f").alias("_bronze_source_file"))
     kept = cleaning.latest_rows(df, ["l_orderkey", "l_linenumber"])
-    return df.agg(F.count("*").alias("rows_in")).crossJoin(kept.agg(F.count("*").alias("n"))).select("rows_in", (F.col("n") - F.col("rows_in")).alias("negative_removed"))
+    return df.agg(F.count("*").alias("rows_in")).crossJoin(kept.agg(F.count("*").alias("n"))).select("rows_in", (F.col("rows_in") - F.col("n")).alias("rows_removed"))
 
 
 # --- metrics of scores -----------------------------------------------------------------------------------------
