@@ -190,3 +190,58 @@ def test_tiles(spark, n):
 
     df = spark.range(1, n + 1).withColumn("want", F.ntile(10).over(Window.orderBy("id")))
     assert df.where(ranking.tile(F.col("id"), F.lit(n), 10) != F.col("want")).count() == 0
+
+
+def test_contract_extract_and_publish(spark, tmp_path):
+    df = spark.createDataFrame([("a", 2001, 1.9, 7), ("b", 2000, 2.0, 8)], "bene_id string, year int, x double, n int")
+    model = features.contract(df, ["n", "x"], ints=("x",), longs=("n",))
+    assert model.dtypes == [("n", "bigint"), ("x", "int")]
+    with pytest.raises(ValueError, match="absent"):
+        features.contract(df, ["absent"])
+    tables.extract(df, ["year"], str(tmp_path / "out"), "csv")
+    assert spark.read.option("header", True).csv(str(tmp_path / "out")).count() == 2
+    tables.publish_features(df, "t_features", features.FEATURE_VERSION, "silver", "build")
+    assert tables.table_property(spark, "t_features", "feature_version") == features.FEATURE_VERSION
+    assert tables.read_table(spark, "t_features", ["bene_id"]).count() == 2
+    spark.sql("drop table t_features")
+    assert tables.failure_record(spark, "r", "failed_qc", "why").first().reason == "why"
+
+
+def test_prior_year_can_require_the_year_before(spark):
+    rows = [("a", 2000, 10.0), ("a", 2002, 20.0), ("a", 2003, 30.0)]
+    df = spark.createDataFrame(rows, "bene_id string, year int, annual_claim_cost double").selectExpr("*", "0 inpatient_claim_count", "1 total_claim_count", "12 enrollment_months_count", "5 annual_cost_year_decile", "20.0D annual_cost_year_median")
+    row = [(r.has_prior_year, r.prior_year_annual_claim_cost) for r in df.withColumns(features.prior_year()).orderBy("year").collect()]
+    strict = [(r.has_prior_year, r.prior_year_annual_claim_cost) for r in df.withColumns(features.prior_year(consecutive=True)).orderBy("year").collect()]
+    assert row == [(0, 0.0), (1, 10.0), (1, 20.0)]
+    assert strict == [(0, 0.0), (0, 0.0), (1, 20.0)]
+
+
+def test_year_positions_with_ties_and_nulls(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    df = spark.range(0, 97).selectExpr("cast(id as string) bene_id", "cast(2000 + id % 2 as int) year", "case when id % 10 < 4 then 0.0D else cast(id as double) end annual_claim_cost")
+    year = Window.partitionBy("year")
+    want = df.select("bene_id", "year", F.percent_rank().over(year.orderBy("annual_claim_cost")).alias("p"), F.ntile(10).over(year.orderBy("annual_claim_cost", "bene_id")).alias("d"))
+    got = features.year_position(df, median_exact=True)
+    joined = want.join(got, ["bene_id", "year"])
+    assert joined.count() == 97
+    assert joined.where("abs(p - annual_cost_year_percentile) > 1e-12 or d <> annual_cost_year_decile").count() == 0
+    assert features.year_position(df.limit(0)).count() == 0
+
+
+def test_quality_of_features_and_checks(spark):
+    df = spark.createDataFrame([("a", 2000, 13, 12, -1.0), ("a", 2000, 12, 3, 1.0), (None, 2000, 0, 1, 1.0)], "bene_id string, year int, enrollment_months_count int, chronic_condition_count int, inpatient_total_cost double").selectExpr("*", "0.0D outpatient_total_cost", "0.0D carrier_total_cost", "0.0D rx_total_cost")
+    q = features.table_quality(df).first()
+    assert (q.row_count, q.missing_bene_year_key_count, q.duplicate_bene_year_count, q.invalid_enrollment_month_count, q.invalid_chronic_condition_count, q.negative_component_cost_count, q.blocking) == (3, 1, 1, 1, 1, 1, "missing_bene_year_key_count")
+    assert features.table_quality(df.limit(0)).first().blocking == "row_count"
+    checks = {r.check_name: r.status for r in runs.consistency(df, ["absent"], {}, {"v": "1"}, {}, "s").collect()}
+    assert checks == {"required columns": "fail", "property v": "fail", "unique keys": "fail", "chronic range": "fail"}
+
+
+def test_percentile_scores(spark):
+    ref = spark.createDataFrame([(0.1,), (0.2,), (0.2,), (1.4,)], "predicted_probability double")
+    df = spark.createDataFrame([(1, 0.05), (2, 0.2), (3, 2.0), (4, None)], "id int, predicted_probability double")
+    got = {r.id: r.percentile_score for r in scoring.percentile_scores(df, ref).collect()}
+    assert got == {1: 0, 2: 75, 3: 100, 4: None}
+    assert {r.percentile_score for r in scoring.percentile_scores(df, ref.limit(0)).collect()} == {None}
