@@ -21,6 +21,8 @@ FANOUT = 4
 SMALLEST = 1 << 16
 #: Shards that one window orders; tiers with more are planned in several parts.
 PLANNED = 50_000
+#: Tasks of one merge; more runs than that share tasks in turn.
+TASKS = 20_000
 MANIFEST = "path string, shard string, bytes long, rows long, added int"
 
 
@@ -114,7 +116,7 @@ class ShardStore:
     def compact(self) -> int:
         """Merges tier by tier until no tier has enough shards; each round is one job and one committed version.
 
-        Rows are dealt by run, and a run is bounded by the target size, so tasks are even at any size.
+        Each run has a task of its own, and a run is bounded by the target size, so tasks are even at any size.
         """
         while True:
             base = self.version()
@@ -124,11 +126,13 @@ class ShardStore:
             if not paths:
                 return base
             rows = self.spark.read.parquet(*paths)
-            run, at = (next(c for c in (f"_{what}{i}" for i in range(len(rows.columns) + 1)) if c not in rows.columns) for what in ("run", "path"))
+            run, at, no = (next(c for c in (f"_{what}{i}" for i in range(len(rows.columns) + 1)) if c not in rows.columns) for what in ("run", "path", "no"))
+            numbered = plan.select("run").distinct().withColumn(no, F.row_number().over(W.orderBy("run")) - 1)
+            tasks = min(numbered.count(), TASKS)
             rows = rows.withColumn(at, F.regexp_replace("_metadata.file_path", "^file:/+", "file:/"))
-            rows = rows.join(plan.withColumnsRenamed({"path": at, "run": run}), at).drop(at)
+            rows = rows.join(plan.join(numbered, "run").withColumnsRenamed({"path": at, "run": run}), at)
             folder = f"{self.root}/data/{base + 1:08d}-{uuid.uuid4().hex}"
-            rows.repartition(run).write.partitionBy(run).option("compression", "zstd").parquet(folder)
+            rows.repartitionById(tasks, F.col(no) % tasks).drop(at, no).write.partitionBy(run).option("compression", "zstd").parquet(folder)
             name = lambda path: F.concat(F.lit(f"v{base + 1:08d}/"), F.regexp_extract(path, r"=([^/=]+)/[^/]*$", 1))  # noqa: B023,E731
             merged = self._written(folder, base + 1, name)
             self.commit(shards.join(plan, "path", "left_anti").unionByName(merged), base)
