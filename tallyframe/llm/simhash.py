@@ -42,7 +42,7 @@ def pieces(text: bytes) -> Iterator[bytes]:
         begin = end
 
 
-def _shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
+def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
     joined = b" ".join(words)
     size = np.fromiter(map(len, words), np.int64, len(words))
     end = np.cumsum(size + 1) - 1
@@ -58,7 +58,7 @@ def fingerprint(text: bytes | None, shingle: int) -> int:
         words += piece.split()
         if len(words) < shingle:
             continue
-        h = _shingle_hashes(words, shingle)
+        h = shingle_hashes(words, shingle)
         n += len(h)
         for low in range(0, len(h), 1 << 14):
             ones += np.unpackbits(h[low : low + (1 << 14)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
