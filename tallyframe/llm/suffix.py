@@ -17,6 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +32,8 @@ PLACE_BITS = 24
 #: Places of one anchor above which they are divided among shards.
 HOT = 1_000
 SHARD_ROWS = 1_500
+#: Bytes of regions that are sorted together at most, unless one group of an anchor has more.
+SHARD_BYTES = 1 << 20
 LANES = 64
 _BASE = 0xD6E8FEB86659FD93
 _SPREAD = np.uint64(0x9FB21C651E98DF25)
@@ -183,7 +186,8 @@ def _regions(length: int):
                 for anchor, first, last, parts in zip(*(x.to_pylist() for x in hits.values.flatten()), strict=True):
                     found[anchor, text[first : last + length], parts].append(first)
                 for (anchor, region, parts), starts in found.items():
-                    salt = int.from_bytes(key[:4], "big") % parts if parts > 1 else -1
+                    # by text and region, so that neither one text nor one common region fills a shard
+                    salt = xxhash.xxh64_intdigest(key + region) % parts if parts > 1 else -1
                     for column, x in zip(out.values(), (anchor, salt, region, key, starts), strict=True):
                         column.append(x)
             yield pa.record_batch([pa.array(out["anchor"], pa.int64()), pa.array(out["salt"], pa.int32()), pa.array(out["region"], pa.binary()), pa.array(out["key"], pa.binary()), pa.array(out["starts"], pa.list_(pa.int32()))], names=list(out))
@@ -197,42 +201,62 @@ def _runs(flag: np.ndarray) -> np.ndarray:
     return change.reshape(-1, 2)
 
 
+def _shards(members: dict[tuple, list], most: int) -> Iterator[dict[tuple, list]]:
+    """Whole groups (anchor, salt) of ``members`` with at most ``most`` bytes of regions together (one group, where it alone has more)."""
+    groups: dict[tuple, dict] = defaultdict(dict)
+    for m, places in members.items():
+        groups[m[:2]][m] = places
+    held, size = {}, 0
+    for group in groups.values():
+        n = sum(len(m[2]) for m in group)
+        if held and size + n > most:
+            yield held
+            held, size = {}, 0
+        held, size = held | group if held else group, size + n
+    if held:
+        yield held
+
+
 def _solve(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard in whole_groups(batches, ["anchor", "salt"], SHARD_ROWS):
+        for got in whole_groups(batches, ["anchor", "salt"], SHARD_ROWS):
             members: dict[tuple, list] = defaultdict(list)
-            for anchor, salt, region, key, starts in zip(*(shard.column(c).to_pylist() for c in ("anchor", "salt", "region", "key", "starts")), strict=True):
+            for anchor, salt, region, key, starts in zip(*(got.column(c).to_pylist() for c in ("anchor", "salt", "region", "key", "starts")), strict=True):
                 members[anchor, salt, region].append((key, starts))
-            distinct: dict[tuple, int] = defaultdict(int)
-            for anchor, salt, _ in members:
-                distinct[anchor, salt] += 1
-            # one text at all its places needs no sorting: it occurs again or it does not
-            sort = [m for m in members if distinct[m[:2]] > 1 or m[1] >= 0]
-            marks, kinds = (dict(zip(sort, x, strict=True)) for x in (repeated_starts([m[2] for m in sort], length) if sort else ([], [])))
-            out: dict[str, list] = {"key": [], "low": [], "high": [], "h1": [], "h2": []}
-            told: set[int] = set()
-            for m, places in members.items():
-                times = sum(len(s) for _, s in places)
-                mark = np.ones(len(m[2]) - length + 1, bool) if times > 1 else marks.get(m, np.zeros(len(m[2]) - length + 1, bool))
-                for low, high in _runs(mark):
-                    for key, starts in places:
-                        for s in starts:
-                            for column, x in zip(out.values(), (key, s + low, s + high + length - 1, None, None), strict=True):
-                                column.append(x)
-                if m[1] < 0:
-                    continue
-                for i, kind in enumerate(kinds[m].tolist()):  # to meet the other shards of this anchor
-                    if kind not in told:
-                        told.add(kind)
-                        h = hashlib.blake2b(m[2][i : i + length], digest_size=16).digest()
-                        key, s = (None, 0) if mark[i] else (places[0][0], places[0][1][0] + i)
-                        for column, x in zip(out.values(), (key, s, s + length, int.from_bytes(h[:8], "big", signed=True), int.from_bytes(h[8:], "big", signed=True)), strict=True):
-                            column.append(x)
-            yield pa.record_batch([pa.array(out["key"], pa.binary()), pa.array(out["low"], pa.int32()), pa.array(out["high"], pa.int32()), pa.array(out["h1"], pa.int64()), pa.array(out["h2"], pa.int64())], names=list(out))
+            yield from (_solved(shard, length) for shard in _shards(members, SHARD_BYTES))
 
     return run
 
 
+def _solved(members: dict[tuple, list], length: int) -> pa.RecordBatch:
+    distinct: dict[tuple, int] = defaultdict(int)
+    for anchor, salt, _ in members:
+        distinct[anchor, salt] += 1
+    # one text at all its places needs no sorting: it occurs again or it does not
+    sort = [m for m in members if distinct[m[:2]] > 1 or m[1] >= 0]
+    marks, kinds = (dict(zip(sort, x, strict=True)) for x in (repeated_starts([m[2] for m in sort], length) if sort else ([], [])))
+    out: dict[str, list] = {"key": [], "low": [], "high": [], "h1": [], "h2": []}
+    told: set[int] = set()
+    for m, places in members.items():
+        times = sum(len(s) for _, s in places)
+        mark = np.ones(len(m[2]) - length + 1, bool) if times > 1 else marks.get(m, np.zeros(len(m[2]) - length + 1, bool))
+        for low, high in _runs(mark):
+            for key, starts in places:
+                for s in starts:
+                    for column, x in zip(out.values(), (key, s + low, s + high + length - 1, None, None), strict=True):
+                        column.append(x)
+        if m[1] < 0:
+            continue
+        for i, kind in enumerate(kinds[m].tolist()):  # to meet the other shards of this anchor
+            if kind not in told:
+                told.add(kind)
+                h = hashlib.blake2b(m[2][i : i + length], digest_size=16).digest()
+                key, s = (None, 0) if mark[i] else (places[0][0], places[0][1][0] + i)
+                for column, x in zip(out.values(), (key, s, s + length, int.from_bytes(h[:8], "big", signed=True), int.from_bytes(h[8:], "big", signed=True)), strict=True):
+                    column.append(x)
+    return pa.record_batch([pa.array(out["key"], pa.binary()), pa.array(out["low"], pa.int32()), pa.array(out["high"], pa.int32()), pa.array(out["h1"], pa.int64()), pa.array(out["h2"], pa.int64())], names=list(out))
+
+
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of the sorted strings of several shards, the places of those that more than one shard has."""
     for got in whole_groups(batches, ["h1", "h2"], 1 << 16):
@@ -275,7 +299,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     long = texts.where(F.length("text") >= length)
     copies = scratch.save(long.groupBy("key").agg(F.count("*").alias("copies"), F.min("id").alias("least"), F.max(F.length("text")).alias("size")))
     places = scratch.save(long.select("key", "text").mapInArrow(_anchor_rows(length, gram), "key binary, anchor long, first int, last int"))
-    again = scratch.save(places.groupBy("anchor").count().where("count > 1").select("anchor", F.ceil(F.col("count") / HOT).cast("int").alias("parts")))
+    again = scratch.save(places.groupBy("anchor").count().where("count > 1").select("anchor", F.ceil(F.col("count") / max(1, min(HOT, SHARD_BYTES // (2 * length)))).cast("int").alias("parts")))
     hits = places.join(again, "anchor").groupBy("key").agg(F.collect_set(F.struct("anchor", "first", "last", "parts")).alias("hits"))
     hits = hits.join(copies, "key").select("key", F.col("least").alias("id"), "hits")
     met = long.join(hits, (long["key"] == hits["key"]) & long["id"].eqNullSafe(hits["id"])).select(long["key"], "text", "hits")
