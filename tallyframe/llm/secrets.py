@@ -20,13 +20,16 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_\-]{16,}={0,2}")
 #: Forms that mark a finding as a secret, or as none, where findings come without labels.
 SURE = (r"^AKIA[0-9A-Z]{16}$", r"(?i)(password|passwd|secret|token|api[_-]?key)\s*[:=]\s*[\"']?$")
 NOT = (r"^[0-9]+$", r"^[A-Za-z]?[a-z]+$", r"[@/]$")
-#: Labelled findings that the forest is fitted on at most (in expectation), and texts from which the word list is taken.
+#: Labelled findings that the forest is fitted on at most (in expectation).
 TRAIN_ROWS = 20_000
-DICTIONARY_TEXTS = 2_000
-DICTIONARY_WORDS = 20_000
+#: Share of all texts that hold a word of the dictionary, and the least count of them.
+DICTIONARY_SHARE = 1e-4
+DICTIONARY_LEAST = 3
 TREES, DEPTH = 30, 8
 NEAR = 24
 HASHED = 16
+#: Place of the dictionary coverage among the features.
+COVERAGE = 8
 _SCHEMA = "id {id}, path string, begin long, end long, secret string, before string, after string, features array<double>"
 
 
@@ -34,33 +37,56 @@ def _kind(c: str) -> int:
     return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
 
 
-def features(secret: str, before: str, after: str, path: str | None, words: frozenset[str]) -> list[float]:
+def features(secret: str, before: str, after: str, path: str | None) -> list[float]:
     """Length; shares of the four kinds of characters; transitions between kinds, and distinct characters, per
-    character; entropy; dictionary coverage; kind of the neighbouring signs; hashed neighbouring words and path."""
+    character; entropy; dictionary coverage (0 until ``with_coverage``); kind of the neighbouring signs; hashed neighbouring words and path."""
     n = len(secret)
     kinds = [_kind(c) for c in secret]
     count = Counter(secret)
     p = np.fromiter(count.values(), float) / n
     changes = sum(a != b for a, b in zip(kinds, kinds[1:], strict=False))
-    parts = [w for w in re.split(r"[^A-Za-z]+", secret) if w]
-    covered = sum(len(w) for w in parts if w.lower() in words) + sum(1 for w in parts if w.lower() not in words for i in range(len(w) - 3) if w[i : i + 4].lower() in words)
-    out = [float(n), *(kinds.count(k) / n for k in range(4)), changes / n, len(count) / n, float(-(p * np.log2(p)).sum()), covered / n, float(before[-1:] in "=:\"'") if before else 0.0, float(after[:1] in "\"';,") if after else 0.0]
+    out = [float(n), *(kinds.count(k) / n for k in range(4)), changes / n, len(count) / n, float(-(p * np.log2(p)).sum()), 0.0, float(before[-1:] in "=:\"'") if before else 0.0, float(after[:1] in "\"';,") if after else 0.0]
     near = [0.0] * HASHED
     for i, w in enumerate([*re.findall(r"\w+", before)[-2:], *re.findall(r"\w+", after)[:1]]):
         near[zlib.crc32(f"{i > 1}{w.lower()}".encode()) % HASHED] += 1
     return [*out, *near, float(zlib.crc32((path or "").encode()) % 64)]
 
 
-def dictionary(docs: DataFrame, id_col: str, text_col: str) -> frozenset[str]:
-    """The most frequent words of at most about DICTIONARY_TEXTS texts (by a hash of the id), DICTIONARY_WORDS at most."""
-    n = docs.count()
-    some = docs.where(uniform(id_col, seed="words") < F.lit(min(1.0, DICTIONARY_TEXTS / max(n, 1))))
-    words = some.select(F.explode(F.split(F.lower(text_col), r"[^\p{L}]+")).alias("w")).where("length(w) between 3 and 15")
-    top = words.groupBy("w").count().where("count > 2").orderBy(F.desc("count"), "w").limit(DICTIONARY_WORDS)
-    return frozenset(r.w for r in top.select("w").collect())
+def dictionary(docs: DataFrame, text_col: str) -> DataFrame:
+    """(w): the words that at least DICTIONARY_SHARE of all texts hold (DICTIONARY_LEAST of them at least).
 
-
-def candidates(docs: DataFrame, words: frozenset[str], id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
+    Only words of the letters a-z are kept, as parts of candidates have no others.
+    """
+    least = max(DICTIONARY_LEAST, DICTIONARY_SHARE * docs.count())
+    words = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.col(text_col).cast("string")), r"[^\p{L}]+"))).alias("w"))
+    return words.where(F.col("w").rlike("^[a-z]{3,15}$")).groupBy("w").count().where(F.col("count") >= least).select("w")
+
+
+def _probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, part, w, whole, grams): the letters-only parts of each secret with their length, and 4-grams of them with their count."""
+    for batch in batches:
+        keys, out = batch.column("key"), []
+        for i, secret in enumerate(batch.column("secret").to_pylist()):
+            for part, w in enumerate(x.lower() for x in re.split(r"[^A-Za-z]+", secret) if x):
+                if 3 <= len(w) <= 15:
+                    out.append((i, part, w, len(w), 0))
+                out += ((i, part, gram, 0, n) for gram, n in Counter(w[k : k + 4] for k in range(len(w) - 3)).items())
+        at, part, w, whole, grams = zip(*out, strict=True) if out else ([],) * 5
+        yield pa.record_batch([keys.take(pa.array(at, pa.int64())), pa.array(part, pa.int32()), pa.array(w, pa.string()), pa.array(whole, pa.int32()), pa.array(grams, pa.int32())], names=["key", "part", "w", "whole", "grams"])
+
+
+def with_coverage(found: DataFrame, words: DataFrame) -> DataFrame:
+    """``found`` with the dictionary coverage among its features: of parts that are words their letters, of others the 4-grams that are words, per character."""
+    keyed = found.withColumn("key", F.unhex(F.md5("secret")))
+    probes = keyed.select("key", "secret").distinct().mapInArrow(_probes, "key binary, part int, w string, whole int, grams int")
+    parts = probes.join(words, "w").groupBy("key", "part").agg(F.max("whole").alias("whole"), F.sum("grams").alias("grams"))
+    covered = parts.groupBy("key").agg(F.sum(F.when(F.col("whole") > 0, F.col("whole")).otherwise(F.col("grams"))).alias("covered"))
+    share = F.coalesce("covered", F.lit(0)).cast("double") / F.length("secret")
+    whole = F.concat(F.slice("features", 1, COVERAGE), F.array(share), F.slice("features", COVERAGE + 2, HASHED + 3))
+    return keyed.join(covered, "key", "left").withColumn("features", whole).select(*found.columns)
+
+
+def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
     """(id, path, begin, end, secret, before, after, features): all runs of at least 16 key characters in whole texts."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(path_col).cast("string").alias("path"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     kind = dict(rows.dtypes)["id"]
@@ -73,7 +99,7 @@ def candidates(docs: DataFrame, words: frozenset[str], id_col: str = "doc_id", t
                 for m in CANDIDATE.finditer(text):
                     before, after = text[max(0, m.start() - NEAR) : m.start()], text[m.end() : m.end() + NEAR]
                     at.append(i)
-                    for column, x in zip(out.values(), (path, m.start(), m.end(), m[0], before, after, features(m[0], before, after, path, words)), strict=True):
+                    for column, x in zip(out.values(), (path, m.start(), m.end(), m[0], before, after, features(m[0], before, after, path)), strict=True):
                         column.append(x)
             yield pa.record_batch([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(x, t) for x, t in zip(out.values(), (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.float64())), strict=True))], names=["id", *out])
 
@@ -96,8 +122,9 @@ def scan(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id
     characters. Null or empty texts have no findings, repeated rows repeat theirs, an empty table gives an empty
     result. Texts are read whole; other columns are not read.
     """
-    words = dictionary(docs, id_col, text_col)
-    found = Scratch(docs.sparkSession, "secrets").save(candidates(docs, words, id_col, text_col, path_col))
+    scratch = Scratch(docs.sparkSession, "secrets")
+    found = scratch.save(candidates(docs, id_col, text_col, path_col))
+    found = scratch.save(with_coverage(found, dictionary(docs, text_col)))
     if labels is None:
         marked = found.withColumn("label", rule_labels())
     else:
