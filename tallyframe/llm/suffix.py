@@ -5,7 +5,7 @@ k-grams. So each text is cut into runs of start positions with one anchor, ancho
 aside, and what is left is dealt out by anchor: all places where a string can occur again meet in one shard.
 Each shard sorts its suffixes by Larsson-Sadakane refinement, measures common prefixes as Kasai does, and
 marks the starts whose prefix is long enough. An anchor with very many places is divided among shards; their
-sorted runs of strings are merged by binary search.
+strings meet by their hashes.
 """
 
 from __future__ import annotations
