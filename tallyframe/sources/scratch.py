@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-LOCAL = "/tmp/checkpoints"
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``; only a session on one machine (tests) may leave it unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
 def scratch_path(spark: SparkSession, what: str) -> str:
-    """A new path under ``spark.checkpoint.dir``; a local default serves sessions without that setting (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or LOCAL
-    return f"{base.rstrip('/')}/tallyframe/{what}-{uuid.uuid4().hex}"
+    """A new path under the shared folder."""
+    return f"{shared_dir(spark)}/tallyframe/{what}-{uuid.uuid4().hex}"
 
 
 def saved(df: DataFrame, what: str) -> DataFrame:
