@@ -61,6 +61,19 @@ class Scratch:
             delete(self.spark, f.rsplit("/", 1)[0])
 
 
+def one_of_each(docs: DataFrame, classed: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with one row of each class of ``classed`` (id, doc: xxhash64 of the text, class): the one of the smallest id.
+
+    An id with texts of several classes may keep several rows. Rows with a null id stay.
+    """
+    key = next(c for c in (f"_doc{i}" for i in range(len(docs.columns) + 1)) if c not in docs.columns)
+    first = classed.where(F.col(id_col).isNotNull()).groupBy("class").agg(F.min(F.struct(F.col(id_col).alias("id"), F.col("doc").alias("doc"))).alias("f"))
+    first = first.select(F.col("f.id").alias(id_col), F.col("f.doc").alias(key))
+    named = docs.where(F.col(id_col).isNotNull()).withColumn(key, F.xxhash64(text_col))
+    kept = named.join(first, [id_col, key], "left_semi").dropDuplicates([id_col, key]).drop(key)
+    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+
+
 def uniform(*columns: Column | str, seed: str = "") -> Column:
     """A number in (0, 1) that depends on the values only; DuckDB can repeat it from md5."""
     text = F.concat_ws("|", F.lit(seed), *[F.coalesce(F.col(c).cast("string") if isinstance(c, str) else c.cast("string"), F.lit("")) for c in columns])

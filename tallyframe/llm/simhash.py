@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm._common import Scratch, local_roots, whole_groups
+from tallyframe.llm._common import Scratch, local_roots, one_of_each, whole_groups
 from tallyframe.llm._graph import connected_components
 
 SEED = 42
@@ -69,15 +69,15 @@ def fingerprint(text: bytes | None, shingle: int) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """(id, fp long): the 64-bit fingerprint of each whole text; a null or empty text has fingerprint 0."""
+    """(id, doc long, fp long): a hash and the 64-bit fingerprint of each whole text; a null or empty text has fingerprint 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = np.fromiter((fingerprint(x.as_py(), shingle) for x in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.record_batch({id_col: batch.column(0), "fp": pa.array(got.view(np.int64))})
+            got = np.fromiter((fingerprint(x.as_py(), shingle) for x in batch.column(2)), np.uint64, batch.num_rows)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(got.view(np.int64))], names=["id", "doc", "fp"])
 
-    rows = docs.select(F.col(id_col), F.col(text_col).cast("string").cast("binary").alias("text"))
-    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, fp long")
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("doc"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    return rows.mapInArrow(run, f"id {rows.schema[0].dataType.simpleString()}, doc long, fp long")
 
 
 def gray_rank(fp: np.ndarray) -> np.ndarray:
@@ -178,7 +178,7 @@ def fingerprint_links(nodes: DataFrame, distance: int = 4) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4) -> DataFrame:
-    """One row per document: id, fingerprint (16 hex digits), fp (the same as a signed long) and component_id.
+    """One row per document: id, doc (a hash of the text), fingerprint (16 hex digits), fp (the same as a signed long) and component_id.
 
     component_id is the smallest id reachable over links of at most ``distance`` differing bits. Null and empty
     texts have fingerprint 0, which links like any other. Repeated rows stay repeated. A null id never is a
@@ -187,20 +187,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     prints = scratch.save(fingerprints(docs, id_col, text_col, shingle))
-    nodes = scratch.save(prints.groupBy("fp").agg(F.min(id_col).alias("least")))
+    nodes = scratch.save(prints.groupBy("fp").agg(F.min("id").alias("least")))
     roots = connected_components(fingerprint_links(nodes.select("fp"), distance), "simhash-components")
     named = scratch.save(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     first = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = scratch.save(named.join(first, "root").select("fp", "component_id"))
-    return prints.join(classes, "fp").select(F.col(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "fp", "component_id")
+    classes = scratch.save(named.join(first, "root").select("fp", "root", "component_id"))
+    return prints.join(classes, "fp").select(F.col("id").alias(id_col), "doc", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "fp", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one row of each group of near duplicates: of the smallest id (of equal ids, one of them).
+    """``docs`` with one row of each group of near duplicates: of the smallest id (of several texts of that id one).
 
-    Rows with a null id stay, as nothing names them in the result.
+    Of rows equal in id and text one stays. Rows with a null id stay, as nothing names them in the result.
     """
-    found = near_duplicates(docs, id_col, text_col, **options)
-    keep = found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    kept = docs.where(F.col(id_col).isNotNull()).join(keep, id_col, "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    return one_of_each(docs, near_duplicates(docs, id_col, text_col, **options).withColumnRenamed("root", "class"), id_col, text_col)

@@ -4,7 +4,7 @@ import re
 
 import duckdb
 import pytest
-from test_llm import simhash_reference
+from test_nearcopies import kept_reference
 
 import __spark_entry__
 import corpus_pipeline
@@ -19,7 +19,7 @@ def test_pipeline_is_its_stages_by_brute_force(spark):
     good = quality.classify(docs, spark.read.parquet(f"{SF}/labels.parquet")).where("predicted = 1").select("doc_id")
     texts = {r.doc_id: r.text for r in docs.join(good, "doc_id").collect()}
     ids = sorted(texts)
-    keep = {ids[c] for _, c in simhash_reference([texts[i] for i in ids]).values()}
+    keep = {ids[k] for k in kept_reference([texts[i] for i in ids])}
     plain = lambda t: re.sub(r"\s+", " ", t.lower())
     items = [plain(r.text).strip() for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     holds = {i for i in keep if any(x in plain(texts[i]) for x in items)}
