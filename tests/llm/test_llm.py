@@ -207,7 +207,7 @@ def edits(a, b):
     return row[-1]
 
 
-def line_reference(texts, t, least):
+def line_reference(texts, t):
     every = [(d, p, x.strip(" \t\r")) for d, text in enumerate(texts) for p, x in enumerate((text or "").split("\n"))]
     every = [x for x in every if x[2]]
     distinct = sorted({x for _, _, x in every})
@@ -218,8 +218,9 @@ def line_reference(texts, t, least):
             x = root[x]
         return x
 
-    for a, b in itertools.combinations([x for x in distinct if len(x) >= least], 2):
-        if abs(len(a) - len(b)) <= t and edits(a, b) <= t:
+    for a, b in itertools.combinations(distinct, 2):
+        most = min(t, min(len(a), len(b)) // 12)
+        if abs(len(a) - len(b)) <= most and edits(a, b) <= most:
             root[find(a)] = find(b)
     first, out = {}, {}
     for d, p, x in every:
@@ -233,11 +234,11 @@ def line_reference(texts, t, least):
 
 def test_lines_are_brute_force(spark):
     r = random.Random(11)
-    base = [prose(i, 6) for i in range(14)] + ["éàü " + prose(77, 5), "x", "ab"]
+    base = [prose(i, 6) for i in range(14)] + [prose(i, 3) + " x" for i in range(6)] + [prose(40 + i, 5)[: 22 + i] for i in range(5)] + ["c" * 40, "c" * 41, "Copyright 2023 Acme", "éàü " + prose(77, 5), "x", "ab"]
     texts = [None, "", "\n \n"]
-    for _ in range(30):
+    for _ in range(40):
         chosen = []
-        for _ in range(4):
+        for _ in range(5):
             x = list(r.choice(base))
             for _ in range(r.randrange(0, 4)):
                 k, p = r.randrange(3), r.randrange(len(x))
@@ -251,7 +252,7 @@ def test_lines_are_brute_force(spark):
         texts.append("\n".join(chosen))
     df = widened(make_docs(spark, texts))
     got = {x.doc_id: (x.n_lines, x.n_removed, x.n_near) for x in lines.deduplicate(df).collect()}
-    assert got == line_reference(texts, 2, lines.LEAST)
+    assert got == line_reference(texts, 2)
     kept = lines.without_duplicate_lines(df).orderBy("doc_id").collect()
     assert kept[0].text is None and kept[1].text == ""
     for row in kept:
@@ -269,10 +270,49 @@ def test_probes_reach_every_edit(spark):
         for _ in range(2):
             k, p = r.randrange(3), r.randrange(len(b))
             b[p : p + (k != 1)] = [] if k == 2 else [r.choice("wxyz")]
-        pairs += [(2 * i, a), (2 * i + 1, "".join(b))]
-    df = spark.createDataFrame(pairs, "h long, line string")
+        pairs += [(f"{2 * i:04}", a), (f"{2 * i + 1:04}", "".join(b))]
+    df = spark.createDataFrame(pairs, "h string, line string")
     got = {(x.a, x.b) for x in lines.similar_lines(df).collect()}
-    assert {(2 * i, 2 * i + 1) for i in range(60) if pairs[2 * i][1] != pairs[2 * i + 1][1]} <= got
+    near = [(pairs[2 * i], pairs[2 * i + 1]) for i in range(60)]
+    assert {(a, b) for (a, x), (b, y) in near if x != y and min(len(x), len(y)) >= 24} <= got
+
+
+@pytest.mark.parametrize("most", [1, 2, 4])
+def test_banded_distance_is_the_edit_distance(spark, most):
+    r = random.Random(most)
+    rows = [("a", "b"), ("ab", "ba"), ("é\U0001f600x", "éx\U0001f600"), ("a" * 70, "a" * 69 + "b"), ("x" * 20_000, "y" + "x" * 19_999)]
+    for _ in range(400):
+        a = "".join(r.choice("abé") for _ in range(r.randrange(1, 90)))
+        b = list(a)
+        for _ in range(r.randrange(0, 2 * most + 1)):
+            k, p = r.randrange(3), r.randrange(len(b) + 1)
+            b[p : p + (k != 1)] = [] if k == 2 else [r.choice("abé\u4e2d")]
+        if abs(len(a) - len(b)) <= most and b:
+            rows.append((a, "".join(b)))
+    got = spark.createDataFrame(rows, "a string, b string").select("a", "b", lines.banded_distance(F.col("a"), F.col("b"), most).alias("d")).collect()
+    for x in got:
+        want = edits(x.a, x.b) if len(x.a) < 1_000 else 1
+        assert (x.d == want) if want <= most else (x.d > most)
+
+
+def test_lines_of_repeated_rows_and_texts_of_one_id(spark):
+    a, b = prose(1, 6), prose(2, 6)
+    rows = [(1, f"{a}\n{b}"), (1, f"{a}\n{b}"), (1, f"{b}\nshort"), (None, f"{a}x\n"), (None, None), (2, "xyz" * 10_000), (3, "xyz" * 9_999 + "xyy")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.n_near) for r in lines.deduplicate(df).collect()}
+    assert got[None] == (1, 1, 1) and got[2] == (1, 0, 0) and got[3] == (1, 1, 1)
+    assert got[1][0] == 6 and got[1][1] in (1, 2)  # b stays in the text whose hash is less, which is there once or twice
+    texts = [r.text for r in lines.without_duplicate_lines(df).collect()]
+    assert len(texts) == 7 and any(a in (t or "") for t in texts) and any(b in (t or "") for t in texts)
+
+
+def test_one_very_common_line_gives_keys_once(spark):
+    line = prose(3, 8)
+    df = make_docs(spark, [f"{line}\n{prose(i, 7)}" for i in range(400)])
+    every = lines.document_lines(df, "doc_id", "text")
+    distinct = every.where("line is not null").select("h", "line").distinct()
+    assert lines.line_keys(distinct, 2).where(F.col("h") == F.unhex(F.md5(F.lit(line).cast("binary")))).count() <= len(lines.segment_specs(2))
+    assert sum(r.n_removed for r in lines.deduplicate(df).collect()) == 399
 
 
 # --- 5 ---------------------------------------------------------------------------------------------------------
