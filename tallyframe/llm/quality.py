@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm._common import blocks, byte_column, uniform
+from tallyframe.llm._common import Scratch, blocks, byte_column, uniform
 
 #: Coordinates of the model; with it the size of all that is collected and sent to the executors.
 BITS = 18
@@ -45,58 +45,81 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def features(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """(document of each feature, coordinate of each feature) for the texts data[offsets[i]:offsets[i+1]].
+def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, hash, hash of the shape) of each word of the texts data[offsets[i]:offsets[i+1]].
 
-    Word 1- and 2-grams, and 1-, 2- and 3-grams of word shapes: a shape is a word with runs of like characters
-    drawn together, and whether the word is the one before it, or was read within this text already.
+    A shape is a word with runs of like characters drawn together.
     """
+    none = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     base = offsets[0]
     text, edge = data[base : offsets[-1]], offsets - base
     n = len(text)
     if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return none
     inside = ~_SPACE[text]
     cut = np.zeros(n + 1, bool)
     cut[edge] = True
     first = inside & np.r_[True, ~inside[:-1]] | inside & cut[:-1]
     start = np.flatnonzero(first)
     if not len(start):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return none
     last = inside & np.r_[~inside[1:], True] | inside & cut[1:]
     end = np.flatnonzero(last) + 1
-    power, back = _powers(BASE, n), _powers(_INVERSE, n)
-
-    def of_words(values: np.ndarray) -> np.ndarray:
-        total = np.r_[np.uint64(0), np.cumsum(values)]
-        return _mix((total[end] - total[start]) * back[start])
-
-    word = of_words((text.astype(np.uint64) + np.uint64(1)) * power)
+    power, back = _powers(BASE, n + 1), _powers(_INVERSE, n + 1)
+    total = np.r_[np.uint64(0), np.cumsum((text.astype(np.uint64) + np.uint64(1)) * power[:n])]
+    word = _mix((total[end] - total[start]) * back[start])
     kind = _CLASS[text]
     change = first | np.r_[True, kind[1:] != kind[:-1]]
     place = np.cumsum(change)  # of a run; relative to the first run of its word, as powers of another base
-    run = np.where(change & inside, kind, np.uint64(0)) * power[np.minimum(place, n - 1)]
-    total = np.r_[np.uint64(0), np.cumsum(run)]
-    shape = _mix((total[end] - total[start]) * back[np.minimum(place[start], n - 1)])
-    doc = np.searchsorted(edge, start, "right") - 1
-    follows = np.r_[False, doc[1:] == doc[:-1]]
-    again = np.r_[False, word[1:] == word[:-1]] & follows
-    pair = _mix(word + np.r_[np.uint64(7), word[:-1]] * BASE)
+    total = np.r_[np.uint64(0), np.cumsum(np.where(change & inside, kind, np.uint64(0)) * power[place])]
+    shape = _mix((total[end] - total[start]) * back[place[start]])
+    return np.searchsorted(edge, start, "right") - 1, word, shape
+
+
+class Carry:
+    """What of a text read so far bears on its next part: the last two words and their shapes, and all pairs of words."""
+
+    def __init__(self) -> None:
+        self.words, self.shapes, self.pairs = (np.zeros(0, np.uint64),) * 3
+
+
+def features(data: np.ndarray, offsets: np.ndarray, bits: int = BITS, carry: Carry | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(document of each feature, coordinate of each feature) for the texts data[offsets[i]:offsets[i+1]].
+
+    Word 1- and 2-grams, and 1-, 2- and 3-grams of word shapes. With the shape goes whether the word is the one before
+    it, and whether the pair of both was read within this text already. With ``carry`` the data are the next part of
+    one text; features of all parts are those of the whole.
+    """
+    carry = Carry() if carry is None else carry
+    doc, word, shape = words_of(data, offsets)
+    old = len(carry.words)
+    doc, word = np.r_[np.zeros(old, np.int64), doc], np.r_[carry.words, word]
+    follows = np.r_[False, doc[1:] == doc[:-1]][: len(doc)]
+    before = np.where(follows, np.r_[np.uint64(7), word[:-1]][: len(word)], np.uint64(7))
+    pair = _mix(word + before * BASE)
     seen = np.zeros(len(word), bool)
     order = np.lexsort((pair, doc))
+    order = order[order >= old]
     seen[order[1:]] = (pair[order[1:]] == pair[order[:-1]]) & (doc[order[1:]] == doc[order[:-1]])
-    shape = _mix(shape + again * np.uint64(0x51) + seen * np.uint64(0xA7))
-    two = _mix(shape + np.r_[np.uint64(5), shape[:-1]] * ODD)
+    if old:
+        seen |= np.isin(pair, carry.pairs)
+    shape = np.r_[carry.shapes, _mix(shape + ((word == before) & follows)[old:] * np.uint64(0x51) + seen[old:] * np.uint64(0xA7))]
+    two = _mix(shape + np.r_[np.uint64(5), shape[:-1]][: len(shape)] * ODD)
     three = _mix(two + np.r_[np.uint64(5), np.uint64(5), shape[:-2]][: len(shape)] * BASE)
-    third = follows & np.r_[False, follows[:-1]]
-    grams = [(doc, word), (doc[follows], pair[follows]), (doc, shape), (doc[follows], two[follows]), (doc[third], three[third])]
+    third = follows & np.r_[False, follows[:-1]][: len(doc)]
+    carry.words, carry.shapes = word[-2:], shape[-2:]
+    carry.pairs = np.union1d(carry.pairs, pair[old:])
+    new = np.arange(len(doc)) >= old
+    grams = [(new, word), (new & follows, pair), (new, shape), (new & follows, two), (new & third, three)]
     shift = np.uint64(64 - bits)
-    return np.concatenate([d for d, _ in grams]), np.concatenate([_mix(h + np.uint64(i)) >> shift for i, (_, h) in enumerate(grams)]).astype(np.int64)
+    return np.concatenate([doc[m] for m, _ in grams]), np.concatenate([_mix(h[m] + np.uint64(i)) >> shift for i, (m, h) in enumerate(grams)]).astype(np.int64)
 
 
 def _parts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(first row, last row + 1, edges): blocks of texts; a text above PIECE bytes comes in parts cut at white space,
-    n-grams across the cuts being left out."""
+    """(first row, last row + 1, edges): blocks of texts; a text above PIECE bytes comes in parts cut at white space.
+
+    A run of more than PIECE bytes without white space counts as words of PIECE bytes.
+    """
     for low, high in blocks(offsets, BLOCK):
         at, end = int(offsets[low]), int(offsets[high])
         if high - low > 1 or end - at <= PIECE:
@@ -104,42 +127,58 @@ def _parts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np
             continue
         while at < end:
             to = min(end, at + PIECE)
-            space = np.flatnonzero(_SPACE[data[to : min(end, to + PIECE)]])
-            to = to + int(space[0]) if len(space) else min(end, to + PIECE)
+            if to < end and not _SPACE[data[to]]:
+                space = np.flatnonzero(_SPACE[data[at:to]])
+                to = at + int(space[-1]) + 1 if len(space) else to
             yield low, high, np.array([at, to])
             at = to
 
 
-def _examples(data: np.ndarray, offsets: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per text: its coordinates and their values, count by the root of the text's feature count."""
-    out = []
+def _features(data: np.ndarray, offsets: np.ndarray, bits: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, last row + 1, row of each feature from the first, coordinate of each feature) by blocks and parts of texts."""
     for (low, high), parts in groupby(_parts(data, offsets), lambda x: x[:2]):
-        found = [features(data, edge, bits) for _, _, edge in parts]
-        doc, at = (np.concatenate(x) for x in zip(*found, strict=True))
-        key, count = np.unique((doc << bits) | at, return_counts=True)
-        cut = np.searchsorted(key >> bits, np.arange(high - low + 1))
-        for i in range(high - low):
-            c = count[cut[i] : cut[i + 1]]
-            out.append((key[cut[i] : cut[i + 1]] & ((1 << bits) - 1), (c / np.sqrt(max(c.sum(), 1))).astype(np.float64)))
-    return out
-
-
-def ftrl(examples: list, labels: np.ndarray, bits: int = BITS, epochs: int = EPOCHS, alpha: float = 0.1, beta: float = 1.0, l1: float = 0.02, l2: float = 1.0) -> np.ndarray:
-    """Weights (the last one is the constant's) after ``epochs`` passes over the examples in their order."""
-    z, n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
-    one = np.ones(1)
-
-    def weights(i: np.ndarray | slice) -> np.ndarray:
-        return np.where(np.abs(z[i]) <= l1, 0.0, -(z[i] - np.sign(z[i]) * l1) / ((beta + np.sqrt(n[i])) / alpha + l2))
-
-    for _ in range(epochs):
-        for (at, x), y in zip(examples, labels, strict=True):
-            at, x = np.r_[at, 1 << bits], np.r_[x, one]
-            w = weights(at)
-            g = (1 / (1 + np.exp(-np.clip(w @ x, -35, 35))) - y) * x
-            z[at] += g - (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / alpha * w
-            n[at] += g * g
-    return weights(slice(None))
+        carry = Carry() if high - low == 1 else None
+        for _, _, edge in parts:
+            yield low, high, *features(data, edge, bits, carry)
+
+
+def _examples(data: np.ndarray, offsets: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Per text: its coordinates and their values, count by the root of the text's feature count."""
+    for (low, high), parts in groupby(_features(data, offsets, bits), lambda x: x[:2]):
+        rows = high - low
+        held: dict[int, np.ndarray] = {}
+        for _, _, doc, at in parts:  # one part unless a text is very long
+            key, count = np.unique((doc << bits) | at, return_counts=True)
+            if rows == 1:
+                held[0] = held.get(0, np.zeros(1 << bits, np.int64))
+                held[0][key] += count
+                continue
+            cut = np.searchsorted(key >> bits, np.arange(rows + 1))
+            for i in range(rows):
+                c = count[cut[i] : cut[i + 1]]
+                yield (key[cut[i] : cut[i + 1]] & ((1 << bits) - 1)), c / np.sqrt(max(c.sum(), 1))
+        if rows == 1:
+            at = np.flatnonzero(held[0])
+            yield at, held[0][at] / np.sqrt(max(held[0].sum(), 1))
+
+
+class Ftrl:
+    """State of follow-the-regularised-leader updates: sums of gradients and of their squares by coordinate."""
+
+    def __init__(self, z: np.ndarray, n: np.ndarray, alpha: float = 0.1, beta: float = 1.0, l1: float = 0.02, l2: float = 1.0):
+        self.z, self.n, self.alpha, self.beta, self.l1, self.l2 = z, n, alpha, beta, l1, l2
+
+    def weights(self, i: np.ndarray | slice = slice(None)) -> np.ndarray:
+        z, n = self.z[i], self.n[i]
+        return np.where(np.abs(z) <= self.l1, 0.0, -(z - np.sign(z) * self.l1) / ((self.beta + np.sqrt(n)) / self.alpha + self.l2))
+
+    def learn(self, at: np.ndarray, x: np.ndarray, y: float) -> None:
+        """One example; the last coordinate is the constant's."""
+        at, x = np.r_[at, len(self.z) - 1], np.r_[x, 1.0]
+        w = self.weights(at)
+        g = (1 / (1 + np.exp(-np.clip(w @ x, -35, 35))) - y) * x
+        self.z[at] += g - (np.sqrt(self.n[at] + g * g) - np.sqrt(self.n[at])) / self.alpha * w
+        self.n[at] += g * g
 
 
 def held_out(id_col: str = "doc_id", folds: int = 5) -> Column:
@@ -150,30 +189,50 @@ def held_out(id_col: str = "doc_id", folds: int = 5) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS, bits: int = BITS) -> np.ndarray:
     """Weights of a model for label 1, learnt from labelled rows that are not held out.
 
-    At most about ``rows`` labelled ids take part, by a hash of the id, so ids and labels alone are broadcast.
-    The sample is divided among ``SHARDS`` tasks; their models are averaged by coordinate. Without any
-    labelled row all weights are 0. Of several labels of an id the smallest counts; labels other than 0 and 1 do not.
+    At most about ``rows`` labelled ids take part, by a hash of the id, so ids and labels alone are broadcast. Texts
+    become coordinates (at most 2^bits of them each) before the sample is divided among ``SHARDS`` tasks. A task
+    reads its part as a stream, in the order of a hash, and holds the state alone; after each of EPOCHS passes the states
+    of all tasks are averaged by coordinate, and the next pass starts from there. Without any labelled row
+    all weights are 0. Of several labels of an id the smallest counts; labels other than 0 and 1 do not.
     """
+    scratch = Scratch(docs.sparkSession, "quality")
     marked = labels.select(F.col(id_col), F.col(label_col).cast("int").alias("_y")).where(F.col("_y").isin(0, 1) & F.col(id_col).isNotNull()).where(~held_out(id_col))
     marked = marked.groupBy(id_col).agg(F.min("_y").alias("_y"))
     there = marked.count()
     order = uniform(id_col, seed="sample")
     sample = marked.where(order < F.lit(min(1.0, rows / max(there, 1))))
     lines = docs.select(F.col(id_col), F.col(text_col).cast("string").cast("binary").alias("_t")).join(F.broadcast(sample), id_col)
-    lines = lines.select("_t", "_y", uniform(id_col, seed="order").alias("_o"), F.pmod(F.xxhash64(id_col), F.lit(SHARDS)).cast("int").alias("_s"))
+    lines = lines.select("_t", F.col("_y").cast("double").alias("y"), uniform(id_col, seed="order").alias("o"), F.pmod(F.xxhash64(id_col), F.lit(SHARDS)).cast("int").alias("s"))
 
-    def shard(part: pa.Table) -> pa.Table:
-        part = part.sort_by("_o").combine_chunks()
-        texts = part.column("_t").chunk(0) if part.num_rows else pa.array([], pa.binary())
-        w = ftrl(_examples(*byte_column(texts), bits), part.column("_y").to_numpy().astype(float), bits)
-        at = np.flatnonzero(w)
-        return pa.table({"at": pa.array(at), "w": pa.array(w[at]), "s": pa.array(np.full(len(at), part.column("_s")[0].as_py(), np.int32))})
-
-    parts = lines.groupBy("_s").applyInArrow(shard, "at long, w double, s int")
-    model = parts.groupBy("at").agg((F.sum("w") / SHARDS).alias("w")).toPandas()
-    weights = np.zeros((1 << bits) + 1)
-    weights[model["at"].to_numpy(np.int64)] = model["w"].to_numpy()
-    return weights
+    def coordinates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, (at, x) in enumerate(_examples(*byte_column(batch.column(0)), bits)):
+                yield pa.record_batch([*(c.slice(i, 1) for c in batch.columns[1:]), pa.array([at], pa.list_(pa.int32())), pa.array([x], pa.list_(pa.float64()))], names=["y", "o", "s", "at", "x"])
+
+    coded = scratch.save(lines.mapInArrow(coordinates, "y double, o double, s int, at array<int>, x array<double>"))
+    size = (1 << bits) + 1
+    z, n = np.zeros(size), np.zeros(size)
+    for _ in range(EPOCHS):
+        start = docs.sparkSession.sparkContext.broadcast((z, n))
+
+        def learn(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
+            states: dict[int, Ftrl] = {}
+            for batch in batches:
+                for y, s, at, x in zip(batch.column("y"), batch.column("s"), batch.column("at"), batch.column("x"), strict=True):
+                    if s.as_py() not in states:
+                        states[s.as_py()] = Ftrl(*(v.copy() for v in start.value))
+                    states[s.as_py()].learn(at.values.to_numpy(), x.values.to_numpy(), y.as_py())
+            for state in states.values():
+                at = np.flatnonzero(state.n)
+                yield pa.record_batch([pa.array(at), pa.array(state.z[at]), pa.array(state.n[at])], names=["at", "z", "n"])
+
+        parts = coded.repartitionById(SHARDS, "s").sortWithinPartitions("s", "o", "y").mapInArrow(learn, "at long, z double, n double")
+        merged = parts.groupBy("at").agg((F.sum("z") / SHARDS).alias("z"), (F.sum("n") / SHARDS).alias("n")).toPandas()
+        z, n = np.zeros(size), np.zeros(size)
+        z[merged["at"].to_numpy(np.int64)], n[merged["at"].to_numpy(np.int64)] = merged["z"].to_numpy(), merged["n"].to_numpy()
+        start.unpersist()
+    scratch.drop(coded)
+    return Ftrl(z, n).weights()
 
 
 def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -189,8 +248,7 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
         for batch in batches:
             data, offsets = byte_column(batch.column(0))
             total, count = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
-            for low, high, edge in _parts(data, offsets):
-                doc, at = features(data, edge, bits)
+            for low, high, doc, at in _features(data, offsets, bits):
                 total[low:high] += np.bincount(doc, model[at], high - low)
                 count[low:high] += np.bincount(doc, minlength=high - low)
             p = 1 / (1 + np.exp(-np.clip(total / np.sqrt(np.maximum(count, 1)) + model[-1], -35, 35)))

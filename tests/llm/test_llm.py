@@ -478,15 +478,58 @@ def test_features_do_not_depend_on_neighbours():
     assert [tuple(sorted(at[doc == i])) for i in range(len(texts))] == alone
 
 
-def test_long_texts_are_scored_in_parts(monkeypatch):
-    text = prose(6, 400).encode()
-    data, edge = np.frombuffer(text, np.uint8), np.array([0, len(text)])
-    monkeypatch.setattr(quality, "BLOCK", 10)
-    monkeypatch.setattr(quality, "PIECE", 300)
-    parts = [tuple(e) for _, _, e in quality._parts(data, edge)]
-    assert parts[0][0] == 0 and parts[-1][1] == len(text) and len(parts) > 3
-    assert all(a[1] == b[0] for a, b in itertools.pairwise(parts))
-    assert len(quality._examples(data, edge, 18)) == 1
+def test_features_of_parts_are_those_of_the_whole(monkeypatch):
+    r = random.Random(3)
+    texts = [prose(6, 400), "one", "", " a  b\t", " ".join(r.choice(["a", "b", "C1", "d"]) for _ in range(600)), "x" * 290 + " y z"]
+    for text in (t.encode() for t in texts):
+        data, edge = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+        whole = np.sort(quality.features(data, edge)[1])
+        with monkeypatch.context() as m:
+            m.setattr(quality, "BLOCK", 10)
+            m.setattr(quality, "PIECE", 300)
+            assert len(text) <= 300 or len(list(quality._parts(data, edge))) > 3
+            parts = [at for *_, at in quality._features(data, edge, quality.BITS)]
+            assert np.array_equal(np.sort(np.concatenate(parts)) if parts else np.zeros(0), whole)
+            got = list(quality._examples(data, edge, quality.BITS))
+        want = list(quality._examples(data, edge, quality.BITS))
+        assert len(got) == len(want) == 1 and all(np.array_equal(a, b) for a, b in zip(got[0], want[0], strict=True))
+
+
+def test_features_are_the_slow_ones():
+    """Word and shape n-grams by a plain loop name the same coordinates."""
+    text = "To be, or not  to be: To be 42 42 ABc-d abc"
+    words = text.split()
+    data = text.encode()
+    _, at = quality.features(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    pairs = list(itertools.pairwise(words))
+    runs = lambda w: tuple(k for k, _ in itertools.groupby("9" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in w))
+    shapes = [(runs(w), i > 0 and words[i - 1] == w, i > 0 and pairs[i - 1] in pairs[: i - 1]) for i, w in enumerate(words)]
+    want = [*words, *pairs, *shapes, *itertools.pairwise(shapes), *zip(shapes, shapes[1:], shapes[2:], strict=False)]
+    begin = np.cumsum([0, len(words), len(pairs), len(shapes), len(shapes) - 1, len(shapes) - 2])
+    assert len(at) == len(want)
+    for low, high in itertools.pairwise(begin.tolist()):  # in each kind of feature, equal where the slow ones are equal
+        for i, j in itertools.combinations(range(low, high), 2):
+            assert (at[i] == at[j]) == (want[i] == want[j])
+
+
+def test_updates_are_the_slow_ones():
+    r = np.random.default_rng(4)
+    bits, alpha, beta, l1, l2 = 4, 0.1, 1.0, 0.02, 1.0
+    fast = quality.Ftrl(np.zeros(17), np.zeros(17))
+    z, n = [0.0] * 17, [0.0] * 17
+    slow = lambda i: 0.0 if abs(z[i]) <= l1 else -(z[i] - np.sign(z[i]) * l1) / ((beta + n[i] ** 0.5) / alpha + l2)
+    for _ in range(300):
+        at = np.sort(r.choice(1 << bits, 5, replace=False))
+        x, y = r.random(5), float(r.random() < 0.5)
+        fast.learn(at, x, y)
+        row = [*zip(at.tolist(), x.tolist(), strict=True), (16, 1.0)]
+        old = {i: slow(i) for i, _ in row}
+        p = 1 / (1 + np.exp(-sum(old[i] * v for i, v in row)))
+        for i, v in row:
+            g = (p - y) * v
+            z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / alpha * old[i]
+            n[i] += g * g
+    assert np.allclose(fast.weights(), [slow(i) for i in range(17)])
 
 
 # --- 8 ---------------------------------------------------------------------------------------------------------
