@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -46,9 +47,17 @@ def q_grams(text: np.ndarray) -> np.ndarray:
     return np.ndarray((max(len(text) - Q + 1, 0),), "<u8", np.ascontiguousarray(text), strides=(1,)) if len(text) >= Q else np.zeros(0, np.uint64)
 
 
+@lru_cache(2)
+def _index(ids: tuple, texts: tuple[bytes, ...], share: float) -> ItemIndex:
+    return ItemIndex(list(ids), list(texts), share)
+
+
 @dataclass
 class ItemIndex:
-    """All q-grams of some items, sorted, with the item and place of each; edits and least hits of each item."""
+    """All q-grams of some items, sorted, with the item and place of each; edits and least hits of each item.
+
+    Tasks are sent the items alone; a worker process builds the rest (some 30 bytes for each byte of items) and keeps it.
+    """
 
     ids: list
     texts: list[bytes]
@@ -63,11 +72,15 @@ class ItemIndex:
         self.least = size - Q + 1 - Q * self.edits
         grams = [q_grams(np.frombuffer(t, np.uint8)) for t in self.texts]
         key = np.concatenate(grams)
-        item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-        place = np.concatenate([np.arange(len(g)) for g in grams])
+        item = np.repeat(np.arange(len(grams), dtype=np.int32), [len(g) for g in grams])
+        place = np.concatenate([np.arange(len(g), dtype=np.int32) for g in grams])
         order = np.argsort(key, kind="stable")
         self.item, self.place = item[order], place[order]
         self.keys, self.first, self.count = np.unique(key[order], return_index=True, return_counts=True)
+        self.first, self.count = self.first.astype(np.int32), self.count.astype(np.int32)
+
+    def __reduce__(self):
+        return _index, (tuple(self.ids), tuple(self.texts), self.share)
 
     def hits(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place in the text, entry of the index) for all q-grams of the text that items have."""
@@ -120,7 +133,11 @@ def _place(item: bytes, text: np.ndarray, low: int, high: int, most: int) -> tup
 def matches(index: ItemIndex, data: np.ndarray, edge: np.ndarray) -> list[tuple[int, int, int, int, int]]:
     """(row, item, edits, begin, end) for the texts data[edge[i]:edge[i+1]]: the best place of each item in each text."""
     text, at = normalised(data)
-    edge = np.searchsorted(at, edge)
+    return _matches(index, text, at, np.searchsorted(at, edge))
+
+
+def _matches(index: ItemIndex, text: np.ndarray, at: np.ndarray, edge: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    """As ``matches``, of normalised texts text[edge[i]:edge[i+1]] whose bytes come from the places ``at``."""
     place, entry = index.hits(q_grams(text))
     row = np.searchsorted(edge, place, "right") - 1
     inside = place + Q <= edge[row + 1]
@@ -168,8 +185,8 @@ def item_indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
 
 
 def _scan(index: ItemIndex, offsets: np.ndarray, data: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
-    """(row, item, edits, begin, end) for all texts of a batch. A text above PIECE bytes is read in parts that overlap by
-    more than any item can cover unless white space takes half of it."""
+    """(row, item, edits, begin, end) for all texts of a batch. A text above PIECE bytes is read in parts. Each begins with
+    the last normalised bytes of the one before, more than any item can cover, however much white space lies in them."""
     overlap = 4 * max(map(len, index.texts))
     for low, high in blocks(offsets, BLOCK):
         base, end = int(offsets[low]), int(offsets[high])
@@ -179,10 +196,13 @@ def _scan(index: ItemIndex, offsets: np.ndarray, data: np.ndarray) -> Iterator[t
                 yield low + r, k, e, a - int(edge[r]), b - int(edge[r])
             continue
         best: dict[int, tuple[int, int, int]] = {}
-        for at in range(base, end, PIECE):
-            to = min(end, at + PIECE + overlap)
-            for _, k, e, a, b in matches(index, data[at:to], np.array([0, to - at])):
-                best[k] = min(best.get(k, (e, a + at - base, b + at - base)), (e, a + at - base, b + at - base))
+        text, at = np.zeros(0, np.uint8), np.zeros(0, np.int64)
+        for begin in range(base, end, PIECE):
+            more, places = normalised(data[begin : min(end, begin + PIECE)])
+            again = int(len(text) > 0 and text[-1] == 32 and more[0] == 32)  # white space that runs over the cut is one space
+            text, at = np.r_[text[-overlap:], more[again:]], np.r_[at[-overlap:], places[again:] + (begin - base)]
+            for _, k, *found in _matches(index, text, at, np.array([0, len(text)])):
+                best[k] = min(best.get(k, tuple(found)), tuple(found))
         yield from ((low, k, *x) for k, x in best.items())
 
 

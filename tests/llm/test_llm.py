@@ -130,13 +130,17 @@ def test_long_texts_are_scanned_in_parts(spark, monkeypatch):
     items = [prose(i + 40, 12) for i in range(3)]
     bench = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
     index = next(decontam.item_indexes(bench))
-    text = " ".join([prose(1, 300), items[0], prose(2, 200), items[2], prose(3, 10)]).encode()
+    wide = (" " * 170).join(items[1].split())  # its white space is longer than a part
+    text = " ".join([prose(1, 300), items[0], prose(2, 200), wide, "\n" * 400, items[2], prose(3, 10)]).encode()
     data, edge = np.frombuffer(text, np.uint8), np.array([0, len(text)])
     whole = sorted(decontam._scan(index, edge, data))
     monkeypatch.setattr(decontam, "PIECE", 150)
     monkeypatch.setattr(decontam, "BLOCK", 100)
     assert sorted(decontam._scan(index, edge, data)) == whole
-    assert [(k, e) for _, k, e, *_ in whole] == [(0, 0), (2, 0)]
+    assert [(k, e) for _, k, e, *_ in whole] == [(0, 0), (1, 0), (2, 0)]
+    for size in (151, 163, 333, 2_000):
+        monkeypatch.setattr(decontam, "PIECE", size)
+        assert sorted(decontam._scan(index, edge, data)) == whole
 
 
 # --- 3 ---------------------------------------------------------------------------------------------------------
