@@ -12,8 +12,6 @@ from tallyframe.llm._common import Scratch
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
 #: Query parameters that don't tell pages apart.
 TRACKING = r"^(utm_[a-z]+|gclid|fbclid|ref)(=|$)"
-#: Time ranges of equal width into which the records of a URL are cut.
-RANGES = 64
 
 
 def canonical_url(url: Column) -> Column:
@@ -48,20 +46,21 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     'unchecked'; original_id also for 'mismatch'. Records with null url, ts or kind take no part as originals;
     such revisits have 'no original'. Repeated revisits give a row each; an empty table gives an empty result.
 
-    A URL's records are cut into RANGES of time, so one very common URL is many groups: the latest response of
-    each range is found by itself, carried forward over a table of one row for each URL and range, and joined back.
+    Records are dealt out by ranges of URL and time that hold about as many records each, so one very common URL is many
+    groups, however its records lie in time: the latest response of each range is found by itself, carried forward
+    over a table of one row for each URL and range, and joined back.
     """
     scratch = Scratch(records.sparkSession, "warc")
     keyed = records.select("record_id", canonical_url(F.col("url")).alias("url_key"), F.col("ts").cast("long").alias("ts"), "kind", "status", "etag", "last_modified", "headers")
-    low, high = records.agg(F.min(F.col("ts").cast("long")), F.max(F.col("ts").cast("long"))).first()
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // RANGES))
-    keyed = keyed.withColumn("part", F.floor((F.col("ts") - F.lit(low or 0)) / width).cast("int"))
     full = (F.col("kind") == "response") & (F.col("status") == 200)
     usable = F.col("url_key").isNotNull() & F.col("ts").isNotNull()
     fields = F.struct("ts", "record_id", "etag", "last_modified", "headers")
-    within = W.partitionBy("url_key", "part").orderBy("ts", F.when(full, 1).otherwise(0), "record_id").rowsBetween(W.unboundedPreceding, 0)
-    placed = keyed.where(usable & (full | (F.col("kind") == "revisit"))).withColumn("here", F.last(F.when(full, fields), ignorenulls=True).over(within))
-    placed = scratch.save(placed.withColumn("is_full", full))
+    order = ("ts", F.when(full, 1).otherwise(0), "record_id")  # a revisit comes before responses of its own second
+    within = W.partitionBy("url_key", "part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    ranged = keyed.where(usable & (full | (F.col("kind") == "revisit"))).repartitionByRange("url_key", *order)
+    ranged = scratch.save(ranged.withColumn("part", F.spark_partition_id()))  # the bounds come from a sample, so they are used once
+    placed = scratch.save(ranged.withColumn("here", F.last(F.when(full, fields), ignorenulls=True).over(within)).withColumn("is_full", full))
+    scratch.drop(ranged)
     ends = placed.where("is_full").groupBy("url_key", "part").agg(F.max_by(fields, F.struct("ts", "record_id")).alias("last"))
     asking = placed.where("not is_full and here is null").select("url_key", "part").distinct()
     every = ends.unionByName(asking.withColumn("last", F.lit(None).cast(ends.schema["last"].dataType))).groupBy("url_key", "part").agg(F.first("last", ignorenulls=True).alias("last"))

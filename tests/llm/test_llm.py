@@ -570,9 +570,11 @@ def test_revisits(spark):
     assert warc.resolve_revisits(spark.createDataFrame([], RECORD)).count() == 0
 
 
-def test_revisits_are_brute_force(spark):
+@pytest.mark.parametrize("outlier", [0, 10**15])
+def test_revisits_are_brute_force(spark, outlier):
     r = random.Random(6)
     rows = [(i, f"http://h{r.randrange(3) * r.randrange(2)}.org/p", r.randrange(300), r.choice(["response", "revisit"]), r.choice([200, 200, 404]), r.choice(['"a"', '"b"', None]), None, None) for i in range(500)]
+    rows += [(900, "http://h0.org/p", outlier, "revisit", 304, None, None, None), (901, "http://h0.org/p", -outlier, "response", 200, None, None, None)]
     got = {x.record_id: (x.original_id, x.state) for x in warc.resolve_revisits(spark.createDataFrame(rows, RECORD)).collect()}
     want = {}
     for i, url, ts, kind, _, tag, *_ in rows:
