@@ -1,4 +1,9 @@
-"""Secret scans whose false positives a random forest removes."""
+"""Secret scans whose false positives a random forest removes.
+
+The forest learns from labelled findings. Where no reviewed ones are at hand, findings are planted: made-up keys and
+made-up look-alikes are put between words of the scanned texts, so that their labels are known and come from
+nothing that the features see; what the texts hold themselves counts as no secret unless it has a sure form.
+"""
 
 from __future__ import annotations
 
@@ -16,10 +21,14 @@ from pyspark.sql import functions as F
 
 from tallyframe.llm._common import Scratch, uniform
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_\-]{16,}={0,2}")
-#: Forms that mark a finding as a secret, or as none, where findings come without labels.
+_SIGN = r"[A-Za-z0-9+/_\-.!@$%^&*#~?]"
+#: Runs of 8 signs or more with a letter and a digit, and of 16 signs of keys or more with or without them.
+CANDIDATE = re.compile(rf"(?<!{_SIGN})(?={_SIGN}*[0-9])(?={_SIGN}*[A-Za-z]){_SIGN}{{8,}}={{0,2}}|[A-Za-z0-9+/_\-]{{16,}}={{0,2}}")
+#: Forms of a finding, and of the signs before it, that are not taken for look-alikes.
 SURE = (r"^AKIA[0-9A-Z]{16}$", r"(?i)(password|passwd|secret|token|api[_-]?key)\s*[:=]\s*[\"']?$")
-NOT = (r"^[0-9]+$", r"^[A-Za-z]?[a-z]+$", r"[@/]$")
+#: Signs before and after planted keys, and before and after planted look-alikes.
+KEYS = (('token = "', '"'), ("password: ", ""), ("api_key=", ""), ("secret='", "'"), ("Bearer ", ""), ("export AUTH_TOKEN=", ""), ("passwd = ", ";"), ('"client_secret": "', '",'))
+LIKE = (("commit ", ""), ("sha256:", ""), ("see https://", "/index.html"), ("id ", ","), ("file ", ".txt"), ("<img src=", ">"), ("mailto:", "@mail.org"), ("checksum=", ""))
 #: Labelled findings that the forest is fitted on at most (in expectation).
 TRAIN_ROWS = 20_000
 #: Share of all texts that hold a word of the dictionary, and the least count of them.
@@ -28,6 +37,7 @@ DICTIONARY_LEAST = 3
 TREES, DEPTH = 30, 8
 NEAR = 24
 HASHED = 16
+PATHS = 8
 #: Place of the dictionary coverage among the features.
 COVERAGE = 8
 _SCHEMA = "id {id}, path string, begin long, end long, secret string, before string, after string, features array<double>"
@@ -39,7 +49,7 @@ def _kind(c: str) -> int:
 
 def features(secret: str, before: str, after: str, path: str | None) -> list[float]:
     """Length; shares of the four kinds of characters; transitions between kinds, and distinct characters, per
-    character; entropy; dictionary coverage (0 until ``with_coverage``); kind of the neighbouring signs; hashed neighbouring words and path."""
+    character; entropy; dictionary coverage (0 until ``with_coverage``); kind of the neighbouring signs; hashed neighbouring words and hashed path."""
     n = len(secret)
     kinds = [_kind(c) for c in secret]
     count = Counter(secret)
@@ -49,7 +59,9 @@ def features(secret: str, before: str, after: str, path: str | None) -> list[flo
     near = [0.0] * HASHED
     for i, w in enumerate([*re.findall(r"\w+", before)[-2:], *re.findall(r"\w+", after)[:1]]):
         near[zlib.crc32(f"{i > 1}{w.lower()}".encode()) % HASHED] += 1
-    return [*out, *near, float(zlib.crc32((path or "").encode()) % 64)]
+    of_path = [0.0] * PATHS
+    of_path[zlib.crc32((path or "").encode()) % PATHS] = 1.0
+    return [*out, *near, *of_path]
 
 
 def dictionary(docs: DataFrame, text_col: str) -> DataFrame:
@@ -82,12 +94,12 @@ def with_coverage(found: DataFrame, words: DataFrame) -> DataFrame:
     parts = probes.join(words, "w").groupBy("key", "part").agg(F.max("whole").alias("whole"), F.sum("grams").alias("grams"))
     covered = parts.groupBy("key").agg(F.sum(F.when(F.col("whole") > 0, F.col("whole")).otherwise(F.col("grams"))).alias("covered"))
     share = F.coalesce("covered", F.lit(0)).cast("double") / F.length("secret")
-    whole = F.concat(F.slice("features", 1, COVERAGE), F.array(share), F.slice("features", COVERAGE + 2, HASHED + 3))
+    whole = F.concat(F.slice("features", 1, COVERAGE), F.array(share), F.slice("features", COVERAGE + 2, 2 + HASHED + PATHS))
     return keyed.join(covered, "key", "left").withColumn("features", whole).select(*found.columns)
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
-    """(id, path, begin, end, secret, before, after, features): all runs of at least 16 key characters in whole texts."""
+    """(id, path, begin, end, secret, before, after, features): all matches of CANDIDATE in whole texts."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(path_col).cast("string").alias("path"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     kind = dict(rows.dtypes)["id"]
 
@@ -106,39 +118,91 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.mapInArrow(run, _SCHEMA.format(id=kind))
 
 
-def rule_labels(secret: str = "secret", before: str = "before") -> Column:
-    """1 for findings of a sure form, 0 for what surely is none, else null: labels where no reviewed findings are at hand."""
-    sure = F.col(secret).rlike(SURE[0]) | F.col(before).rlike(SURE[1])
-    no = F.col(secret).rlike(NOT[0]) | F.col(secret).rlike(NOT[1]) | F.col(before).rlike(NOT[2])
-    return F.when(sure, 1).when(no, 0)
+def unsure(secret: str = "secret", before: str = "before") -> Column:
+    """Whether a finding has no sure form of a secret."""
+    return ~(F.coalesce(F.col(secret).rlike(SURE[0]), F.lit(False)) | F.coalesce(F.col(before).rlike(SURE[1]), F.lit(False)))
+
+
+def planted(docs: DataFrame, id_col: str, text_col: str, path_col: str, rows: int) -> DataFrame:
+    """(id, path, text, plant, label): pieces of at most about ``rows`` texts with one made-up key (label 1) or look-alike (0) each.
+
+    All of it follows from the id: where it is put, what stands around it, and the characters, which come from its hashes.
+    """
+    share = min(1.0, rows / max(docs.count(), 1))
+    rows_of = docs.select(F.col(id_col).alias("id"), F.col(path_col).cast("string").alias("path"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    base = rows_of.where(uniform("id", seed="plants") < F.lit(share)).select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("label"))
+    pick = lambda n, seed: (uniform("id", "label", seed=seed) * n).cast("int")
+    digest = F.sha2(F.concat_ws("|", F.lit("plant"), F.col("id").cast("string"), F.col("label").cast("string")), 512)
+    raw = F.regexp_replace(F.base64(F.unhex(digest)), r"\s", "")
+    hexes, mixed, digits = F.substr(digest, F.lit(1), F.element_at(F.array(*map(F.lit, (32, 40, 64))), pick(3, "size") + 1)), F.substr(raw, F.lit(1), 20 + pick(40, "size")), F.translate(digest, "abcdef", "012345")
+    short = F.concat(F.substr(F.regexp_replace(raw, "[+/=]", ""), F.lit(1), 7 + pick(6, "size")), F.lit("!7x"))
+    upper = F.concat(F.lit("AKIA"), F.substr(F.upper(F.regexp_replace(raw, "[^A-Za-z2-7]", "")), F.lit(1), F.lit(16)))
+    word = F.concat_ws("-", *(F.get(F.filter(F.split("text", r"[^A-Za-z]+"), lambda w: F.length(w) > 3), pick(20, f"word{i}")) for i in range(4)))
+    uuid = F.concat_ws("-", *(F.substr(digest, F.lit(a), F.lit(n)) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
+    key = F.element_at(F.array(hexes, mixed, short, upper), pick(4, "kind") + 1)
+    like = F.element_at(F.array(F.concat(word, F.lit("-page1")), uuid, F.substr(digits, F.lit(1), 16 + pick(8, "size")), F.concat(word, F.lit("_v2")), F.substr(digest, F.lit(1), F.lit(40))), pick(5, "kind") + 1)
+    signs = lambda of, i: F.element_at(F.array(*(F.lit(x[i]) for x in of)), pick(len(of), "signs") + 1)
+    is_key = F.col("label") == 1
+    plant, before, after = F.when(is_key, key).otherwise(like), F.when(is_key, signs(KEYS, 0)).otherwise(signs(LIKE, 0)), F.when(is_key, signs(KEYS, 1)).otherwise(signs(LIKE, 1))
+    at = (uniform("id", seed="place") * F.length("text")).cast("int")
+    text = F.concat(F.substr("text", F.greatest(at - 60, F.lit(1)), F.least(at, F.lit(60))), F.lit(" "), before, plant, after, F.lit(" "), F.substr("text", at + 1, F.lit(60)))
+    return base.select("id", "path", text.alias("text"), plant.alias("plant"), "label")
+
+
+def planted_findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", rows: int = TRAIN_ROWS) -> DataFrame:
+    """Findings in ``planted`` texts, with label: 1 for the key, 0 for the look-alike."""
+    texts = planted(docs, id_col, text_col, path_col, rows).where("plant <> ''").withColumn("row", F.struct("id", "plant", "label"))
+    found = candidates(texts, "row", "text", "path")
+    inside = F.contains("secret", F.substr("id.plant", F.lit(1), F.lit(8))) | F.contains("id.plant", "secret")
+    found = found.where(inside).withColumns({"label": F.col("id.label"), "id": F.col("id.id")})
+    return found.select("id", *[c for c in found.columns if c not in ("id", "label")], "label")
+
+
+def forest_of(train: DataFrame, rows: int):
+    """A forest fitted on about ``rows`` labelled findings (features, label), or the one label that there is (0 without any)."""
+    count = {r.label: r["count"] for r in train.groupBy("label").count().collect()}
+    if len(count) < 2:
+        return float(next(iter(count), 0))
+    share = min(1.0, rows / sum(count.values()))
+    sample = train.where(uniform("id", "begin", "label", seed="findings") < F.lit(share)).select(array_to_vector("features").alias("x"), F.col("label").cast("double").alias("label"))
+    return RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=7, maxBins=64).fit(sample)
+
+
+def scored(found: DataFrame, forest) -> DataFrame:
+    """``found`` with score, the forest's probability that a finding is a secret."""
+    if isinstance(forest, float):
+        return found.withColumn("score", F.lit(forest))
+    return forest.transform(found.withColumn("x", array_to_vector("features"))).withColumn("score", vector_to_array("probability")[1]).drop("x", "rawPrediction", "probability", "prediction")
+
+
+def learnt_from(id_col: str = "id") -> Column:
+    """Whether findings of an id may be learnt from: its crc32 is not divisible by 5. The others measure the forest."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 != 0, F.lit(True))
 
 
 def scan(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", rows: int = TRAIN_ROWS, threshold: float = 0.5) -> DataFrame:
     """(id, begin, end, secret, score, is_secret): every candidate, with the forest's probability that it is a secret.
 
-    labels: reviewed findings (secret string, label 0/1) to learn from; without them ``rule_labels`` gives them.
-    Only labelled findings of ids whose crc32 is not divisible by 5 are learnt from, at most about ``rows``, so the
-    rest measures the forest. With labels of one value only, that value is the score. begin and end count
-    characters. Null or empty texts have no findings, repeated rows repeat theirs, an empty table gives an empty
-    result. Texts are read whole; other columns are not read.
+    labels: reviewed findings (secret string, label 0/1) to learn from; of several labels of one the largest counts.
+    Without them findings are planted, and the texts' own findings without a sure form count as none. Only findings of
+    ids whose crc32 is not divisible by 5 are learnt from, at most about ``rows`` of each kind. With labels of one
+    value only, that value is the score. begin and end count characters. Null or empty texts have no findings,
+    repeated rows repeat theirs, an empty table gives an empty result. Texts are read whole; other columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "secrets")
-    found = scratch.save(candidates(docs, id_col, text_col, path_col))
-    found = scratch.save(with_coverage(found, dictionary(docs, text_col)))
+    words = scratch.save(dictionary(docs, text_col))
+    raw = scratch.save(candidates(docs, id_col, text_col, path_col))
+    found = scratch.save(with_coverage(raw, words))
+    scratch.drop(raw)
     if labels is None:
-        marked = found.withColumn("label", rule_labels())
-    else:
-        marked = found.join(labels.groupBy("secret").agg(F.max("label").alias("label")), "secret", "left")
-    train = marked.where("label is not null").where(F.crc32(F.col("id").cast("string").cast("binary")) % 5 != 0)
-    count = {r.label: r["count"] for r in train.groupBy("label").count().collect()}
-    result = found.select("id", "begin", "end", "secret", "features")
-    if len(count) < 2:
-        scored = result.withColumn("score", F.lit(float(next(iter(count), 0))))
+        train = with_coverage(planted_findings(docs, id_col, text_col, path_col, rows), words)
+        own = found.where(unsure()).where(learnt_from())
+        share = min(1.0, rows / max(own.count(), 1))
+        own = own.where(uniform("id", "begin", seed="own") < F.lit(share)).withColumn("label", F.lit(0))
+        train = scratch.save(train.where(learnt_from()).select("id", "begin", "features", "label").unionByName(own.select("id", "begin", "features", "label")))
+        forest = forest_of(train, 3 * rows)
     else:
-        share = min(1.0, rows / sum(count.values()))
-        sample = train.where(uniform("id", "begin", seed="findings") < F.lit(share)).select(array_to_vector("features").alias("x"), F.col("label").cast("double").alias("label"))
-        model = RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=7, maxBins=64).fit(sample)
-        scored = model.transform(result.withColumn("x", array_to_vector("features"))).withColumn("score", vector_to_array("probability")[1])
-    return scored.select(F.col("id").alias(id_col), "begin", "end", "secret", "score", (F.col("score") >= threshold).alias("is_secret"))
-
-
+        marked = found.join(labels.groupBy("secret").agg(F.max("label").alias("label")), "secret").where("label is not null").where(learnt_from())
+        forest = forest_of(marked, rows)
+    result = scored(found.select("id", "begin", "end", "secret", "features"), forest)
+    return result.select(F.col("id").alias(id_col), "begin", "end", "secret", "score", (F.col("score") >= threshold).alias("is_secret"))

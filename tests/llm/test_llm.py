@@ -354,6 +354,32 @@ def test_secrets_without_findings_and_with_labels(spark):
     assert [r.is_secret for r in got] == [True] * 3
 
 
+def test_forest_of_planted_findings_holds_on_ids_not_learnt_from(spark):
+    """Precision and recall of planted keys among planted look-alikes, and the texts' own findings."""
+    docs = make_docs(spark, [*secret_texts(900), None, ""])
+    words = secrets.dictionary(docs, "text")
+    found = secrets.with_coverage(secrets.planted_findings(docs), words).persist()
+    forest = secrets.forest_of(found.where(secrets.learnt_from()).select("id", "begin", "features", "label"), 20_000)
+    rows = secrets.scored(found.where(~secrets.learnt_from()), forest).select("label", "score").collect()
+    right = sum(r.label == 1 and r.score >= 0.5 for r in rows)
+    keys, named = sum(r.label for r in rows), sum(r.score >= 0.5 for r in rows)
+    assert keys > 100 and len(rows) - keys > 80
+    assert right / keys >= 0.9 and right / named >= 0.9
+    made = secrets.planted(docs, "doc_id", "text", "source", 20_000).where("label = 1").collect()
+    assert sum(bool(secrets.CANDIDATE.search(r.plant)) for r in made) == len(made)  # each planted key is a candidate
+    assert {(r.id, r.plant) for r in made} == {(r.id, r.plant) for r in secrets.planted(docs.repartition(3), "doc_id", "text", "source", 20_000).where("label = 1").collect()}
+
+
+def test_secrets_of_repeated_rows_and_very_long_texts(spark):
+    key = "0123456789abcdef" * 2 + "01234567"
+    rows = [(1, f'token = "{key}"', "a"), (1, f'token = "{key}"', "a"), (None, f"x {key}", None), (2, "a1" * 200_000, "b"), (3, prose(1, 60_000) + " " + key, "b"), (4, None, None), (5, "p@ssw0rd! abc", "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = spark.createDataFrame([(key, 1), (key, 0), ("a1" * 200_000, 0), (None, 1)], "secret string, label int")
+    got = [(r.doc_id, r.secret == key, r.is_secret) for r in secrets.scan(df, mixed).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [(1, True, True), (1, True, True), (None, True, True), (2, False, False), (3, True, True), (5, False, got[[g[0] for g in got].index(5)][2])]))
+    assert secrets.scan(df).count() == 6
+
+
 # --- 6 ---------------------------------------------------------------------------------------------------------
 
 
