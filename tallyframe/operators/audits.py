@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyframe.functions.scalars import impossible
+from tallyframe.operators import ranking
 
 LEVELS = 50
 
@@ -34,11 +35,15 @@ def feature_quality(df: DataFrame, numeric: list[str], categorical: list[str]) -
     v = F.col("value")
     numbers = unpivot_numeric(df, numeric).groupBy("feature_name", "value").agg(F.count("*").alias("n"), _number(F.col("bad")).alias("bad"))
     n = F.col("n")
-    mean = F.sum(v * n) / F.nullif(F.sum(F.when(v.isNotNull(), n)), F.lit(0))
+    known = F.sum(F.when(v.isNotNull(), n))
+    mean = F.sum(v * n) / F.nullif(known, F.lit(0))
     stats = numbers.groupBy("feature_name").agg(
         F.lit("numeric").alias("feature_type"), F.sum("n").alias("row_count"), F.coalesce(F.sum(F.when(v.isNull(), n)), F.lit(0)).alias("null_count"), F.count("value").alias("unique_count"), F.coalesce(F.sum(F.when(v == 0, n)), F.lit(0)).alias("zero_count"),
-        F.coalesce(F.sum(F.when(v < 0, n)), F.lit(0)).alias("negative_count"), F.sum("bad").alias("impossible_value_count"), F.min("value").alias("min_value"), F.max("value").alias("max_value"), mean.alias("mean_value"),
+        F.coalesce(F.sum(F.when(v < 0, n)), F.lit(0)).alias("negative_count"), F.sum("bad").alias("impossible_value_count"), F.min("value").alias("min_value"), F.max("value").alias("max_value"), mean.alias("mean_value"), known.alias("_known"),
     )
+    # squares about the mean in a second step over distinct values: differences of large sums of squares would lose digits
+    apart = numbers.join(F.broadcast(stats.select("feature_name", "mean_value")), "feature_name").groupBy("feature_name").agg(F.sum(F.pow(v - F.col("mean_value"), 2) * n).alias("_apart"))
+    stats = stats.join(F.broadcast(apart), "feature_name").withColumn("stddev_value", F.sqrt(F.col("_apart") / F.nullif(F.col("_known") - 1, F.lit(0)))).drop("_apart", "_known")
     texts = unpivot_text(df, categorical).groupBy("feature_name", "category_value").agg(F.count("*").alias("n"))
     levels = texts.groupBy("feature_name").agg(F.lit("categorical").alias("feature_type"), F.sum("n").alias("row_count"), F.coalesce(F.sum(F.when(F.col("category_value").isNull(), n)), F.lit(0)).alias("null_count"), F.count("category_value").alias("unique_count"), F.lit(0).cast("long").alias("impossible_value_count"))
     out = stats.unionByName(levels, allowMissingColumns=True)
@@ -47,8 +52,14 @@ def feature_quality(df: DataFrame, numeric: list[str], categorical: list[str]) -
 
 
 def numeric_by_year(df: DataFrame, columns: list[str], exact: bool = False) -> DataFrame:
-    median = F.expr("percentile_disc(0.5) within group (order by value)") if exact else F.percentile_approx("value", 0.5)
-    return unpivot_numeric(df, columns, ["year"]).groupBy("year", "feature_name").agg(F.count("*").alias("row_count"), F.avg("value").alias("mean_value"), F.stddev("value").alias("stddev_value"), F.min("value").alias("min_value"), median.alias("median_value"), F.max("value").alias("max_value"))
+    each = unpivot_numeric(df, columns, ["year"])
+    stats = {"row_count": F.count("*"), "mean_value": F.avg("value"), "stddev_value": F.stddev("value"), "min_value": F.min("value"), "max_value": F.max("value")}
+    if not exact:
+        stats["median_value"] = F.percentile_approx("value", 0.5)
+    out = each.groupBy("year", "feature_name").agg(*(c.alias(n) for n, c in stats.items()))
+    if exact:
+        out = ranking.null_safe(out, ranking.quantiles(each, ["year", "feature_name"], "value", {"median_value": 0.5}, discrete=True), ["year", "feature_name"])
+    return out.select("year", "feature_name", "row_count", "mean_value", "stddev_value", "min_value", "median_value", "max_value")
 
 
 def _few(counts: DataFrame) -> DataFrame:
@@ -91,6 +102,19 @@ def category_drift(df: DataFrame, columns: list[str], split_col: str = "split_na
     return out.withColumn("drift_flag", F.col("absolute_difference") >= flag)
 
 
+SEVERITIES = ("fail", "warn", "pass")
+
+
+def drifted(drift: DataFrame) -> DataFrame:
+    """The features whose drift is flagged, the largest absolute difference first."""
+    return drift.where("drift_flag").orderBy(F.desc_nulls_last("absolute_difference"), "feature_name")
+
+
+def by_severity(quality: DataFrame) -> DataFrame:
+    """Audited features, the gravest first."""
+    return quality.orderBy(F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("audit_severity")), F.desc_nulls_last("impossible_value_count"), "feature_name")
+
+
 # --- exploration ---------------------------------------------------------------------------------------------
 
 
@@ -108,27 +132,30 @@ QUANTILES = (0.0, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 1.0)
 
 def quantiles(df: DataFrame, c: str, at: tuple[float, ...] = QUANTILES) -> DataFrame:
     """(quantile, value), interpolated."""
-    values = df.agg(F.percentile(c, F.array(*map(F.lit, at))).alias("v")).select(F.arrays_zip(F.array(*map(F.lit, at)).alias("quantile"), F.col("v").alias("value")).alias("z"))
-    return values.select(F.explode("z").alias("z")).select("z.quantile", "z.value")
+    wide = ranking.quantiles(df, [], c, {f"q{i}": q for i, q in enumerate(at)})
+    return wide.select(F.explode(F.array(*(F.struct(F.lit(q).alias("quantile"), F.col(f"q{i}").cast("double").alias("value")) for i, q in enumerate(at)))).alias("z")).select("z.*")
 
 
 def class_balance(model: DataFrame, q: float = 0.9) -> DataFrame:
     """Per target year: the year's own cost threshold (interpolated), and rows above it."""
     cost = F.col("target_annual_claim_cost")
-    limits = model.groupBy("target_year").agg(F.percentile("target_annual_claim_cost", F.lit(q)).alias("threshold"))
-    out = model.join(F.broadcast(limits), "target_year").groupBy("target_year").agg(F.count("*").alias("row_count"), F.first("threshold").alias("threshold"), _number(cost > F.col("threshold")).alias("positive_count"))
+    limits = ranking.quantiles(model, ["target_year"], "target_annual_claim_cost", {"threshold": q})
+    marked = model.join(F.broadcast(limits), "target_year", "left").where("target_year is not null")  # one row for each year
+    out = marked.groupBy("target_year").agg(F.count("*").alias("row_count"), F.max("threshold").alias("threshold"), _number(cost > F.col("threshold")).alias("positive_count"))
     return out.withColumn("positive_rate", F.col("positive_count") / F.col("row_count"))
 
 
 def cost_by(df: DataFrame, group: str, cost: str = "annual_claim_cost") -> DataFrame:
-    return df.groupBy(group).agg(F.count("*").alias("row_count"), F.percentile(cost, F.lit(0.5)).alias("median_cost"), F.avg(cost).alias("mean_cost"), F.percentile(cost, F.lit(0.9)).alias("p90_cost"))
+    means = df.groupBy(group).agg(F.count("*").alias("row_count"), F.avg(cost).alias("mean_cost"))
+    places = ranking.quantiles(df, [group], cost, {"median_cost": 0.5, "p90_cost": 0.9})
+    return ranking.null_safe(means, places, [group]).select(group, "row_count", "median_cost", "mean_cost", "p90_cost")
 
 
 def numeric_summary(df: DataFrame, columns: list[str]) -> DataFrame:
-    v = F.col("value")
-    return unpivot_numeric(df, columns).groupBy("feature_name").agg(
-        F.avg((v == 0).cast("double")).alias("zero_rate"), _number(v < 0).alias("negative_count"), F.min("value").alias("min_value"), F.percentile("value", F.lit(0.5)).alias("median_value"), F.percentile("value", F.lit(0.9)).alias("p90_value"), F.percentile("value", F.lit(0.99)).alias("p99_value"), F.max("value").alias("max_value"), F.count_distinct("value").alias("unique_count"),
-    )
+    v, each = F.col("value"), unpivot_numeric(df, columns)
+    counts = each.groupBy("feature_name").agg(F.avg((v == 0).cast("double")).alias("zero_rate"), _number(v < 0).alias("negative_count"), F.min("value").alias("min_value"), F.max("value").alias("max_value"), F.count_distinct("value").alias("unique_count"))
+    places = ranking.quantiles(each, ["feature_name"], "value", {"median_value": 0.5, "p90_value": 0.9, "p99_value": 0.99})
+    return counts.join(places, "feature_name", "left").select("feature_name", "zero_rate", "negative_count", "min_value", "median_value", "p90_value", "p99_value", "max_value", "unique_count")
 
 
 def label_correlation(df: DataFrame, columns: list[str], y: str = "label") -> DataFrame:

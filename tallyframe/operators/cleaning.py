@@ -129,9 +129,14 @@ def with_keys(df: DataFrame, keys: tuple[str, ...] | list[str]) -> DataFrame:
 
 
 def latest_rows(df: DataFrame, keys: tuple[str, ...] | list[str]) -> DataFrame:
-    """One row for each key: latest load, then last file name, then largest row hash."""
-    order = [F.col("_bronze_loaded_at_utc").desc_nulls_last(), F.col("_bronze_source_file").desc_nulls_last(), F.col("_row_hash").desc()]
-    ranked = df.withColumn("_row_hash", s.row_hash(df.columns)).withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
+    """One row for each key: latest load, then last file name, then largest row hash.
+
+    Rows are hashed only where several of a key share the load and the file.
+    """
+    own = W.partitionBy(*keys)
+    last = own.orderBy(F.col("_bronze_loaded_at_utc").desc_nulls_last(), F.col("_bronze_source_file").desc_nulls_last())
+    top = df.withColumn("_n", F.rank().over(last)).where("_n = 1").withColumn("_n", F.count("*").over(own))
+    ranked = top.withColumn("_row_hash", F.when(F.col("_n") > 1, s.row_hash(df.columns))).withColumn("_n", F.row_number().over(own.orderBy(F.desc("_row_hash"))))
     return ranked.where("_n = 1").drop("_row_hash", "_n")
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -17,7 +17,7 @@ from tallyframe.operators.cleaning import CHRONIC_FLAGS, COVERAGE
 from tallyframe.operators.ranking import row_numbers, tile
 
 KEY = ["bene_id", "year"]
-FEATURE_VERSION = "gold_features_v2_utilization_chronic_structure"
+FEATURE_VERSION = "features-1"
 SETTINGS = ("inpatient", "outpatient", "carrier", "pde")
 COSTS = {"inpatient": "inpatient_total_cost", "outpatient": "outpatient_total_cost", "carrier": "carrier_total_cost", "rx": "rx_total_cost"}
 
@@ -138,8 +138,12 @@ def year_position(df: DataFrame, median_exact: bool = False) -> DataFrame:
     """
     ranked = row_numbers(df.select(*KEY, "annual_claim_cost"), ["year"], ["annual_claim_cost", "bene_id"])
     ties = ranked.groupBy("year", "annual_claim_cost").agg((F.min("row_no") - 1).alias("_below"))
-    median = F.percentile("annual_claim_cost", F.lit(0.5)) if median_exact else F.percentile_approx("annual_claim_cost", 0.5)
-    medians = ranked.groupBy("year").agg(median.alias("annual_cost_year_median"))
+    if median_exact:  # the rows are numbered already: the mean of the one or two in the middle
+        half = F.col("group_rows") / 2
+        middle = (F.col("row_no") >= F.ceil(half)) & (F.col("row_no") <= F.floor(half) + 1)
+        medians = ranked.groupBy("year").agg(F.avg(F.when(middle, F.col("annual_claim_cost"))).alias("annual_cost_year_median"))
+    else:
+        medians = ranked.groupBy("year").agg(F.percentile_approx("annual_claim_cost", 0.5).alias("annual_cost_year_median"))
     out = ranked.join(ties, ["year", "annual_claim_cost"]).join(F.broadcast(medians), "year")  # one row for each year
     percentile = F.when(F.col("group_rows") > 1, F.col("_below") / (F.col("group_rows") - 1)).otherwise(0.0)
     return out.select(*KEY, percentile.alias("annual_cost_year_percentile"), tile(F.col("row_no"), F.col("group_rows"), 10).alias("annual_cost_year_decile"), "annual_cost_year_median").dropDuplicates(KEY)
@@ -218,6 +222,28 @@ def contract(df: DataFrame, order: list[str], ints: tuple[str, ...] = (), longs:
     return df.select(*(F.col(c).cast("int" if c in ints else "bigint" if c in longs else dict(df.dtypes)[c]).alias(c) for c in order))
 
 
+def read_export(spark: SparkSession, path: str, schema: str, required: list[str]) -> DataFrame:
+    """A CSV export of the feature table under ``schema`` (names and types), or an error that names what its header lacks."""
+    header = spark.read.option("header", True).csv(path).columns
+    if missing := sorted(set(required) - set(header)):
+        raise ValueError(f"the export lacks {', '.join(missing)}")
+    types = dict(x.rsplit(" ", 1) for x in schema.split(", "))
+    raw = spark.read.option("header", True).csv(path)
+    return raw.select(*(F.col(c).try_cast(types[c]).alias(c) if c in types else F.col(c) for c in header))
+
+
+def rederived(df: DataFrame) -> DataFrame:
+    """Squares, interactions and logarithms made again from the columns that they rest on, where these are there."""
+    age, chronic, have = F.col("age_years_imputed"), F.col("chronic_condition_count"), set(df.columns)
+    made = {
+        "age_squared": (("age_years_imputed",), age * age), "chronic_condition_count_squared": (("chronic_condition_count",), chronic * chronic),
+        "age_chronic_count_interaction": (("age_years_imputed", "chronic_condition_count"), age * chronic), "age_total_claim_interaction": (("age_years_imputed", "total_claim_count"), age * F.col("total_claim_count")),
+        **{f"{x}_log1p": ((x,), F.log1p(F.greatest(F.col(x).cast("double"), F.lit(0.0)))) for x in ("total_claim_count", "unique_provider_count", "inpatient_claim_count", "outpatient_claim_count", "carrier_claim_count", "pde_claim_count")},
+        "annual_cost_log1p": (("annual_claim_cost",), F.log1p(F.greatest(F.col("annual_claim_cost").cast("double"), F.lit(0.0)))),
+    }
+    return df.withColumns({n: c for n, (needs, c) in made.items() if have.issuperset(needs)})
+
+
 def table_quality(df: DataFrame) -> DataFrame:
     """One row of counts over the feature table, and the first reason not to publish it (null: publish)."""
     number = lambda c: F.count(F.when(c, 1))

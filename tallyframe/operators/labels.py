@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyframe.operators import ranking
+
 SPLIT_VERSION = "xxhash64_bene_id_mod_100_v2_beneficiary_hash_holdout"
 
 
@@ -38,14 +40,16 @@ def split(df: DataFrame, name: str) -> DataFrame:
     return df.where(F.col("split_name") == name)
 
 
-def quantile(c: str, q: float, exact: bool = False) -> Column:
-    """An element of the data: approximate at scale, or the exact discrete quantile."""
-    return F.expr(f"percentile_disc({q}) within group (order by {c})") if exact else F.percentile_approx(c, q, F.lit(10_000))
+def quantile(df: DataFrame, by: list[str], c: str, q: float, name: str, exact: bool = False) -> DataFrame:
+    """(by, name): an element of each group's values, approximate (in rank, by 1 / 10,000) or exact and discrete."""
+    if exact:
+        return ranking.quantiles(df, by, c, {name: q}, discrete=True)
+    return df.groupBy(*by).agg(F.percentile_approx(c, q, F.lit(10_000)).alias(name))
 
 
 def training_threshold(df: DataFrame, q: float = 0.9, exact: bool = False) -> DataFrame:
     """One row: the quantile of the target cost over training rows only."""
-    return split(df, "train").agg(quantile("target_annual_claim_cost", q, exact).alias("target_high_cost_threshold"))
+    return quantile(split(df, "train"), [], "target_annual_claim_cost", q, "target_high_cost_threshold", exact)
 
 
 def label(df: DataFrame, threshold: DataFrame, strict: bool = False) -> DataFrame:
@@ -58,6 +62,11 @@ def training_target(df: DataFrame, q: float = 0.9, exact: bool = False) -> DataF
     return label(df, training_threshold(df, q, exact))
 
 
+def labelled_splits(df: DataFrame, q: float = 0.9, exact: bool = False) -> DataFrame:
+    """The frame of audits: all splits with the label by the training rows' threshold, united (one projection over one scan)."""
+    return training_target(assign_split(df) if "split_name" not in df.columns else df, q, exact).where(F.col("split_name").isin("train", "validation", "test"))
+
+
 def historical(df: DataFrame) -> DataFrame:
     """Rows whose target year is before the last one."""
     last = df.agg(F.max("target_year").alias("_last"))
@@ -78,8 +87,8 @@ def thresholds(df: DataFrame, definition: dict, exact: bool = False) -> DataFram
     q = definition["quantile"]
     if definition["within_year"]:
         pool = df.where("target_enrollment_months_count = 12") if definition["full_year_only"] else df
-        return pool.groupBy("target_year").agg(quantile("target_annual_claim_cost", q, exact).alias("target_threshold"))
-    fixed = historical(df).agg(quantile("target_annual_claim_cost", q, exact).alias("target_threshold"))
+        return quantile(pool, ["target_year"], "target_annual_claim_cost", q, "target_threshold", exact)
+    fixed = quantile(historical(df), [], "target_annual_claim_cost", q, "target_threshold", exact)
     return df.select("target_year").distinct().crossJoin(F.broadcast(fixed))
 
 
@@ -89,11 +98,13 @@ def sensitivity(df: DataFrame, exact: bool = False, definitions=DEFINITIONS) ->
     def one(definition: dict) -> DataFrame:
         full = F.col("target_enrollment_months_count") == 12 if definition["full_year_only"] else F.lit(True)
         marked = df.join(thresholds(df, definition, exact), "target_year", "left").withColumns({"label": ((F.col("target_annual_claim_cost") > F.col("target_threshold")) & full).cast("int"), "eligible": full.cast("int")})
-        return marked.groupBy("target_year").agg(
+        out = marked.groupBy("target_year").agg(
             F.lit(definition["target_definition"]).alias("target_definition"), F.count("*").alias("row_count"), F.sum("eligible").cast("long").alias("eligible_positive_denominator"), F.avg("label").alias("positive_rate_all_rows"), F.avg(F.when(F.col("eligible") == 1, F.col("label"))).alias("positive_rate_eligible_rows"),
-            F.sum("label").cast("long").alias("positive_count"), F.max("target_threshold").alias("target_threshold"), F.avg("target_annual_claim_cost").alias("mean_target_annual_claim_cost"), quantile("target_annual_claim_cost", 0.5, exact).alias("median_target_annual_claim_cost"), F.avg("target_enrollment_months_count").alias("mean_target_enrollment_months"),
+            F.sum("label").cast("long").alias("positive_count"), F.max("target_threshold").alias("target_threshold"), F.avg("target_annual_claim_cost").alias("mean_target_annual_claim_cost"), F.avg("target_enrollment_months_count").alias("mean_target_enrollment_months"),
         )
+        return out.join(medians, "target_year", "left")
 
+    medians = quantile(df, ["target_year"], "target_annual_claim_cost", 0.5, "median_target_annual_claim_cost", exact)
     return reduce(DataFrame.unionByName, map(one, definitions))
 
 

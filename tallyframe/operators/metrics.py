@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyframe.operators import ranking
 from tallyframe.operators.ranking import row_numbers, running
 
 Y, P = "label", "predicted_probability"
@@ -126,7 +127,9 @@ def fine_grid(df: DataFrame, p: str = P) -> list[float]:
 def stability_index(expected: DataFrame, actual: DataFrame, c: str, bins: int = 10) -> DataFrame:
     """One row, psi: edges are linear quantiles of the expected values, equal edges are one, the last bin is closed,
     values outside fall out, shares are at least 1e-6. 0 where a side is empty or all edges are equal."""
-    edges = expected.agg(F.array_sort(F.array_distinct(F.percentile(c, F.array(*(F.lit(i / bins) for i in range(bins + 1)))))).alias("edges"))
+    wide = ranking.quantiles(expected, [], c, {f"e{i:03}": i / bins for i in range(bins + 1)})
+    edges = wide.select(F.array_sort(F.array_distinct(F.array(*(F.col(x).cast("double") for x in wide.columns)))).alias("edges"))
+    edges = edges.where(F.element_at("edges", 1).isNotNull())
     both = expected.select(F.col(c).alias("x"), F.lit(0).alias("side")).unionAll(actual.select(F.col(c).alias("x"), F.lit(1).alias("side"))).where("x is not null")
     reach = F.size(F.filter("edges", lambda e: e <= F.col("x")))
     last = F.size("edges")

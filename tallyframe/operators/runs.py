@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyframe.functions import scalars as s
+from tallyframe.operators.ranking import row_numbers
 
 RUN = ["model_name", "run_id"]
 
@@ -40,8 +41,18 @@ def one_run_each(df: DataFrame) -> DataFrame:
     return df.groupBy("model_name").agg(F.count("*").alias("row_count"), F.count_distinct("run_id").alias("run_count")).where("row_count <> 1 or run_count <> 1")
 
 
+def _board_order() -> list:
+    """Best first: larger areas and captures, then smaller errors; nulls come last."""
+    return [*(F.desc_nulls_last(c) for c in ("area_under_pr", "top_5_capture_rate", "top_10_capture_rate", "area_under_roc")), F.asc_nulls_last("brier_score"), F.asc_nulls_last("test_misclassification_error"), F.col("model_name")]
+
+
 def leaderboard(comparison: DataFrame) -> DataFrame:
-    return comparison.orderBy(F.desc("area_under_pr"), F.desc("top_5_capture_rate"), F.desc("top_10_capture_rate"), F.desc("area_under_roc"), F.asc_nulls_last("brier_score"), F.asc("test_misclassification_error"), "model_name")
+    return comparison.orderBy(*_board_order())
+
+
+def places(comparison: DataFrame) -> DataFrame:
+    """The comparison with each model's place on the leaderboard, numbered by range."""
+    return row_numbers(comparison, [], _board_order()).withColumnRenamed("row_no", "place").drop("group_rows")
 
 
 def selected_rows(scores: DataFrame, runs: DataFrame) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import math
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+from itertools import product
 
 import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression, IsotonicRegression
@@ -17,6 +20,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyframe.operators import metrics
+from tallyframe.operators.features import reject_leakage
+from tallyframe.sources.scratch import saved
 
 
 def filled(df: DataFrame, numeric: list[str], categorical: list[str]) -> DataFrame:
@@ -39,8 +44,33 @@ def balanced(df: DataFrame) -> DataFrame:
     return df.join(F.broadcast(weights), "label")
 
 
+# The grids that are searched. C is the inverse strength of a penalty on the sum of losses.
+GRIDS = {
+    "logistic_regression": {"C": [0.01, 0.1, 1.0, 10.0]},
+    "random_forest": {"numTrees": [50, 150, 300], "maxDepth": [8, 12], "minInstancesPerNode": [10, 20], "featureSubsetStrategy": ["sqrt", "0.5"]},
+    "gradient_boosting": {"maxDepth": [3, 5], "minInstancesPerNode": [10, 20], "subsamplingRate": [0.8, 1.0], "maxIter": [500, 1000]},
+    "regularized_boosting": {"maxDepth": [2, 3], "stepSize": [0.05, 0.1], "minInstancesPerNode": [10, 20]},
+}
+#: Fits of one fold that run side by side.
+SIDE_BY_SIDE = 4
+
+
+def points(grid: dict[str, list]) -> list[dict]:
+    """All combinations of a grid's values."""
+    return [dict(zip(grid, values, strict=True)) for values in product(*grid.values())]
+
+
+def configured(model: str, params: dict, weight: float, seed: int = 42):
+    """The estimator with these parameters. Spark averages losses where C scales their sum, so C is divided by the rows' total weight."""
+    params = dict(params)
+    if "C" in params:
+        params["regParam"] = 1.0 / (params.pop("C") * max(weight, 1.0))
+    estimator = estimators(seed)[model]
+    return estimator.copy({estimator.getParam(k): v for k, v in params.items()})
+
+
 def estimators(seed: int = 42) -> dict:
-    """One configuration of each model; ``grid`` varies them."""
+    """The configuration of each model that ``GRIDS`` varies."""
     common = {"labelCol": "label", "featuresCol": "features"}
     return {
         "logistic_regression": LogisticRegression(weightCol="class_weight", regParam=0.001, maxIter=50, **common),
@@ -50,10 +80,11 @@ def estimators(seed: int = 42) -> dict:
     }
 
 
-def fit(train: DataFrame, model: str, numeric: list[str], categorical: list[str], validation: DataFrame | None = None, seed: int = 42):
+def fit(train: DataFrame, model: str, numeric: list[str], categorical: list[str], validation: DataFrame | None = None, seed: int = 42, params: dict | None = None):
     """A fitted pipeline; boosted trees stop early where a validation split is given."""
+    reject_leakage([*numeric, *categorical])
     data = balanced(filled(train, numeric, categorical))
-    estimator = estimators(seed)[model]
+    estimator = configured(model, params or {}, train.count() if params else 1.0, seed)
     if validation is not None and model.endswith("boosting"):
         data = data.withColumn("is_validation", F.lit(False)).unionByName(balanced(filled(validation, numeric, categorical)).withColumn("is_validation", F.lit(True)))
         estimator = estimator.setValidationIndicatorCol("is_validation")
@@ -71,15 +102,43 @@ def folds(df: DataFrame, id_col: str, k: int = 5) -> DataFrame:
     return df.withColumn("fold", ((F.row_number().over(own) + F.pmod(F.xxhash64(id_col), F.lit(256))) % k).cast("int"))
 
 
-def cross_validate(df: DataFrame, model: str, numeric: list[str], categorical: list[str], id_col: str, k: int = 5) -> list[float]:
-    """Area under the precision-recall curve of each fold."""
-    data, judge = folds(df, id_col, k).persist(), BinaryClassificationEvaluator(labelCol="label", metricName="areaUnderPR")
-    out = []
+def _precision_of_points(learn: DataFrame, judge: DataFrame, model: str, grid: list[dict], seed: int) -> list[float | None]:
+    """Average precision on ``judge`` of each point fitted on ``learn`` (both with features, label and class_weight)."""
+    weight = float(learn.count())
+
+    def one(i: int) -> DataFrame:
+        fitted = configured(model, grid[i], weight, seed).fit(learn)
+        return fitted.transform(judge).select(F.lit(i).alias("point"), "label", vector_to_array("probability")[1].alias("predicted_probability"))
+
+    with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:
+        scores = list(pool.map(one, range(len(grid))))
+    found = {r.point: r.pr_auc for r in metrics.auc(reduce(DataFrame.unionByName, scores), ["point"]).collect()}
+    return [found.get(i) for i in range(len(grid))]
+
+
+def cross_validate(df: DataFrame, model: str, numeric: list[str], categorical: list[str], id_col: str, grid: list[dict] | None = None, k: int = 5, seed: int = 42) -> list[dict]:
+    """Per point of the grid: params, folds (average precision of each fold; None where a fold has one class) and mean, best first.
+
+    Preprocessing is fitted on each fold's training part alone, once for all points. Ties keep the grid's order.
+    """
+    reject_leakage([*numeric, *categorical])
+    grid, found = grid or [{}], []
+    data = saved(folds(filled(df, numeric, categorical), id_col, k).select(*numeric, *categorical, "label", "fold"), "folds")
     for i in range(k):
-        fitted = fit(data.where(F.col("fold") != i), model, numeric, categorical)
-        out.append(judge.evaluate(fitted.transform(filled(data.where(F.col("fold") == i), numeric, categorical))))
-    data.unpersist()
-    return out
+        learn = balanced(data.where(F.col("fold") != i))
+        before = Pipeline(stages=preprocessor(numeric, categorical)).fit(learn)
+        parts = [saved(before.transform(x).select("features", "label", "class_weight"), "fold") for x in (learn, data.where(F.col("fold") == i).withColumn("class_weight", F.lit(1.0)))]
+        found.append(_precision_of_points(*parts, model, grid, seed))
+    rows = [{"params": p, "folds": list(f), "mean": sum(x for x in f if x is not None) / max(sum(x is not None for x in f), 1)} for p, f in zip(grid, zip(*found, strict=True), strict=True)]
+    return sorted(rows, key=lambda r: -r["mean"])
+
+
+def search_by_validation(train: DataFrame, validation: DataFrame, model: str, numeric: list[str], categorical: list[str], grid: list[dict], seed: int = 42) -> list[dict]:
+    """Per point of the grid its params and average precision on the validation split, best first."""
+    before = Pipeline(stages=preprocessor(numeric, categorical)).fit(balanced(filled(train, numeric, categorical)))
+    parts = [saved(before.transform(balanced(filled(x, numeric, categorical))).select("features", "label", "class_weight"), "split") for x in (train, validation)]
+    found = _precision_of_points(*parts, model, grid, seed)
+    return sorted(({"params": p, "mean": x or 0.0} for p, x in zip(grid, found, strict=True)), key=lambda r: -r["mean"])
 
 
 def calibrate(validation: DataFrame, scored: DataFrame, method: str = "isotonic") -> DataFrame:
@@ -93,13 +152,20 @@ def calibrate(validation: DataFrame, scored: DataFrame, method: str = "isotonic"
     return out.drop("predicted_probability", "features__", "raw__", "hard__").withColumnRenamed("calibrated", "predicted_probability")
 
 
-def train_and_score(frame: DataFrame, model: str, numeric: list[str], categorical: list[str], run_id: str, id_cols: list[str]) -> DataFrame:
-    """Scores of all splits: fitted on train, calibrated on validation, threshold chosen on validation."""
-    keep, frame = [*id_cols, "split_name", "label"], frame.persist()  # every pass of the fit reads it
+def train_and_score(frame: DataFrame, model: str, numeric: list[str], categorical: list[str], run_id: str, id_cols: list[str], grid: list[dict] | None = None, k: int = 5, method: str = "isotonic") -> DataFrame:
+    """Scores of all splits: parameters chosen over folds of train (regularized boosting: on validation), fitted on train,
+    calibrated on validation, threshold chosen on validation. The frame is written once, as every pass of a fit reads it."""
+    keep = [*id_cols, "split_name", "label"]
+    frame = saved(frame.select(*dict.fromkeys([*keep, *numeric, *categorical])), "model-frame")
     parts = {n: frame.where(F.col("split_name") == n) for n in ("train", "validation")}
-    fitted = fit(parts["train"], model, numeric, categorical, parts["validation"])
-    scored = score(fitted, frame, numeric, categorical, keep)
-    scored = calibrate(scored.where("split_name = 'validation'"), scored)
+    params = None
+    if grid and model == "regularized_boosting":
+        params = search_by_validation(parts["train"], parts["validation"], model, numeric, categorical, grid)[0]["params"]
+    elif grid:
+        params = cross_validate(parts["train"], model, numeric, categorical, id_cols[0], grid, k)[0]["params"]
+    fitted = fit(parts["train"], model, numeric, categorical, parts["validation"], params=params)
+    scored = saved(score(fitted, frame, numeric, categorical, keep), "scores")
+    scored = calibrate(scored.where("split_name = 'validation'"), scored, method)
     best = metrics.best_threshold(scored.where("split_name = 'validation'"), [], metrics.coarse_grid()).select("decision_threshold")
     out = scored.crossJoin(F.broadcast(best)).withColumn("predicted_label", (F.col("predicted_probability") >= F.col("decision_threshold")).cast("int"))
     return out.withColumns({"model_name": F.lit(model), "run_id": F.lit(run_id)})
@@ -213,3 +279,37 @@ def collinearity(df: DataFrame, terms: list[str]) -> tuple[list[dict], list[dict
     inflation = np.diag(np.linalg.pinv(r))
     vif = [{"term": t, "vif": float("inf") if v <= 0 or 1 - 1 / v >= 0.999999 else float(v), "flag": bool(v >= 10)} for t, v in zip(terms, inflation, strict=True)]
     return pairs, vif
+
+
+# --- what a selection of variables leaves behind ---------------------------------------------------------------
+
+STEPS = "run_id string, step int, removed string, aic double, terms string"
+RATIOS = "run_id string, block string, statistic double, degrees int, p_value double"
+INFLATION = "run_id string, term string, vif double, flag boolean"
+PAIRS = "run_id string, a string, b string, correlation double, flag boolean"
+ESTIMATES = "run_id string, term string, coefficient double, standard_error double, z double, p_value double, odds_ratio double, low double, high double"
+SELECTION = "run_id string, row_count long, positive_count long, candidate_terms string, final_terms string, removed_count int, log_likelihood double, aic double, bic double, parameters int"
+
+
+def _table(spark, rows: list[dict], schema: str, run_id: str) -> DataFrame:
+    """The rows under a schema; where there are none, one row with the run alone, so that the run is seen to have had none."""
+    names = [f.split()[0] for f in schema.split(", ")]
+    return spark.createDataFrame([tuple({"run_id": run_id, **r}.get(n) for n in names) for r in rows or [{}]], schema)
+
+
+def selection_tables(df: DataFrame, terms: list[str], run_id: str, locked: tuple[str, ...] = (), needs: dict[str, tuple[str, ...]] | None = None, blocks: dict[str, list[str]] | None = None) -> dict[str, DataFrame]:
+    """audit (one row), steps, pairs, inflation, ratios and coefficients of one selection of variables; a few rows each."""
+    spark, df = df.sparkSession, saved(df.select(*terms, "label"), "selection")
+    steps = backward_selection(df, terms, locked, needs)
+    final = steps[-1]["terms"].split(",")
+    counts = df.agg(F.count("*").alias("n"), F.sum("label").cast("long").alias("p")).first()
+    pairs, inflation = collinearity(df, terms)
+    audit = {"row_count": counts.n, "positive_count": counts.p, "candidate_terms": ",".join(terms), "final_terms": ",".join(final), "removed_count": len(terms) - len(final), **logit_summary(df, final)}
+    made = {"audit": ([audit], SELECTION), "steps": (steps, STEPS), "pairs": (pairs, PAIRS), "inflation": (inflation, INFLATION), "ratios": (likelihood_ratio(df, final, blocks or {}), RATIOS), "coefficients": (coefficients(df, final), ESTIMATES)}
+    return {n: _table(spark, rows, schema, run_id) for n, (rows, schema) in made.items()}
+
+
+def search_table(spark, found: list[dict], model: str, run_id: str) -> DataFrame:
+    """(run_id, model_name, place, params, mean_average_precision, fold_average_precision) of a search."""
+    rows = [(run_id, model, i + 1, json.dumps(r["params"], sort_keys=True), float(r["mean"]), [None if x is None else float(x) for x in r.get("folds", [])]) for i, r in enumerate(found)]
+    return spark.createDataFrame(rows, "run_id string, model_name string, place int, params string, mean_average_precision double, fold_average_precision array<double>")

@@ -7,15 +7,16 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.functions import scalars as s
-from tallyframe.operators import audits, cleaning, features, labels, metrics, runs, scoring, training
+from tallyframe.operators import audits, cleaning, contract, features, labels, metrics, runs, scoring, training
 from tallyframe.plans.roles import ctes, role
 from tallyframe.sources import inventory, tables
-from tallyframe.sources.scratch import scratch_path
+from tallyframe.sources.scratch import saved, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -84,13 +85,14 @@ with agg as (select bene_id, year,
 """
 
 
-def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The feature table with costs in whole cents (so that ranks agree between engines)."""
+def _gold(spark: SparkSession, sf_dir: str, ranks: bool = True) -> DataFrame:
+    """The feature table with costs in whole cents (so that ranks agree between engines); without ``ranks`` no row meets another."""
     drugs = _claims(spark, sf_dir, "pde").withColumnsRenamed({"claim_id": "pde_id", "payment_amount": "drug_cost", "claim_days": "days_supply"})
     claims = [_claims(spark, sf_dir, x) for x in ("inpatient", "outpatient", "carrier")]
     parts = [features.base(_beneficiaries(spark, sf_dir)), features.aggregate_inpatient(claims[0]), features.aggregate_outpatient(claims[1]), features.aggregate_carrier(claims[2]), features.aggregate_drugs(drugs), features.unique_providers(*claims)]
     measures = features.joined(*parts).drop("inpatient_paid_utilization")
-    return features.engineer(measures.withColumns({c: F.round(c, 2) for c in features.COSTS.values()}), median_exact=True)
+    measures = measures.withColumns({c: F.round(c, 2) for c in features.COSTS.values()})
+    return features.engineer(measures, median_exact=True) if ranks else features.row_features(measures)
 
 
 @query(GOLD + """
@@ -100,7 +102,7 @@ select bene_id, year, age age_years, age_band, burden chronic_burden_band, mon e
 from gold""", ("claims", "beneficiaries"))
 def feature_measures(spark, sf_dir):
     names = "bene_id year age_years age_band chronic_burden_band enrollment_months_count inpatient_claim_count outpatient_claim_count carrier_claim_count pde_claim_count total_claim_days rx_days_supply outpatient_line_count carrier_line_count outpatient_ed_claim_count unique_provider_count total_claim_count diabetes_flag inpatient_total_cost outpatient_total_cost carrier_total_cost rx_total_cost annual_claim_cost"
-    return rounded(_gold(spark, sf_dir).select(*names.split()), 2)
+    return rounded(_gold(spark, sf_dir, ranks=False).select(*names.split()), 2)
 
 
 def _div(a: str, b: str, scale: str = "1.0") -> str:
@@ -119,7 +121,7 @@ select bene_id, year, {_div('cost', 'mon')} cost_per_enrollment_month, {_div('n'
 from gold""", ("claims", "beneficiaries"))
 def feature_rates_and_interactions(spark, sf_dir):
     names = "bene_id year cost_per_enrollment_month claims_per_enrollment_month claim_days_per_enrollment_month providers_per_enrollment_month provider_fragmentation_index annualized_cost_per_enrolled_month avg_inpatient_cost_per_claim avg_rx_cost_per_fill outpatient_lines_per_claim full_year_enrolled_flag partial_year_enrolled_flag zero_enrollment_flag low_enrollment_flag enrollment_months_band enrollment_fraction any_inpatient_claim any_outpatient_ed_claim multiple_provider_flag multi_setting_utilization_flag annual_cost_log1p total_claim_count_log1p inpatient_cost_share chronic_burden_age_band sex_chronic_burden_band age_years_imputed age_over_75 age_squared age_total_claim_interaction enrollment_months_inpatient_interaction sex_male_chronic_count_interaction chronic_count_age_75_84"
-    return rounded(_gold(spark, sf_dir).select(*names.split()), 5)
+    return rounded(_gold(spark, sf_dir, ranks=False).select(*names.split()), 5)
 
 
 @query(GOLD + f"""
@@ -138,7 +140,7 @@ select count(*) row_count, count(distinct bene_id) distinct_bene_id_count, count
   count(*) filter (mon < 0 or mon > 12) invalid_enrollment_month_count, count(*) filter (ch < 0 or ch > 11) invalid_chronic_condition_count, count(*) filter (least(ip_c, op_c, ca_c, rx_c) < 0) negative_component_cost_count, count(*) - count(distinct (bene_id, year)) duplicate_bene_year_count, null::varchar blocking
 from gold""", ("claims", "beneficiaries"))
 def feature_table_quality(spark, sf_dir):
-    return features.table_quality(_gold(spark, sf_dir))
+    return features.table_quality(_gold(spark, sf_dir, ranks=False))
 
 
 @query("""
@@ -330,12 +332,14 @@ def typed_drug_events(spark, sf_dir):
     return cleaning.typed(raw, "prescription_drug_events").select("pde_id", "bene_id", "drug_fill_date", "days_supply", "drug_cost", "patient_pay_amount", "year")
 
 
-@query("select count(*) rows_in, count(*) - count(distinct (l_orderkey, l_linenumber)) rows_removed from lineitem")
+@query("select 'inpatient_claims' entity, 'published' status, count(*) rows_in, count(*) - count(distinct (l_orderkey, l_linenumber)) rows_removed from lineitem")
 def silver_audit(spark, sf_dir):
-    """Rows read and removed by deduplication, as the audit of a published entity has them."""
-    df = parquet(spark, sf_dir, "lineitem").select(F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_shipdate").alias("_bronze_loaded_at_utc"), F.lit("f").alias("_bronze_source_file"))
-    kept = cleaning.latest_rows(df, ["l_orderkey", "l_linenumber"])
-    return df.agg(F.count("*").alias("rows_in")).crossJoin(kept.agg(F.count("*").alias("n"))).select("rows_in", (F.col("rows_in") - F.col("n")).alias("rows_removed"))
+    """The audit row of a published entity: its gate, the rows read, and those removed as not the latest of their key."""
+    raw = parquet(spark, sf_dir, "lineitem").select(F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_shipdate").alias("_bronze_loaded_at_utc"), F.lit("f").alias("_bronze_source_file"))
+    kept = cleaning.latest_rows(raw, ["l_orderkey", "l_linenumber"])
+    counts = {c: F.lit(0).cast("long") for c in cleaning.FATAL}
+    metrics_row = kept.agg(F.count("*").alias("row_count")).withColumns(counts)
+    return cleaning.audit(metrics_row, "inpatient_claims", "run1", raw.count(), kept.count()).select("entity", "status", "rows_in", "rows_removed")
 
 
 # --- metrics of scores -----------------------------------------------------------------------------------------
@@ -452,11 +456,11 @@ _NUM, _CAT = ["total_cost", "week_count"], ["o_orderstatus", "o_orderpriority"]
 
 
 @query(VALUES + """
-select feature_name, 'numeric' feature_type, count(*) row_count, 0::bigint null_count, count(distinct value) unique_count, count(*) filter (value = 0) zero_count, count(*) filter (value < 0) negative_count, 0::bigint impossible_value_count, min(value) min_value, max(value) max_value, round(avg(value), 4) mean_value, 0.0::double null_rate, false zero_variance_flag, round(count(*) filter (value = 0) / count(*), 6) zero_rate, 'pass' audit_severity from u group by 1
-union all select feature_name, 'categorical', count(*), 0, count(distinct category_value), null, null, 0, null, null, null, 0.0, false, null, 'pass' from g group by 1""")
+select feature_name, 'numeric' feature_type, count(*) row_count, 0::bigint null_count, count(distinct value) unique_count, count(*) filter (value = 0) zero_count, count(*) filter (value < 0) negative_count, 0::bigint impossible_value_count, min(value) min_value, max(value) max_value, round(avg(value), 4) mean_value, round(stddev(value), 4) stddev_value, 0.0::double null_rate, false zero_variance_flag, round(count(*) filter (value = 0) / count(*), 6) zero_rate, 'pass' audit_severity from u group by 1
+union all select feature_name, 'categorical', count(*), 0, count(distinct category_value), null, null, 0, null, null, null, null, 0.0, false, null, 'pass' from g group by 1""")
 def feature_quality(spark, sf_dir):
     out = audits.feature_quality(_order_values(spark, sf_dir), _NUM, _CAT)
-    return rounded(out.withColumn("mean_value", F.round("mean_value", 4)))
+    return rounded(out.withColumns({c: F.round(c, 4) for c in ("mean_value", "stddev_value")}))
 
 
 @query(VALUES + "select year, feature_name, count(*) row_count, round(avg(value), 4) mean_value, round(stddev(value), 4) stddev_value, min(value) min_value, quantile_disc(value, 0.5) median_value, max(value) max_value from u group by 1, 2")
@@ -516,6 +520,32 @@ def numeric_summary(spark, sf_dir):
     return rounded(audits.numeric_summary(parquet(spark, sf_dir, "customer"), NUMERIC))
 
 
+@query(VALUES + """
+, c as (select feature_name, category_value, count(*) filter (split_name = 'train') a, count(*) filter (split_name = 'test') b from g group by 1, 2),
+  t as (select *, sum(a) over (partition by feature_name) ta, sum(b) over (partition by feature_name) tb from c)
+select feature_name, category_value, round(abs(b / tb - a / ta), 6) absolute_difference from t where abs(b / tb - a / ta) >= 0.002""")
+def drifted_features(spark, sf_dir):
+    return rounded(audits.drifted(audits.category_drift(_order_values(spark, sf_dir), _CAT, flag=0.002)).select("feature_name", "category_value", "absolute_difference"))
+
+
+@query(GOLD + """
+select bene_id, year, (coalesce(age, 75) * coalesce(age, 75))::bigint age_squared, (ch * ch)::bigint chronic_condition_count_squared, (coalesce(age, 75) * n)::bigint age_total_claim_interaction, round(ln(1 + n), 5) total_claim_count_log1p, round(ln(1 + greatest(round(cost, 2), 0)), 5) annual_cost_log1p from gold""", ("claims", "beneficiaries"))
+def exported_features(spark, sf_dir):
+    """A CSV export of feature columns, read back with its column check, and what is made again from them."""
+    kept = "bene_id string, year int, age_years_imputed bigint, chronic_condition_count bigint, total_claim_count bigint, annual_claim_cost double"
+    names, path = [x.split()[0] for x in kept.split(", ")], scratch_path(spark, "export")
+    _gold(spark, sf_dir, ranks=False).select(*names[:-1], F.round("annual_claim_cost", 2).alias("annual_claim_cost")).write.option("header", True).csv(path)
+    made = features.rederived(features.read_export(spark, path, kept, names))
+    return rounded(made.select("bene_id", "year", "age_squared", "chronic_condition_count_squared", "age_total_claim_interaction", "total_claim_count_log1p", "annual_cost_log1p"), 5)
+
+
+@query(GOLD + "select bene_id, year, 125::int model_columns, mon::int enrollment_months_count, burden chronic_burden_band from gold", ("claims", "beneficiaries"))
+def model_contract(spark, sf_dir):
+    """The feature table in the model's column order."""
+    df = features.contract(feature_table(spark, sf_dir), ["bene_id", "year", *contract.ORDER])
+    return df.select("bene_id", "year", F.lit(len(df.columns) - 2).alias("model_columns"), "enrollment_months_count", "chronic_burden_band")
+
+
 @query(VALUES + "select feature_name, round(corr(value, lab), 6) correlation, round(abs(corr(value, lab)), 6) absolute_correlation from u group by 1")
 def label_correlation(spark, sf_dir):
     return rounded(audits.label_correlation(_order_values(spark, sf_dir), _NUM))
@@ -585,14 +615,18 @@ def selected_score_summary(spark, sf_dir):
     return rounded(runs.score_summary(runs.selected_rows(scores, scores.select("model_name", F.lit("run1").alias("run_id")).distinct())))
 
 
-@query("""
-with v as (select model_name, avg("label") a, avg(predicted_probability) b from scores where split_name = 'test' group by 1)
-select model_name, round(a, 6) area_under_pr, round(b, 6) top_5_capture_rate, row_number() over (order by a desc, b desc, model_name) place from v""", ("scores",))
+@query(f"""
+with c as ({ORACLE_SQL['classification_metrics']}), a as ({ORACLE_SQL['ranking_areas']}), k as ({ORACLE_SQL['top_k_capture_and_lift']}),
+  w as (select model_name, max(capture_rate) filter (selected_fraction = 0.05) top_5_capture_rate, max(capture_rate) filter (selected_fraction = 0.1) top_10_capture_rate from k where split_name = 'test' group by 1),
+  m as (select c.model_name, pr_auc area_under_pr, top_5_capture_rate, top_10_capture_rate, roc_auc area_under_roc, brier_score, round(1 - accuracy, 6) test_misclassification_error from c join a using (model_name, split_name) join w using (model_name) where split_name = 'test')
+select *, row_number() over (order by area_under_pr desc nulls last, top_5_capture_rate desc nulls last, top_10_capture_rate desc nulls last, area_under_roc desc nulls last, brier_score nulls last, test_misclassification_error nulls last, model_name) place from m""")
 def leaderboard(spark, sf_dir):
-    m = _scores(spark, sf_dir).where("split_name = 'test'").groupBy("model_name").agg(F.avg("label").alias("area_under_pr"), F.avg("predicted_probability").alias("top_5_capture_rate"))
-    none = {c: F.lit(None).cast("double") for c in ("top_10_capture_rate", "area_under_roc", "brier_score", "test_misclassification_error")}
-    out = rounded(runs.leaderboard(m.withColumns(none)).select("model_name", "area_under_pr", "top_5_capture_rate"))
-    return out.limit(1_000).withColumn("place", (F.monotonically_increasing_id() + 1).cast("long"))
+    test = _scores(spark, sf_dir).where("split_name = 'test'")
+    top = metrics.top_k(test, [0.05, 0.1], ["model_name"], "id").groupBy("model_name").agg(*(F.max(F.when(F.col("selected_fraction") == f, F.col("capture_rate"))).alias(f"top_{n}_capture_rate") for f, n in ((0.05, 5), (0.1, 10))))
+    areas = metrics.auc(test, ["model_name"]).withColumnsRenamed({"roc_auc": "area_under_roc", "pr_auc": "area_under_pr"})
+    errors = metrics.classification(test, 0.5, ["model_name"]).select("model_name", "brier_score", F.round(F.col("misclassification_error"), 6).alias("test_misclassification_error"))
+    board = rounded(areas.join(top, "model_name").join(errors, "model_name"))
+    return runs.places(board.select("model_name", "area_under_pr", "top_5_capture_rate", "top_10_capture_rate", "area_under_roc", "brier_score", "test_misclassification_error"))
 
 
 @query(GOLD + """
@@ -699,9 +733,20 @@ def _model_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.training_target(frame).select("bene_id", "year", "split_name", "label", *MODEL_NUMERIC, *MODEL_CATEGORICAL, "total_claim_days")
 
 
+#: What the registered queries search: the logistic grid whole; of the tree grids (24, 16 and 8 points) the points named here, as
+#: the others cost hours on one machine. ``training.GRIDS`` has them all, for ``train_and_score(grid=training.points(...))``.
+SEARCHED = {
+    "logistic_regression": training.points(training.GRIDS["logistic_regression"]),
+    "random_forest": training.points({"numTrees": [50], "maxDepth": [8], "minInstancesPerNode": [10, 20], "featureSubsetStrategy": ["sqrt"]}),
+    "gradient_boosting": training.points({"maxDepth": [3, 5], "minInstancesPerNode": [10]}),
+    "regularized_boosting": training.points({"maxDepth": [2, 3], "minInstancesPerNode": [20]}),
+}
+FOLDS = {"logistic_regression": 5, "random_forest": 5, "gradient_boosting": 2}
+
+
 def _trained(model: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return training.train_and_score(_model_frame(spark, sf_dir), model, MODEL_NUMERIC, MODEL_CATEGORICAL, "run1", ["bene_id", "year"])
+        return training.train_and_score(_model_frame(spark, sf_dir), model, MODEL_NUMERIC, MODEL_CATEGORICAL, "run1", ["bene_id", "year"], SEARCHED[model], FOLDS.get(model, 5))
 
     return run
 
@@ -713,25 +758,25 @@ TERMS = ["chronic_centered", "total_claim_count", "age_years_imputed"]
 
 
 def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frame = _model_frame(spark, sf_dir)
+    frame = saved(_model_frame(spark, sf_dir).select("split_name", "label", "chronic_condition_count", "total_claim_days", *TERMS[1:]), "terms")
     train = labels.split(frame, "train")
     return training.derived_terms(train, train).withColumn("total_claim_days_log1p", F.log1p(F.col("total_claim_days").cast("double")))
 
 
 @query()
 def logit_coefficients(spark, sf_dir):
-    return spark.createDataFrame(training.coefficients(_terms(spark, sf_dir).persist(), TERMS), "term string, coefficient double, standard_error double, z double, p_value double, odds_ratio double, low double, high double")
+    return spark.createDataFrame(training.coefficients(_terms(spark, sf_dir), TERMS), "term string, coefficient double, standard_error double, z double, p_value double, odds_ratio double, low double, high double")
 
 
 @query()
 def logit_backward_selection(spark, sf_dir):
-    df = _terms(spark, sf_dir).persist()
+    df = _terms(spark, sf_dir)
     return spark.createDataFrame(training.backward_selection(df, [*TERMS, "total_claim_days_log1p"], locked=("age_years_imputed",)), "step int, removed string, aic double, terms string")
 
 
 @query()
 def logit_likelihood_ratio(spark, sf_dir):
-    return spark.createDataFrame(training.likelihood_ratio(_terms(spark, sf_dir).persist(), TERMS, {"chronic": ["chronic_centered"], "use": ["total_claim_count"]}), "block string, statistic double, degrees int, p_value double")
+    return spark.createDataFrame(training.likelihood_ratio(_terms(spark, sf_dir), TERMS, {"chronic": ["chronic_centered"], "use": ["total_claim_count"]}), "block string, statistic double, degrees int, p_value double")
 
 
 @query()
@@ -740,6 +785,13 @@ def logit_collinearity(spark, sf_dir):
     return spark.createDataFrame(vif, "term string, vif double, flag boolean")
 
 
+@query()
+def logit_selection_audit(spark, sf_dir):
+    """The audit row of a selection of variables, beside its steps, pairs, inflation, ratios and coefficients."""
+    made = training.selection_tables(_terms(spark, sf_dir), [*TERMS, "total_claim_days_log1p"], "run1", ("age_years_imputed",), blocks={"use": ["total_claim_count"]})
+    return made["audit"].crossJoin(made["steps"].agg(F.count("*").alias("step_rows"))).crossJoin(made["coefficients"].agg(F.count("*").alias("coefficient_rows")))
+
+
 @query()
 def training_audit_rows(spark, sf_dir):
     scores = _trained("logistic_regression")(spark, sf_dir)
@@ -749,22 +801,31 @@ def training_audit_rows(spark, sf_dir):
 # --- sources and sinks -----------------------------------------------------------------------------------------
 
 
-@query("select o_orderkey::varchar o_orderkey, o_custkey::varchar o_custkey, o_orderstatus, 'orders' entity, '2008'::int source_year from orders")
+@query("""
+with o as (select o_orderkey::varchar o_orderkey, o_custkey::varchar o_custkey, o_orderstatus from orders)
+select *, 'beneficiary_summary' entity, 2009::int source_year from o union all select *, 'orders', null from o""")
 def raw_csv_round_trip(spark, sf_dir):
+    """Two entities read from one folder: the yearly one takes the year of the last entry that its file names contain, the other none."""
     path = scratch_path(spark, "raw")
     parquet(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus").write.option("header", True).csv(path)
-    files = inventory.list_files(spark, path, "*.csv").select("file_name", F.lit("orders").alias("entity"), F.lit("orders_2008_sample").alias("title")).withColumn("year", inventory.entry_year(["title"]))
-    raw = inventory.read_raw(spark, [path], "orders", files, "o_orderkey")
-    return raw.select("o_orderkey", "o_custkey", "o_orderstatus", F.col("_bronze_entity").alias("entity"), F.col("_bronze_source_year").alias("source_year"))
+    entries = [(0, "part-", "beneficiary_summary", "sample of 2008"), (1, "part-0", "beneficiary_summary", "sample of 2009"), (2, "absent", "beneficiary_summary", "sample of 2010"), (3, "part-", "orders", "sample of 2008")]
+    listed = spark.createDataFrame(entries, "position int, file_name string, entity string, title string").withColumn("year", inventory.entry_year(["title"]))
+    raw = [inventory.read_raw(spark, [path], entity, listed, "o_orderkey") for entity in ("beneficiary_summary", "orders")]
+    return raw[0].unionByName(raw[1]).select("o_orderkey", "o_custkey", "o_orderstatus", F.col("_bronze_entity").alias("entity"), F.col("_bronze_source_year").alias("source_year"))
+
+
+LISTED = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 
-@query("select 1::bigint listed, 1::bigint missing")
+@query(" union all ".join(f"select '{t}' entity, count(*) row_count, true there, false missing from {t}" for t in LISTED) + " union all " + " union all ".join(f"select 'no_{t}', 0, false, true" for t in LISTED))
 def manifest_and_exceptions(spark, sf_dir):
-    listed = spark.createDataFrame([("orders.parquet", "orders"), ("absent.csv", "orders")], "file_name string, entity string")
-    path = f"{sf_dir}/orders.parquet"
-    there = inventory.manifest(spark, path, listed).agg(F.count(F.when(F.length("sha256") == 64, 1)).alias("listed"))
-    gone = inventory.exceptions(listed, inventory.list_files(spark, path)).agg(F.count("*").alias("missing"))
-    return there.crossJoin(gone)
+    """Of all files that Spark lists for the tables and as many names that are not there: rows by checksummed file, and exceptions."""
+    listed = spark.createDataFrame([(f"{p}{t}.parquet", f"{p}{t}") for t in LISTED for p in ("", "no_")], "file_name string, entity string")
+    files = reduce(DataFrame.unionByName, (inventory.list_files(spark, f"{sf_dir}/{t}.parquet").withColumn("table", F.lit(f"{t}.parquet")) for t in LISTED))
+    sums = reduce(DataFrame.unionByName, (inventory.content_checksums(parquet(spark, sf_dir, t)).withColumn("table", F.lit(f"{t}.parquet")) for t in LISTED))
+    whole = files.join(sums, ["table", "file_name"], "left").groupBy(F.col("table").alias("file_name")).agg(F.coalesce(F.sum("row_count"), F.lit(0)).alias("row_count"), (F.min("size") > 0).alias("there"))
+    gone = inventory.exceptions(listed, whole).select("entity", F.lit(0).cast("long").alias("row_count"), F.lit(False).alias("there"), (F.col("reason") == "missing").alias("missing"))
+    return listed.join(whole, "file_name").select("entity", "row_count", "there", F.lit(False).alias("missing")).unionByName(gone)
 
 
 @query("select c_custkey, c_name, c_acctbal from customer union all select c_custkey, c_name, c_acctbal from customer")

@@ -6,9 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Entities whose files are of one year each.
+YEARLY = ("beneficiary_summary",)
+
+
 def load_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each file that a JSON document lists under ``files``."""
-    return spark.read.option("multiLine", True).json(path).select(F.explode("files").alias("f")).select("f.*")
+    """One row for each file that a JSON document lists under ``files``, with its position there."""
+    return spark.read.option("multiLine", True).json(path).select(F.posexplode("files").alias("position", "f")).select("position", "f.*")
 
 
 def grouped_entries(inventory: DataFrame) -> DataFrame:
@@ -30,8 +34,20 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return files.select("path", F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("length").alias("size"))
 
 
-def read_raw(spark: SparkSession, paths: list[str], entity: str, inventory: DataFrame | None = None, key: str | None = None, file_format: str = "csv", sep: str = ",") -> DataFrame:
-    """All files of an entity as strings, with lineage: entity, load time, file, year (from the inventory, by file name) and key."""
+def file_years(spark: SparkSession, paths: list[str], entity: str, inventory: DataFrame, yearly: tuple[str, ...] = YEARLY) -> DataFrame:
+    """(file, year): for each file of a yearly entity the year of the last entry whose name its own name contains.
+
+    Files of other entities, and files that no entry names, have no row.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select(F.element_at(F.split("path", "/"), -1).alias("file"))
+    entries = inventory.where((F.col("entity") == entity) & F.lit(entity in yearly))
+    position = F.col("position") if "position" in inventory.columns else F.lit(0)
+    named = F.broadcast(entries.select("file_name", F.col("year").cast("int").alias("year"), position.alias("position")))  # one row for each listed file of the entity
+    return files.distinct().join(named, F.contains("file", "file_name")).groupBy("file").agg(F.max_by("year", F.struct("position", "file_name")).alias("year"))
+
+
+def read_raw(spark: SparkSession, paths: list[str], entity: str, inventory: DataFrame | None = None, key: str | None = None, file_format: str = "csv", sep: str = ",", yearly: tuple[str, ...] = YEARLY) -> DataFrame:
+    """All files of an entity as strings, with lineage: entity, load time, file, year (see ``file_years``; else null) and key."""
     if not paths:
         raise ValueError(f"no files for {entity}")
     if file_format != "csv":
@@ -41,17 +57,32 @@ def read_raw(spark: SparkSession, paths: list[str], entity: str, inventory: Data
         "_bronze_entity": F.lit(entity), "_bronze_loaded_at_utc": F.current_timestamp(),
         "_bronze_source_file": F.element_at(F.split("_metadata.file_path", "/"), -1), "_expected_join_key": F.lit(key).cast("string"),
     })
-    if inventory is None:
+    if inventory is None or entity not in yearly:
         return raw.withColumn("_bronze_source_year", F.lit(None).cast("int"))
-    years = inventory.where(F.col("entity") == entity).groupBy(F.col("file_name").alias("_bronze_source_file")).agg(F.max("year").cast("int").alias("_bronze_source_year"))
+    years = file_years(spark, paths, entity, inventory, yearly).withColumnsRenamed({"file": "_bronze_source_file", "year": "_bronze_source_year"})
     return raw.join(F.broadcast(years), "_bronze_source_file", "left")  # one row for each file of the entity
 
 
+#: Files up to this size are read as one value for the checksum of their bytes.
+WHOLE = 1 << 30
+
+
 def manifest(spark: SparkSession, path: str, inventory: DataFrame) -> DataFrame:
-    """Listed files that are there: size, SHA-256 of their bytes, expected rows."""
+    """Listed files that are there, with size, SHA-256 of their bytes and expected rows. Sizes come from the listing.
+
+    SHA-256 can't be put together from parts, and Spark holds a file as one value for it, so files above WHOLE bytes
+    have null there; ``content_checksums`` covers files of any size.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    found = files.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
-    return inventory.join(found, "file_name")
+    name = F.element_at(F.split("path", "/"), -1).alias("file_name")
+    sums = files.where(F.col("length") <= WHOLE).select(name, F.sha2("content", 256).alias("sha256"))
+    return inventory.join(files.select(name, F.col("length").alias("size")), "file_name").join(sums, "file_name", "left")
+
+
+def content_checksums(df: DataFrame) -> DataFrame:
+    """(file_name, row_count, checksum) of the files that ``df`` is read from: a sum over hashes of rows, in any order, read in splits."""
+    rows = df.select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file_name"), F.xxhash64(*df.columns).alias("h"))
+    return rows.groupBy("file_name").agg(F.count("*").alias("row_count"), F.hex(F.pmod(F.sum(F.col("h").cast("decimal(38,0)")), F.lit(1 << 62).cast("decimal(38,0)")).cast("long")).alias("checksum"))
 
 
 def exceptions(inventory: DataFrame, files: DataFrame) -> DataFrame:

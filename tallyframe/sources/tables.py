@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,10 +58,39 @@ def publish_features(df: DataFrame, name: str, version: str, source: str, produc
     set_properties(df.sparkSession, name, {"feature_version": version, "grain": grain, "key": key, "source": source, "producer": producer})
 
 
-def failure_record(spark: SparkSession, run_id: str, status: str, reason: str) -> DataFrame:
+def failure_record(spark: SparkSession, run_id: str, status: str, reason: str | None) -> DataFrame:
     return spark.createDataFrame([(run_id, status, reason)], "run_id string, status string, reason string").withColumn("processed_at_utc", F.current_timestamp())
 
 
+def publish_with_audit(spark: SparkSession, run_id: str, build: Callable[[], DataFrame], check: Callable[[DataFrame], str | None], publish: Callable[[DataFrame], None], audit: Callable[[DataFrame], None]) -> str:
+    """Builds, checks and publishes a table, and leaves one audit row in any case; returns the row's status.
+
+    'succeeded'; 'failed_qc' where ``check`` gives a reason (nothing is published); 'failed_runtime' where building,
+    checking or publishing breaks; 'published_audit_failed' where the table is out and its audit row could not be written (a second
+    try writes that). All but the first raise.
+    """
+    def leave(status: str, reason: str | None) -> None:
+        audit(failure_record(spark, run_id, status, reason))
+
+    try:
+        df = build()
+        reason = check(df)
+        if reason is None:
+            publish(df)
+    except Exception as error:
+        leave("failed_runtime", f"{type(error).__name__}: {error}"[:1_000])
+        raise
+    if reason is not None:
+        leave("failed_qc", reason)
+        raise ValueError(f"not published: {reason}")
+    try:
+        leave("succeeded", None)
+    except Exception as error:
+        leave("published_audit_failed", f"{type(error).__name__}: {error}"[:1_000])
+        raise
+    return "succeeded"
+
+
 def extract(df: DataFrame, order: list, path: str, file_format: str = "json") -> None:
     """Ordered rows as JSON or CSV files; ranges of the order become files."""
     df.orderBy(*order).write.mode("overwrite").format(file_format).option("header", True).save(path)
