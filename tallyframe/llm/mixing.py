@@ -45,7 +45,7 @@ def _ranked(rows: DataFrame, plan: DataFrame, most: int, seed: str) -> DataFrame
     expected = F.least(F.lit(float(most)), F.col("rate") * F.col("value"))
     whole = F.floor(expected + 1e-12)
     part = F.least(F.greatest(expected - whole, F.lit(1e-9)), F.lit(1 - 1e-9))
-    random = uniform("id", seed=seed)
+    random = uniform(F.coalesce(F.col("id").cast("string"), F.col("alt")), seed=seed)
     known = known.withColumns({"whole": whole.cast("int"), "rank": F.when(whole < most, (random / (1 - random)) / (part / (1 - part)))})
     return known.withColumn("step", F.floor(F.col("rank") / (1 + F.col("rank")) * STEPS).cast("int"))
 
@@ -54,7 +54,33 @@ def _value(value: Column | None) -> Column:
     return (F.lit(1.0) if value is None else F.greatest(F.coalesce(value.cast("double"), F.lit(1.0)), F.lit(0.0))).alias("value")
 
 
-def source_plan(sized: DataFrame, weight: Column, share: float, most: int, seed: str) -> DataFrame:
+def _alt(id_col: str, text_col: str) -> Column:
+    """What stands for the id of a row without one when random numbers are drawn."""
+    return F.when(F.col(id_col).isNull(), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"))).alias("alt")
+
+
+def rates(sized: DataFrame, targets: DataFrame, most: int) -> DataFrame:
+    """(source, rate): the expected copies per unit of value at which each source's words come to its target.
+
+    Documents whose rate times value passes ``most`` are held there, and what they leave goes to the others of their
+    source: each round holds more of them, until the rates are such that none is added.
+    """
+    by = sized.alias("d").join(F.broadcast(targets.alias("t")), F.expr("d.source <=> t.source")).select("d.source", "d.size", "d.value", "t.target")  # one row for each source
+    now = by.groupBy("source").agg(F.max("target").alias("target"), F.sum(F.col("size") * F.col("value")).alias("free"))
+    now = {r.source: (r.target / r.free if r.free else 0.0, 0) for r in now.collect()}
+    spark = sized.sparkSession
+    kind = f"source {dict(sized.dtypes)['source']}, rate double"
+    while True:
+        table = spark.createDataFrame([(k, v) for k, (v, _) in now.items()], kind)
+        held = by.alias("d").join(F.broadcast(table.alias("r")), F.expr("d.source <=> r.source")).select("d.*", (F.col("rate") * F.col("value") >= most).alias("full"))
+        sums = held.groupBy("source").agg(F.max("target").alias("target"), F.coalesce(F.sum(F.when(~F.col("full"), F.col("size") * F.col("value"))), F.lit(0.0)).alias("free"), F.coalesce(F.sum(F.when(F.col("full"), F.col("size"))), F.lit(0)).alias("full"), F.count(F.when(F.col("full"), 1)).alias("n")).collect()
+        new = {r.source: ((r.target - most * r.full) / r.free if r.free > 0 and r.n > now[r.source][1] else now[r.source][0], r.n) for r in sums}
+        if all(new[k][1] == now[k][1] for k in now):
+            return table
+        now = new
+
+
+def source_plan(sized: DataFrame, weight: Column, share: float, most: int, seed: str, unequal: bool = False) -> DataFrame:
     """Per source: source_size, target, rate (expected copies per unit of value), and up to where ranks get one copy more.
 
     sized: id, source, size, value. Words are summed by class of ranks (pre-aggregated before the shuffle); the
@@ -66,6 +92,8 @@ def source_plan(sized: DataFrame, weight: Column, share: float, most: int, seed:
     by_source = scratch.save(by_source.withColumn("place", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1))
     targets = source_targets(by_source, weight, share, most)
     plan = by_source.alias("s").join(targets.alias("t"), F.expr("s.source <=> t.source")).select("s.source", "s.source_size", "t.target", F.when(F.col("valued") > 0, F.col("target") / F.col("valued")).otherwise(0.0).alias("rate"))
+    if unequal:
+        plan = plan.alias("p").join(rates(sized, targets, most).alias("r"), F.expr("p.source <=> r.source")).select("p.source", "p.source_size", "p.target", "r.rate")
     plan = scratch.save(plan)
     known = scratch.save(_ranked(sized, plan, most, seed))
     certain = known.groupBy("source").agg((F.first("target") - F.sum(F.col("whole") * F.col("size"))).alias("rest"))
@@ -94,15 +122,16 @@ def mix(docs: DataFrame, weight: Column | None = None, share: float = 1.5, most:
     3, 1, 2 repeating. A document's expected copies are target / source_size, in proportion to ``value`` (a
     positive column; null counts as 1) where given, and ``most`` at most. The whole part is taken for certain.
     Documents then are ranked by the odds of a random number over the odds of what remains, and the least ranks
-    get one copy more until the words are nearest to the target: the sum is fixed, the choice is random. The
-    random number comes from the id and the seed, so reruns agree; equal ranks go by id and size.
+    get one copy more until the words are nearest to the target: the sum is fixed, the choice is random. What a
+    document at ``most`` copies can't take goes to the others of its source. The random number comes from the id (of a
+    null id the text) and the seed, so reruns agree; equal ranks go by id and size.
 
     Null and wordless texts have size 0 and add nothing. A null source is a source of its own. Repeated rows are
     each a document (with like ranks). An empty table gives an empty result. Other columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "mix")
-    sized = scratch.save(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), _value(value)))
-    ranked = _ranked(sized, source_plan(sized, weight if weight is not None else cyclic_weight(), share, most, seed), most, seed)
+    sized = scratch.save(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), _value(value), _alt(id_col, text_col)))
+    ranked = _ranked(sized, source_plan(sized, weight if weight is not None else cyclic_weight(), share, most, seed, value is not None), most, seed)
     ranked = ranked.withColumn("copies", _copies(ranked))
     return ranked.select(F.col("id").alias(id_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
@@ -110,8 +139,8 @@ def mix(docs: DataFrame, weight: Column | None = None, share: float = 1.5, most:
 def mixed(docs: DataFrame, weight: Column | None = None, share: float = 1.5, most: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", value: Column | None = None, seed: str = "mix") -> DataFrame:
     """``docs`` with each row as often as the mix takes it. Rows meet only the plan, one row for each source."""
     scratch = Scratch(docs.sparkSession, "mix")
-    sized = scratch.save(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), _value(value)))
-    plan = source_plan(sized, weight if weight is not None else cyclic_weight(), share, most, seed)
-    whole = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), _value(value), F.struct(*docs.columns).alias("doc"))
+    sized = scratch.save(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), _value(value), _alt(id_col, text_col)))
+    plan = source_plan(sized, weight if weight is not None else cyclic_weight(), share, most, seed, value is not None)
+    whole = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), _value(value), _alt(id_col, text_col), F.struct(*docs.columns).alias("doc"))
     ranked = _ranked(whole, plan, most, seed)
     return ranked.withColumn("copies", _copies(ranked)).where("copies > 0").select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")

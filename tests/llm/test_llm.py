@@ -192,6 +192,11 @@ def test_mix_prefers_larger_values_and_takes_empty_tables(spark):
     rows = mixing.mix(df, value=F.when(F.col("doc_id") % 2 == 0, 3.0).otherwise(1.0), share=0.5, weight=F.lit(1.0)).collect()
     assert sum(r.copies for r in rows if r.doc_id % 2 == 0) > 1.5 * sum(r.copies for r in rows if r.doc_id % 2)
     assert sum(r.taken for r in rows) == pytest.approx(4000, abs=25)
+    few = mixing.mix(df, value=F.when(F.col("doc_id") % 50 == 0, 100.0).otherwise(1.0), share=0.5, weight=F.lit(1.0)).collect()
+    assert all(r.copies == 2 for r in few if r.doc_id % 50 == 0)  # held at the most, and the others take what that leaves
+    assert sum(r.taken for r in few) == pytest.approx(4000, abs=25)
+    nameless = mixing.mix(df.selectExpr("cast(null as long) doc_id", "text", "source"), share=0.5, weight=F.lit(1.0)).collect()
+    assert sum(r.taken for r in nameless) == pytest.approx(4000, abs=25)
     assert mixing.mix(df.limit(0)).count() == 0
     assert mixing.mixed(df.limit(0)).count() == 0
     one = mixing.mix(make_docs(spark, [None, ""], ["a", None])).collect()
