@@ -57,7 +57,8 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     fields = F.struct("ts", "record_id", "etag", "last_modified", "headers")
     order = ("ts", F.when(full, 1).otherwise(0), "record_id")  # a revisit comes before responses of its own second
     within = W.partitionBy("url_key", "part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    ranged = keyed.where(usable & (full | (F.col("kind") == "revisit"))).repartitionByRange("url_key", *order)
+    # ranges go by the URL's hash, which keeps the sample for their bounds small
+    ranged = keyed.where(usable & (full | (F.col("kind") == "revisit"))).repartitionByRange(F.xxhash64("url_key"), *order)
     ranged = scratch.save(ranged.withColumn("part", F.spark_partition_id()))  # the bounds come from a sample, so they are used once
     placed = scratch.save(ranged.withColumn("here", F.last(F.when(full, fields), ignorenulls=True).over(within)).withColumn("is_full", full))
     scratch.drop(ranged)
