@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import re
+from collections import defaultdict
 from collections.abc import Iterable
 from functools import reduce
 from operator import add
@@ -192,54 +195,65 @@ def score_tier(score: Column | str) -> Column:
     return out.otherwise("low")
 
 
-def _listed(pairs: list[tuple[Column, Column]]) -> Column:
-    return F.array_compact(F.array(*(F.when(condition, value) for condition, value in pairs)))
+# What applies to a row, and what is then said; told in this order. Words in braces are thresholds by column.
+REASONS = (
+    ("coalesce(chronic_condition_count, 0) >= 6", "High chronic condition burden"),
+    ("coalesce(claims_per_enrollment_month, 0) >= {claims_per_enrollment_month}", "High claims per enrollment month"),
+    ("coalesce(provider_fragmentation_index, 0) >= {provider_fragmentation_index}", "High provider fragmentation"),
+    ("any_carrier_claim = 1", "Carrier claim activity present"),
+    ("coalesce(total_claim_days_log1p, 0) >= {total_claim_days_log1p}", "High claim-day utilization"),
+)
+# What drives a risk, with the weight by which drivers are ordered.
+DRIVERS = (
+    ("chronic_condition_count >= 6", "high chronic condition count", 95),
+    ("chronic_condition_count >= 3 and chronic_condition_count < 6", "moderate chronic condition burden", 70),
+    ("inpatient_claim_count > 0", "prior inpatient utilization", 90),
+    ("claims_per_enrollment_month >= 2 or total_claim_count >= 20", "high claims per enrollment month", 85),
+    ("unique_provider_count >= 6", "high provider fragmentation", 75),
+    ("prior_year_high_cost_indicator = 1", "prior high-cost year indicator", 80),
+    ("cost_per_enrollment_month >= 1000", "high prior-year cost intensity", 65),
+    ("enrollment_months_count > 0 and enrollment_months_count < 12", "partial-year enrollment requires review", 50),
+)
+NO_DRIVER = "routine utilization and chronic burden profile"
+# What a reviewer is to look at.
+REVIEWS = (
+    ("coalesce(enrollment_months_count, 0) <= 0", "zero_enrollment"),
+    ("coalesce(enrollment_months_count, 0) < 12", "partial_year_enrollment"),
+    ("annualized_cost_per_enrolled_month > {cost}", "extreme_annualized_cost"),
+    ("total_claim_count > {claims}", "extreme_claim_count"),
+    ("provider_fragmentation_index > 1.0", "provider_count_exceeds_claim_count"),
+)
+# Names of columns and what their values keep to; the first pattern that fits a name holds.
+BOUNDS = (
+    (r"^(sex|age_band|age_5yr_band|race_code|state_code)$", None),
+    (r"_flag$|_indicator$|^any_", "in (0, 1)"),
+    (r"share|_fraction$|percentile", "between 0 and 1"),
+    (r"_coverage_months$|_months_count$", "between 0 and 12"),
+    (r"^age_years(_imputed)?$", "between 0 and 115"),
+    (r"^(?!.*(change|difference)).*(count|cost|amount|total|days_supply)", "between 0 and double('Infinity')"),
+)
+
+
+def _applying(rules: tuple, values: dict[str, float] | None = None) -> Column:
+    """The texts of the rules that apply, with their weights where rules have some."""
+    limits = defaultdict(lambda: "double('Infinity')", {c: f"{float(v)!r}d" if math.isfinite(v) else f"double('{v}')" for c, v in (values or {}).items()})
+    said = [F.struct(*(F.lit(x) for x in reversed(rest))) if len(rest) > 1 else F.lit(rest[0]) for _, *rest in rules]
+    return F.array_compact(F.array(*(F.when(F.expr(rule[0].format_map(limits)), what) for rule, what in zip(rules, said, strict=True))))
 
 
 def reason_codes(thresholds: dict[str, float]) -> Column:
     """The first three reasons that apply, in fixed order; measures without a threshold give none."""
-
-    def above(c: str) -> Column:
-        return F.coalesce(F.col(c), F.lit(0.0)) >= F.lit(thresholds.get(c, float("inf")))
-
-    reasons = [
-        (F.coalesce("chronic_condition_count", F.lit(0)) >= 6, "High chronic condition burden"),
-        (above("claims_per_enrollment_month"), "High claims per enrollment month"),
-        (above("provider_fragmentation_index"), "High provider fragmentation"),
-        (F.col("any_carrier_claim") == 1, "Carrier claim activity present"),
-        (above("total_claim_days_log1p"), "High claim-day utilization"),
-    ]
-    return F.slice(_listed([(c, F.lit(text)) for c, text in reasons]), 1, 3)
+    return F.slice(_applying(REASONS, thresholds), 1, 3)
 
 
 def risk_drivers(most: int = 5) -> Column:
     """Labels of what drives the risk, heaviest first."""
-    chronic, months = F.col("chronic_condition_count"), F.col("enrollment_months_count")
-    drivers = [
-        (chronic >= 6, 95, "high chronic condition count"),
-        ((chronic >= 3) & (chronic < 6), 70, "moderate chronic condition burden"),
-        (F.col("inpatient_claim_count") > 0, 90, "prior inpatient utilization"),
-        ((F.col("claims_per_enrollment_month") >= 2) | (F.col("total_claim_count") >= 20), 85, "high claims per enrollment month"),
-        (F.col("unique_provider_count") >= 6, 75, "high provider fragmentation"),
-        (F.col("prior_year_high_cost_indicator") == 1, 80, "prior high-cost year indicator"),
-        (F.col("cost_per_enrollment_month") >= 1000, 65, "high prior-year cost intensity"),
-        ((months > 0) & (months < 12), 50, "partial-year enrollment requires review"),
-    ]
-    found = _listed([(c, F.struct(F.lit(w).alias("w"), F.lit(t).alias("t"))) for c, w, t in drivers])
-    labels = F.transform(F.slice(F.sort_array(found, asc=False), 1, most), lambda x: x["t"])
-    return F.when(F.size(labels) > 0, labels).otherwise(F.array(F.lit("routine utilization and chronic burden profile")))
+    labels = F.transform(F.slice(F.sort_array(_applying(DRIVERS), asc=False), 1, most), lambda x: x["col2"])
+    return F.when(F.size(labels) > 0, labels).otherwise(F.array(F.lit(NO_DRIVER)))
 
 
 def review_flags(extreme_cost: float = 250_000.0, extreme_claims: int = 1_000) -> Column:
-    months = F.coalesce("enrollment_months_count", F.lit(0))
-    flags = [
-        (months <= 0, "zero_enrollment"),
-        (months < 12, "partial_year_enrollment"),
-        (F.col("annualized_cost_per_enrolled_month") > extreme_cost, "extreme_annualized_cost"),
-        (F.col("total_claim_count") > extreme_claims, "extreme_claim_count"),
-        (F.col("provider_fragmentation_index") > 1.0, "provider_count_exceeds_claim_count"),
-    ]
-    return _listed([(c, F.lit(text)) for c, text in flags])
+    return _applying(REVIEWS, {"cost": extreme_cost, "claims": extreme_claims})
 
 
 def drift_status(psi: Column | str) -> Column:
@@ -256,21 +270,6 @@ def capture_status(baseline: Column | str, current: Column | str) -> Column:
 
 
 def impossible(name: str) -> Column:
-    """Whether a value of the column cannot be, judged by the column's name; the first rule that fits holds."""
-    c, n = F.col(name), name.lower()
-    if n in {"sex", "age_band", "age_5yr_band", "race_code", "state_code"}:
-        return F.lit(False)
-    if n.endswith(("_flag", "_indicator")) or n.startswith("any_"):
-        low_high = None
-    elif "share" in n or n.endswith("_fraction") or "percentile" in n:
-        low_high = (0, 1)
-    elif n.endswith(("_coverage_months", "_months_count")):
-        low_high = (0, 12)
-    elif n in {"age_years", "age_years_imputed"}:
-        low_high = (0, 115)
-    elif any(x in n for x in ("count", "cost", "amount", "total", "days_supply")) and "change" not in n and "difference" not in n:
-        low_high = (0, float("inf"))
-    else:
-        return F.lit(False)
-    wrong = ~c.isin(0, 1) if low_high is None else (c < low_high[0]) | (c > low_high[1])
-    return F.coalesce(wrong, F.lit(False))
+    """Whether a value of the column cannot be, judged by the column's name."""
+    bound = next((b for pattern, b in BOUNDS if re.search(pattern, name.lower())), None)
+    return F.coalesce(~F.expr(f"`{name}` {bound}"), F.lit(False)) if bound else F.lit(False)

@@ -111,8 +111,3 @@ def consistency(features: DataFrame, required: list[str], properties: dict[str,
         status = F.when((F.size("s") == 0) | (F.col("other") == 1), "fail").when(F.size(F.array_except(F.array(F.lit("train"), F.lit("validation"), F.lit("test")), "s")) > 0, "warn").otherwise("pass")
         rows.append(splits.select(F.lit(f"splits of {model}").alias("check_name"), status.alias("status"), F.array_join("s", ",").alias("detail")))
     return reduce(DataFrame.unionByName, rows)
-
-
-def ranked_runs(audit: DataFrame) -> DataFrame:
-    """All test runs of each model, latest first."""
-    return audit.where("split_name = 'test'").groupBy(*RUN).agg(F.max("processed_at_utc").alias("latest")).withColumn("run_rank", F.row_number().over(W.partitionBy("model_name").orderBy(F.desc("latest"), F.desc("run_id"))))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,6 +97,23 @@ def _lookup(c: str, table: dict[str, float]) -> Column:
     return F.element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), F.col(c))
 
 
+# How well an action suits a state. Of each group the first line that fits gives a factor, else it is 1.
+SUITABILITY = (
+    (
+        ("low_touch_outreach", "state_tier = 'low'", 0.45),
+        ("low_touch_outreach", "state_tier in ('elevated', 'high')", 1.05),
+        ("care_coordination_call", "state_tier = 'low' and state_burden = 'low'", 0.15),
+        ("care_coordination_call", "state_utilization = 'high' or state_burden in ('medium', 'high')", 1.15),
+        ("intensive_case_management", "state_tier = 'low'", 0.20),
+        ("intensive_case_management", "state_tier = 'elevated'", 0.55),
+        ("intensive_case_management", "state_tier = 'high'", 1.10),
+        ("intensive_case_management", "true", 1.35),
+    ),
+    (("intensive_case_management", "state_burden = 'high'", 1.10),),
+    (("intensive_case_management", "state_utilization = 'high'", 1.12),),
+)
+
+
 def action_table(spark) -> DataFrame:
     rows = [(i, *a) for i, a in enumerate(ACTIONS)]
     return spark.createDataFrame(rows, "action_no int, action string, action_label string, action_cost double, risk_multiplier double")
@@ -109,13 +124,12 @@ def all_actions(df: DataFrame, policy: DataFrame, p: str = "predicted_probabilit
 
     policy: state_id, action, q_value: 108 states by 4 actions. The recommended action has the largest value, the first of equals.
     """
-    tier, burden, use = F.col("state_tier"), F.col("state_burden"), F.col("state_utilization")
-    fit = (
-        F.when(F.col("action") == "low_touch_outreach", F.when(tier == "low", 0.45).when(tier.isin("elevated", "high"), 1.05).otherwise(1.0))
-        .when(F.col("action") == "care_coordination_call", F.when((tier == "low") & (burden == "low"), 0.15).when((use == "high") | burden.isin("medium", "high"), 1.15).otherwise(1.0))
-        .when(F.col("action") == "intensive_case_management", F.when(tier == "low", 0.20).when(tier == "elevated", 0.55).when(tier == "high", 1.10).otherwise(1.35) * F.when(burden == "high", 1.10).otherwise(1.0) * F.when(use == "high", 1.12).otherwise(1.0))
-        .otherwise(1.0)
-    )
+    tier, fit = F.col("state_tier"), F.lit(1.0)
+    for group in SUITABILITY:
+        of_group = F
+        for action, state, factor in group:
+            of_group = of_group.when((F.col("action") == action) & F.expr(state), factor)
+        fit = fit * of_group.otherwise(1.0)
     less = F.least(F.lit(0.85), F.greatest(F.lit(0.0), (1 - F.col("risk_multiplier")) * _lookup("state_tier", TIER_GAIN) * _lookup("state_prior", PRIOR_FACTOR) * fit))
     after = F.greatest(F.lit(0.01), F.least(F.lit(0.99), F.col(p) * (1 - less)))
     steps = _index(probability_tier(F.col("next_risk")), RISK_TIERS) - _index(tier, RISK_TIERS)
@@ -130,14 +144,3 @@ def all_actions(df: DataFrame, policy: DataFrame, p: str = "predicted_probabilit
 
 def best_actions(df: DataFrame, policy: DataFrame, p: str = "predicted_probability") -> DataFrame:
     return all_actions(df, policy, p).where("is_recommended")
-
-
-def rationale() -> Column:
-    """Why the recommended action of a row's state."""
-    head = F.concat(F.col("state_tier"), F.lit(" risk, "), F.col("state_burden"), F.lit(" chronic burden, "), F.col("state_utilization"), F.lit(" utilization: "))
-    why = {"no_action": "the cost of acting outweighs the expected benefit", "low_touch_outreach": "light outreach is worth its low cost", "care_coordination_call": "a call balances cost and expected risk reduction best", "intensive_case_management": "intensive management has the highest expected long-run value"}
-    return F.concat(head, _lookup("recommended_action", why))
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
