@@ -47,18 +47,21 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, what: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/tallyframe/{what}-{uuid.uuid4().hex}"
-        self.paths: list[str] = []
+        self.saved: list[tuple[DataFrame, str]] = []
+        self.count = 0
 
     def save(self, df: DataFrame) -> DataFrame:
-        path = f"{self.root}/{len(self.paths)}"
-        self.paths.append(path)
+        path, self.count = f"{self.root}/{self.count}", self.count + 1
         df.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.saved.append((table, path))
+        return table
 
     def drop(self, df: DataFrame) -> None:
         """Deletes a saved table that nothing lazy still reads."""
-        for f in df.inputFiles()[:1]:
-            delete(self.spark, f.rsplit("/", 1)[0])
+        for table, path in [x for x in self.saved if x[0] is df]:
+            delete(self.spark, path)
+            self.saved = [x for x in self.saved if x[1] != path]
 
 
 def one_of_each(docs: DataFrame, classed: DataFrame, id_col: str, text_col: str) -> DataFrame:

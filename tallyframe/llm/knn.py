@@ -144,6 +144,7 @@ def top_inner_products(data: DataFrame, is_query: Column, k: int = 10, id_col: s
                 yield pa.record_batch([part.column(0), part.column(1), pa.array(d.argmin(1).astype(np.int32)), pa.array(bound * (1 + 1e-9) + slack), pa.array(list(d), pa.list_(pa.float64()))], names=["id", "v", "cell", "bound", "d"])
 
     asked = scratch.save(rows.where("q").select("id", "v").distinct().mapInArrow(to_groups, "id long, v array<long>, cell int, bound double, d array<double>"))
+    scratch.drop(rows)
     sizes = {r.cell: r["count"] for r in asked.groupBy("cell").count().collect()}
     groups = F.create_map(*[F.lit(x) for c, (g, p) in packed(sizes, pivots, GROUP).items() for x in (c, F.struct(F.lit(g).alias("g"), F.lit(p).alias("p")))])
     group = F.element_at(groups, F.col("cell"))

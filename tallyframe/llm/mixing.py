@@ -94,7 +94,7 @@ def source_plan(sized: DataFrame, weight: Column, share: float, most: int, seed:
     plan = by_source.alias("s").join(targets.alias("t"), F.expr("s.source <=> t.source")).select("s.source", "s.source_size", "t.target", F.when(F.col("valued") > 0, F.col("target") / F.col("valued")).otherwise(0.0).alias("rate"))
     if unequal:
         plan = plan.alias("p").join(rates(sized, targets, most).alias("r"), F.expr("p.source <=> r.source")).select("p.source", "p.source_size", "p.target", "r.rate")
-    plan = scratch.save(plan)
+    plan = rated = scratch.save(plan)
     known = scratch.save(_ranked(sized, plan, most, seed))
     certain = known.groupBy("source").agg((F.first("target") - F.sum(F.col("whole") * F.col("size"))).alias("rest"))
     classes = known.where("step is not null").groupBy("source", "step").agg(F.sum("size").alias("words"))
@@ -108,7 +108,10 @@ def source_plan(sized: DataFrame, weight: Column, share: float, most: int, seed:
     cut = cut.withColumn("upto", F.col("before") + F.sum("size").over(inside)).where(F.col("upto") - F.col("size") / 2.0 <= F.col("rest"))
     cut = cut.groupBy("source").agg(F.max(F.struct("rank", "id")).alias("cut"))
     plan = plan.alias("p").join(last.alias("l"), F.expr("p.source <=> l.source"), "left").join(cut.alias("c"), F.expr("p.source <=> c.source"), "left")
-    return scratch.save(plan.select("p.*", "l.all_to", "c.cut"))
+    done = scratch.save(plan.select("p.*", "l.all_to", "c.cut"))
+    for used in (by_source, rated, known, classes):
+        scratch.drop(used)
+    return done
 
 
 def _copies(ranked: DataFrame) -> Column:

@@ -201,6 +201,7 @@ def scan(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id
         own = own.where(uniform("id", "begin", seed="own") < F.lit(share)).withColumn("label", F.lit(0))
         train = scratch.save(train.where(learnt_from()).select("id", "begin", "features", "label").unionByName(own.select("id", "begin", "features", "label")))
         forest = forest_of(train, 3 * rows)
+        scratch.drop(train)
     else:
         marked = found.join(labels.groupBy("secret").agg(F.max("label").alias("label")), "secret").where("label is not null").where(learnt_from())
         forest = forest_of(marked, rows)

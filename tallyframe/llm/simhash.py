@@ -192,6 +192,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = scratch.save(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     first = named.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = scratch.save(named.join(first, "root").select("fp", "root", "component_id"))
+    scratch.drop(nodes)
+    scratch.drop(named)
     return prints.join(classes, "fp").select(F.col("id").alias(id_col), "doc", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "fp", "root", "component_id")
 
 

@@ -306,6 +306,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     regions = met.mapInArrow(_regions(length), "anchor long, salt int, region binary, key binary, starts array<int>")
     found = regions.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt").mapInArrow(_solve(length), "key binary, low int, high int, h1 long, h2 long")
     found = scratch.save(found)
+    scratch.drop(places)
+    scratch.drop(again)
     shared = found.where("h1 is not null and key is null").dropDuplicates(["h1", "h2"]).unionAll(found.where("h1 is not null and key is not null"))
     apart = shared.repartition("h1", "h2").sortWithinPartitions("h1", "h2").mapInArrow(_merge, "key binary, low int, high int")
     whole = copies.where("copies > 1").select("key", F.lit(0).alias("low"), F.col("size").alias("high"))
