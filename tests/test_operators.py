@@ -106,7 +106,7 @@ def test_sources(spark, tmp_path):
     (tmp_path / "in" / "b_2008.csv").write_text("k,v\n1,x\n2,\n")
     (tmp_path / "inv.json").write_text('{"files": [{"entity": "b", "file_name": "b_2008.csv"}, {"entity": "b", "file_name": "gone_2009.csv"}]}')
     listed = inventory.load_inventory(spark, str(tmp_path / "inv.json")).withColumn("year", inventory.entry_year(["file_name"]))
-    raw = inventory.read_raw(spark, [str(tmp_path / "in" / "b_2008.csv")], "b", listed, "k")
+    raw = inventory.read_raw(spark, [str(tmp_path / "in" / "b_2008.csv")], "b", listed, "k", yearly=("b",))
     assert [(r.k, r.v, r._bronze_source_year) for r in raw.orderBy("k").collect()] == [("1", "x", 2008), ("2", None, 2008)]
     files = inventory.list_files(spark, str(tmp_path / "in"))
     assert [r.file_name for r in inventory.exceptions(listed, files).collect()] == ["gone_2009.csv"]
