@@ -131,22 +131,26 @@ def planted(docs: DataFrame, id_col: str, text_col: str, path_col: str, rows: in
     share = min(1.0, rows / max(docs.count(), 1))
     rows_of = docs.select(F.col(id_col).alias("id"), F.col(path_col).cast("string").alias("path"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     base = rows_of.where(uniform("id", seed="plants") < F.lit(share)).select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("label"))
+    at = (uniform("id", seed="place") * F.length("text")).cast("int")
+    near = base.withColumn("at", at).withColumn("near", F.substr("text", F.greatest(F.col("at") - 60, F.lit(1)), F.lit(400)))
+    base = near.withColumn("words", F.filter(F.split("near", r"[^A-Za-z]+"), lambda w: F.length(w) > 3))
     pick = lambda n, seed: (uniform("id", "label", seed=seed) * n).cast("int")
     digest = F.sha2(F.concat_ws("|", F.lit("plant"), F.col("id").cast("string"), F.col("label").cast("string")), 512)
     raw = F.regexp_replace(F.base64(F.unhex(digest)), r"\s", "")
     hexes, mixed, digits = F.substr(digest, F.lit(1), F.element_at(F.array(*map(F.lit, (32, 40, 64))), pick(3, "size") + 1)), F.substr(raw, F.lit(1), 20 + pick(40, "size")), F.translate(digest, "abcdef", "012345")
     short = F.concat(F.substr(F.regexp_replace(raw, "[+/=]", ""), F.lit(1), 7 + pick(6, "size")), F.lit("!7x"))
     upper = F.concat(F.lit("AKIA"), F.substr(F.upper(F.regexp_replace(raw, "[^A-Za-z2-7]", "")), F.lit(1), F.lit(16)))
-    word = F.concat_ws("-", *(F.get(F.filter(F.split("text", r"[^A-Za-z]+"), lambda w: F.length(w) > 3), pick(20, f"word{i}")) for i in range(4)))
+    word = F.concat_ws("-", *(F.get("words", pick(20, f"word{i}")) for i in range(4)))
     uuid = F.concat_ws("-", *(F.substr(digest, F.lit(a), F.lit(n)) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
     key = F.element_at(F.array(hexes, mixed, short, upper), pick(4, "kind") + 1)
     like = F.element_at(F.array(F.concat(word, F.lit("-page1")), uuid, F.substr(digits, F.lit(1), 16 + pick(8, "size")), F.concat(word, F.lit("_v2")), F.substr(digest, F.lit(1), F.lit(40))), pick(5, "kind") + 1)
     signs = lambda of, i: F.element_at(F.array(*(F.lit(x[i]) for x in of)), pick(len(of), "signs") + 1)
     is_key = F.col("label") == 1
     plant, before, after = F.when(is_key, key).otherwise(like), F.when(is_key, signs(KEYS, 0)).otherwise(signs(LIKE, 0)), F.when(is_key, signs(KEYS, 1)).otherwise(signs(LIKE, 1))
-    at = (uniform("id", seed="place") * F.length("text")).cast("int")
-    text = F.concat(F.substr("text", F.greatest(at - 60, F.lit(1)), F.least(at, F.lit(60))), F.lit(" "), before, plant, after, F.lit(" "), F.substr("text", at + 1, F.lit(60)))
-    return base.select("id", "path", text.alias("text"), plant.alias("plant"), "label")
+    made = base.select("id", "path", "text", "at", "label", plant.alias("plant"), before.alias("before"), after.alias("after"))
+    at = F.col("at")
+    text = F.concat(F.substr("text", F.greatest(at - 60, F.lit(1)), F.least(at, F.lit(60))), F.lit(" "), "before", "plant", "after", F.lit(" "), F.substr("text", at + 1, F.lit(60)))
+    return made.select("id", "path", text.alias("text"), "plant", "label")
 
 
 def planted_findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", rows: int = TRAIN_ROWS) -> DataFrame:
