@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import chat, decontam, knn, lines, mixing, quality, secrets, sharding, simhash, suffix, warc
+from tallyframe.llm import align, chat, decontam, knn, lines, mixing, quality, secrets, sharding, simhash, suffix, warc
 from tallyframe.llm._common import shared_dir, table
 
 
@@ -59,6 +59,10 @@ def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chats(rows.unionAll(forged))).withColumnRenamed("conv", "conv_id")
 
 
+def op13_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_voronoi_knn": op1_voronoi_knn,
     "op2_decontaminate": op2_decontaminate,
@@ -71,6 +75,7 @@ QUERIES = {
     "op9_shard_compaction": op9_shard_compaction,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_chat_format": op11_chat_format,
+    "op13_token_align": op13_token_align,
 }
 
 ORACLE_SQL: dict[str, str] = {
