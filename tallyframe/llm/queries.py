@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import align, chat, decontam, knn, lines, mixing, quality, secrets, sharding, simhash, suffix, warc
+from tallyframe.llm import align, chat, decontam, knn, lines, mixing, phrases, quality, secrets, sharding, simhash, suffix, warc
 from tallyframe.llm._common import shared_dir, table
 
 
@@ -59,6 +59,10 @@ def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chats(rows.unionAll(forged))).withColumnRenamed("conv", "conv_id")
 
 
+def op12_phrase_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align(table(spark, sf_dir, "documents"))
 
@@ -75,6 +79,7 @@ QUERIES = {
     "op9_shard_compaction": op9_shard_compaction,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_chat_format": op11_chat_format,
+    "op12_phrase_graph": op12_phrase_graph,
     "op13_token_align": op13_token_align,
 }
 
@@ -124,4 +129,17 @@ ORACLE_SQL: dict[str, str] = {
                coalesce(sum(length(t)) filter (r = 'assistant'), 0)::bigint loss_chars, sha256(coalesce(string_agg(t, '' order by turn, r, t) filter (r = 'assistant'), '')) loss_sha256,
                sum(length(t) + len(regexp_extract_all(t, pat)) + case r when 'user' then 15 when 'assistant' then 7 when 'system' then 18 else 19 + length(r) + len(regexp_extract_all(r, pat)) end)::bigint formatted_chars
         from k group by conv_id""",
+    "op12_phrase_graph": r"""
+        with p as (select coalesce(lang, 'und') lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) piece from documents),
+             w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') w from p where regexp_matches(piece, '[^\x20\x09]')),
+             g as (select lang, unnest(flatten([[w[i:i + k - 1] for i in range(1, len(w) - k + 2)] for k in range(1, 5)])) g from w),
+             f as (select lang, g, count(*) n from g group by all having count(*) >= 30),
+             t as (select lang, sum(len(w))::bigint n from w group by lang),
+             c as (select f.lang, f.g, f.n a, k, x.n l, y.n r, (2000000::hugeint * f.n) // (x.n + y.n) score
+                   from (select *, unnest(range(1, len(g))) k from f) f join f x on x.lang = f.lang and x.g = f.g[:k] join f y on y.lang = f.lang and y.g = f.g[k + 1:]),
+             b as (select * from c qualify row_number() over (partition by lang, g order by score, k) = 1),
+             s as (select lang, g, max(n) cover from (select lang, n, unnest([g[:len(g) - 1], g[2:]]) g from f where len(g) > 2) group by all),
+             o as (select b.*, array_to_string(b.g, ' ') phrase from b left join s using (lang, g) where cover is null or 100 * cover < 80 * a),
+             k as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) "rank" from o)
+        select k.lang, "rank", phrase, a, l, r, t.n, score::bigint score from k join t using (lang) where "rank" <= 2000""",
 }
