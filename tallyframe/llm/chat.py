@@ -186,57 +186,87 @@ def format_chats(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     return dealt.mapInArrow(lambda batches: _formatted(batches, template, part), schema)
 
 
-class _Digest:
+class Digest:
     """What has been read back of one conversation."""
 
     def __init__(self) -> None:
         self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
         self.n_turns = self.loss_chars = self.chars = 0
 
-    def add(self, formatted: bytes, loss: list[dict], template: Template, pattern: re.Pattern[bytes], roles: dict[bytes, bytes]) -> None:
+    def row(self) -> tuple:
+        return self.n_turns, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars
+
+
+class Reader:
+    """Reads formatted text by its template."""
+
+    def __init__(self, template: Template):
+        self.template, self.pattern = template, template.turn()
+        self.roles = {a.encode(): role.encode() for role, (a, _) in template.marks.items()}
+
+    def add(self, to: Digest, formatted: bytes, loss: list[dict]) -> None:
         at = 0
-        for m in pattern.finditer(formatted):
+        for m in self.pattern.finditer(formatted):
             if m.start() != at:
-                raise ValueError("formatted text does not follow its template")
+                break
             at = m.end()
-            role = roles[m[1]] if m[2] is None else unescape(m[2], template)
-            self.turns.update(role + b"\n" + unescape(m[3], template) + b"\n")
-            self.n_turns += 1
+            role = self.roles[m[1]] if m[2] is None else unescape(m[2], self.template)
+            to.turns.update(role + b"\n" + unescape(m[3], self.template) + b"\n")
+            to.n_turns += 1
         if at != len(formatted):
             raise ValueError("formatted text does not follow its template")
         for span in loss:
-            text = unescape(formatted[span["start"] : span["end"]], template)
-            self.loss.update(text)
-            self.loss_chars += len(text.decode())
-        self.chars += len(formatted.decode())
+            text = unescape(formatted[span["start"] : span["end"]], self.template)
+            to.loss.update(text)
+            to.loss_chars += len(text.decode())
+        to.chars += len(formatted.decode())
+
+    def digest(self, parts: list[tuple[bytes, list[dict]]]) -> tuple:
+        found = Digest()
+        for formatted, loss in parts:
+            self.add(found, formatted, loss)
+        return found.row()
 
-    def row(self, conv) -> tuple:
-        return conv, self.n_turns, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars
 
+_DIGESTS = ["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+_KINDS = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
 
-def _read(batches: Iterator[pa.RecordBatch], template: Template) -> Iterator[pa.RecordBatch]:
-    pattern, roles = template.turn(), {a.encode(): role.encode() for role, (a, _) in template.marks.items()}
-    names = ["conv", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-    now, conv, kind = None, None, None
 
-    def made(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [kind, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+def _digests(rows: list[tuple]) -> list[pa.Array]:
+    return [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=True)]
+
+
+def _read_whole(batches: Iterator[pa.RecordBatch], template: Template) -> Iterator[pa.RecordBatch]:
+    """Whole conversations become digests; parts stay as they are."""
+    reader = Reader(template)
+    for batch in batches:
+        whole, formatted, loss = (batch.column(c) for c in ("whole", "formatted", "loss"))
+        rows = [reader.digest([(formatted[i].as_buffer().to_pybytes(), loss[i].as_py())]) if whole[i].as_py() else (None,) * 5 for i in range(len(batch))]
+        if rows:
+            keep = [pc.if_else(whole, pa.scalar(None, c.type), c) for c in (formatted, loss)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("conv", "turn", "tie", "part")), *keep, *_digests(rows)], ["conv", "turn", "tie", "part", "formatted", "loss", *_DIGESTS])
+
 
+def _read_parts(batches: Iterator[pa.RecordBatch], template: Template) -> Iterator[pa.RecordBatch]:
+    """Digests pass; the parts of a conversation, which lie in order, are read as a stream."""
+    reader, now, conv, kind = Reader(template), None, None, None
     for batch in batches:
-        done, kind = [], batch.schema.field("conv").type
-        new, convs = _changes(batch.column("conv")), batch.column("conv")
-        for i in range(len(batch)):
+        kind, convs = batch.schema.field("conv").type, batch.column("conv")
+        done, formatted, loss = [], batch.column("formatted"), batch.column("loss")
+        known = batch.filter(pc.is_null(formatted)).select(["conv", *_DIGESTS])
+        if known.num_rows:
+            yield known
+        for i in np.flatnonzero(pc.is_valid(formatted).to_numpy(zero_copy_only=False)).tolist():
             value = convs[i].as_py()
-            if now is None or (value != conv if i == 0 else new[i]):
+            if now is None or value != conv:
                 if now is not None:
-                    done.append(now.row(conv))
-                now, conv = _Digest(), value
-            now.add(batch.column("formatted")[i].as_buffer().to_pybytes(), batch.column("loss")[i].as_py(), template, pattern, roles)
+                    done.append((conv, now.row()))
+                now, conv = Digest(), value
+            reader.add(now, formatted[i].as_buffer().to_pybytes(), loss[i].as_py())
         if done:
-            yield made(done)
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in done], kind), *_digests([r for _, r in done])], ["conv", *_DIGESTS])
     if now is not None:
-        yield made([now.row(conv)])
+        yield pa.RecordBatch.from_arrays([pa.array([conv], kind), *_digests([now.row()])], ["conv", *_DIGESTS])
 
 
 def read_back(formatted: DataFrame, template: Template = TEMPLATE) -> DataFrame:
@@ -245,8 +275,9 @@ def read_back(formatted: DataFrame, template: Template = TEMPLATE) -> DataFrame:
     Whole conversations are read where they lie; the parts of others meet by conversation and are read in order as a
     stream, so no task holds more than one part. Text that the template can't have made is an error.
     """
-    schema = f"conv {dict(formatted.dtypes)['conv']}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    columns = ["conv", "formatted", "loss"]
-    read = lambda batches: _read(batches, template)
-    parts = formatted.where("not whole").repartition("conv").sortWithinPartitions("conv", "turn", "tie", "part")
-    return formatted.where("whole").select(columns).mapInArrow(read, schema).unionAll(parts.select(columns).mapInArrow(read, schema))
+    kinds = dict(formatted.dtypes)
+    digests = "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    order = f"conv {kinds['conv']}, turn {kinds['turn']}, tie long, part long"
+    read = formatted.select("conv", "turn", "tie", "part", "whole", "formatted", "loss").mapInArrow(lambda x: _read_whole(x, template), f"{order}, formatted string, loss {kinds['loss']}, {digests}")
+    met = read.repartition("conv").sortWithinPartitions("conv", "turn", "tie", "part")
+    return met.mapInArrow(lambda x: _read_parts(x, template), f"conv {kinds['conv']}, {digests}")
