@@ -23,7 +23,7 @@ from tallyframe.llm._common import Scratch, blocks, byte_column
 
 #: Where the tokenizers' files lie, on every machine.
 FOLDER = "/opt/tokenizers"
-BLOCK = 1 << 23
+BLOCK = 1 << 22
 #: Bytes of distinct units that are tokenized in one call.
 CALL = 1 << 14
 #: Units of one text whose groups are written out at a time.
@@ -199,16 +199,14 @@ def _align(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Record
     base = (context.partitionId() if context else 0) << 32
     for batch in batches:
         texts = batch.column("text")
-        spaced = pc.binary_join_element_wise(pa.scalar(" ", texts.type), pc.fill_null(texts, ""), "")
-        data, at = byte_column(spaced)
-        for low, high in blocks(at, BLOCK):
+        for low, high in blocks(byte_column(texts)[1], BLOCK):
             n = high - low
-            edge, first = unit_edges(data[at[low] : at[high]], at[low : high + 1] - at[low])
-            kind = pa.StringArray if edge[-1] < 1 << 31 else pa.LargeStringArray
-            offsets = pa.py_buffer(edge.astype(np.int32 if kind is pa.StringArray else np.int64))
-            units = kind.from_buffers(len(edge) - 1, offsets, pa.py_buffer(data[at[low] : at[high]])).dictionary_encode()
+            spaced = pc.binary_join_element_wise(pa.scalar(" ", texts.type), pc.fill_null(texts.slice(low, n), ""), "")
+            data, at = byte_column(spaced)
+            edge, first = unit_edges(data, at)
+            units = pa.StringArray.from_buffers(len(edge) - 1, pa.py_buffer(edge.astype(np.int32)), pa.py_buffer(data)).dictionary_encode()
             index, found = units.indices.to_numpy(), Aligned(units.dictionary, both)
-            blank = pc.equal(pc.binary_length(spaced.slice(low, n)), 1).to_numpy(zero_copy_only=False)
+            blank = np.diff(at) == 1
             good = ~blank & (_sums(~found.good[index], first) == 0)
             held = np.repeat(good, np.diff(first))
             weight = np.bincount(index[held], minlength=len(units.dictionary))
@@ -235,6 +233,7 @@ def _align(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Record
                 ["block", "doc", *_NUMBERS, "groups_sha256", "units", "is_block", "pair_a", "pair_b", "pair_n", "link_at", "links"],
             )
             count += 1
+    pa.default_memory_pool().release_unused()
 
 
 def _scored(block: pa.Table, pairs: pa.Table) -> pa.Table:
