@@ -221,26 +221,23 @@ def best_splits(sums: np.ndarray, offsets: np.ndarray, features: np.ndarray, p:
     Gain: the rise of T(G)^2 / (H + lambda) over both sides, T shrinking G by alpha; it must reach gamma, and each side
     the least hessian and rows. Equal gains go to the first feature and cut.
     """
-    found: list[tuple | None] = []
     of_cell = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    last = np.zeros(offsets[-1], bool)
-    last[offsets[1:] - 1] = True
-    allowed = np.isin(of_cell, features) & ~last
-    score = lambda g, h: _shrunk(g, p.reg_alpha) ** 2 / np.maximum(h + p.reg_lambda, 1e-16)
-    for g, h, n in sums:
-        run = [np.cumsum(x) for x in (g, h, n)]
-        base = [np.r_[0, x][offsets[:-1]][of_cell] for x in run]
-        left = [x - b for x, b in zip(run, base, strict=True)]
-        total = [x[offsets[0] : offsets[1]].sum() for x in (g, h, n)]
-        right = [t - x for t, x in zip(total, left, strict=True)]
-        fits = allowed & (left[1] >= p.min_child_weight) & (right[1] >= p.min_child_weight) & (left[2] >= max(p.min_rows, 1)) & (right[2] >= max(p.min_rows, 1))
-        gain = np.where(fits, score(left[0], left[1]) + score(right[0], right[1]) - score(total[0], total[1]), -np.inf)
-        at = int(np.argmax(gain > gain.max() - 1e-9 * max(1.0, abs(gain.max())))) if fits.any() else 0
-        if not fits.any() or gain[at] <= 1e-6 or gain[at] < p.gamma:
-            found.append(None)
-            continue
-        f = int(of_cell[at])
-        found.append((f, at - int(offsets[f]), left[0][at], left[1][at], right[0][at], right[1][at]))
+    allowed = np.isin(of_cell, features)
+    allowed[offsets[1:] - 1] = False  # nothing lies to the right of a feature's last bin
+    run = np.cumsum(sums, axis=2)
+    left = run - np.concatenate([np.zeros((*sums.shape[:2], 1)), run], axis=2)[:, :, offsets[:-1]][:, :, of_cell]
+    total = sums[:, :, : offsets[1]].sum(axis=2)[:, :, None]
+    right = total - left
+    fits = allowed & (np.minimum(left[:, 1], right[:, 1]) >= p.min_child_weight) & (np.minimum(left[:, 2], right[:, 2]) >= max(p.min_rows, 1))
+    score = lambda x: _shrunk(x[:, 0], p.reg_alpha) ** 2 / np.maximum(x[:, 1] + p.reg_lambda, 1e-16)
+    gain = np.where(fits, score(left) + score(right) - score(total), -np.inf)
+    most = gain.max(axis=1)
+    at = np.argmax(gain > (most - 1e-9 * np.maximum(1.0, np.abs(most)))[:, None], axis=1)
+    found: list[tuple | None] = []
+    for node, cell in enumerate(at.tolist()):
+        f = int(of_cell[cell])
+        good = fits[node].any() and gain[node, cell] > 1e-6 and gain[node, cell] >= p.gamma
+        found.append((f, cell - int(offsets[f]), *left[node, :2, cell], *right[node, :2, cell]) if good else None)
     return found
 
 
@@ -273,7 +270,8 @@ def grow(rows: DataFrame, points: list[Point], cuts: list[np.ndarray], seed: int
     """
     offsets = np.r_[0, np.cumsum([len(c) + 1 for c in cuts])]
     models = {i: Model(p) for i, p in enumerate(points)}
-    state, written, turn = saved(rows.withColumn("margins", F.lit(np.zeros(len(points)).tobytes())), "boosting"), dict.fromkeys(models, 0), 0
+    state = saved(rows.withColumn("margins", F.lit(np.zeros(len(points)).tobytes())).hint("rebalance"), "boosting")  # every pass reads it: few tasks for few rows
+    written, turn = dict.fromkeys(models, 0), 0
     _starts(state, models)
     growing = dict(models)
     while growing:

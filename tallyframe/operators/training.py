@@ -3,25 +3,24 @@
 from __future__ import annotations
 
 import json
-import math
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from itertools import product
 
-import numpy as np
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GeneralizedLinearRegression, IsotonicRegression
-from pyspark.ml.stat import Correlation
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import IsotonicRegression
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyframe.operators import metrics
+from tallyframe.operators import boosting, logits, metrics
 from tallyframe.operators.features import reject_leakage
-from tallyframe.sources.scratch import saved
+from tallyframe.operators.logits import Term
+from tallyframe.sources.scratch import drop, saved
 
 
 def filled(df: DataFrame, numeric: list[str], categorical: list[str]) -> DataFrame:
@@ -48,8 +47,14 @@ def balanced(df: DataFrame) -> DataFrame:
 GRIDS = {
     "logistic_regression": {"C": [0.01, 0.1, 1.0, 10.0]},
     "random_forest": {"numTrees": [50, 150, 300], "maxDepth": [8, 12], "minInstancesPerNode": [10, 20], "featureSubsetStrategy": ["sqrt", "0.5"]},
-    "gradient_boosting": {"maxDepth": [3, 5], "minInstancesPerNode": [10, 20], "subsamplingRate": [0.8, 1.0], "maxIter": [500, 1000]},
-    "regularized_boosting": {"maxDepth": [2, 3], "stepSize": [0.05, 0.1], "minInstancesPerNode": [10, 20]},
+    "gradient_boosting": {"max_depth": [3, 5], "min_rows": [10, 20], "subsample": [0.8, 1.0], "rounds": [500, 1000]},
+    "regularized_boosting": {"max_depth": [3, 4], "min_child_weight": [3.0, 5.0], "gamma": [0.0, 1.0], "subsample": [0.8], "colsample": [0.8], "reg_alpha": [0.0, 0.1], "reg_lambda": [1.0, 5.0]},
+}
+# What these grids leave open. Gradient boosting stops by the loss of a seventh of the rows it may learn from
+# and keeps all its trees; regularized boosting stops by the held rows and ends at its lowest loss.
+BOOSTED = {
+    "gradient_boosting": {"max_depth": 3, "rate": 0.01, "min_child_weight": 0.0, "min_rows": 10, "reg_lambda": 0.0, "subsample": 0.8, "colsample": 1.0, "rounds": 1000, "patience": 50, "tolerance": 1e-4, "balanced": False, "best": False, "stop_share": 0.15},
+    "regularized_boosting": {"max_depth": 4, "rate": 0.05, "min_child_weight": 5.0, "gamma": 0.0, "reg_lambda": 1.0, "reg_alpha": 0.0, "subsample": 0.8, "colsample": 0.8, "rounds": 1000, "patience": 50},
 }
 #: Fits of one fold that run side by side.
 SIDE_BY_SIDE = 4
@@ -70,25 +75,19 @@ def configured(model: str, params: dict, weight: float, seed: int = 42):
 
 
 def estimators(seed: int = 42) -> dict:
-    """The configuration of each model that ``GRIDS`` varies."""
+    """The configuration of each model of pyspark.ml that ``GRIDS`` varies."""
     common = {"labelCol": "label", "featuresCol": "features"}
     return {
         "logistic_regression": LogisticRegression(weightCol="class_weight", regParam=0.001, maxIter=50, **common),
         "random_forest": RandomForestClassifier(weightCol="class_weight", numTrees=40, maxDepth=8, seed=seed, **common),
-        "gradient_boosting": GBTClassifier(maxIter=20, maxDepth=4, stepSize=0.1, seed=seed, **common),
-        "regularized_boosting": GBTClassifier(weightCol="class_weight", maxIter=20, maxDepth=3, stepSize=0.1, subsamplingRate=0.8, minInstancesPerNode=20, seed=seed, **common),
     }
 
 
-def fit(train: DataFrame, model: str, numeric: list[str], categorical: list[str], validation: DataFrame | None = None, seed: int = 42, params: dict | None = None):
-    """A fitted pipeline; boosted trees stop early where a validation split is given."""
+def fit(train: DataFrame, model: str, numeric: list[str], categorical: list[str], seed: int = 42, params: dict | None = None):
+    """A fitted pipeline of a model of pyspark.ml."""
     reject_leakage([*numeric, *categorical])
     data = balanced(filled(train, numeric, categorical))
-    estimator = configured(model, params or {}, train.count() if params else 1.0, seed)
-    if validation is not None and model.endswith("boosting"):
-        data = data.withColumn("is_validation", F.lit(False)).unionByName(balanced(filled(validation, numeric, categorical)).withColumn("is_validation", F.lit(True)))
-        estimator = estimator.setValidationIndicatorCol("is_validation")
-    return Pipeline(stages=[*preprocessor(numeric, categorical), estimator]).fit(data)
+    return Pipeline(stages=[*preprocessor(numeric, categorical), configured(model, params or {}, train.count() if params else 1.0, seed)]).fit(data)
 
 
 def score(model, df: DataFrame, numeric: list[str], categorical: list[str], keep: list[str]) -> DataFrame:
@@ -102,24 +101,56 @@ def folds(df: DataFrame, id_col: str, k: int = 5) -> DataFrame:
     return df.withColumn("fold", ((F.row_number().over(own) + F.pmod(F.xxhash64(id_col), F.lit(256))) % k).cast("int"))
 
 
+def learned(model: str, points_: list[dict], learn: DataFrame, weight: float, seed: int = 42) -> Callable[[DataFrame], tuple[DataFrame, list[Column]]]:
+    """What scores rows with features: it returns them with more columns, and the probability of each point.
+
+    Points of a forest may differ in numTrees: the larger forest is the smaller one and further trees. Each part is fitted
+    with a seed of its own, and all trees' probability is the mean over the parts, weighted by their trees.
+    """
+    sizes = sorted({p.get("numTrees", 0) for p in points_})
+    parts = [high - low for low, high in zip([0, *sizes], sizes, strict=False)] if sizes[0] else [1]
+    fitted = []
+    for i, n in enumerate(parts):
+        estimator = configured(model, {**points_[0], **({"numTrees": n} if sizes[0] else {})}, weight, seed + i)
+        fitted.append(estimator.setProbabilityCol(f"p{i}__").setRawPredictionCol(f"r{i}__").setPredictionCol(f"y{i}__").fit(learn))
+
+    def scores(df: DataFrame) -> tuple[DataFrame, list[Column]]:
+        for f in fitted:
+            df = f.transform(df)
+        own = [vector_to_array(F.col(f"p{i}__"))[1] for i in range(len(parts))]
+        upto = {size: sum((F.lit(n / size) * p for n, p in zip(parts[: k + 1], own, strict=False)), F.lit(0.0)) if size else own[0] for k, size in enumerate(sizes)}
+        return df, [upto[p.get("numTrees", 0)] for p in points_]
+
+    return scores
+
+
 def _precision_of_points(learn: DataFrame, judge: DataFrame, model: str, grid: list[dict], seed: int) -> list[float | None]:
     """Average precision on ``judge`` of each point fitted on ``learn`` (both with features, label and class_weight)."""
-    weight = float(learn.count())
+    weight, shared = float(learn.count()), {}
+    for i, p in enumerate(grid):
+        shared.setdefault(json.dumps({k: v for k, v in p.items() if k != "numTrees"}, sort_keys=True), []).append(i)
 
-    def one(i: int) -> DataFrame:
-        fitted = configured(model, grid[i], weight, seed).fit(learn)
-        return fitted.transform(judge).select(F.lit(i).alias("point"), "label", vector_to_array("probability")[1].alias("predicted_probability"))
+    def one(places: list[int]) -> DataFrame:
+        df, probabilities = learned(model, [grid[i] for i in places], learn, weight, seed)(judge)
+        each = F.array(*(F.struct(F.lit(i).alias("point"), p.alias("predicted_probability")) for i, p in zip(places, probabilities, strict=True)))
+        return df.select("label", F.explode(each).alias("s")).select("label", "s.*")
 
     with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:
-        scores = list(pool.map(one, range(len(grid))))
+        scores = list(pool.map(one, shared.values()))
     found = {r.point: r.pr_auc for r in metrics.auc(reduce(DataFrame.unionByName, scores), ["point"]).collect()}
     return [found.get(i) for i in range(len(grid))]
 
 
+def _ranked(grid: list[dict], by_fold: list[list[float | None]]) -> list[dict]:
+    """Per point of the grid: params, folds (None where a fold has one class) and mean, best first; ties keep the grid's order."""
+    rows = [{"params": p, "folds": list(f), "mean": sum(x for x in f if x is not None) / max(sum(x is not None for x in f), 1)} for p, f in zip(grid, zip(*by_fold, strict=True), strict=True)]
+    return sorted(rows, key=lambda r: -r["mean"])
+
+
 def cross_validate(df: DataFrame, model: str, numeric: list[str], categorical: list[str], id_col: str, grid: list[dict] | None = None, k: int = 5, seed: int = 42) -> list[dict]:
-    """Per point of the grid: params, folds (average precision of each fold; None where a fold has one class) and mean, best first.
+    """The grid's points (see ``_ranked``) of a model of pyspark.ml by average precision over k folds.
 
-    Preprocessing is fitted on each fold's training part alone, once for all points. Ties keep the grid's order.
+    Preprocessing is fitted on each fold's training part alone, once for all points.
     """
     reject_leakage([*numeric, *categorical])
     grid, found = grid or [{}], []
@@ -129,16 +160,61 @@ def cross_validate(df: DataFrame, model: str, numeric: list[str], categorical: l
         before = Pipeline(stages=preprocessor(numeric, categorical)).fit(learn)
         parts = [saved(before.transform(x).select("features", "label", "class_weight"), "fold") for x in (learn, data.where(F.col("fold") == i).withColumn("class_weight", F.lit(1.0)))]
         found.append(_precision_of_points(*parts, model, grid, seed))
-    rows = [{"params": p, "folds": list(f), "mean": sum(x for x in f if x is not None) / max(sum(x is not None for x in f), 1)} for p, f in zip(grid, zip(*found, strict=True), strict=True)]
-    return sorted(rows, key=lambda r: -r["mean"])
+        for part in parts:
+            drop(part)
+    drop(data)
+    return _ranked(grid, found)
+
 
+# --- boosted trees -------------------------------------------------------------------------------------------------
 
-def search_by_validation(train: DataFrame, validation: DataFrame, model: str, numeric: list[str], categorical: list[str], grid: list[dict], seed: int = 42) -> list[dict]:
-    """Per point of the grid its params and average precision on the validation split, best first."""
-    before = Pipeline(stages=preprocessor(numeric, categorical)).fit(balanced(filled(train, numeric, categorical)))
-    parts = [saved(before.transform(balanced(filled(x, numeric, categorical))).select("features", "label", "class_weight"), "split") for x in (train, validation)]
-    found = _precision_of_points(*parts, model, grid, seed)
-    return sorted(({"params": p, "mean": x or 0.0} for p, x in zip(grid, found, strict=True)), key=lambda r: -r["mean"])
+
+def _binned(frame: DataFrame, numeric: list[str], categorical: list[str], keep: list[str], k: int) -> tuple[DataFrame, list]:
+    """Rows of all splits with key, fold and bins, and the bins' edges. Edges and levels come from the train split as a
+    whole; they depend on no label. fold: 0 to k - 1 in train, k in validation, -1 elsewhere."""
+    train = filled(frame.where("split_name = 'train'"), numeric, categorical)
+    before = Pipeline(stages=preprocessor(numeric, categorical)).fit(train)
+    split = F.when(F.col("split_name") == "validation", k).otherwise(-1).cast("int")
+    rows = folds(frame.where("split_name = 'train'"), keep[0], k).unionByName(frame.where("split_name <> 'train' or split_name is null").withColumn("fold", split))
+    rows = rows.withColumns({"key": F.xxhash64(*keep), **{f"_k{i}": F.col(c) for i, c in enumerate(keep)}})
+    rows = before.transform(filled(rows, numeric, categorical))
+    learn = before.transform(train)
+    one = learn.select(F.size(vector_to_array("features")).alias("n")).first()
+    cuts = boosting.cut_points(learn, "features", one.n if one else 0)
+    held = ["key", "fold", *(f"_k{i}" for i in range(len(keep)))]
+    rows = boosting.binned(rows, "features", cuts, held).withColumnsRenamed({f"_k{i}": c for i, c in enumerate(keep)})
+    return saved(rows.withColumn("label", F.col("label").cast("double")), "boosting-rows"), cuts
+
+
+def boosted(frame: DataFrame, model: str, numeric: list[str], categorical: list[str], keep: list[str], grid: list[dict], k: int = 5, seed: int = 42) -> tuple[list[dict], DataFrame]:
+    """(points of the grid, best first, as ``_ranked`` has them; scores of all rows by the best one: ``keep``, predicted_probability).
+
+    Gradient boosting is searched over k folds of train; points that differ in their rounds are one fit, of which the
+    shorter one is the beginning. Regularized boosting is searched on the validation split. All fits run side by side.
+    """
+    reject_leakage([*numeric, *categorical])
+    base, by_folds = BOOSTED[model], model == "gradient_boosting"
+    rows, cuts = _binned(frame, numeric, categorical, keep, k)
+    tries = [{**base, **p} for p in grid]
+    most = {}  # the most rounds of points that are alike but for these
+    for t in tries:
+        alike = json.dumps({**t, "rounds": 0}, sort_keys=True)
+        most[alike] = max(most.get(alike, 0), t["rounds"])
+    fits = [({**json.loads(alike), "rounds": n}, held) for alike, n in most.items() for held in (range(k) if by_folds else [k])]
+    learn = rows.where(f"fold between 0 and {k - 1 if by_folds else k}")
+    models = boosting.grow(learn, [boosting.Point(**p, held=held) for p, held in fits], cuts, seed)
+    pairs = [(i, held, j) for i, t in enumerate(tries) for j, (p, held) in enumerate(fits) if {**p, "rounds": 0} == {**t, "rounds": 0}]
+    found = boosting.scores(learn, [models[j] for _, _, j in pairs], ["fold", "label"], [tries[i]["rounds"] for i, _, _ in pairs])
+    held = F.element_at(F.array(*(F.lit(h) for _, h, _ in pairs)), F.col("point") + 1)
+    area = {r.point: r.pr_auc for r in metrics.auc(found.where(F.col("fold") == held), ["point"]).collect()}
+    of_fold = [[next(area.get(n) for n, (i, h, _) in enumerate(pairs) if (i, h) == (own, fold)) for own in range(len(grid))] for fold in (range(k) if by_folds else [k])]
+    ranked = _ranked(grid, of_fold)
+    best = grid.index(ranked[0]["params"])
+    if by_folds:  # no fold is held: trees learn from the whole of train
+        final = boosting.grow(rows.where(f"fold between 0 and {k - 1}"), [boosting.Point(**tries[best], held=k)], cuts, seed)[0]
+    else:
+        final = next(models[j] for i, _, j in pairs if i == best)
+    return ranked, boosting.scores(rows, [final], keep).drop("point")
 
 
 def calibrate(validation: DataFrame, scored: DataFrame, method: str = "isotonic") -> DataFrame:
@@ -153,18 +229,23 @@ def calibrate(validation: DataFrame, scored: DataFrame, method: str = "isotonic"
 
 
 def train_and_score(frame: DataFrame, model: str, numeric: list[str], categorical: list[str], run_id: str, id_cols: list[str], grid: list[dict] | None = None, k: int = 5, method: str = "isotonic") -> DataFrame:
-    """Scores of all splits: parameters chosen over folds of train (regularized boosting: on validation), fitted on train,
-    calibrated on validation, threshold chosen on validation. The frame is written once, as every pass of a fit reads it."""
-    keep = [*id_cols, "split_name", "label"]
+    """Scores of all splits: parameters chosen from the grid (default: one point), fitted on train, calibrated on validation,
+    threshold chosen on validation. The frame is written once, as every pass of a fit reads it."""
+    reject_leakage([*numeric, *categorical])
+    keep, grid = [*id_cols, "split_name", "label"], grid or [{}]
     frame = saved(frame.select(*dict.fromkeys([*keep, *numeric, *categorical])), "model-frame")
-    parts = {n: frame.where(F.col("split_name") == n) for n in ("train", "validation")}
-    params = None
-    if grid and model == "regularized_boosting":
-        params = search_by_validation(parts["train"], parts["validation"], model, numeric, categorical, grid)[0]["params"]
-    elif grid:
-        params = cross_validate(parts["train"], model, numeric, categorical, id_cols[0], grid, k)[0]["params"]
-    fitted = fit(parts["train"], model, numeric, categorical, parts["validation"], params=params)
-    scored = saved(score(fitted, frame, numeric, categorical, keep), "scores")
+    if model in BOOSTED:
+        scored = boosted(frame, model, numeric, categorical, keep, grid, k)[1]
+    else:
+        train = frame.where("split_name = 'train'")
+        best = cross_validate(train, model, numeric, categorical, id_cols[0], grid, k)[0]["params"] if len(grid) > 1 else grid[0]
+        learn = balanced(filled(train, numeric, categorical))
+        before = Pipeline(stages=preprocessor(numeric, categorical)).fit(learn)
+        rows = filled(frame.withColumns({f"_k{i}": F.col(c) for i, c in enumerate(keep)}), numeric, categorical)
+        rows, (p,) = learned(model, [best], before.transform(learn), float(train.count()))(before.transform(rows))
+        scored = rows.select(*(F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)), p.alias("predicted_probability"))
+    scored = saved(scored, "scores")
+    drop(frame)
     scored = calibrate(scored.where("split_name = 'validation'"), scored, method)
     best = metrics.best_threshold(scored.where("split_name = 'validation'"), [], metrics.coarse_grid()).select("decision_threshold")
     out = scored.crossJoin(F.broadcast(best)).withColumn("predicted_label", (F.col("predicted_probability") >= F.col("decision_threshold")).cast("int"))
@@ -181,112 +262,39 @@ def training_audit(scores: DataFrame, id_col: str, split_version: str) -> DataFr
     return base.join(wide, by).join(areas, by).withColumns({"shared_split_version": F.lit(split_version), "processed_at_utc": F.current_timestamp()})
 
 
-# --- statistics of a logit with few terms ------------------------------------------------------------------------
+# --- selection of variables ----------------------------------------------------------------------------------------
+
+# The candidate terms of the selection, and the blocks that are tested together.
+TERMS = [
+    Term("age_years_imputed", core=True),
+    Term("sex", factor=True, core=True),
+    Term("race_code", factor=True, core=True),
+    Term("enrollment_months_count", core=True),
+    Term("chronic_condition_count_centered", core=True),
+    Term("chronic_condition_count_centered_squared", parents=("chronic_condition_count_centered",)),
+    Term("claims_per_enrollment_month"),
+    Term("total_claim_days_log1p"),
+    Term("provider_fragmentation_index"),
+    Term("any_carrier_claim"),
+]
+BLOCKS = {
+    "chronic_quadratic": ["chronic_condition_count_centered_squared"],
+    "chronic_block": ["chronic_condition_count_centered", "chronic_condition_count_centered_squared"],
+    "utilization_block": ["claims_per_enrollment_month", "total_claim_days_log1p", "provider_fragmentation_index", "any_carrier_claim"],
+}
 
 
 def derived_terms(df: DataFrame, train: DataFrame) -> DataFrame:
     """Chronic count centred by the training mean, its square, and log1p of claim days."""
     mean = train.agg(F.avg("chronic_condition_count").alias("_m"))
     centred = F.col("chronic_condition_count") - F.col("_m")
-    return df.crossJoin(F.broadcast(mean)).withColumns({"chronic_centered": centred, "chronic_centered_squared": centred * centred, "total_claim_days_log1p": F.log1p(F.col("total_claim_days").cast("double"))}).drop("_m")
-
-
-def logit(df: DataFrame, terms: list[str]):
-    rows = df.select(*(F.coalesce(F.col(t).cast("double"), F.lit(0.0)).alias(t) for t in terms), F.col("label").cast("double").alias("label"))
-    rows = VectorAssembler(inputCols=terms, outputCol="x__").transform(rows)
-    return GeneralizedLinearRegression(family="binomial", link="logit", featuresCol="x__", labelCol="label", maxIter=50).fit(rows)
-
-
-def logit_summary(df: DataFrame, terms: list[str]) -> dict:
-    """Log-likelihood, AIC, BIC and parameter count from the deviance (labels are 0 or 1)."""
-    summary = logit(df, terms).summary
-    k, n, deviance = len(terms) + 1, summary.numInstances, summary.deviance
-    return {"log_likelihood": -deviance / 2, "aic": deviance + 2 * k, "bic": deviance + k * math.log(max(n, 1)), "parameters": k}
-
-
-def backward_selection(df: DataFrame, terms: list[str], locked: tuple[str, ...] = (), needs: dict[str, tuple[str, ...]] | None = None) -> list[dict]:
-    """Drops the term whose loss lowers AIC most, until none does. Locked terms and terms that others need stay."""
-    now, needs, steps = list(terms), needs or {}, []
-    best = logit_summary(df, now)["aic"]
-    steps.append({"step": 0, "removed": None, "aic": best, "terms": ",".join(now)})
-    while True:
-        free = [t for t in now if t not in locked and not any(t in needs.get(o, ()) for o in now)]
-        tried = [(logit_summary(df, [x for x in now if x != t])["aic"], t) for t in free if len(now) > 1]
-        if not tried or min(tried)[0] >= best:
-            return steps
-        best, gone = min(tried)
-        now.remove(gone)
-        steps.append({"step": len(steps), "removed": gone, "aic": best, "terms": ",".join(now)})
-
-
-def _tail(x: float, k: int) -> float:
-    """Upper tail of chi-square with k degrees of freedom, by the series or fraction of the incomplete gamma function."""
-    a, x = k / 2, x / 2
-    if x <= 0:
-        return 1.0
-    front = math.exp(-x + a * math.log(x) - math.lgamma(a))
-    if x < a + 1:
-        term = total = 1 / a
-        n = a
-        while abs(term) > 1e-15 * abs(total):
-            n += 1
-            term *= x / n
-            total += term
-        return 1 - front * total
-    b, c = x + 1 - a, 1e300
-    d = h = 1 / b
-    for i in range(1, 500):
-        an = -i * (i - a)
-        b += 2
-        d = 1 / (an * d + b)
-        c = b + an / c
-        h *= d * c
-        if abs(d * c - 1) < 1e-15:
-            break
-    return front * h
-
-
-def likelihood_ratio(df: DataFrame, terms: list[str], blocks: dict[str, list[str]]) -> list[dict]:
-    full = logit_summary(df, terms)
-    out = []
-    for name, block in blocks.items():
-        rest, k = [t for t in terms if t not in block], sum(t in terms for t in block)
-        if not k or not rest:
-            continue
-        x = 2 * (full["log_likelihood"] - logit_summary(df, rest)["log_likelihood"])
-        out.append({"block": name, "statistic": x, "degrees": k, "p_value": _tail(x, k)})
-    return out
-
-
-def coefficients(df: DataFrame, terms: list[str]) -> list[dict]:
-    """Per term and for the intercept: estimate, standard error, z, p, odds ratio and its 95 % interval."""
-    model = logit(df, terms)
-    values = [*model.coefficients.toArray(), model.intercept]
-    out = []
-    for term, b, e in zip([*terms, "intercept"], values, model.summary.coefficientStandardErrors, strict=True):
-        b, e = float(b), float(e)
-        z, ratio = (b / e if e else float("nan")), lambda x: math.exp(max(-700.0, min(x, 700.0)))
-        out.append({"term": term, "coefficient": b, "standard_error": e, "z": z, "p_value": _tail(z * z, 1) if z == z else float("nan"), "odds_ratio": ratio(b), "low": ratio(b - 1.959963984540054 * e), "high": ratio(b + 1.959963984540054 * e)})
-    return out
-
-
-def collinearity(df: DataFrame, terms: list[str]) -> tuple[list[dict], list[dict]]:
-    """Pairs with absolute correlation of 0.7 or more, and variance inflation (infinite from R² of 0.999999)."""
-    rows = VectorAssembler(inputCols=terms, outputCol="x__").transform(df.select(*(F.coalesce(F.col(t).cast("double"), F.lit(0.0)).alias(t) for t in terms)))
-    r = np.nan_to_num(Correlation.corr(rows, "x__").first()[0].toArray())
-    np.fill_diagonal(r, 1.0)
-    pairs = [{"a": terms[i], "b": terms[j], "correlation": float(r[i, j]), "flag": bool(abs(r[i, j]) >= 0.85)} for i in range(len(terms)) for j in range(i) if abs(r[i, j]) >= 0.7]
-    inflation = np.diag(np.linalg.pinv(r))
-    vif = [{"term": t, "vif": float("inf") if v <= 0 or 1 - 1 / v >= 0.999999 else float(v), "flag": bool(v >= 10)} for t, v in zip(terms, inflation, strict=True)]
-    return pairs, vif
-
-
-# --- what a selection of variables leaves behind ---------------------------------------------------------------
-
-STEPS = "run_id string, step int, removed string, aic double, terms string"
-RATIOS = "run_id string, block string, statistic double, degrees int, p_value double"
-INFLATION = "run_id string, term string, vif double, flag boolean"
-PAIRS = "run_id string, a string, b string, correlation double, flag boolean"
+    days = F.log1p(F.greatest(F.col("total_claim_days").cast("double"), F.lit(0.0)))
+    return df.crossJoin(F.broadcast(mean)).withColumns({"chronic_condition_count_centered": centred, "chronic_condition_count_centered_squared": centred * centred, "total_claim_days_log1p": days}).drop("_m")
+
+
+STEPS = "run_id string, step int, removed string, aic double, bic double, parameters int, terms string"
+RATIOS = "run_id string, block string, reduced_terms string, statistic double, degrees int, p_value double, full_aic double, reduced_aic double"
+DIAGNOSTICS = "run_id string, scope string, kind string, a string, b string, correlation double, vif double, flag boolean"
 ESTIMATES = "run_id string, term string, coefficient double, standard_error double, z double, p_value double, odds_ratio double, low double, high double"
 SELECTION = "run_id string, row_count long, positive_count long, candidate_terms string, final_terms string, removed_count int, log_likelihood double, aic double, bic double, parameters int"
 
@@ -297,16 +305,20 @@ def _table(spark, rows: list[dict], schema: str, run_id: str) -> DataFrame:
     return spark.createDataFrame([tuple({"run_id": run_id, **r}.get(n) for n in names) for r in rows or [{}]], schema)
 
 
-def selection_tables(df: DataFrame, terms: list[str], run_id: str, locked: tuple[str, ...] = (), needs: dict[str, tuple[str, ...]] | None = None, blocks: dict[str, list[str]] | None = None) -> dict[str, DataFrame]:
-    """audit (one row), steps, pairs, inflation, ratios and coefficients of one selection of variables; a few rows each."""
-    spark, df = df.sparkSession, saved(df.select(*terms, "label"), "selection")
-    steps = backward_selection(df, terms, locked, needs)
-    final = steps[-1]["terms"].split(",")
-    counts = df.agg(F.count("*").alias("n"), F.sum("label").cast("long").alias("p")).first()
-    pairs, inflation = collinearity(df, terms)
-    audit = {"row_count": counts.n, "positive_count": counts.p, "candidate_terms": ",".join(terms), "final_terms": ",".join(final), "removed_count": len(terms) - len(final), **logit_summary(df, final)}
-    made = {"audit": ([audit], SELECTION), "steps": (steps, STEPS), "pairs": (pairs, PAIRS), "inflation": (inflation, INFLATION), "ratios": (likelihood_ratio(df, final, blocks or {}), RATIOS), "coefficients": (coefficients(df, final), ESTIMATES)}
-    return {n: _table(spark, rows, schema, run_id) for n, (rows, schema) in made.items()}
+def selection_tables(df: DataFrame, run_id: str, terms: list[Term] = TERMS, blocks: dict[str, list[str]] = BLOCKS) -> dict[str, DataFrame]:
+    """audit (one row), steps, diagnostics (of all candidates and of the selected terms), ratios and coefficients of one
+    selection of variables: their rows follow the terms, not the data."""
+    spark, rows = df.sparkSession, saved(logits.values(df, terms), "selection")
+    plan = logits.design(rows, terms)
+    steps, final = logits.backward_selection(rows, plan)
+    counts = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0.0)).cast("long").alias("p")).first()
+    names = [t.name for t in terms]
+    audit = {"row_count": counts.n, "positive_count": counts.p, "candidate_terms": ",".join(names), "final_terms": ",".join(final.terms), "removed_count": len(names) - len(final.terms), "log_likelihood": final.log_likelihood, "aic": final.aic, "bic": final.bic, "parameters": final.parameters}
+    ratios = logits.likelihood_ratios(rows, plan, final.terms, blocks)
+    diagnostics = logits.collinearity(rows, plan, {"all_candidates": names, "selected": final.terms})
+    drop(rows)
+    made = {"audit": ([audit], SELECTION), "steps": (steps, STEPS), "diagnostics": (diagnostics, DIAGNOSTICS), "ratios": (ratios, RATIOS), "coefficients": (logits.coefficient_rows(final, plan), ESTIMATES)}
+    return {n: _table(spark, r, schema, run_id) for n, (r, schema) in made.items()}
 
 
 def search_table(spark, found: list[dict], model: str, run_id: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.functions import scalars as s
-from tallyframe.operators import audits, cleaning, contract, features, labels, metrics, runs, scoring, training
+from tallyframe.operators import audits, cleaning, contract, features, labels, logits, metrics, runs, scoring, training
 from tallyframe.plans.roles import ctes, role
 from tallyframe.sources import inventory, tables
 from tallyframe.sources.scratch import saved, scratch_path
@@ -733,62 +733,112 @@ def _model_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.training_target(frame).select("bene_id", "year", "split_name", "label", *MODEL_NUMERIC, *MODEL_CATEGORICAL, "total_claim_days")
 
 
-#: What the registered queries search: the logistic grid whole; of the tree grids (24, 16 and 8 points) the points named here, as
-#: the others cost hours on one machine. ``training.GRIDS`` has them all, for ``train_and_score(grid=training.points(...))``.
-SEARCHED = {
-    "logistic_regression": training.points(training.GRIDS["logistic_regression"]),
-    "random_forest": training.points({"numTrees": [50], "maxDepth": [8], "minInstancesPerNode": [10, 20], "featureSubsetStrategy": ["sqrt"]}),
-    "gradient_boosting": training.points({"maxDepth": [3, 5], "minInstancesPerNode": [10]}),
-    "regularized_boosting": training.points({"maxDepth": [2, 3], "minInstancesPerNode": [20]}),
+#: What the registered queries search: every point of ``training.GRIDS`` over all folds. Boosted trees take steps 10 and 4 times
+#: as large there, and so fewer rounds in that proportion, as a round is three to five passes whatever the data's size.
+SEARCHED = training.GRIDS | {
+    "gradient_boosting": training.GRIDS["gradient_boosting"] | {"rounds": [50, 100], "rate": [0.1], "patience": [5]},
+    "regularized_boosting": training.GRIDS["regularized_boosting"] | {"rounds": [250], "rate": [0.2], "patience": [12]},
 }
-FOLDS = {"logistic_regression": 5, "random_forest": 5, "gradient_boosting": 2}
 
 
 def _trained(model: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return training.train_and_score(_model_frame(spark, sf_dir), model, MODEL_NUMERIC, MODEL_CATEGORICAL, "run1", ["bene_id", "year"], SEARCHED[model], FOLDS.get(model, 5))
+        return training.train_and_score(_model_frame(spark, sf_dir), model, MODEL_NUMERIC, MODEL_CATEGORICAL, "run1", ["bene_id", "year"], training.points(SEARCHED[model]))
 
     return run
 
 
-for _name in ("logistic_regression", "random_forest", "gradient_boosting", "regularized_boosting"):
+for _name in training.GRIDS:
     QUERIES[f"scores_of_{_name}"] = _trained(_name)
 
-TERMS = ["chronic_centered", "total_claim_count", "age_years_imputed"]
 
+def _cost_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Costs with next year's label, split by a hash that SQL engines share, and two factors by the id."""
+    frame = labels.training_target(labels.assign_split(labels.next_year(_costs(spark, sf_dir)), bucket=labels.md5_bucket), exact=True)
+    number = F.col("bene_id").cast("long")
+    return frame.select("bene_id", "year", "split_name", "label", "annual_claim_cost", "enrollment_months_count", (number % 5).cast("string").alias("race_code"), F.when(number % 3 > 0, (number % 3).cast("string")).alias("sex"))
 
-def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frame = saved(_model_frame(spark, sf_dir).select("split_name", "label", "chronic_condition_count", "total_claim_days", *TERMS[1:]), "terms")
+
+COST_LABELS = COSTS + """
+, t as (select quantile_disc(target_cost, 0.9) threshold from p where split_name = 'train'),
+  y as (select p.*, k.mon, (target_cost >= threshold)::int "label", (bene_id::bigint % 5)::varchar race_code, coalesce(nullif((bene_id::bigint % 3)::varchar, '0'), 'unknown') sex from p join (select bene_id, year, mon from k) k using (bene_id, year), t)
+"""
+
+
+@query(COST_LABELS + """
+select m.model_name, split_name, count(*) row_count, sum("label")::bigint positive_count, true in_range, true told_by_threshold, 1::bigint thresholds
+from y, (select unnest(['gradient_boosting', 'logistic_regression', 'random_forest', 'regularized_boosting']) model_name) m group by 1, 2""", ("claims", "activity"))
+def model_facts(spark, sf_dir):
+    """Of each model at one point of its grid: every row of every split has one score from 0 to 1, and one threshold tells its label."""
+    frame, out = _cost_labels(spark, sf_dir), []
+    one = {"logistic_regression": {"C": 1.0}, "random_forest": {"numTrees": 5, "maxDepth": 3}, "gradient_boosting": {"rounds": 4}, "regularized_boosting": {"rounds": 4}}
+    for model, point in one.items():
+        scores = training.train_and_score(frame, model, ["annual_claim_cost", "enrollment_months_count"], ["race_code", "sex"], "run1", ["bene_id", "year"], [point], 2)
+        told = (F.col("predicted_probability") >= F.col("decision_threshold")) == (F.col("predicted_label") == 1)
+        out.append(scores.groupBy("model_name", "split_name").agg(F.count("*").alias("row_count"), F.sum("label").cast("long").alias("positive_count"), F.min(F.col("predicted_probability").between(0, 1)).alias("in_range"), F.min(told).alias("told_by_threshold"), F.count_distinct("decision_threshold").alias("thresholds")))
+    return reduce(DataFrame.unionByName, out)
+
+
+@query(COST_LABELS + """
+select 'race_code' factor, race_code level, count(*) row_count, sum("label")::double expected from y where split_name = 'train' group by 2
+union all select 'sex', sex, count(*), sum("label")::double from y where split_name = 'train' group by 2""", ("claims", "activity"))
+def logit_balance(spark, sf_dir):
+    """A logit of two factors and a number: over each level of a factor the probabilities add up to the positives."""
+    terms = [training.Term("race_code", factor=True), training.Term("sex", factor=True), training.Term("enrollment_months_count")]
+    rows = logits.values(labels.split(_cost_labels(spark, sf_dir), "train"), terms)
+    plan = logits.design(rows, terms)
+    scored = logits.predicted(rows, plan, logits.fit_all(rows, plan, [[t.name for t in terms]])[0], ["race_code", "sex"])
+    by = lambda c: scored.groupBy(F.lit(c).alias("factor"), F.col(c).alias("level")).agg(F.count("*").alias("row_count"), F.round(F.sum("predicted_probability"), 4).alias("expected"))
+    return by("race_code").unionByName(by("sex"))
+
+
+@query(COST_LABELS + """
+, r as (select corr(annual_claim_cost, mon) r from y where split_name = 'train')
+select 'pairwise_correlation' kind, 'annual_claim_cost' a, 'twice' b, 1.0::double correlation, null::double vif, true flag from r
+union all select 'vif', 'annual_claim_cost', null, null, 'infinity'::double, true from r union all select 'vif', 'twice', null, null, 'infinity'::double, true from r
+union all select 'vif', 'enrollment_months_count', null, null, round(1 / (1 - r * r), 6), 1 / (1 - r * r) >= 10 from r
+union all select 'pairwise_correlation', x, 'enrollment_months_count', round(abs(r), 6), null, abs(r) >= 0.85 from r, (select unnest(['annual_claim_cost', 'twice']) x) where abs(r) >= 0.7""", ("claims", "activity"))
+def collinear_terms(spark, sf_dir):
+    """A cost, twice the cost less a bit, and months: the first two inflate without bound, months by their correlation with cost."""
+    terms = [training.Term(c) for c in ("annual_claim_cost", "twice", "enrollment_months_count")]
+    frame = labels.split(_cost_labels(spark, sf_dir), "train").withColumn("twice", F.col("annual_claim_cost") * 2 - 3.3)
+    rows = logits.values(frame, terms)
+    found = logits.collinearity(rows, logits.design(rows, terms), {"all": [t.name for t in terms]})
+    out = spark.createDataFrame([tuple(r[c] for c in ("kind", "a", "b", "correlation", "vif", "flag")) for r in found], "kind string, a string, b string, correlation double, vif double, flag boolean")
+    return rounded(out.where("a is not null"))
+
+
+def _selected(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The tables of a selection among the ten candidate terms, on training rows of the feature table."""
+    frame = labels.training_target(labels.assign_split(labels.next_year(_gold(spark, sf_dir, ranks=False))))
     train = labels.split(frame, "train")
-    return training.derived_terms(train, train).withColumn("total_claim_days_log1p", F.log1p(F.col("total_claim_days").cast("double")))
+    return training.selection_tables(training.derived_terms(train, train), "run1")
 
 
 @query()
 def logit_coefficients(spark, sf_dir):
-    return spark.createDataFrame(training.coefficients(_terms(spark, sf_dir), TERMS), "term string, coefficient double, standard_error double, z double, p_value double, odds_ratio double, low double, high double")
+    return _selected(spark, sf_dir)["coefficients"]
 
 
 @query()
 def logit_backward_selection(spark, sf_dir):
-    df = _terms(spark, sf_dir)
-    return spark.createDataFrame(training.backward_selection(df, [*TERMS, "total_claim_days_log1p"], locked=("age_years_imputed",)), "step int, removed string, aic double, terms string")
+    return _selected(spark, sf_dir)["steps"]
 
 
 @query()
 def logit_likelihood_ratio(spark, sf_dir):
-    return spark.createDataFrame(training.likelihood_ratio(_terms(spark, sf_dir), TERMS, {"chronic": ["chronic_centered"], "use": ["total_claim_count"]}), "block string, statistic double, degrees int, p_value double")
+    return _selected(spark, sf_dir)["ratios"]
 
 
 @query()
 def logit_collinearity(spark, sf_dir):
-    _, vif = training.collinearity(_terms(spark, sf_dir), [*TERMS, "chronic_condition_count"])
-    return spark.createDataFrame(vif, "term string, vif double, flag boolean")
+    return _selected(spark, sf_dir)["diagnostics"]
 
 
 @query()
 def logit_selection_audit(spark, sf_dir):
-    """The audit row of a selection of variables, beside its steps, pairs, inflation, ratios and coefficients."""
-    made = training.selection_tables(_terms(spark, sf_dir), [*TERMS, "total_claim_days_log1p"], "run1", ("age_years_imputed",), blocks={"use": ["total_claim_count"]})
+    """The audit row of a selection of variables, beside the rows of its steps and coefficients."""
+    made = _selected(spark, sf_dir)
     return made["audit"].crossJoin(made["steps"].agg(F.count("*").alias("step_rows"))).crossJoin(made["coefficients"].agg(F.count("*").alias("coefficient_rows")))
 
 

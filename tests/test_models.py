@@ -27,7 +27,7 @@ def average_precision(y, p):
 
 def test_grids_have_the_points_of_their_names():
     sizes = {m: len(training.points(g)) for m, g in training.GRIDS.items()}
-    assert sizes["logistic_regression"] == 4 and sizes["random_forest"] == 24 and sizes["gradient_boosting"] == 16
+    assert sizes == {"logistic_regression": 4, "random_forest": 24, "gradient_boosting": 16, "regularized_boosting": 32}
 
 
 def test_search_prefers_the_point_with_the_best_folds(spark, frame):
@@ -61,9 +61,32 @@ def test_scores_of_a_search_are_calibrated_for_every_row(frame, method):
 
 
 def test_search_on_the_validation_split(frame):
-    parts = [frame.where(F.col("split_name") == n) for n in ("train", "validation")]
-    found = training.search_by_validation(*parts, "regularized_boosting", NUMERIC, CATEGORICAL, training.points({"maxDepth": [1, 2], "maxIter": [3]}))
-    assert len(found) == 2 and found[0]["mean"] >= found[1]["mean"] > 0.4
+    grid = training.points({"max_depth": [1, 2], "rounds": [6]})
+    ranked, scores = training.boosted(frame, "regularized_boosting", NUMERIC, CATEGORICAL, ["bene_id", "split_name", "label"], grid)
+    assert len(ranked) == 2 and ranked[0]["mean"] >= ranked[1]["mean"] > 0.4 and all(len(r["folds"]) == 1 for r in ranked)
+    held = scores.where("split_name = 'validation'").collect()  # the best point's fit scores the rows as the search did
+    assert average_precision(np.array([r.label for r in held]), np.array([r.predicted_probability for r in held])) == pytest.approx(ranked[0]["mean"], abs=0.02)
+
+
+def test_search_over_folds_shares_rounds(frame):
+    grid = training.points({"max_depth": [2], "rounds": [3, 8], "rate": [0.3], "patience": [50]})
+    ranked, scores = training.boosted(frame, "gradient_boosting", NUMERIC, CATEGORICAL, ["bene_id", "split_name", "label"], grid, 3)
+    assert [len(r["folds"]) for r in ranked] == [3, 3] and {r["params"]["rounds"] for r in ranked} == {3, 8}
+    assert scores.count() == 600 and ranked[0]["mean"] > 0.5
+    alone = training.boosted(frame, "gradient_boosting", NUMERIC, CATEGORICAL, ["bene_id", "split_name", "label"], [g for g in grid if g["rounds"] == 3], 3)[0]
+    assert alone[0]["folds"] == next(r["folds"] for r in ranked if r["params"]["rounds"] == 3)
+
+
+def test_larger_forests_hold_the_smaller_ones(frame):
+    train = training.balanced(training.filled(frame.where("split_name = 'train'"), NUMERIC, CATEGORICAL))
+    before = training.Pipeline(stages=training.preprocessor(NUMERIC, CATEGORICAL)).fit(train)
+    learn = before.transform(train)
+    common = {"maxDepth": 3, "minInstancesPerNode": 5, "featureSubsetStrategy": "sqrt"}
+    df, (small, large) = training.learned("random_forest", [{**common, "numTrees": 4}, {**common, "numTrees": 10}], learn, 1.0)(learn)
+    rows = df.select(small.alias("s"), large.alias("l"), F.col("p0__").alias("a"), F.col("p1__").alias("b")).collect()
+    assert all(r.s == pytest.approx(r.a[1]) and r.l == pytest.approx(0.4 * r.a[1] + 0.6 * r.b[1]) for r in rows)
+    alone, (p,) = training.learned("random_forest", [{**common, "numTrees": 4}], learn, 1.0)(learn)
+    assert sorted(r.s for r in rows) == pytest.approx(sorted(r.p for r in alone.select(p.alias("p")).collect()))
 
 
 def test_columns_that_tell_the_target_are_refused(frame):
@@ -71,14 +94,6 @@ def test_columns_that_tell_the_target_are_refused(frame):
         training.fit(frame, "logistic_regression", ["x", "label"], [])
 
 
-def test_selection_leaves_all_tables(frame):
-    made = training.selection_tables(frame, ["x", "z"], "r1", blocks={"none": ["other"]})
-    assert made["audit"].first().candidate_terms == "x,z" and made["steps"].count() >= 1
-    assert made["coefficients"].count() == len(made["audit"].first().final_terms.split(",")) + 1
-    nothing = made["ratios"].collect()  # no block could be tested: the run is there, without values
-    assert [(r.run_id, r.block) for r in nothing] == [("r1", None)]
-
-
 def test_quantiles_are_exact_at_any_range(spark):
     r = np.random.default_rng(1)
     values = {g: np.round(r.normal(size=n) * 5) for g, n in (("a", 1), ("b", 2), ("c", 333), (None, 50))}

@@ -146,21 +146,6 @@ def test_models_rank_held_out_rows(spark):
     assert len(metrics.fine_grid(scores)) >= 99
 
 
-def test_logit_statistics(spark):
-    rows = [(float((i * 7) % 10 > 4 + (i % 3) - 1), float((i * 7) % 10), float(i % 4), float((i * 7) % 10) * 2 + 1) for i in range(400)]
-    df = spark.createDataFrame(rows, "label double, a double, b double, twice double")
-    table = {r["term"]: r for r in training.coefficients(df, ["a", "b"])}
-    assert table["a"]["coefficient"] > 0 and table["a"]["p_value"] < 0.01 < table["b"]["p_value"]
-    assert table["a"]["low"] < table["a"]["odds_ratio"] < table["a"]["high"]
-    steps = training.backward_selection(df, ["a", "b"])
-    assert [s["removed"] for s in steps] == [None, "b"]
-    pairs, vif = training.collinearity(df, ["a", "b", "twice"])
-    assert [(p["a"], p["b"], p["flag"]) for p in pairs] == [("twice", "a", True)]
-    assert {v["term"]: v["flag"] for v in vif}["b"] is False
-    test = training.likelihood_ratio(df, ["a", "b"], {"a": ["a"], "none": ["z"]})
-    assert len(test) == 1 and test[0]["degrees"] == 1 and test[0]["p_value"] < 0.01
-
-
 def test_folds_are_stratified(spark):
     df = spark.range(0, 2000).selectExpr("id", "cast(id % 4 = 0 as double) label")
     got = training.folds(df, "id").groupBy("fold").agg({"label": "avg", "id": "count"}).collect()
