@@ -42,3 +42,22 @@ sex_chronic_burden_band enrollment_months_band utilization_trend
 NUMERIC = _NUMERIC.format(chronic=" ".join(CHRONIC_FLAGS)).split()
 CATEGORICAL = _CATEGORICAL.split()
 ORDER = [*NUMERIC, *CATEGORICAL]
+
+# The columns that models take as 32-bit and as 64-bit integers; other numbers are doubles.
+INTS = """
+enrollment_months_count full_year_enrolled_flag partial_year_enrolled_flag zero_enrollment_flag low_enrollment_flag
+age_years age_missing_flag age_years_imputed age_over_65 age_over_75 age_over_85 chronic_condition_count chronic_condition_count_squared {chronic}
+chronic_count_age_under_65 chronic_count_age_65_74 chronic_count_age_75_84 chronic_count_age_85_plus
+annual_cost_year_decile has_prior_year prior_year_inpatient_claim_count prior_year_total_claim_count
+prior_year_enrollment_months_count current_year_high_cost_indicator prior_year_high_cost_indicator
+inpatient_claim_count_change total_claim_count_change high_cost_last_2yr_count high_cost_1_of_last_2yr high_cost_2_of_last_2yr
+any_inpatient_claim any_outpatient_claim any_carrier_claim any_pde_claim any_outpatient_ed_claim
+multiple_provider_flag multi_setting_utilization_flag
+""".format(chronic=" ".join(CHRONIC_FLAGS)).split()
+LONGS = """
+age_squared age_inpatient_claim_interaction age_total_claim_interaction age_chronic_count_interaction
+sex_male_chronic_count_interaction sex_female_chronic_count_interaction
+enrollment_months_total_claim_interaction enrollment_months_inpatient_interaction
+inpatient_claim_count outpatient_claim_count carrier_claim_count pde_claim_count outpatient_ed_claim_count
+outpatient_line_count carrier_line_count rx_days_supply total_claim_days total_claim_count unique_provider_count
+""".split()

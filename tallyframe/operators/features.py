@@ -6,6 +6,7 @@ columns. Windows run over one beneficiary's years; places within a year are foun
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -191,6 +192,38 @@ def row_features(df: DataFrame) -> DataFrame:
     return df
 
 
+# The age that a profile without one has, by its band.
+AGE_MIDPOINTS = {"under_65": 60, "65_74": 70, "75_84": 80, "85_plus": 88, "unknown": 75}
+
+
+# The fields of a raw profile that derived columns rest on.
+RAW_FIELDS = [
+    "age_band", "age_years", "sex", "race_code", "state_code", "enrollment_months_count", "chronic_condition_count", *CHRONIC_FLAGS,
+    "inpatient_claim_count", "outpatient_claim_count", "carrier_claim_count", "pde_claim_count", "outpatient_ed_claim_count", "outpatient_line_count", "carrier_line_count", "rx_days_supply", "total_claim_days", "unique_provider_count",
+    "rx_total_cost", "inpatient_total_cost", "outpatient_total_cost", "carrier_total_cost", "carrier_allowed_total", "rx_patient_pay_total",
+    "annual_cost_year_percentile", "annual_cost_year_decile", "annual_cost_to_year_median", "has_prior_year", "prior_year_annual_claim_cost", "prior_year_inpatient_claim_count", "prior_year_total_claim_count", "prior_year_enrollment_months_count",
+    "current_year_high_cost_indicator", "prior_year_high_cost_indicator",
+]
+
+
+def served(profiles: DataFrame) -> DataFrame:
+    """The derived columns of raw profiles, by the expressions of the feature table.
+
+    A profile has its counts and costs, total_claim_days, age_band, and its place in the year and the year before as
+    given values. Missing numbers are 0; a missing age is the middle of its band, which then is the five-year band too.
+    """
+    numbers = [c for c, t in profiles.dtypes if t in ("int", "bigint", "double", "float", "smallint") and c not in (*KEY, "age_years")]
+    known, band = F.col("age_years").isNotNull(), F.coalesce("age_band", F.lit("unknown"))
+    middle = F.coalesce(F.create_map(*(F.lit(x) for pair in AGE_MIDPOINTS.items() for x in pair))[band], F.lit(AGE_MIDPOINTS["unknown"]))
+    high = F.greatest(F.col("current_year_high_cost_indicator"), _flag(F.col("annual_cost_year_decile") == 10))
+    df = profiles.fillna(0, numbers)
+    df = df.withColumns({
+        "age_missing_flag": _flag(~known), "age_5yr_band": F.when(known, s.age_5yr_band("age_years")).otherwise(band), "age_band": band, "age_years": F.when(known, F.col("age_years")).otherwise(middle),
+        "chronic_burden_band": s.burden_band("chronic_condition_count"), "inpatient_claim_days": F.col("total_claim_days"), "outpatient_claim_days": F.lit(0), "current_year_high_cost_indicator": high,
+    })
+    return row_features(df).withColumns(trends())
+
+
 def build(beneficiaries: DataFrame, inpatient: DataFrame, outpatient: DataFrame, carrier: DataFrame, drugs: DataFrame, **options) -> DataFrame:
     """The feature table: ids first, then measures, then derived columns by name."""
     measures = joined(base(beneficiaries), aggregate_inpatient(inpatient), aggregate_outpatient(outpatient), aggregate_carrier(carrier), aggregate_drugs(drugs), unique_providers(inpatient, outpatient, carrier))
@@ -215,11 +248,12 @@ def reject_leakage(columns: list[str]) -> list[str]:
     return columns
 
 
-def contract(df: DataFrame, order: list[str], ints: tuple[str, ...] = (), longs: tuple[str, ...] = ()) -> DataFrame:
+def contract(df: DataFrame, order: list[str], ints: Collection[str] = (), longs: Collection[str] = ()) -> DataFrame:
     """The columns in the model's order and types; an error where one is missing."""
     if missing := [c for c in order if c not in df.columns]:
         raise ValueError(f"missing model columns: {', '.join(missing)}")
-    return df.select(*(F.col(c).cast("int" if c in ints else "bigint" if c in longs else dict(df.dtypes)[c]).alias(c) for c in order))
+    kinds = dict(df.dtypes)
+    return df.select(*(F.col(c).cast("int" if c in ints else "bigint" if c in longs else kinds[c]).alias(c) for c in order))
 
 
 def read_export(spark: SparkSession, path: str, schema: str, required: list[str]) -> DataFrame:

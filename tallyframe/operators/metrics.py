@@ -118,10 +118,24 @@ def coarse_grid() -> list[float]:
     return [round(0.1 + 0.05 * i, 2) for i in range(17)]
 
 
-def fine_grid(df: DataFrame, p: str = P) -> list[float]:
-    """0.01 to 0.99, and the percentiles of the scores (101 values)."""
-    quantiles = df.agg(F.percentile_approx(p, F.array(*(F.lit(i / 100) for i in range(101))), F.lit(10_000)).alias("q")).first().q or []
-    return sorted({round(i / 100, 2) for i in range(1, 100)} | set(quantiles))
+def fine_thresholds(df: DataFrame, by: list[str], p: str = P) -> DataFrame:
+    """(by, threshold): of each group 0.01 to 0.99, and the exact percentiles of its scores (101 values)."""
+    wide = ranking.quantiles(df, by, p, {f"q{i:03}": i / 100 for i in range(101)})
+    fixed = [F.lit(i / 100) for i in range(1, 100)]
+    return wide.select(*by, F.explode(F.array_distinct(F.array(*fixed, *(F.col(c).cast("double") for c in wide.columns if c not in by)))).alias("threshold"))
+
+
+def best_of_thresholds(df: DataFrame, by: list[str], thresholds: DataFrame, y: str = Y, p: str = P) -> DataFrame:
+    """The threshold of each group's own ones with the largest F1, the smallest among equals.
+
+    Distinct scores and thresholds are ranked together by range: what a threshold reaches is the running count before it.
+    """
+    scores = _per_score(df.where(F.col(p).isNotNull()), by, y, p).withColumn("cut", F.lit(0))
+    cuts = thresholds.select(*by, F.col("threshold").alias("s"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("pos"), F.lit(1).alias("cut"))
+    run = running(scores.unionByName(cuts), by, [F.desc("s"), "cut"], ["n", "pos"]).where("cut = 1 and n_all > 0")
+    run = run.withColumn("f1_score", _ratio(2 * F.col("pos_upto"), F.col("n_upto") + F.col("pos_all")))
+    best = F.max_by(F.struct("s", "f1_score"), F.struct("f1_score", -F.col("s")))
+    return run.groupBy(*by).agg(best.alias("b")).select(*by, F.col("b.s").alias("decision_threshold"), F.col("b.f1_score").alias("f1_score"))
 
 
 def stability_index(expected: DataFrame, actual: DataFrame, c: str, bins: int = 10) -> DataFrame:

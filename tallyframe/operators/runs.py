@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyframe.sources.tables import table_property
+
 from tallyframe.functions import scalars as s
 from tallyframe.operators.ranking import row_numbers
 
@@ -105,9 +107,23 @@ def consistency(features: DataFrame, required: list[str], properties: dict[str,
     one = by_key.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("unique keys"), F.coalesce(F.sum("bad"), F.lit(0)).alias("chronic range"))
     both = one.select(F.explode(F.array(*(F.struct(F.lit(c).alias("check_name"), F.col(c).alias("n")) for c in one.columns))).alias("c")).select("c.*")
     rows.append(both.select("check_name", F.when(F.col("n") == 0, "pass").otherwise("fail").alias("status"), F.concat(F.col("n").cast("string"), F.lit(" rows")).alias("detail")))
+    return reduce(DataFrame.unionByName, rows + audit_checks(audits, split_version))
+
+
+def audit_checks(audits: dict[str, DataFrame], split_version: str) -> list[DataFrame]:
+    """For each model's audit table, whether its latest rows have all splits of the expected version."""
+    rows = []
     for model, audit in audits.items():
         last = latest_rows(audit)
         splits = last.agg(F.sort_array(F.collect_set("split_name")).alias("s"), F.max((F.col("shared_split_version") != split_version).cast("int")).alias("other"))
         status = F.when((F.size("s") == 0) | (F.col("other") == 1), "fail").when(F.size(F.array_except(F.array(F.lit("train"), F.lit("validation"), F.lit("test")), "s")) > 0, "warn").otherwise("pass")
         rows.append(splits.select(F.lit(f"splits of {model}").alias("check_name"), status.alias("status"), F.array_join("s", ",").alias("detail")))
-    return reduce(DataFrame.unionByName, rows)
+    return rows
+
+
+def published_consistency(spark, name: str, required: list[str], expected: dict[str, str], audits: dict[str, DataFrame], split_version: str) -> DataFrame:
+    """The checks of ``consistency`` on a published table and the properties stored with it; a table that is not there fails the first one."""
+    if not spark.catalog.tableExists(name):
+        return reduce(DataFrame.unionByName, [check(spark, "table exists", "fail", "not there"), *audit_checks(audits, split_version)])
+    stored = {k: table_property(spark, name, k) for k in expected}
+    return check(spark, "table exists", "pass", "").unionByName(consistency(spark.table(name), required, stored, expected, audits, split_version))

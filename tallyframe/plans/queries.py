@@ -424,6 +424,19 @@ def best_thresholds(spark, sf_dir):
     return rounded(metrics.best_threshold(_scores(spark, sf_dir), RUN, metrics.coarse_grid()))
 
 
+@query("""
+with v as (select * from scores where split_name = 'validation'),
+  q as (select model_name, run_id, unnest(quantile_cont(predicted_probability, [i / 100.0 for i in range(101)])) threshold from v group by 1, 2),
+  t as (select distinct model_name, run_id, threshold from (select * from q union all select distinct model_name, run_id, unnest([(i / 100.0)::double for i in range(1, 100)]) from v)),
+  c as (select model_name, run_id, threshold, count(*) filter (predicted_probability >= threshold and "label" = 1) tp, count(*) filter (predicted_probability >= threshold) said, sum("label") pos from v join t using (model_name, run_id) group by 1, 2, 3),
+  f as (select *, case when said + pos = 0 then 0 else 2 * tp / (said + pos) end f1 from c)
+select model_name, run_id, round(threshold, 6) decision_threshold, round(f1, 6) f1_score from f qualify row_number() over (partition by model_name, run_id order by f1 desc, threshold) = 1""", ("scores",))
+def best_fine_thresholds(spark, sf_dir):
+    """Of each run's 99 fixed thresholds and 101 percentiles of its validation scores, the one with the largest F1."""
+    held, by = _scores(spark, sf_dir).where("split_name = 'validation'"), ["model_name", "run_id"]
+    return rounded(metrics.best_of_thresholds(held, by, metrics.fine_thresholds(held, by)))
+
+
 @query("""
 with e as (select value x from events where ts < timestamp '2024-01-16'), a as (select value x from events where ts >= timestamp '2024-01-16'),
   q as (select list_sort(list_distinct(quantile_cont(x, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]))) g from e),
@@ -542,7 +555,7 @@ def exported_features(spark, sf_dir):
 @query(GOLD + "select bene_id, year, 125::int model_columns, mon::int enrollment_months_count, burden chronic_burden_band from gold", ("claims", "beneficiaries"))
 def model_contract(spark, sf_dir):
     """The feature table in the model's column order."""
-    df = features.contract(feature_table(spark, sf_dir), ["bene_id", "year", *contract.ORDER])
+    df = features.contract(feature_table(spark, sf_dir), ["bene_id", "year", *contract.ORDER], contract.INTS, contract.LONGS)
     return df.select("bene_id", "year", F.lit(len(df.columns) - 2).alias("model_columns"), "enrollment_months_count", "chronic_burden_band")
 
 
@@ -639,6 +652,36 @@ def pipeline_consistency(spark, sf_dir):
     return runs.consistency(gold, ["bene_id", "year"], {"feature_version": "v2"}, {"feature_version": "v2"}, {"m": audit}, labels.SPLIT_VERSION)
 
 
+PUBLISHED = ("sound", "other_version", "repeated", "absent")
+
+
+@query("""
+with c as (select unnest(['table exists', 'required columns', 'property feature_version', 'property grain', 'property key', 'unique keys', 'chronic range', 'splits of m']) check_name),
+  n as (select count(*) filter (c_nationkey = 3) again from customer),
+  t as (select unnest(['sound', 'other_version', 'repeated', 'absent']) table_name)
+select table_name, check_name,
+  case when check_name = 'splits of m' then 'pass' when table_name = 'absent' then 'fail' when check_name = 'property feature_version' and table_name = 'other_version' then 'fail'
+       when check_name = 'unique keys' and table_name = 'repeated' and again > 0 then 'fail' else 'pass' end status,
+  case check_name when 'splits of m' then 'test,train,validation' when 'table exists' then case when table_name = 'absent' then 'not there' else '' end when 'required columns' then ''
+       when 'property feature_version' then case when table_name = 'other_version' then 'features-0' else 'features-1' end when 'property grain' then 'bene_id-year' when 'property key' then 'bene_id,year'
+       when 'unique keys' then concat(case when table_name = 'repeated' then again else 0 end, ' rows') else '0 rows' end detail
+from t, c, n where table_name <> 'absent' or check_name in ('table exists', 'splits of m')""", ("scores",))
+def published_table_checks(spark, sf_dir):
+    """Tables published by year with their properties, and one that is not there: what the checks read back of each."""
+    rows = parquet(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("bene_id"), (F.col("c_nationkey") % 3 + 2000).alias("year"), (F.col("c_nationkey") % 12).alias("chronic_condition_count"), "c_nationkey")
+    audit = role(spark, sf_dir, "scores").select("split_name", F.lit(labels.SPLIT_VERSION).alias("shared_split_version"), F.lit(1).alias("processed_at_utc"))
+    expected = {"feature_version": features.FEATURE_VERSION, "grain": "bene_id-year", "key": "bene_id,year"}
+    out = []
+    for kind in PUBLISHED:
+        name = f"tallyframe_{kind}_{uuid.uuid4().hex}"
+        if kind != "absent":
+            made = rows.unionByName(rows.where("c_nationkey = 3")) if kind == "repeated" else rows
+            tables.publish_features(made.drop("c_nationkey"), name, "features-0" if kind == "other_version" else features.FEATURE_VERSION, "customer", "query")
+        found = runs.published_consistency(spark, name, ["bene_id", "year"], expected, {"m": audit}, labels.SPLIT_VERSION)
+        out.append(found.select(F.lit(kind).alias("table_name"), "check_name", "status", "detail"))
+    return reduce(DataFrame.unionByName, out)
+
+
 @query("""
 with m as (select model_name, run_id, split_name, avg((predicted_probability - "label") ** 2) b, avg("label") y, avg(predicted_probability) c from scores group by 1, 2, 3)
 select model_name, run_id, split_name, round(b, 6) brier_score, round(y, 6) positive_rate, round(c, 6) top_10_capture_rate, c >= 0.4 capture_ok, b <= 0.1 brier_ok, y between 0.08 and 0.12 rate_ok, c >= 0.4 and b <= 0.1 and y between 0.08 and 0.12 ready from m""", ("scores",))
@@ -679,6 +722,15 @@ def batch_predictions(spark, sf_dir):
     return out.select("bene_id", "year", "predicted_probability", "risk_score", "risk_tier", "intervention_flag", F.array_join("reason_codes", "|").alias("reasons"), F.array_join("review_flags", "|").alias("flags"), F.array_join("risk_drivers", "|").alias("drivers"))
 
 
+@query(PROFILE + """
+select bene_id, year, coalesce(age, 75)::int age_years_imputed, (age is null)::int age_missing_flag, n total_claim_count, round(cost, 2) annual_claim_cost, round(cpm, 5) claims_per_enrollment_month, round(pfi, 5) provider_fragmentation_index, round(cm, 5) cost_per_enrollment_month,
+  burden chronic_burden_band, coalesce(age, 75)::bigint * coalesce(age, 75) age_squared from pr""", ("claims", "beneficiaries"))
+def served_profiles(spark, sf_dir):
+    """The feature table's raw fields, taken as profiles that are to be scored, derive its columns again."""
+    made = features.served(_gold(spark, sf_dir).select("bene_id", "year", *features.RAW_FIELDS))
+    return rounded(made.select("bene_id", "year", "age_years_imputed", "age_missing_flag", "total_claim_count", F.round("annual_claim_cost", 2).alias("annual_claim_cost"), "claims_per_enrollment_month", "provider_fragmentation_index", "cost_per_enrollment_month", "chronic_burden_band", "age_squared"), 5)
+
+
 @query("""
 with r as (select predicted_probability v from scores where split_name = 'train'), d as (select distinct predicted_probability v from scores), g as (select d.v, count(r.v) le from d left join r on r.v <= d.v group by 1)
 select id, round_even(100.0 * le / (select count(*) from r), 0)::int percentile_score from scores join g on g.v = predicted_probability""", ("scores",))
@@ -864,6 +916,25 @@ def raw_csv_round_trip(spark, sf_dir):
     return raw[0].unionByName(raw[1]).select("o_orderkey", "o_custkey", "o_orderstatus", F.col("_bronze_entity").alias("entity"), F.col("_bronze_source_year").alias("source_year"))
 
 
+@query("select n_nationkey, n_name, n_regionkey::varchar n_regionkey, n_nationkey >= 12 has_region from nation where n_nationkey >= 12 union all select n_nationkey, n_name, null, false from nation where n_nationkey < 12")
+def raw_files_of_two_headers(spark, sf_dir):
+    """Files of one entity whose columns stand in another order, or are fewer, are united by the columns' names."""
+    path, nation = scratch_path(spark, "raw"), parquet(spark, sf_dir, "nation")
+    nation.where("n_nationkey < 12").select("n_name", "n_nationkey").write.option("header", True).csv(f"{path}/a")
+    nation.where("n_nationkey >= 12").select("n_nationkey", "n_regionkey", "n_name").write.option("header", True).csv(f"{path}/b")
+    raw = inventory.read_raw(spark, [path], "nations")
+    return raw.select(F.col("n_nationkey").cast("int").alias("n_nationkey"), "n_name", "n_regionkey", F.col("n_regionkey").isNotNull().alias("has_region"))
+
+
+@query("select n_nationkey, strlen(n_name) + 1 size, sha256(n_name || chr(10)) sha256 from nation")
+def file_digests(spark, sf_dir):
+    """Size and SHA-256 of one file for each nation; those above 8 bytes are read as streams."""
+    path = scratch_path(spark, "files")
+    parquet(spark, sf_dir, "nation").select("n_nationkey", "n_name").write.partitionBy("n_nationkey").text(path)
+    found = inventory.file_digests(spark, path, whole=8).where("startswith(file_name, 'part-')")
+    return found.select(F.regexp_extract("path", r"n_nationkey=(\d+)", 1).cast("int").alias("n_nationkey"), "size", "sha256")
+
+
 LISTED = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 

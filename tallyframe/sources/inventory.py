@@ -2,6 +2,15 @@
 
 from __future__ import annotations
 
+import csv
+import hashlib
+from collections import defaultdict
+from collections.abc import Callable, Iterator
+from functools import reduce
+from urllib.parse import quote
+
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,37 +55,86 @@ def file_years(spark: SparkSession, paths: list[str], entity: str, inventory: Da
     return files.distinct().join(named, F.contains("file", "file_name")).groupBy("file").agg(F.max_by("year", F.struct("position", "file_name")).alias("year"))
 
 
+def of_files(paths: DataFrame, name: str, of: Callable[[pyarrow.fs.FileSystem, str], str]) -> DataFrame:
+    """``paths`` (path and more) with a string column that ``of`` makes of each file, opened where the row is: local files and
+    the stores that Arrow knows (hdfs, s3, gcs, abfs)."""
+    fields = ", ".join(f"`{c}` {t}" for c, t in paths.dtypes)
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [of(*pyarrow.fs.FileSystem.from_uri(quote(p, safe=":/@"))) for p in batch.column("path").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], [*batch.schema.names, name])
+
+    return paths.mapInArrow(made, f"{fields}, {name} string")
+
+
+def _first_line(fs: pyarrow.fs.FileSystem, path: str) -> str:
+    with fs.open_input_stream(path) as stream:
+        line = b""
+        while b"\n" not in line and (more := stream.read(1 << 14)):
+            line += more
+    return line.split(b"\n", 1)[0].removesuffix(b"\r").removeprefix(b"\xef\xbb\xbf").decode()
+
+
+def read_by_header(spark: SparkSession, paths: list[str], sep: str = ",") -> DataFrame:
+    """CSV files as strings, columns by their names: files are grouped by header, each group is one scan, and columns that
+    a group lacks are null. A header's sides and quotes are CSV's; empty files have no rows."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select("path", "length").where("length > 0 and not startswith(element_at(split(path, '/'), -1), '_')")
+    groups = defaultdict(list)
+    for r in of_files(files, "header", _first_line).select("path", "header").collect():  # one row for each file, as the scan names them all
+        groups[r.header].append(r.path)
+    if not groups:
+        raise ValueError("no rows in any file")
+    scans = []
+    for header in sorted(groups):
+        names = next(csv.reader([header], delimiter=sep))
+        scan = spark.read.option("header", True).option("sep", sep).csv(groups[header])
+        scans.append(scan.toDF(*names) if len(set(names)) == len(names) == len(scan.columns) else scan)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [x.select("*", F.element_at(F.split("_metadata.file_path", "/"), -1).alias("_bronze_source_file")) for x in scans])
+
+
 def read_raw(spark: SparkSession, paths: list[str], entity: str, inventory: DataFrame | None = None, key: str | None = None, file_format: str = "csv", sep: str = ",", yearly: tuple[str, ...] = YEARLY) -> DataFrame:
-    """All files of an entity as strings, with lineage: entity, load time, file, year (see ``file_years``; else null) and key."""
+    """All files of an entity as strings (see ``read_by_header``), with lineage: entity, load time, file, year (see ``file_years``; else null) and key."""
     if not paths:
         raise ValueError(f"no files for {entity}")
     if file_format != "csv":
         raise ValueError(f"{entity}: only csv is read, not {file_format}")
-    raw = spark.read.option("header", True).option("sep", sep).csv(paths)
-    raw = raw.withColumns({
-        "_bronze_entity": F.lit(entity), "_bronze_loaded_at_utc": F.current_timestamp(),
-        "_bronze_source_file": F.element_at(F.split("_metadata.file_path", "/"), -1), "_expected_join_key": F.lit(key).cast("string"),
-    })
+    raw = read_by_header(spark, paths, sep)
+    raw = raw.withColumns({"_bronze_entity": F.lit(entity), "_bronze_loaded_at_utc": F.current_timestamp(), "_expected_join_key": F.lit(key).cast("string")})
     if inventory is None or entity not in yearly:
         return raw.withColumn("_bronze_source_year", F.lit(None).cast("int"))
     years = file_years(spark, paths, entity, inventory, yearly).withColumnsRenamed({"file": "_bronze_source_file", "year": "_bronze_source_year"})
     return raw.join(F.broadcast(years), "_bronze_source_file", "left")  # one row for each file of the entity
 
 
-#: Files up to this size are read as one value for the checksum of their bytes.
-WHOLE = 1 << 30
+#: Files up to this size are read as one value for the checksum of their bytes, larger ones as a stream.
+WHOLE = 1 << 26
 
 
-def manifest(spark: SparkSession, path: str, inventory: DataFrame) -> DataFrame:
-    """Listed files that are there, with size, SHA-256 of their bytes and expected rows. Sizes come from the listing.
+def _sha256(fs: pyarrow.fs.FileSystem, path: str) -> str:
+    found = hashlib.sha256()
+    with fs.open_input_stream(path) as stream:
+        while block := stream.read(1 << 23):
+            found.update(block)
+    return found.hexdigest()
+
+
+def file_digests(spark: SparkSession, path: str, whole: int = WHOLE) -> DataFrame:
+    """(path, file_name, size, sha256) of the files under a folder, of any size.
 
-    SHA-256 can't be put together from parts, and Spark holds a file as one value for it, so files above WHOLE bytes
-    have null there; ``content_checksums`` covers files of any size.
+    A digest can't be put together from parts, so each file has one task's time; a file above ``whole`` bytes is read as a
+    stream of 8 MB blocks and takes no more memory than that. Spark's scans leave out empty files, so these have no row.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.element_at(F.split("path", "/"), -1).alias("file_name")
-    sums = files.where(F.col("length") <= WHOLE).select(name, F.sha2("content", 256).alias("sha256"))
-    return inventory.join(files.select(name, F.col("length").alias("size")), "file_name").join(sums, "file_name", "left")
+    small = files.where(F.col("length") <= whole).select("path", name, F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    large = files.where(F.col("length") > whole).select("path", name, F.col("length").alias("size"))
+    return small.unionByName(of_files(large, "sha256", _sha256))
+
+
+def manifest(spark: SparkSession, path: str, inventory: DataFrame) -> DataFrame:
+    """Listed files that are there, with size, SHA-256 of their bytes and expected rows. Sizes come from the listing."""
+    return inventory.join(file_digests(spark, path).drop("path"), "file_name")
 
 
 def content_checksums(df: DataFrame) -> DataFrame:

@@ -138,12 +138,12 @@ def test_models_rank_held_out_rows(spark):
     rows = [(i, ["train", "validation", "test"][i % 3], float(i % 7 > 3), float(i % 7) + (i % 5) / 10, "x" if i % 2 else None) for i in range(300)]
     frame = spark.createDataFrame(rows, "id long, split_name string, label double, n double, c string")
     for model in ("logistic_regression", "gradient_boosting"):
-        scores = training.train_and_score(frame, model, ["n"], ["c"], "r", ["id"])
+        scores = training.train_and_score(frame, model, ["n"], ["c"], "r", ["id"], [{"rounds": 8, "rate": 0.3}] if model in training.BOOSTED else None)
         assert scores.count() == 300
         assert metrics.auc(scores.where("split_name = 'test'"), ["model_name"]).first().roc_auc > 0.95
     sigmoid = training.calibrate(scores.where("split_name = 'validation'"), scores.select("id", "label", "predicted_probability"), "sigmoid")
     assert sigmoid.where("predicted_probability between 0 and 1").count() == 300
-    assert len(metrics.fine_grid(scores)) >= 99
+    assert metrics.fine_thresholds(scores, []).count() >= 99
 
 
 def test_folds_are_stratified(spark):
