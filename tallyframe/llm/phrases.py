@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +20,12 @@ from pyspark.sql import functions as F
 
 from tallyframe.llm._common import Scratch, blocks, byte_column
 
-BLOCK = 1 << 23
+BLOCK = 1 << 21
 LEAST = 30
 FIRST = 2_000
+#: Edges that a task opens before it deals them out, and words of the corpus for each bucket.
+EDGES = 1 << 18
+BUCKET = 200_000
 #: Longer phrases with so many hundredths of a candidate's count take its place.
 SHARE = 80
 SCALE = 2_000_000
@@ -145,23 +147,76 @@ def _paths(block: pa.Table, known: pa.Table) -> pa.Table:
     return pa.table({"path": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids[words])), "n": weight})
 
 
-def _flows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of sorted grams for each edge, node and pair; what may go on elsewhere is a part of a sum, the rest is complete."""
-    for batch in batches:
-        w, n = [batch.column(c).to_numpy() for c in _GRAM], batch.column("n").to_numpy()
-        if not len(n):
-            continue
-        new, spread, made = np.r_[True, w[0][1:] != w[0][:-1]], w[0] & 1, []
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers as their first bytes, then their second ones and so on: the high bytes of small numbers compress to nothing."""
+    return values.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _numbers(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
+def _summed(w: list[np.ndarray], n: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(begin, sum) of runs of equal first k words."""
+    new = np.zeros(len(n), bool)
+    new[:1] = True
+    for x in w[:k]:
+        new[1:] |= x[1:] != x[:-1]
+    at = np.flatnonzero(new)
+    return at, np.add.reduceat(n, at) if len(at) else n
+
+
+def _dealt(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Paths open into edges; a row holds those of one bucket. Grams of one pair share a bucket, or if both words are hot
+    those of one node, or if all three are those of one edge. Ends after a single word are left out, as words are counted."""
+    held, size = [], 0
+
+    def dealt() -> pa.RecordBatch:
+        *w, n = (np.concatenate(c) for c in zip(*held, strict=True))
+        slot, hot = w[0].astype(np.uint64), w[0] & 1
         for k in (1, 2, 3):
-            new = new | np.r_[True, w[k][1:] != w[k][:-1]]
-            spread = spread & w[k]
-            at = np.flatnonzero(new)
-            total = np.add.reduceat(n, at)
-            partial = (spread[at] > 0) & (k < 3)
-            partial[[0, -1]] = True
-            keep = (w[k][at] > 0) & (partial | (total >= LEAST))
-            made.append([c[at[keep]] if i <= k else np.zeros(keep.sum(), np.int64) for i, c in enumerate(w)] + [total[keep]])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*made, strict=True)], [*_GRAM, "n"])
+            deeper = (slot ^ (slot >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + w[k].astype(np.uint64)
+            slot = deeper if k == 1 else np.where(hot > 0, deeper, slot)
+            hot = hot & w[k]
+        slot = (slot ^ (slot >> np.uint64(32))) * np.uint64(0xC2B2AE3D27D4EB4F)
+        bucket = ((slot ^ (slot >> np.uint64(33))) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((w[3], w[2], w[1], w[0], bucket))
+        bucket, w, n = bucket[order], [x[order] for x in w], n[order]
+        at, n = _summed([bucket, *w], n, 5)
+        bucket, w = bucket[at], [x[at] for x in w]
+        side = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
+        packed = [[_planes(x[low:high]) for low, high in zip(side, side[1:], strict=False)] for x in (*w, n)]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[side[:-1]]), *(pa.array(x, pa.binary()) for x in packed)], ["bucket", *_GRAM, "n"])
+
+    for batch in batches:
+        paths = batch.column("path")
+        offsets = paths.offsets.to_numpy() - paths.offsets[0].as_py()
+        words, length = paths.flatten().to_numpy(), np.diff(offsets) - 3
+        at = np.repeat(offsets[:-1] - (np.cumsum(length) - length), length) + np.arange(length.sum())
+        at = at[words[at + 1] > 0]
+        if len(at):
+            path = np.searchsorted(offsets, at, "right") - 1
+            held.append([*(words[at + k] for k in range(4)), batch.column("n").to_numpy()[path]])
+            size += len(at)
+        if size >= EDGES:
+            yield dealt()
+            held, size = [], 0
+    if size:
+        yield dealt()
+
+
+def _flows(bucket: pa.Table) -> pa.Table:
+    """Sums of one bucket's grams for each edge, node and pair: parts of sums where words are hot, else complete ones of LEAST or more."""
+    *w, n = (np.concatenate([_numbers(x.as_buffer()) for x in bucket.column(c)]) for c in (*_GRAM, "n"))
+    order = np.lexsort(w[::-1])
+    w, n = [x[order] for x in w], n[order]
+    hot, made = w[0] & 1, []
+    for k in (2, 3, 4):
+        at, total = _summed(w, n, k)
+        hot = hot & w[k - 1]
+        keep = (w[k - 1][at] > 0) & ((hot[at] > 0) & (k < 4) | (total >= LEAST))
+        made.append([x[at[keep]] if i < k else np.zeros(keep.sum(), np.int64) for i, x in enumerate(w)] + [total[keep]])
+    return pa.table([pa.array(np.concatenate(c)) for c in zip(*made, strict=True)], [*_GRAM, "n"])
 
 
 def hot_above(every: int) -> int:
@@ -186,12 +241,9 @@ def gram_counts(docs: DataFrame, lang_col: str, text_col: str, scratch: Scratch)
     words = scratch.save(words.withColumn("id", (F.monotonically_increasing_id() + 1) * 2 + (F.col("n") > hot).cast("long")))
     known = held.join(words.select("lang", "word", "id"), ["lang", "word"]).select(F.col("block").alias("home"), "place", "id")
     paths = encoded.select("block", "stream", "tail").groupBy("block").cogroup(known.groupBy("home")).applyInArrow(_paths, "path array<long>, n long")
-    slices = [F.slice("path", i, F.size("path") - 3).alias(f"w{i}") for i in (1, 2, 3, 4)]
-    edges = paths.select("n", *slices).select("n", F.inline(F.arrays_zip(*_GRAM)))
-    is_hot = lambda *c: reduce(lambda a, b: a & b, [F.col(x).bitwiseAND(1) == 1 for x in c])
-    slot = F.when(is_hot("w1", "w2", "w3"), F.xxhash64(*_GRAM)).when(is_hot("w1", "w2"), F.xxhash64("w1", "w2", "w3")).otherwise(F.xxhash64("w1", "w2"))
-    dealt = edges.withColumn("slot", slot).repartition("slot").drop("slot").sortWithinPartitions(*_GRAM)
-    sums = dealt.mapInArrow(_flows, "w1 long, w2 long, w3 long, w4 long, n long")
+    buckets = max(every // BUCKET, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))) + 1
+    edges = paths.mapInArrow(lambda x: _dealt(x, buckets), "bucket long, w1 binary, w2 binary, w3 binary, w4 binary, n binary")
+    sums = edges.groupBy("bucket").applyInArrow(_flows, "w1 long, w2 long, w3 long, w4 long, n long")
     grams = scratch.save(sums.groupBy(*_GRAM).agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST))
     scratch.drop(encoded)
     return grams, words, totals
