@@ -45,10 +45,33 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class Carry:
+    """What of a text read so far bears on its next part: the last two words and their shapes, all pairs of words, and the
+    word that its last part ended in (sum and count of its bytes; sum, count and last kind of its runs), if it goes on."""
+
+    def __init__(self) -> None:
+        self.words, self.shapes, self.pairs = (np.zeros(0, np.uint64),) * 3
+        self.open: tuple[np.uint64, int, np.uint64, int, np.uint64] | None = None
+
+
+def _onward(x: np.uint64, n: int) -> np.uint64:
+    """x times the n-th power of BASE."""
+    return x * np.uint64(pow(int(BASE), n, 1 << 64))
+
+
+def _glued(head: tuple, byte_sum: np.uint64, size: int, run_sum: np.uint64, runs: int, first: np.uint64, last: np.uint64) -> tuple:
+    """The sums of a word from those of its head and of the rest; a run that the cut divides is one run."""
+    with np.errstate(over="ignore"):
+        if first == head[4]:
+            run_sum, runs = (run_sum - first) * _INVERSE, runs - 1
+        return head[0] + _onward(byte_sum, head[1]), head[1] + size, head[2] + _onward(run_sum, head[3]), head[3] + runs, last
+
+
+def words_of(data: np.ndarray, offsets: np.ndarray, carry: Carry | None = None, goes_on: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, hash, hash of the shape) of each word of the texts data[offsets[i]:offsets[i+1]].
 
-    A shape is a word with runs of like characters drawn together.
+    A shape is a word with runs of like characters drawn together. With ``carry`` the data are the next part of one text:
+    its open word goes on in the first sign, and with ``goes_on`` the word at the end stays open.
     """
     none = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     base = offsets[0]
@@ -61,37 +84,45 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     cut[edge] = True
     first = inside & np.r_[True, ~inside[:-1]] | inside & cut[:-1]
     start = np.flatnonzero(first)
-    if not len(start):
-        return none
     last = inside & np.r_[~inside[1:], True] | inside & cut[1:]
     end = np.flatnonzero(last) + 1
     power, back = _powers(BASE, n + 1), _powers(_INVERSE, n + 1)
     total = np.r_[np.uint64(0), np.cumsum((text.astype(np.uint64) + np.uint64(1)) * power[:n])]
-    word = _mix((total[end] - total[start]) * back[start])
+    byte_sum = (total[end] - total[start]) * back[start]
     kind = _CLASS[text]
     change = first | np.r_[True, kind[1:] != kind[:-1]]
     place = np.cumsum(change)  # of a run; relative to the first run of its word, as powers of another base
     total = np.r_[np.uint64(0), np.cumsum(np.where(change & inside, kind, np.uint64(0)) * power[place])]
-    shape = _mix((total[end] - total[start]) * back[place[start]])
-    return np.searchsorted(edge, start, "right") - 1, word, shape
-
-
-class Carry:
-    """What of a text read so far bears on its next part: the last two words and their shapes, and all pairs of words."""
-
-    def __init__(self) -> None:
-        self.words, self.shapes, self.pairs = (np.zeros(0, np.uint64),) * 3
-
-
-def features(data: np.ndarray, offsets: np.ndarray, bits: int = BITS, carry: Carry | None = None) -> tuple[np.ndarray, np.ndarray]:
+    run_sum = (total[end] - total[start]) * back[place[start]]
+    doc = np.searchsorted(edge, start, "right") - 1
+    if carry is not None:
+        if carry.open is not None:
+            head, carry.open = carry.open, None
+            if len(start) and start[0] == 0:
+                runs = int(place[end[0] - 1] - place[0] + 1)
+                head = _glued(head, byte_sum[0], int(end[0]), run_sum[0], runs, kind[0], kind[end[0] - 1])
+                byte_sum[0], run_sum[0] = head[0], head[2]
+            else:
+                doc, byte_sum, run_sum = np.r_[0, doc], np.r_[head[0], byte_sum], np.r_[head[2], run_sum]
+        else:
+            head = None
+        if goes_on and len(end) and end[-1] == n:
+            alone = head is not None and len(start) == 1 and start[0] == 0
+            runs = int(place[n - 1] - place[start[-1]] + 1)
+            carry.open = head if alone else (byte_sum[-1], int(n - start[-1]), run_sum[-1], runs, kind[n - 1])
+            doc, byte_sum, run_sum = doc[:-1], byte_sum[:-1], run_sum[:-1]
+    return doc, _mix(byte_sum), _mix(run_sum)
+
+
+def features(data: np.ndarray, offsets: np.ndarray, bits: int = BITS, carry: Carry | None = None, goes_on: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(document of each feature, coordinate of each feature) for the texts data[offsets[i]:offsets[i+1]].
 
     Word 1- and 2-grams, and 1-, 2- and 3-grams of word shapes. With the shape goes whether the word is the one before
     it, and whether the pair of both was read within this text already. With ``carry`` the data are the next part of
-    one text; features of all parts are those of the whole.
+    one text, and with ``goes_on`` not its last one; features of all parts are those of the whole.
     """
+    doc, word, shape = words_of(data, offsets, carry, goes_on)
     carry = Carry() if carry is None else carry
-    doc, word, shape = words_of(data, offsets)
     old = len(carry.words)
     doc, word = np.r_[np.zeros(old, np.int64), doc], np.r_[carry.words, word]
     follows = np.r_[False, doc[1:] == doc[:-1]][: len(doc)]
@@ -116,22 +147,14 @@ def features(data: np.ndarray, offsets: np.ndarray, bits: int = BITS, carry: Car
 
 
 def _parts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(first row, last row + 1, edges): blocks of texts; a text above PIECE bytes comes in parts cut at white space.
-
-    A run of more than PIECE bytes without white space counts as words of PIECE bytes.
-    """
+    """(first row, last row + 1, edges): blocks of texts; a text above PIECE bytes comes in parts."""
     for low, high in blocks(offsets, BLOCK):
         at, end = int(offsets[low]), int(offsets[high])
         if high - low > 1 or end - at <= PIECE:
             yield low, high, offsets[low : high + 1]
             continue
-        while at < end:
-            to = min(end, at + PIECE)
-            if to < end and not _SPACE[data[to]]:
-                space = np.flatnonzero(_SPACE[data[at:to]])
-                to = at + int(space[-1]) + 1 if len(space) else to
-            yield low, high, np.array([at, to])
-            at = to
+        for cut in range(at, end, PIECE):
+            yield low, high, np.array([cut, min(end, cut + PIECE)])
 
 
 def _features(data: np.ndarray, offsets: np.ndarray, bits: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -139,7 +162,7 @@ def _features(data: np.ndarray, offsets: np.ndarray, bits: int) -> Iterator[tupl
     for (low, high), parts in groupby(_parts(data, offsets), lambda x: x[:2]):
         carry = Carry() if high - low == 1 else None
         for _, _, edge in parts:
-            yield low, high, *features(data, edge, bits, carry)
+            yield low, high, *features(data, edge, bits, carry, carry is not None and edge[-1] < offsets[high])
 
 
 def _examples(data: np.ndarray, offsets: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:

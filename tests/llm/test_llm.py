@@ -530,6 +530,19 @@ def test_features_of_parts_are_those_of_the_whole(monkeypatch):
         assert len(got) == len(want) == 1 and all(np.array_equal(a, b) for a, b in zip(got[0], want[0], strict=True))
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 50])
+def test_words_longer_than_a_part_are_one_word(monkeypatch, size):
+    r = random.Random(size)
+    texts = ["".join(r.choice("aaAB1 .\n-é") for _ in range(r.randrange(1, 90))) for _ in range(150)] + ["x" * 500, "aB" * 200 + " y", " " * 70 + "z" * 70]
+    for text in (t.encode() for t in texts):
+        data, edge = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+        whole = np.sort(quality.features(data, edge)[1])
+        with monkeypatch.context() as m:
+            m.setattr(quality, "BLOCK", 1)
+            m.setattr(quality, "PIECE", size)
+            assert np.array_equal(np.sort(np.concatenate([at for *_, at in quality._features(data, edge, quality.BITS)])), whole)
+
+
 def test_features_are_the_slow_ones():
     """Word and shape n-grams by a plain loop name the same coordinates."""
     text = "To be, or not  to be: To be 42 42 ABc-d abc"
