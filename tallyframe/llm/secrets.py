@@ -1,8 +1,8 @@
 """Secret scans whose false positives a random forest removes.
 
-The forest learns from labelled findings. Where no reviewed ones are at hand, findings are planted: made-up keys and
-made-up look-alikes are put between words of the scanned texts, so that their labels are known and come from
-nothing that the features see; what the texts hold themselves counts as no secret unless it has a sure form.
+The forest learns from labelled findings. Where no reviewed ones are at hand, examples of ``findings.FORMS`` are put
+between words of the scanned texts: their labels are known and come from nothing that the features see. What the texts
+hold themselves has no label and is not learnt from.
 """
 
 from __future__ import annotations
@@ -16,30 +16,33 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.llm._common import Scratch, uniform
+from tallyframe.llm.findings import FORMS, Form, example
 
 _SIGN = r"[A-Za-z0-9+/_\-.!@$%^&*#~?]"
 #: Runs of 8 signs or more with a letter and a digit, and of 16 signs of keys or more with or without them.
 CANDIDATE = re.compile(rf"(?<!{_SIGN})(?={_SIGN}*[0-9])(?={_SIGN}*[A-Za-z]){_SIGN}{{8,}}={{0,2}}|[A-Za-z0-9+/_\-]{{16,}}={{0,2}}")
-#: Forms of a finding, and of the signs before it, that are not taken for look-alikes.
-SURE = (r"^AKIA[0-9A-Z]{16}$", r"(?i)(password|passwd|secret|token|api[_-]?key)\s*[:=]\s*[\"']?$")
-#: Signs before and after planted keys, and before and after planted look-alikes.
-KEYS = (('token = "', '"'), ("password: ", ""), ("api_key=", ""), ("secret='", "'"), ("Bearer ", ""), ("export AUTH_TOKEN=", ""), ("passwd = ", ";"), ('"client_secret": "', '",'))
-LIKE = (("commit ", ""), ("sha256:", ""), ("see https://", "/index.html"), ("id ", ","), ("file ", ".txt"), ("<img src=", ">"), ("mailto:", "@mail.org"), ("checksum=", ""))
+#: Words before a finding that speak of keys, and of other strings of such signs.
+OF_KEYS = re.compile(r"(?i)(token|secret|passw|pwd|api|auth|bearer|credential|private|key|log in|://\w+:$)")
+OF_OTHERS = re.compile(r"(?i)(sha-?\d|md5|commit|checksum|digest|revision|etag|integrity|base64|https?://[^:]*$|href|src=|uuid|doi|mailto|image)")
+_PREFIX = re.compile(r"[A-Za-z]{2,10}[_\-.]")
 #: Labelled findings that the forest is fitted on at most (in expectation).
 TRAIN_ROWS = 20_000
 #: Share of all texts that hold a word of the dictionary, and the least count of them.
 DICTIONARY_SHARE = 1e-4
 DICTIONARY_LEAST = 3
+#: Examples that one text gets at most.
+MOST = 20
 TREES, DEPTH = 30, 8
 NEAR = 24
 HASHED = 16
 PATHS = 8
-#: Place of the dictionary coverage among the features.
+#: Place of the dictionary coverage among the features, and how many follow it before the hashed ones.
 COVERAGE = 8
+AFTER = 7
 _SCHEMA = "id {id}, path string, begin long, end long, secret string, before string, after string, features array<double>"
 
 
@@ -49,13 +52,16 @@ def _kind(c: str) -> int:
 
 def features(secret: str, before: str, after: str, path: str | None) -> list[float]:
     """Length; shares of the four kinds of characters; transitions between kinds, and distinct characters, per
-    character; entropy; dictionary coverage (0 until ``with_coverage``); kind of the neighbouring signs; hashed neighbouring words and hashed path."""
+    character; entropy; dictionary coverage (0 until ``with_coverage``); kind of the neighbouring signs; words before it that
+    speak of keys or of other strings; whether all signs are hexadecimal; a prefix; separators per character; hashed
+    neighbouring words and hashed path."""
     n = len(secret)
     kinds = [_kind(c) for c in secret]
     count = Counter(secret)
     p = np.fromiter(count.values(), float) / n
     changes = sum(a != b for a, b in zip(kinds, kinds[1:], strict=False))
     out = [float(n), *(kinds.count(k) / n for k in range(4)), changes / n, len(count) / n, float(-(p * np.log2(p)).sum()), 0.0, float(before[-1:] in "=:\"'") if before else 0.0, float(after[:1] in "\"';,") if after else 0.0]
+    out += [float(bool(OF_KEYS.search(before))), float(bool(OF_OTHERS.search(before))), float(not secret.strip("0123456789abcdef")), float(bool(_PREFIX.match(secret))), sum(c in "-_./@" for c in secret) / n]
     near = [0.0] * HASHED
     for i, w in enumerate([*re.findall(r"\w+", before)[-2:], *re.findall(r"\w+", after)[:1]]):
         near[zlib.crc32(f"{i > 1}{w.lower()}".encode()) % HASHED] += 1
@@ -94,7 +100,7 @@ def with_coverage(found: DataFrame, words: DataFrame) -> DataFrame:
     parts = probes.join(words, "w").groupBy("key", "part").agg(F.max("whole").alias("whole"), F.sum("grams").alias("grams"))
     covered = parts.groupBy("key").agg(F.sum(F.when(F.col("whole") > 0, F.col("whole")).otherwise(F.col("grams"))).alias("covered"))
     share = F.coalesce("covered", F.lit(0)).cast("double") / F.length("secret")
-    whole = F.concat(F.slice("features", 1, COVERAGE), F.array(share), F.slice("features", COVERAGE + 2, 2 + HASHED + PATHS))
+    whole = F.concat(F.slice("features", 1, COVERAGE), F.array(share), F.slice("features", COVERAGE + 2, AFTER + HASHED + PATHS))
     return keyed.join(covered, "key", "left").withColumn("features", whole).select(*found.columns)
 
 
@@ -118,44 +124,36 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.mapInArrow(run, _SCHEMA.format(id=kind))
 
 
-def unsure(secret: str = "secret", before: str = "before") -> Column:
-    """Whether a finding has no sure form of a secret."""
-    return ~(F.coalesce(F.col(secret).rlike(SURE[0]), F.lit(False)) | F.coalesce(F.col(before).rlike(SURE[1]), F.lit(False)))
+def planted(docs: DataFrame, id_col: str, text_col: str, path_col: str, rows: int, forms: tuple[Form, ...] = FORMS) -> DataFrame:
+    """(id, path, text, plant, label): pieces of texts with one example of a key (label 1) or look-alike (0) each, about ``rows`` of either.
 
+    All of it follows from the id: where it is put, its form, the signs around it and its characters. Where there are
+    fewer texts than ``rows`` a text gets several examples, MOST at most.
+    """
+    count = max(docs.count(), 1)
+    share, each = min(1.0, rows / count), max(1, min(MOST, rows // count))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(path_col).cast("string").alias("path"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    base = texts.where(uniform("id", seed="plants") < F.lit(share)).withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(each - 1)))).withColumn("label", F.explode(F.array(F.lit(0), F.lit(1))))
+    at = (uniform("id", "n", "label", seed="place") * F.length("text")).cast("int")
+    near = base.select("id", "path", "label", F.concat_ws("|", F.col("id").cast("string"), "n", "label").alias("seed"), F.substr("text", F.greatest(at - 60, F.lit(1)), F.least(at, F.lit(60))).alias("left"), F.substr("text", at + 1, F.lit(200)).alias("right"))
+    of_label = {k: tuple(f for f in forms if f.label == k) for k in (0, 1)}
+    kind = dict(near.dtypes)["id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made, plants = [], []
+            for label, seed, left, right in zip(*(batch.column(c).to_pylist() for c in ("label", "seed", "left", "right")), strict=True):
+                before, plant, after = example(of_label[label], seed, re.findall(r"[A-Za-z]{4,12}", f"{left} {right}"))
+                made.append(f"{left} {before}{plant}{after} {right[:60]}")
+                plants.append(plant)
+            yield pa.record_batch([batch.column("id"), batch.column("path"), pa.array(made, pa.string()), pa.array(plants, pa.string()), batch.column("label")], names=["id", "path", "text", "plant", "label"])
 
-def planted(docs: DataFrame, id_col: str, text_col: str, path_col: str, rows: int) -> DataFrame:
-    """(id, path, text, plant, label): pieces of at most about ``rows`` texts with one made-up key (label 1) or look-alike (0) each.
+    return near.where(F.col("label").isin([k for k in of_label if of_label[k]])).mapInArrow(run, f"id {kind}, path string, text string, plant string, label int")
 
-    All of it follows from the id: where it is put, what stands around it, and the characters, which come from its hashes.
-    """
-    share = min(1.0, rows / max(docs.count(), 1))
-    rows_of = docs.select(F.col(id_col).alias("id"), F.col(path_col).cast("string").alias("path"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    base = rows_of.where(uniform("id", seed="plants") < F.lit(share)).select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("label"))
-    at = (uniform("id", seed="place") * F.length("text")).cast("int")
-    near = base.withColumn("at", at).withColumn("near", F.substr("text", F.greatest(F.col("at") - 60, F.lit(1)), F.lit(400)))
-    base = near.withColumn("words", F.filter(F.split("near", r"[^A-Za-z]+"), lambda w: F.length(w) > 3))
-    pick = lambda n, seed: (uniform("id", "label", seed=seed) * n).cast("int")
-    digest = F.sha2(F.concat_ws("|", F.lit("plant"), F.col("id").cast("string"), F.col("label").cast("string")), 512)
-    raw = F.regexp_replace(F.base64(F.unhex(digest)), r"\s", "")
-    hexes, mixed, digits = F.substr(digest, F.lit(1), F.element_at(F.array(*map(F.lit, (32, 40, 64))), pick(3, "size") + 1)), F.substr(raw, F.lit(1), 20 + pick(40, "size")), F.translate(digest, "abcdef", "012345")
-    short = F.concat(F.substr(F.regexp_replace(raw, "[+/=]", ""), F.lit(1), 7 + pick(6, "size")), F.lit("!7x"))
-    upper = F.concat(F.lit("AKIA"), F.substr(F.upper(F.regexp_replace(raw, "[^A-Za-z2-7]", "")), F.lit(1), F.lit(16)))
-    word = F.concat_ws("-", *(F.get("words", pick(20, f"word{i}")) for i in range(4)))
-    uuid = F.concat_ws("-", *(F.substr(digest, F.lit(a), F.lit(n)) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
-    key = F.element_at(F.array(hexes, mixed, short, upper), pick(4, "kind") + 1)
-    like = F.element_at(F.array(F.concat(word, F.lit("-page1")), uuid, F.substr(digits, F.lit(1), 16 + pick(8, "size")), F.concat(word, F.lit("_v2")), F.substr(digest, F.lit(1), F.lit(40))), pick(5, "kind") + 1)
-    signs = lambda of, i: F.element_at(F.array(*(F.lit(x[i]) for x in of)), pick(len(of), "signs") + 1)
-    is_key = F.col("label") == 1
-    plant, before, after = F.when(is_key, key).otherwise(like), F.when(is_key, signs(KEYS, 0)).otherwise(signs(LIKE, 0)), F.when(is_key, signs(KEYS, 1)).otherwise(signs(LIKE, 1))
-    made = base.select("id", "path", "text", "at", "label", plant.alias("plant"), before.alias("before"), after.alias("after"))
-    at = F.col("at")
-    text = F.concat(F.substr("text", F.greatest(at - 60, F.lit(1)), F.least(at, F.lit(60))), F.lit(" "), "before", "plant", "after", F.lit(" "), F.substr("text", at + 1, F.lit(60)))
-    return made.select("id", "path", text.alias("text"), "plant", "label")
-
-
-def planted_findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", rows: int = TRAIN_ROWS) -> DataFrame:
+
+def planted_findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", rows: int = TRAIN_ROWS, forms: tuple[Form, ...] = FORMS) -> DataFrame:
     """Findings in ``planted`` texts, with label: 1 for the key, 0 for the look-alike."""
-    texts = planted(docs, id_col, text_col, path_col, rows).where("plant <> ''").withColumn("row", F.struct("id", "plant", "label"))
+    texts = planted(docs, id_col, text_col, path_col, rows, forms).where("plant <> ''").withColumn("row", F.struct("id", "plant", "label"))
     found = candidates(texts, "row", "text", "path")
     inside = F.contains("secret", F.substr("id.plant", F.lit(1), F.lit(8))) | F.contains("id.plant", "secret")
     found = found.where(inside).withColumns({"label": F.col("id.label"), "id": F.col("id.id")})
@@ -188,8 +186,8 @@ def scan(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id
     """(id, begin, end, secret, score, is_secret): every candidate, with the forest's probability that it is a secret.
 
     labels: reviewed findings (secret string, label 0/1) to learn from; of several labels of one the largest counts.
-    Without them findings are planted, and the texts' own findings without a sure form count as none. Only findings of
-    ids whose crc32 is not divisible by 5 are learnt from, at most about ``rows`` of each kind. With labels of one
+    Without them examples of ``findings.FORMS`` are planted. Only findings of ids whose crc32 is not divisible by 5 are
+    learnt from, at most about ``rows`` of each kind. A score of ``threshold`` makes a secret. With labels of one
     value only, that value is the score. begin and end count characters. Null or empty texts have no findings,
     repeated rows repeat theirs, an empty table gives an empty result. Texts are read whole; other columns are not read.
     """
@@ -200,11 +198,8 @@ def scan(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id
     scratch.drop(raw)
     if labels is None:
         train = with_coverage(planted_findings(docs, id_col, text_col, path_col, rows), words)
-        own = found.where(unsure()).where(learnt_from())
-        share = min(1.0, rows / max(own.count(), 1))
-        own = own.where(uniform("id", "begin", seed="own") < F.lit(share)).withColumn("label", F.lit(0))
-        train = scratch.save(train.where(learnt_from()).select("id", "begin", "features", "label").unionByName(own.select("id", "begin", "features", "label")))
-        forest = forest_of(train, 3 * rows)
+        train = scratch.save(train.where(learnt_from()).select("id", "begin", "features", "label"))
+        forest = forest_of(train, 2 * rows)
         scratch.drop(train)
     else:
         marked = found.join(labels.groupBy("secret").agg(F.max("label").alias("label")), "secret").where("label is not null").where(learnt_from())

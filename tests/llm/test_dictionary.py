@@ -29,6 +29,6 @@ def test_words_of_few_texts_of_a_large_table_count(spark):
     got = {r.secret: r.features for r in secrets.with_coverage(found, words).collect()}
     assert set(got) == set(SECRETS)
     for s, x in got.items():
-        assert len(x) == secrets.COVERAGE + 1 + 2 + secrets.HASHED + secrets.PATHS
+        assert len(x) == secrets.COVERAGE + 1 + secrets.AFTER + secrets.HASHED + secrets.PATHS
         assert abs(x[secrets.COVERAGE] - covered(s, known)) < 1e-12
     assert got[SECRETS[0]][secrets.COVERAGE] > 0.5
