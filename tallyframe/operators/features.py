@@ -279,15 +279,22 @@ def rederived(df: DataFrame) -> DataFrame:
 
 
 def table_quality(df: DataFrame) -> DataFrame:
-    """One row of counts over the feature table, and the first reason not to publish it (null: publish)."""
+    """One row of counts over the feature table, and the first reason not to publish it (null: publish).
+
+    Rows are counted by key first, so that one distinct count is left, over keys.
+    """
     number = lambda c: F.count(F.when(c, 1))
-    no_key = F.col("bene_id").isNull() | F.col("year").isNull()
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
     months, chronic = F.col("enrollment_months_count"), F.col("chronic_condition_count")
     negative = F.coalesce(F.least(*COSTS.values()) < 0, F.lit(False))
-    out = df.agg(
-        F.count("*").alias("row_count"), F.count_distinct("bene_id").alias("distinct_bene_id_count"), F.count_distinct("bene_id", "year").alias("distinct_bene_year_count"), number(no_key).alias("missing_bene_year_key_count"),
-        number(months <= 0).alias("nonpositive_enrollment_month_count"), number((months < 0) | (months > 12)).alias("invalid_enrollment_month_count"), number((chronic < 0) | (chronic > 11)).alias("invalid_chronic_condition_count"), number(negative).alias("negative_component_cost_count"),
-    )
+    counts = {
+        "nonpositive_enrollment_month_count": months <= 0, "invalid_enrollment_month_count": (months < 0) | (months > 12),
+        "invalid_chronic_condition_count": (chronic < 0) | (chronic > 11), "negative_component_cost_count": negative,
+    }
+    keys = df.groupBy("bene_id", "year").agg(F.count("*").alias("row_count"), *(number(c).alias(n) for n, c in counts.items()))
+    no_key = F.col("bene_id").isNull() | F.col("year").isNull()
+    missing = F.coalesce(F.sum(F.when(no_key, F.col("row_count"))), F.lit(0)).alias("missing_bene_year_key_count")
+    out = keys.agg(total("row_count"), F.count_distinct("bene_id").alias("distinct_bene_id_count"), number(~no_key).alias("distinct_bene_year_count"), missing, *(total(n) for n in counts))
     out = out.withColumn("duplicate_bene_year_count", F.col("row_count") - F.col("missing_bene_year_key_count") - F.col("distinct_bene_year_count"))
     reason = F
     for c in ("missing_bene_year_key_count", "duplicate_bene_year_count"):

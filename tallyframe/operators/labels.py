@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.operators import ranking
+from tallyframe.sources.scratch import saved
 
 SPLIT_VERSION = "xxhash64_bene_id_mod_100_v2_beneficiary_hash_holdout"
 
@@ -93,7 +94,11 @@ def thresholds(df: DataFrame, definition: dict, exact: bool = False) -> DataFram
 
 
 def sensitivity(df: DataFrame, exact: bool = False, definitions=DEFINITIONS) -> DataFrame:
-    """Per definition and target year: rows, eligible rows, rates, positives, threshold and costs."""
+    """Per definition and target year: rows, eligible rows, rates, positives, threshold and costs.
+
+    The three columns it needs are written once, as every definition reads them several times.
+    """
+    df = saved(df.select("target_year", "target_annual_claim_cost", "target_enrollment_months_count"), "sensitivity")
 
     def one(definition: dict) -> DataFrame:
         full = F.col("target_enrollment_months_count") == 12 if definition["full_year_only"] else F.lit(True)
