@@ -94,13 +94,6 @@ def test_states_invert(spark):
         assert i == r.id
 
 
-def test_chi_square_tail():
-    assert training._tail(3.841458820694124, 1) == pytest.approx(0.05, abs=1e-9)
-    assert training._tail(0.5, 3) == pytest.approx(0.9188914, abs=1e-6)
-    assert training._tail(0, 2) == 1.0
-    assert math.isclose(training._tail(30, 10), 0.000856641, rel_tol=1e-4)
-
-
 def test_sources(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "b_2008.csv").write_text("k,v\n1,x\n2,\n")
