@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from tallyframe.operators import ranking
 from tallyframe.sources.scratch import saved
 
-SPLIT_VERSION = "xxhash64_bene_id_mod_100_v2_beneficiary_hash_holdout"
+#: The version of the split that audits name: a hash of the beneficiary in hundredths, 15 for test and 15 for validation.
+SPLIT_VERSION = "beneficiary-hash-70-15-15"
 
 
 def next_year(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
