@@ -12,15 +12,21 @@ from tallyframe.operators import ranking
 LEVELS = 50
 
 
+def _unpivoted(df: DataFrame, keep: list[str], each: list[Column], fields: str) -> DataFrame:
+    """A row for each of the structs; without any, none."""
+    rows = F.array(*each) if each else F.array().cast(f"array<struct<{fields}>>")
+    return df.select(*keep, F.explode(rows).alias("f")).select(*keep, "f.*")
+
+
 def unpivot_numeric(df: DataFrame, columns: list[str], keep: list[str] = ()) -> DataFrame:
     """(keep, feature_name, value double, bad)."""
     each = [F.struct(F.lit(c).alias("feature_name"), F.col(c).cast("double").alias("value"), impossible(c).alias("bad")) for c in columns]
-    return df.select(*keep, F.explode(F.array(*each)).alias("f")).select(*keep, "f.*")
+    return _unpivoted(df, keep, each, "feature_name: string, value: double, bad: boolean")
 
 
 def unpivot_text(df: DataFrame, columns: list[str], keep: list[str] = ()) -> DataFrame:
     each = [F.struct(F.lit(c).alias("feature_name"), F.col(c).cast("string").alias("category_value")) for c in columns]
-    return df.select(*keep, F.explode(F.array(*each)).alias("f")).select(*keep, "f.*")
+    return _unpivoted(df, keep, each, "feature_name: string, category_value: string")
 
 
 def _number(c: Column) -> Column:

@@ -223,3 +223,13 @@ def test_percentile_scores(spark):
     got = {r.id: r.percentile_score for r in scoring.percentile_scores(df, ref).collect()}
     assert got == {1: 0, 2: 75, 3: 100, 4: None}
     assert {r.percentile_score for r in scoring.percentile_scores(df, ref.limit(0)).collect()} == {None}
+
+
+def test_quality_of_one_kind_of_column(spark):
+    from tallyframe.operators import audits
+
+    df = spark.createDataFrame([(1.0, "a"), (-1.0, None)], "total_cost double, state string")
+    numbers, texts = audits.feature_quality(df, ["total_cost"], []).collect(), audits.feature_quality(df, [], ["state"]).collect()
+    assert [(r.feature_name, r.impossible_value_count, r.audit_severity) for r in numbers] == [("total_cost", 1, "fail")]
+    assert [(r.feature_name, r.null_count, r.audit_severity) for r in texts] == [("state", 1, "warn")]
+    assert audits.feature_quality(df, [], []).count() == 0
