@@ -14,7 +14,10 @@ import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyframe.sources.scratch import saved
 
+#: Files whose years are broadcast; those of more files are joined by a shuffle.
+BROADCAST = 1_000_000
 #: Entities whose files are of one year each.
 YEARLY = ("beneficiary_summary",)
 
@@ -46,13 +49,17 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
 def file_years(spark: SparkSession, paths: list[str], entity: str, inventory: DataFrame, yearly: tuple[str, ...] = YEARLY) -> DataFrame:
     """(file, year): for each file of a yearly entity the year of the last entry whose name its own name contains.
 
-    Files of other entities, and files that no entry names, have no row.
+    Files of other entities, and files that no entry names, have no row. A file meets entries by the parts of its name
+    that are as long as some entry's name, so no file is compared with all entries.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select(F.element_at(F.split("path", "/"), -1).alias("file"))
-    entries = inventory.where((F.col("entity") == entity) & F.lit(entity in yearly))
     position = F.col("position") if "position" in inventory.columns else F.lit(0)
-    named = F.broadcast(entries.select("file_name", F.col("year").cast("int").alias("year"), position.alias("position")))  # one row for each listed file of the entity
-    return files.distinct().join(named, F.contains("file", "file_name")).groupBy("file").agg(F.max_by("year", F.struct("position", "file_name")).alias("year"))
+    named = inventory.where((F.col("entity") == entity) & F.lit(entity in yearly)).select("file_name", F.col("year").cast("int").alias("year"), position.alias("position"))
+    lengths = named.agg(F.collect_set(F.length("file_name")).alias("lengths"))  # one row; a name's length has a limit
+    parts = lambda n: F.transform(F.sequence(F.lit(1), F.length("file") - n + 1), lambda i: F.substring(F.col("file"), i, n))
+    fitting = F.filter("lengths", lambda n: n <= F.length("file"))
+    cut = files.distinct().crossJoin(F.broadcast(lengths)).select("file", F.explode(F.array_distinct(F.flatten(F.transform(fitting, parts)))).alias("file_name"))
+    return cut.join(named, "file_name").groupBy("file").agg(F.max_by("year", F.struct("position", "file_name")).alias("year"))
 
 
 def of_files(paths: DataFrame, name: str, of: Callable[[pyarrow.fs.FileSystem, str], str]) -> DataFrame:
@@ -104,7 +111,8 @@ def read_raw(spark: SparkSession, paths: list[str], entity: str, inventory: Data
     if inventory is None or entity not in yearly:
         return raw.withColumn("_bronze_source_year", F.lit(None).cast("int"))
     years = file_years(spark, paths, entity, inventory, yearly).withColumnsRenamed({"file": "_bronze_source_file", "year": "_bronze_source_year"})
-    return raw.join(F.broadcast(years), "_bronze_source_file", "left")  # one row for each file of the entity
+    years = saved(years, "file-years")  # one row for each file of the entity
+    return raw.join(F.broadcast(years) if years.count() <= BROADCAST else years, "_bronze_source_file", "left")
 
 
 #: Files up to this size are read as one value for the checksum of their bytes, larger ones as a stream.

@@ -19,9 +19,13 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def _own(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tallyframe/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, what: str) -> str:
-    """A new path under the shared folder."""
-    return f"{shared_dir(spark)}/tallyframe/{what}-{uuid.uuid4().hex}"
+    """A new path in this application's part of the shared folder."""
+    return f"{_own(spark)}/{what}-{uuid.uuid4().hex}"
 
 
 def saved(df: DataFrame, what: str) -> DataFrame:
@@ -34,6 +38,14 @@ def saved(df: DataFrame, what: str) -> DataFrame:
 
 def drop(table: DataFrame) -> None:
     """Deletes a table that ``saved`` returned and that nothing lazy still reads."""
-    spark = table.sparkSession
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table.saved_at)
+    _delete(table.sparkSession, table.saved_at)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all that this application wrote here, for the time when none of its lazy results is read any more."""
+    _delete(spark, _own(spark))
+
+
+def _delete(spark: SparkSession, at: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

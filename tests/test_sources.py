@@ -1,6 +1,7 @@
 """Raw files by header, digests of files of any size, profiles by the feature table's expressions, thresholds by range."""
 
 import hashlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql.types import StructField, StructType
 
 from tallyframe.operators import contract, features, metrics
 from tallyframe.plans import queries
-from tallyframe.sources import inventory
+from tallyframe.sources import inventory, scratch
 
 SF = "/root/testdata/sf0.001"
 
@@ -82,3 +83,43 @@ def test_thresholds_by_range_are_the_slow_ones(spark):
             best = (f1, t) if f1 > best[0] + 1e-12 else best
         assert got[g].f1_score == pytest.approx(best[0]) and got[g].decision_threshold == pytest.approx(best[1])
     assert metrics.best_of_thresholds(df.limit(0), ["g"], metrics.fine_thresholds(df.limit(0), ["g"])).count() == 0
+
+
+def test_years_of_files_are_those_of_the_last_entry_in_their_names(spark, tmp_path):
+    names = ["b_2008_2009.csv", "b_2009.csv", "x.csv", "b_2008.csv", "aaaa"]
+    for n in names:
+        (tmp_path / n).write_text("k\n1\n")
+    rows = [(0, "b_2008", "e", 2008), (1, "2009.csv", "e", 2009), (2, "b_2009", "e", 2010), (3, None, "e", 2011), (4, "b_2008.csv.longer.than.any.name", "e", 2012), (5, "aa", "e", 2013), (6, "x", "other", 2014), (7, "2008.csv", "e", None)]
+    listed = spark.createDataFrame(rows, "position int, file_name string, entity string, year int")
+
+    def slow(name: str) -> set:
+        held = [(at, year) for at, part, entity, year in rows if entity == "e" and part is not None and part in name]
+        return {(name, max(held)[1])} if held else set()
+
+    got = inventory.file_years(spark, [str(tmp_path)], "e", listed, ("e",))
+    assert {(r.file, r.year) for r in got.collect()} == set().union(*map(slow, names))
+    every = listed.unionByName(spark.createDataFrame([(9, "", "e", 2015)], listed.schema))
+    assert {r.year for r in inventory.file_years(spark, [str(tmp_path)], "e", every, ("e",)).collect()} == {2015}
+    assert inventory.file_years(spark, [str(tmp_path)], "e", listed.limit(0), ("e",)).count() == 0
+    assert inventory.file_years(spark, [str(tmp_path)], "e", listed, ()).count() == 0
+
+
+def test_years_are_joined_by_a_shuffle_beyond_the_bound(spark, tmp_path, monkeypatch):
+    (tmp_path / "b_2009.csv").write_text("k\n1\n2\n")
+    (tmp_path / "c.csv").write_text("k\n3\n")
+    listed = spark.createDataFrame([(0, "2009", "e", 2009)], "position int, file_name string, entity string, year int")
+    both = []
+    for bound in (inventory.BROADCAST, 0):
+        monkeypatch.setattr(inventory, "BROADCAST", bound)
+        both.append(sorted((r.k, r._bronze_source_year) for r in inventory.read_raw(spark, [str(tmp_path)], "e", listed, yearly=("e",)).collect()))
+    assert both[0] == both[1] == [("1", 2009), ("2", 2009), ("3", None)]
+
+
+def test_scratch_of_an_application_is_cleared(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(scratch, "shared_dir", lambda _: str(tmp_path))
+    there = lambda table: Path(table.saved_at).exists()
+    kept, gone = scratch.saved(spark.range(5), "a"), scratch.saved(spark.range(5), "b")
+    scratch.drop(gone)
+    assert there(kept) and not there(gone) and kept.count() == 5
+    scratch.clear(spark)
+    assert not there(kept) and scratch.saved(spark.range(5), "c").count() == 5
