@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from tallyframe.plans import queries
+from tallyframe.plans import queries, records  # noqa: F401  (registers its queries beside those of the first)
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
