@@ -4,7 +4,8 @@ With one more component, sqrt(M - |v|^2) for data (M: the largest squared norm)
 inner products are the smallest Euclidean distances. Data and queries go to the cell of their nearest pivot.
 Summaries of the cells (the k least distances to the pivot and those of a query's own rows, the least and the largest) bound each query's
 k-th distance; the triangle inequality then gives, for a group of queries and a cell, the ring of distances in
-which data can matter. Only that ring is sent to the group, in chunks, and each chunk is solved by itself.
+which data can matter. Only that ring is sent to the group, in chunks, and each chunk is solved by itself. A chunk holds cells
+next to each other, or a part of a large cell, and a query goes to the chunks of its own rings.
 """
 
 from __future__ import annotations
@@ -21,8 +22,9 @@ from tallyframe.llm._common import Scratch
 
 PIVOTS = (8, 256)
 QUERIES_PER_PIVOT = 64
-GROUP = 1_024
-CHUNK = 32_768
+#: Components of the queries and of the rows that one task holds: 8 MB and 16 MB.
+GROUP = 1 << 20
+CHUNK = 1 << 21
 STEP = 128
 
 
@@ -63,10 +65,11 @@ def _products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 
 def packed(sizes: dict[int, int], pivots: np.ndarray, most: int) -> dict[int, tuple[int, int]]:
-    """Per cell with queries: (first group, count of groups). Cells with few queries share a group of about ``most``
-    queries with the cells next to them; a cell with more has several groups.
+    """Per cell of given size: (first group, count of groups). Small cells share a group of about ``most`` members with the
+    cells next to them; a cell with more has several groups.
 
-    Each group is sent the rows that its rings reach, so fewer groups mean fewer copies of the data.
+    Each group of queries is sent the rows that its rings reach, so fewer groups mean fewer copies of the data; and
+    queries are sent to groups of rows, so fewer of these mean fewer copies of queries.
     """
     left, out, at, group, held = set(sizes), {}, None, 0, 0
     while left:
@@ -145,16 +148,26 @@ def top_inner_products(data: DataFrame, is_query: Column, k: int = 10, id_col: s
 
     asked = scratch.save(rows.where("q").select("id", "v").distinct().mapInArrow(to_groups, "id long, v array<long>, cell int, bound double, d array<double>"))
     scratch.drop(rows)
-    sizes = {r.cell: r["count"] for r in asked.groupBy("cell").count().collect()}
-    groups = F.create_map(*[F.lit(x) for c, (g, p) in packed(sizes, pivots, GROUP).items() for x in (c, F.struct(F.lit(g).alias("g"), F.lit(p).alias("p")))])
-    group = F.element_at(groups, F.col("cell"))
-    asked = asked.withColumn("group", (group["g"] + F.pmod(F.xxhash64("id"), group["p"])).cast("int")).withColumn("asker", F.xxhash64("id", "v"))
-    cell_of = F.posexplode(F.arrays_zip("d", F.lit(inner.tolist()).alias("inner"), F.lit(outer.tolist()).alias("outer")))
-    rings = asked.select("group", "bound", cell_of.alias("cell", "c")).where("c.d - bound <= c.outer and c.d + bound >= c.inner")
+    width = max(dims, 1)
+
+    def dealt(df: DataFrame, most: int) -> dict[int, tuple[int, int]]:
+        return packed({r.cell: r["count"] for r in df.groupBy("cell").count().collect()}, pivots, max(most // width, STEP))
+
+    def of_cell(places: dict[int, tuple[int, int]]) -> Column:
+        """The group, or chunk, of a row by its cell and id."""
+        place = F.element_at(F.create_map(*[F.lit(x) for c, (first, parts) in places.items() for x in (c, F.struct(F.lit(first).alias("first"), F.lit(parts).alias("parts")))]), F.col("cell"))
+        return (place["first"] + F.pmod(F.xxhash64("id"), place["parts"])).cast("int")
+
+    chunks = dealt(cellwise, CHUNK)
+    asked = asked.withColumn("group", of_cell(dealt(asked, GROUP))).withColumn("asker", F.xxhash64("id", "v"))
+    by_cell = {"inner": inner.tolist(), "outer": outer.tolist(), "first": [chunks.get(c, (0, 1))[0] for c in range(cells)], "last": [sum(chunks.get(c, (0, 1))) - 1 for c in range(cells)]}
+    each = F.arrays_zip("d", *(F.lit(x).alias(c) for c, x in by_cell.items()))
+    reached = lambda c: (c["d"] - F.col("bound") <= c["outer"]) & (c["d"] + F.col("bound") >= c["inner"])
+    rings = asked.select("group", "bound", F.posexplode(each).alias("cell", "c")).where(reached(F.col("c")))
     rings = scratch.save(rings.groupBy("group", "cell").agg(F.min(F.expr("c.d - bound")).alias("from"), F.max(F.expr("c.d + bound")).alias("to")))
-    chunks = -(-n // CHUNK)
-    sent = cellwise.join(rings, "cell").where("d between `from` and `to`").select("group", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int").alias("chunk"), "id", "v")
-    askers = asked.select("group", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), "id", "v", "asker")
+    sent = cellwise.join(rings, "cell").where("d between `from` and `to`").select("group", of_cell(chunks).alias("chunk"), "id", "v")
+    own_chunks = F.array_distinct(F.flatten(F.transform(F.filter(each, reached), lambda c: F.sequence(c["first"], c["last"]))))
+    askers = asked.select("group", F.explode(own_chunks).alias("chunk"), "id", "v", "asker")
 
     def solve(q: pa.Table, data: pa.Table) -> pa.Table:
         out: list[tuple[np.ndarray, ...]] = []

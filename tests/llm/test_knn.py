@@ -66,3 +66,21 @@ def test_small_cells_share_groups():
     assert got[0][0] == got[1][0] == got[2][0] and got[4][1] == 3
     used = [g + i for g, p in {got[c] for c in got} for i in range(p)]
     assert len(used) == len(set(used))
+
+
+def test_many_chunks_of_clustered_vectors(spark, monkeypatch):
+    """Chunks of 128 rows: cells share one or fill several, and most queries reach some of them only."""
+    monkeypatch.setattr(knn, "CHUNK", 1)
+    monkeypatch.setattr(knn, "GROUP", 1)
+    r = np.random.default_rng(10)
+    centres = r.normal(size=(6, 3)) * 40
+    rows = [(i, [float(x) for x in centres[0 if i % 3 else i % 6] + r.normal(size=3)]) for i in range(3_000)]
+    want = {i: [(k + 1, *x) for k, x in enumerate(lists[0])] for i, lists in reference(rows).items()}
+    assert found(spark, rows) == want
+
+
+def test_every_row_of_one_vector(spark, monkeypatch):
+    monkeypatch.setattr(knn, "CHUNK", 1)
+    rows = [(i, [0.5, -0.5]) for i in range(700)]
+    want = {i: [(k + 1, *x) for k, x in enumerate(lists[0])] for i, lists in reference(rows).items()}
+    assert found(spark, rows) == want
