@@ -1,7 +1,5 @@
 """What larger tables showed: shared steps are computed once, and tables of rare values agree with SQL."""
 
-import os
-
 import duckdb
 
 from tallyframe.plans import queries, records  # noqa: F401
@@ -18,3 +16,19 @@ def test_scores_round_as_sql_does(spark, tmp_path):
     got = queries.QUERIES["percentile_scores"](spark, str(tmp_path)).collect()
     want = duck.execute(queries.ORACLE_SQL["percentile_scores"]).fetchall()
     assert sorted((r.id, r.percentile_score) for r in got) == sorted(want)
+
+
+def test_claims_are_made_once_for_a_feature_table(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(queries, "role", lambda spark, sf, name, made=queries.role: seen.append(name) or made(spark, sf, name))
+    plan = queries._gold(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert seen.count("claims") == 1
+    assert "lineitem" not in plan and "l_orderkey" not in plan  # what is ranked and joined reads written measures
+
+
+def test_rows_of_a_logit_are_written_once(spark, monkeypatch):
+    plans = []
+    fit_all = queries.logits.fit_all
+    monkeypatch.setattr(queries.logits, "fit_all", lambda rows, *args: plans.append(rows._jdf.queryExecution().optimizedPlan().toString()) or fit_all(rows, *args))
+    queries.QUERIES["logit_balance"](spark, SF)
+    assert len(plans) == 1 and "Join" not in plans[0] and "Aggregate" not in plans[0]
