@@ -111,9 +111,12 @@ def entity_audits(spark, sf_dir):
     drugs = _filled_raw(parquet(spark, sf_dir, "lineitem"), "prescription_drug_events", {"PDE_ID": _text("l_orderkey"), "DESYNPUF_ID": F.lit("b"), "SRVC_DT": F.lit("20080515"), "QTY_DSPNSD_NUM": _text("l_quantity")})
     lines = saved(cleaning.typed(_raw_lines(spark, sf_dir), "inpatient_claims"), "typed")
     events, keys = saved(cleaning.typed(drugs, "prescription_drug_events"), "typed"), cleaning.ENTITIES["prescription_drug_events"].keys
-    latest = saved(cleaning.latest_rows(cleaning.with_keys(events, keys), keys), "latest")
-    published = cleaning.audit(cleaning.quality(latest, "prescription_drug_events"), "prescription_drug_events", "run1", events.count(), latest.count())
-    failed = cleaning.audit(cleaning.quality(lines, "inpatient_claims"), "inpatient_claims", "run1", lines.count(), None)
+    n_events, n_lines = events.count(), lines.count()
+    latest = saved(cleaning.latest_rows(cleaning.dealt(cleaning.with_keys(events, keys), keys, n_events), keys), "latest")
+    n_latest = latest.count()
+    published = cleaning.audit(cleaning.quality(cleaning.dealt(latest, keys, n_latest), "prescription_drug_events"), "prescription_drug_events", "run1", n_events, n_latest)
+    lines = cleaning.dealt(lines, cleaning.ENTITIES["inpatient_claims"].keys, n_lines)
+    failed = cleaning.audit(cleaning.quality(lines, "inpatient_claims"), "inpatient_claims", "run1", n_lines, None)
     return published.unionByName(failed).select("entity", "status", "failed", "rows_in", "rows_removed", "null_year_count", "null_key_count", "parse_failure_count")
 
 

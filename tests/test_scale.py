@@ -32,3 +32,11 @@ def test_rows_of_a_logit_are_written_once(spark, monkeypatch):
     monkeypatch.setattr(queries.logits, "fit_all", lambda rows, *args: plans.append(rows._jdf.queryExecution().optimizedPlan().toString()) or fit_all(rows, *args))
     queries.QUERIES["logit_balance"](spark, SF)
     assert len(plans) == 1 and "Join" not in plans[0] and "Aggregate" not in plans[0]
+
+
+def test_tasks_of_wide_rows_are_bounded(spark, monkeypatch):
+    from tallyframe.operators import cleaning
+
+    monkeypatch.setattr(cleaning, "ROWS_OF_A_TASK", 100)
+    df = spark.range(10_000)
+    assert cleaning.dealt(df, ["id"], 10_000).rdd.getNumPartitions() == 100
