@@ -16,7 +16,11 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near-dedup: of each group alike in 0.8 or more of their 5-word shingles one document stays."""
+    """SimHash near-dedup: of each group alike in 0.8 or more of their 5-word shingles one document stays.
+
+    Fingerprints give the first links, an exact check keeps those of 0.8 or more, and bands of least hashes add what is
+    that much alike but further apart than 4 bits.
+    """
     return nearcopies.keep_one(docs)
 
 

@@ -1,8 +1,9 @@
 """Near copies by the exact Jaccard similarity of their word shingles.
 
-Bands of least shingle hashes route texts into buckets: of two texts at similarity s some band is equal with odds
-1 - (1 - s^ROWS)^BANDS (0.9999 at 0.8). SimHash bits cannot route here: at similarity 0.8 about 10 of 64 differ.
-Each link is verified by the shingles themselves. A bucket first compares its members with its lead, the one that
+SimHash comes first: fingerprints of the same shingles within DISTANCE bits are linked over the Gray-order index, and a
+link stays if its texts are alike by the exact similarity. At similarity 0.8 about 10 of 64 bits differ, so what
+fingerprints leave apart is completed by bands of least shingle hashes, which route texts into buckets: of two texts at
+similarity s some band is equal with odds 1 - (1 - s^ROWS)^BANDS (0.9999 at 0.8). Each link is verified by the shingles themselves. A bucket first compares its members with its lead, the one that
 meets most others in all buckets, as an original does among its copies. What that leaves apart from the lead's component
 is then compared with all others of the bucket, in cells of bounded size; a cell holds the shingles of its members and
 gives no more links than it joins components, so the rows written grow with the members, not with the pairs.
@@ -20,9 +21,9 @@ from pyspark.sql import functions as F
 
 from tallyframe.llm._common import Scratch, byte_column, one_of_each
 from tallyframe.llm._graph import connected_components
-from tallyframe.llm.simhash import SEED, pieces, shingle_hashes
+from tallyframe.llm.simhash import SEED, fingerprint_links, pieces, shingle_hashes
 
-SHINGLE, SIMILARITY = 5, 0.8
+SHINGLE, SIMILARITY, DISTANCE = 5, 0.8, 4
 BANDS, ROWS = 24, 5
 #: Shingles that are hashed by all functions at a time.
 BLOCK = 1 << 12
@@ -57,6 +58,14 @@ def bands(shingles: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(b, i) for i, b in enumerate(least.reshape(BANDS, ROWS).astype("<u8").view("V40").ravel().tolist())]
 
 
+def print_of(shingles: np.ndarray) -> int:
+    """The SimHash of a set of shingles: a bit is set where over half of the hashes have it; an empty set has 0."""
+    ones = np.zeros(64, np.int64)
+    for low in range(0, len(shingles), BLOCK):
+        ones += np.unpackbits(shingles[low : low + BLOCK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > len(shingles)).tobytes(), "big")
+
+
 def _node(shingles: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(shingles.tobytes(), SEED)
 
@@ -70,22 +79,23 @@ def _bytes(text_col: str) -> Column:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, doc, node, size, bands): doc, a hash of the text, tells texts of one id apart; node names the set of shingles, size counts it."""
+    """(id, doc, node, size, fp, bands): doc, a hash of the text, tells texts of one id apart; node names the set of shingles, size counts it, fp is its SimHash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, size, keys = [], [], []
+            node, size, prints, keys = [], [], [], []
             for text in batch.column(2):
                 got = shingle_set(text.as_py(), shingle)
                 node.append(_node(got))
                 size.append(len(got))
+                prints.append(print_of(got))
                 keys.append(bands(got))
             flat = _signed([k for x in keys for k in x])
             edge = pa.array(np.r_[0, np.cumsum([len(x) for x in keys])], pa.int32())
-            yield pa.record_batch([batch.column(0), batch.column(1), _signed(node), pa.array(size, pa.int32()), pa.ListArray.from_arrays(edge, flat)], names=["id", "doc", "node", "size", "bands"])
+            yield pa.record_batch([batch.column(0), batch.column(1), _signed(node), pa.array(size, pa.int32()), _signed(prints), pa.ListArray.from_arrays(edge, flat)], names=["id", "doc", "node", "size", "fp", "bands"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("doc"), _bytes(text_col))
-    return rows.mapInArrow(run, f"id {rows.schema[0].dataType.simpleString()}, doc long, node long, size int, bands array<long>")
+    return rows.mapInArrow(run, f"id {rows.schema[0].dataType.simpleString()}, doc long, node long, size int, fp long, bands array<long>")
 
 
 def _verify(similarity: float):
@@ -178,6 +188,20 @@ def _joining(similarity: float):
     return run
 
 
+def _close(nodes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): nodes whose SimHashes are linked within DISTANCE bits, each fingerprint by its least node, and nodes of one fingerprint with that one.
+
+    Only sizes that can be alike are met; which links are exact is verified by their shingles.
+    """
+    filled = nodes.where("size > 0").select("node", "size", "fp")
+    first = filled.groupBy("fp").agg(F.min(F.struct("node", "size")).alias("f")).select("fp", F.col("f.node").alias("node"), F.col("f.size").alias("size"))
+    same = filled.join(first.withColumnsRenamed({"node": "b", "size": "other"}), "fp").select(F.col("node").alias("a"), "size", "b", "other")
+    ends = fingerprint_links(first.select("fp"), DISTANCE).withColumnsRenamed({"a": "p", "b": "q"})
+    ends = ends.join(first.select(F.col("fp").alias("p"), F.col("node").alias("a"), "size"), "p").join(first.select(F.col("fp").alias("q"), F.col("node").alias("b"), F.col("size").alias("other")), "q")
+    met = same.unionByName(ends.select("a", "size", "b", "other")).where("a <> b")
+    return met.where(F.least("size", "other") >= similarity * F.greatest("size", "other") - 1e-9).select("a", "b")
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(id, doc, component_id) for each row: doc is a hash of its text, component_id the smallest id reachable over links of at least ``similarity``.
 
@@ -187,19 +211,21 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     scratch = Scratch(docs.sparkSession, "nearcopies")
     signed = scratch.save(signatures(docs, id_col, text_col, shingle))
-    nodes = scratch.save(signed.groupBy("node").agg(F.min("id").alias("least"), F.min(F.struct("id", "doc")).alias("row"), F.any_value("size").alias("size"), F.any_value("bands").alias("bands")))
+    nodes = scratch.save(signed.groupBy("node").agg(F.min("id").alias("least"), F.min(F.struct("id", "doc")).alias("row"), F.any_value("size").alias("size"), F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands")))
+    close = scratch.save(_close(nodes, similarity))
     keyed = nodes.select("node", "size", F.explode("bands").alias("bucket"))
     shared = scratch.save(keyed.groupBy("bucket").count().where("count > 1"))
     met = scratch.save(keyed.join(shared, "bucket").select("bucket", "node", "size", "count"))
     weight = met.groupBy("node").agg(F.sum("count").alias("weight"))
     leads = met.join(weight, "node").groupBy("bucket").agg(F.max(F.struct("weight", "node", "size")).alias("l"))
     leads = scratch.save(leads.select("bucket", F.col("l.node").alias("lead"), F.col("l.size").alias("lead_size")))
-    wanted = nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", "row.id", "row.doc")
+    used = met.select("node").union(close.select("a")).union(close.select("b")).distinct()
+    wanted = nodes.join(used, "node", "left_semi").select("node", "row.id", "row.doc")
     sets = scratch.save(_sets(docs, wanted, id_col, text_col, shingle))
     scratch.drop(shared)
 
     alike = F.least("size", "lead_size") >= similarity * F.greatest("size", "lead_size") - 1e-9
-    tried = met.join(leads, "bucket").where(F.col("node") != F.col("lead")).where(alike).select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
+    tried = met.join(leads, "bucket").where(F.col("node") != F.col("lead")).where(alike).select(F.col("node").alias("a"), F.col("lead").alias("b")).union(close).distinct()
     both = tried.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     linked = both.select("a", "b", "x", "y").mapInArrow(_verify(similarity), "a long, b long")
     roots = scratch.save(connected_components(linked, "nearcopies-components"))
@@ -213,7 +239,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more)
     roots = connected_components(links, "nearcopies-components")
     named = scratch.save(nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")))
-    for used in (met, leads, sets, placed, rooted, major, nodes):
+    for used in (met, leads, sets, placed, rooted, major, nodes, close):
         scratch.drop(used)
     first = named.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = scratch.save(named.join(first, "root").select("node", "root", "component_id"))
