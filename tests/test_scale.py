@@ -2,7 +2,7 @@
 
 import duckdb
 
-from tallyframe.plans import queries, records  # noqa: F401
+from tallyframe.plans import queries, records, roles  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
@@ -40,3 +40,15 @@ def test_tasks_of_wide_rows_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(cleaning, "ROWS_OF_A_TASK", 100)
     df = spark.range(10_000)
     assert cleaning.dealt(df, ["id"], 10_000).rdd.getNumPartitions() == 100
+
+
+def test_activity_counts_distinct_values_without_copies_of_lines(spark, tmp_path):
+    duck = duckdb.connect()
+    duck.execute("create table orders as select i::bigint o_orderkey, (i % 7)::bigint o_custkey, case when i % 11 > 0 then timestamp '1995-01-15' + to_days((i * 37 % 900)::int) end o_orderdate from range(300) t(i)")
+    duck.execute("create table lineitem as select (i % 280)::bigint l_orderkey, case when i % 13 > 0 then (i * 29 % 211)::bigint - 100 end l_partkey, 1::bigint l_suppkey, 1.0::double l_quantity from range(900) t(i)")
+    for t in ("orders", "lineitem"):
+        duck.execute(f"copy {t} to '{tmp_path}/{t}.parquet' (format parquet)")
+    got = roles.role(spark, str(tmp_path), "activity")
+    assert "Expand" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = duck.execute(roles.ctes("activity") + " select * from activity").fetchall()
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
