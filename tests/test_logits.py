@@ -134,3 +134,19 @@ def test_separated_classes_end(spark):
     rows = logits.values(df, [Term("a")])
     fit = logits.fit_all(rows, logits.design(rows, [Term("a")]), [["a"]])[0]
     assert fit.log_likelihood > -1e-3 and np.isfinite(fit.coefficients).all()
+
+
+def test_models_beside_a_fitted_one_take_few_passes(monkeypatch, fitted, data):
+    whole = logits.fit_all(*fitted, [["a", "b", "bb", "g", "h"]])[0]
+    passes, real = [], logits._summed
+    monkeypatch.setattr(logits, "_summed", lambda *a: passes.append(1) or real(*a))
+    subsets = [["a", "b", "g", "h"], ["a", "b", "bb", "h"]]
+    for s, f in zip(subsets, logits.fit_all(*fitted, subsets, near=whole), strict=True):
+        beta, likelihood, _ = slow(data[1], s)
+        assert f.coefficients == pytest.approx(beta, abs=1e-6) and f.log_likelihood == pytest.approx(likelihood, abs=1e-6)
+    assert len(passes) <= 5
+    passes.clear()
+    given = logits.likelihood_ratios(*fitted, whole.terms, {"g": ["g"]}, whole=whole)
+    few = len(passes)
+    alone = logits.likelihood_ratios(*fitted, whole.terms, {"g": ["g"]})
+    assert given[0]["statistic"] == pytest.approx(alone[0]["statistic"], abs=1e-6) and few < len(passes) - few
