@@ -177,3 +177,19 @@ def test_labelled_splits_and_contract(spark):
     train = df.where("split_name = 'train'")
     assert train.where("label = 1").count() == pytest.approx(train.count() * 0.1, abs=1.5)
     assert len(contract.NUMERIC) == 114 and len(contract.CATEGORICAL) == 11 and len(set(contract.ORDER)) == 125
+
+
+def test_logits_of_all_points_and_folds_are_those_of_spark(monkeypatch, frame):
+    passes, real = [], training.logits._summed
+    monkeypatch.setattr(training.logits, "_summed", lambda *a: passes.append(1) or real(*a))
+    train, grid = frame.where("split_name = 'train'"), training.points({"C": [0.01, 1.0]})
+    found = training.cross_validate(train, "logistic_regression", NUMERIC, CATEGORICAL, "bene_id", grid, k=3)
+    assert len(passes) < 12  # six fits of up to 50 passes each before
+    monkeypatch.setattr(training, "_shares_passes", lambda *a: False)
+    for a, b in zip(found, training.cross_validate(train, "logistic_regression", NUMERIC, CATEGORICAL, "bene_id", grid, k=3), strict=True):
+        assert a["params"] == b["params"] and a["folds"] == pytest.approx(b["folds"], abs=2e-3)
+    for c in (0.01, 1.0):
+        fitted = training.fit(train, "logistic_regression", NUMERIC, CATEGORICAL, params={"C": c})
+        want = {r.bene_id: r.predicted_probability for r in training.score(fitted, frame, NUMERIC, CATEGORICAL, ["bene_id"]).collect()}
+        got = {r.bene_id: r.predicted_probability for r in training._logit_scores(frame, NUMERIC, CATEGORICAL, ["bene_id", "label"], c).collect()}
+        assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-4
