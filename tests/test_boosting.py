@@ -111,3 +111,32 @@ def test_nothing_to_learn(rows):
     one_class = boosting.grow(table.withColumn("label", F.lit(0.0)), [Point(rounds=3, patience=2, held=1)], cuts)[0]
     assert all((t.feature < 0).all() for t in one_class.trees)
     assert boosting.grow(table.limit(0), [Point(rounds=3)], cuts)[0].trees == []
+
+
+def test_trees_send_rows_where_a_walk_does():
+    r = np.random.default_rng(3)
+    columns = r.integers(0, 64, (5, 500)).astype(np.uint8)
+    for depth in (1, 3, 8):
+        tree = boosting.Tree.of(depth)
+        inner = (1 << depth) - 1
+        tree.feature[:inner] = r.integers(-1, 5, inner)
+        tree.cut[:inner] = r.integers(0, 63, inner)
+        tree.value[:] = r.normal(size=len(tree.value))
+        want = []
+        for row in columns.T:
+            node = 0
+            while tree.feature[node] >= 0:
+                node = 2 * node + 1 + int(row[tree.feature[node]] > tree.cut[node])
+            want.append(node)
+        assert tree.leaves(columns).tolist() == want and tree.values(columns).tolist() == tree.value[want].tolist()
+
+
+def test_only_features_that_may_split_are_counted():
+    r = np.random.default_rng(3)
+    columns, offsets = r.integers(0, 4, (6, 200)).astype(np.uint8), np.arange(7) * 4
+    seen = {"key": np.arange(200), "draws": {}, "label": np.ones(200), "columns": columns, "learn": np.ones(200, bool), "stop": np.zeros(200, bool), "weight": np.ones(200), "margin": np.zeros(200)}
+    model = boosting.Model(boosting.Point(subsample=1.1))
+    sums = boosting._histograms(0, 0, {0: boosting.Tree.of(2)}, offsets, {0: np.array([2, 4])})(0, model, seen)[:-2].reshape(3, 24)
+    for f in range(6):
+        counts = sums[2, f * 4 : f * 4 + 4]
+        assert counts.tolist() == (np.bincount(columns[f], minlength=4).tolist() if f in (0, 2, 4) else [0] * 4)
