@@ -250,9 +250,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 yield pa.record_batch([pa.array(at), pa.array(state.z[at]), pa.array(state.n[at])], names=["at", "z", "n"])
 
         parts = coded.repartitionById(SHARDS, "s").sortWithinPartitions("s", "o", "y").mapInArrow(learn, "at long, z double, n double")
-        merged = parts.groupBy("at").agg((F.sum("z") / SHARDS).alias("z"), (F.sum("n") / SHARDS).alias("n")).toPandas()
-        z, n = np.zeros(size), np.zeros(size)
-        z[merged["at"].to_numpy(np.int64)], n[merged["at"].to_numpy(np.int64)] = merged["z"].to_numpy(), merged["n"].to_numpy()
+        merged = parts.groupBy("at").agg((F.sum("z") / SHARDS).alias("z"), (F.sum("n") / SHARDS).alias("n")).toArrow()  # three columns; as rows they would be objects of the driver, many times their size
+        at, z, n = merged["at"].to_numpy(), np.zeros(size), np.zeros(size)
+        z[at], n[at] = merged["z"].to_numpy(), merged["n"].to_numpy()
         start.unpersist()
     scratch.drop(coded)
     return Ftrl(z, n).weights()
