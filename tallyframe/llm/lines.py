@@ -134,18 +134,23 @@ def similar_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     them an index row, take part in the join.
     """
     scratch = Scratch(lines.sparkSession, "lines")
-    shared = line_keys(lines, edits).groupBy("key").agg(F.count("*").alias("n"), F.count(F.when(F.col("side") == 0, 1)).alias("indexed"))
-    shared = scratch.save(shared.where("n > 1 and indexed > 0").select("key"))
-    shared = F.broadcast(shared) if shared.count() <= BROADCAST else shared
-    met = scratch.save(line_keys(lines, edits).join(shared, "key", "left_semi").distinct())
-    texts = scratch.save(lines.join(met.select("h").distinct(), "h", "left_semi").withColumn("odd", odd_characters()))
-    met = scratch.save(met.join(texts, "h").withColumn("length", F.length("line")))
+    counts = line_keys(lines, edits).groupBy("key").agg(F.count("*").alias("n"), F.count(F.when(F.col("side") == 0, 1)).alias("indexed"))
+    keys = scratch.save(counts.where("n > 1 and indexed > 0").select("key"))
+    shared = F.broadcast(keys) if keys.count() <= BROADCAST else keys
+    own = scratch.save(line_keys(lines, edits).join(shared, "key", "left_semi").distinct())
+    scratch.drop(keys)
+    texts = scratch.save(lines.join(own.select("h").distinct(), "h", "left_semi").withColumn("odd", odd_characters()))
+    met = scratch.save(own.join(texts, "h").withColumn("length", F.length("line")))
+    scratch.drop(own)
+    scratch.drop(texts)
     x, y = met.where("side = 0").alias("x"), met.alias("y")
     once = (F.col("y.side") == 1) | (F.col("x.h") < F.col("y.h"))
     most = budget(F.least("x.length", "y.length"), edits)
     alike = F.bit_count(F.col("x.odd").bitwiseXOR(F.col("y.odd"))) <= 2 * most  # an edit changes two of these bits at most
     near = once & (F.abs(F.col("x.length") - F.col("y.length")) <= most) & alike & (banded_distance(F.col("x.line"), F.col("y.line"), edits) <= most)
-    return x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.h") != F.col("y.h")) & near).select(F.least("x.h", "y.h").alias("a"), F.greatest("x.h", "y.h").alias("b")).distinct()
+    links = scratch.save(x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.h") != F.col("y.h")) & near).select(F.least("x.h", "y.h").alias("a"), F.greatest("x.h", "y.h").alias("b")).distinct())
+    scratch.drop(met)
+    return links
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS) -> DataFrame:
@@ -157,16 +162,24 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     scratch = Scratch(docs.sparkSession, "lines")
     every = scratch.save(document_lines(docs, id_col, text_col))  # split once, read by column below
-    distinct = scratch.save(every.where(F.length("line") >= SPAN).select("h", "line").distinct())
-    roots = scratch.save(connected_components(similar_lines(distinct, edits), "line-components").withColumnRenamed("node", "h"))
-    classed = every.select("id", "doc", "place", "h").join(roots, "h", "left")
-    classed = scratch.save(classed.select("id", "doc", "place", "h", F.coalesce("root", "h").alias("class")))
-    scratch.drop(every)
+    counted = scratch.save(every.where("line is not null").groupBy("h", "line").agg(F.count("*").alias("n")))
+    places = scratch.save(every.select("id", "doc", "place", "h"))
+    scratch.drop(every)  # from here on each text is held once
+    links = similar_lines(counted.where(F.length("line") >= SPAN).select("h", "line"), edits)
+    roots = connected_components(links, "line-components").withColumnRenamed("node", "h")
+    shared = scratch.save(counted.where("n > 1").select("h").join(roots, "h", "full_outer").select("h", F.coalesce("root", "h").alias("class")))
+    scratch.drop(counted)
+    classed = scratch.save(places.join(shared, "h", "left").select("id", "doc", "place", "h", "class"))
+    scratch.drop(places)
+    scratch.drop(shared)
+    there = F.col("h").isNotNull()
+    alone = classed.where("class is null").select("id", "doc", "place", "h", F.col("h").alias("class"), there.alias("keep"), F.when(there, F.lit(False)).alias("near"))
+    several = classed.where("class is not null")  # only these lines meet by class
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", "doc", "place")
-    first = scratch.save(classed.where("class is not null").groupBy("class").agg(F.min(order).alias("first"), F.min_by("h", order).alias("first_h")))
-    joined = classed.join(first, "class", "left")
+    first = scratch.save(several.groupBy("class").agg(F.min(order).alias("first"), F.min_by("h", order).alias("first_h")))
     keep = F.struct("id", "doc", "place").eqNullSafe(F.struct("first.id", "first.doc", "first.place"))
-    return joined.select("id", "doc", "place", "h", "class", keep.alias("keep"), (F.col("h") != F.col("first_h")).alias("near"))
+    joined = several.join(first, "class").select("id", "doc", "place", "h", "class", keep.alias("keep"), (F.col("h") != F.col("first_h")).alias("near"))
+    return joined.unionByName(alone)
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS) -> DataFrame:
