@@ -193,3 +193,21 @@ def test_logits_of_all_points_and_folds_are_those_of_spark(monkeypatch, frame):
         want = {r.bene_id: r.predicted_probability for r in training.score(fitted, frame, NUMERIC, CATEGORICAL, ["bene_id"]).collect()}
         got = {r.bene_id: r.predicted_probability for r in training._logit_scores(frame, NUMERIC, CATEGORICAL, ["bene_id", "label"], c).collect()}
         assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-4
+
+
+def test_deep_forests_hold_those_of_fewer_levels(monkeypatch, frame):
+    fits, real = [], training.configured
+    train = training.balanced(training.filled(frame.where("split_name = 'train'"), NUMERIC, CATEGORICAL))
+    learn = training.Pipeline(stages=training.preprocessor(NUMERIC, CATEGORICAL)).fit(train).transform(train).select("features", "label", "class_weight").cache()
+    grid = training.points({"numTrees": [3, 7], "maxDepth": [2, 5], "minInstancesPerNode": [5], "featureSubsetStrategy": ["0.5"]})
+    monkeypatch.setattr(training, "configured", lambda *a: fits.append(1) or real(*a))
+    got = training._precision_of_points(learn, learn, "random_forest", grid, 42)
+    assert len(fits) == 2  # a part of 3 trees and one of 4 further ones; each depth had its own before
+    for p, area in zip(grid, got, strict=True):
+        alike = [q for q in grid if q["maxDepth"] == p["maxDepth"]]
+        df, probabilities = training.learned("random_forest", alike, learn, 1.0)(learn)
+        alone = df.select("label", F.round(probabilities[alike.index(p)], 9).alias("predicted_probability"))
+        fitted = training._parts("random_forest", [{**q, "maxDepth": 5} for q in alike], learn, 1.0, 42)[2]
+        scored = training.forests.scores(learn, [training.forests.nodes(learn.sparkSession, f) for f in fitted], [(0, p["numTrees"], p["maxDepth"])])
+        assert sorted(r.predicted_probability for r in scored.collect()) == pytest.approx(sorted(r.predicted_probability for r in alone.collect()), abs=1e-8)
+        assert area == pytest.approx(metrics.auc(alone, []).first().pr_auc, abs=1e-6)
