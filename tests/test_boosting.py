@@ -140,3 +140,30 @@ def test_only_features_that_may_split_are_counted():
     for f in range(6):
         counts = sums[2, f * 4 : f * 4 + 4]
         assert counts.tolist() == (np.bincount(columns[f], minlength=4).tolist() if f in (0, 2, 4) else [0] * 4)
+
+
+def test_features_counted_together_and_siblings_left_over_are_the_plain_sums():
+    r = np.random.default_rng(5)
+    sizes = [51, 3, 2, 7, 4, 60]
+    offsets, n = np.r_[0, np.cumsum(sizes)], 700
+    columns = np.stack([r.integers(0, k, n) for k in sizes]).astype(np.uint8)
+    seen = lambda: {"key": np.arange(n), "draws": {}, "label": (np.arange(n) % 3 == 0) * 1.0, "columns": columns, "learn": np.arange(n) % 7 > 0, "stop": np.arange(n) % 7 == 0, "weight": np.ones(n), "margin": np.linspace(-1, 1, n)}
+    tree, model, features = boosting.Tree.of(2), boosting.Model(Point(max_depth=2, subsample=0.8)), np.array([0, 2, 3, 5])
+    groups = boosting._together(sizes)
+    assert sorted(f for g in groups for f in g) == list(range(6)) and len(groups) == 3
+    above = counted = None
+    for level in (0, 1):
+        nodes = 1 << level
+        plain = boosting._histograms(level, 0, {0: tree}, offsets, {0: features})(0, model, seen())
+        joint = boosting._finished(nodes, groups, offsets)(boosting._histograms(level, 0, {0: tree}, offsets, {0: features}, groups, counted and {0: counted[0]})(0, model, seen()))
+        want, got = (x[: 3 * nodes * offsets[-1]].reshape(3, nodes, -1).transpose(1, 0, 2).copy() for x in (plain, joint))
+        if level:
+            assert got[~counted[0]].sum() == 0 < want[~counted[0], 2].sum()
+            got = boosting._with_siblings(got, above, counted[0])
+        else:
+            assert joint[-2:].tolist() == plain[-2:].tolist()
+        for f in features:
+            assert got[:, :, offsets[f] : offsets[f + 1]] == pytest.approx(want[:, :, offsets[f] : offsets[f + 1]], abs=1e-9)
+        tree.feature[0], tree.cut[0] = 3, 1
+        above, counted = got, {0: boosting._lighter(tree, 0, got, offsets)} if level == 0 else None
+        assert level or counted[0].tolist() == [True, False]  # 2 of 7 bins lie to the left
