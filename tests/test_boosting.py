@@ -167,3 +167,17 @@ def test_features_counted_together_and_siblings_left_over_are_the_plain_sums():
         tree.feature[0], tree.cut[0] = 3, 1
         above, counted = got, {0: boosting._lighter(tree, 0, got, offsets)} if level == 0 else None
         assert level or counted[0].tolist() == [True, False]  # 2 of 7 bins lie to the left
+
+
+def test_points_of_one_kind_are_counted_as_one_until_their_splits_differ(monkeypatch, rows):
+    table, cuts = rows
+    common = {"max_depth": 3, "rate": 0.3, "subsample": 0.9, "colsample": 1.0, "rounds": 7, "held": 1, "best": False}
+    points = [Point(min_child_weight=w, gamma=g, reg_alpha=a, **common) for w in (1.0, 1.5) for g in (0.0, 0.01, 9.0) for a in (0.0, 0.3)] + [Point(**{**common, "rounds": 4})]
+    alone = [boosting.grow(table, [p], cuts)[0] for p in points]
+    counted, real = [], boosting._pass
+    monkeypatch.setattr(boosting, "_pass", lambda rows, models, *a: counted.append(len(models)) or real(rows, models, *a))
+    for m, want in zip(boosting.grow(table, points, cuts), alone, strict=True):
+        assert m.losses == pytest.approx(want.losses) and len(m.trees) == len(want.trees) == m.point.rounds
+        for tree, other in zip(m.trees, want.trees, strict=True):
+            assert tree.feature.tolist() == other.feature.tolist() and tree.cut.tolist() == other.cut.tolist() and tree.value == pytest.approx(other.value)
+    assert counted[1] == 2 and max(counted[2:]) > 2  # the first pass counts the starts; 13 points before
