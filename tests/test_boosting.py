@@ -181,3 +181,14 @@ def test_points_of_one_kind_are_counted_as_one_until_their_splits_differ(monkeyp
         for tree, other in zip(m.trees, want.trees, strict=True):
             assert tree.feature.tolist() == other.feature.tolist() and tree.cut.tolist() == other.cut.tolist() and tree.value == pytest.approx(other.value)
     assert counted[1] == 2 and max(counted[2:]) > 2  # the first pass counts the starts; 13 points before
+
+
+def test_sums_are_the_same_added_by_the_driver_or_by_tasks(monkeypatch, rows):
+    table, cuts = rows
+    points = [Point(max_depth=2, rounds=2, min_child_weight=w, held=1, best=False) for w in (0.0, 30.0)]
+    monkeypatch.setattr(boosting, "TASK_ROWS", (100, 100))
+    direct = boosting.grow(table, points, cuts)
+    monkeypatch.setattr(boosting, "DIRECT_BYTES", 0)
+    monkeypatch.setattr(boosting, "LANES", 2)
+    for a, b in zip(direct, boosting.grow(table, points, cuts), strict=True):
+        assert a.losses == pytest.approx(b.losses) and all(x.value == pytest.approx(y.value) and x.cut.tolist() == y.cut.tolist() for x, y in zip(a.trees, b.trees, strict=True))
